@@ -82,3 +82,7 @@ SELECT page_id, url,
        CAST(length({html_decode_sql(strip_tags_sql(_ARTICLE))}) AS BIGINT) AS body_chars
 FROM pages
 """)(main_content)
+
+
+# register the other query groups (they import ``register`` from here)
+from folio.plans import q_urls  # noqa: E402,F401
