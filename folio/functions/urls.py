@@ -294,3 +294,104 @@ def unwrap_redirect(value, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
     dec = F.coalesce(F.try_url_decode(raw), raw)
     hit = v.contains(profile.redirect_path) & (p["path"] == profile.redirect_path) & (raw != "")
     return F.when(hit, dec).otherwise(v)
+
+
+# ---------------------------------------------------------------------------
+# Staged DataFrame forms. Each stage is its own projection, so a URL's
+# parts are computed once per row instead of being re-expanded inside
+# every expression that reads them (nested URL rules otherwise blow up the
+# expression tree and the generated code).
+# ---------------------------------------------------------------------------
+
+def with_url_parts(df, col: str, p: str):
+    """Add URL-part columns ``{p}c, {p}scheme, {p}authority, {p}host,
+    {p}port, {p}path, {p}query, {p}fragment, {p}has_auth, {p}has_query,
+    {p}has_frag, {p}port_status, {p}port_value`` for ``col`` (five
+    projections)."""
+    scheme_re = "^([A-Za-z][A-Za-z0-9+.\\-]*):"
+    c = F.col
+    df = df.withColumn(p + "c", _clean(c(col)))
+    df = df.withColumn(p + "scheme", F.lower(F.regexp_extract(c(p + "c"), scheme_re, 1)))
+    rest = F.when(c(p + "scheme") == "", c(p + "c")).otherwise(F.regexp_replace(c(p + "c"), scheme_re, ""))
+    df = df.withColumn(p + "rest", rest)
+    nofrag = F.regexp_replace(c(p + "rest"), "#.*$", "")
+    df = df.withColumns({
+        p + "fragment": F.regexp_extract(c(p + "rest"), "#(.*)$", 1),
+        p + "has_frag": c(p + "rest").contains("#"),
+        p + "has_auth": nofrag.startswith("//"),
+        p + "authority": F.when(nofrag.startswith("//"), F.regexp_extract(nofrag, "^//([^/?]*)", 1)).otherwise(F.lit("")),
+        p + "after": F.when(nofrag.startswith("//"), F.regexp_replace(nofrag, "^//[^/?]*", "")).otherwise(nofrag),
+    })
+    hostinfo = F.regexp_replace(c(p + "authority"), "^.*@", "")
+    br = hostinfo.startswith("[")
+    df = df.withColumns({
+        p + "query": F.regexp_extract(c(p + "after"), "\\?(.*)$", 1),
+        p + "has_query": c(p + "after").contains("?"),
+        p + "path": F.regexp_replace(c(p + "after"), "\\?.*$", ""),
+        p + "host": F.lower(F.when(br, F.regexp_extract(hostinfo, "^\\[([^\\]]*)\\]", 1))
+                            .otherwise(F.regexp_extract(hostinfo, "^([^:]*)", 1))),
+        p + "port": F.when(br, F.regexp_extract(hostinfo, "^\\[[^\\]]*\\]:(.*)$", 1))
+                     .otherwise(F.regexp_extract(hostinfo, "^[^:]*:(.*)$", 1)),
+    })
+    st = port_status(c(p + "port"))
+    df = df.withColumns({p + "port_status": st,
+                         p + "port_value": F.when(st == "ok", c(p + "port").cast("int"))})
+    return df.drop(p + "rest", p + "after")
+
+
+def _drop_prefixed(df, p: str):
+    return df.drop(*[x for x in df.columns if x.startswith(p)])
+
+
+def resolve_url_df(df, href: str, base: str, out: str):
+    """P6 in staged form: ``out`` = ``href`` resolved against ``base``."""
+    r, b = "_rr_", "_rb_"
+    df = with_url_parts(with_url_parts(df, href, r), base, b)
+    c = F.col
+    q = lambda hq, qq: F.when(c(hq), F.concat(F.lit("?"), c(qq))).otherwise(F.lit(""))
+    fr = F.when(c(r + "has_frag"), F.concat(F.lit("#"), c(r + "fragment"))).otherwise(F.lit(""))
+    pre = F.when(c(b + "scheme") != "", F.concat(c(b + "scheme"), F.lit(":"))).otherwise(F.lit(""))
+    auth = F.when(c(b + "has_auth"), F.concat(F.lit("//"), c(b + "authority"))).otherwise(F.lit(""))
+    merged = F.when(c(r + "path").startswith("/"), c(r + "path")) \
+        .otherwise(_merge_path(c(b + "path"), c(r + "path"), c(b + "has_auth")))
+    df = df.withColumn(r + "dots", _remove_dots(merged))
+    res = (F.when(c(base).isNull() | (c(base) == ""), c(r + "c"))
+           .when(F.coalesce(c(href), F.lit("")) == "", c(base))
+           .when(~((c(r + "scheme") == "") | (c(r + "scheme") == c(b + "scheme"))), c(r + "c"))
+           .when(c(r + "has_auth"), F.concat(pre, F.lit("//"), c(r + "authority"), c(r + "path"),
+                                            q(r + "has_query", r + "query"), fr))
+           .when(c(r + "path") == "", F.concat(pre, auth, c(b + "path"),
+                                              F.when(c(r + "has_query"), F.concat(F.lit("?"), c(r + "query")))
+                                              .when(c(b + "has_query"), F.concat(F.lit("?"), c(b + "query")))
+                                              .otherwise(F.lit("")), fr))
+           .otherwise(F.concat(pre, auth, c(r + "dots"), q(r + "has_query", r + "query"), fr)))
+    return _drop_prefixed(_drop_prefixed(df.withColumn(out, res), r), b)
+
+
+def sanitize_df(df, col: str, out: str, profile: SiteProfile = DEFAULT_PROFILE):
+    """P10 on one column in staged form: NULL when the value hides a
+    dangerous scheme (P7, also after unwrapping the redirect, P8), else
+    the unwrapped value made absolute (P9). Empty values pass through.
+    Apply it to the *distinct* values of a link column and join back."""
+    from folio.functions.entities import html_unescape
+    s = "_sz_"
+    c = F.col
+    df = df.withColumn(s + "dec", html_unescape(c(col)))
+    df = with_url_parts(df, col, s + "p_")
+    raw = F.regexp_extract(c(s + "p_query"), "(?:^|&)" + profile.redirect_param + "=([^&]*)", 1)
+    df = df.withColumns({s + "bad": has_dangerous_scheme(c(col), profile, decoded=c(s + "dec")),
+                         s + "raw": raw})
+    hit = c(col).contains(profile.redirect_path) & (c(s + "p_path") == profile.redirect_path) & (c(s + "raw") != "")
+    df = df.withColumn(s + "unw", F.when(hit, F.coalesce(F.try_url_decode(c(s + "raw")), c(s + "raw"))).otherwise(c(col)))
+    df = df.withColumn(s + "dec2", html_unescape(c(s + "unw")))
+    df = with_url_parts(df, s + "unw", s + "q_")
+    keep = (c(s + "unw").startswith("http://") | c(s + "unw").startswith("https://") | c(s + "unw").startswith("#")
+            | c(s + "unw").startswith("mailto:") | c(s + "unw").startswith("tel:") | (c(s + "q_scheme") != ""))
+    df = df.withColumns({s + "bad2": has_dangerous_scheme(c(s + "unw"), profile, decoded=c(s + "dec2")),
+                         s + "keep": keep, s + "base": F.lit(profile.base_url)})
+    df = resolve_url_df(df, s + "unw", s + "base", s + "abs")
+    res = (F.when(c(col).isNull() | (c(col) == ""), c(col))
+           .when(c(s + "bad") | c(s + "bad2"), F.lit(None).cast("string"))
+           .when(c(s + "keep"), c(s + "unw"))
+           .otherwise(c(s + "abs")))
+    return _drop_prefixed(df.withColumn(out, res), s)
