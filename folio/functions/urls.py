@@ -395,3 +395,46 @@ def sanitize_df(df, col: str, out: str, profile: SiteProfile = DEFAULT_PROFILE):
            .when(c(s + "keep"), c(s + "unw"))
            .otherwise(c(s + "abs")))
     return _drop_prefixed(df.withColumn(out, res), s)
+
+
+def is_post_url_df(df, col: str, out: str, profile: SiteProfile = DEFAULT_PROFILE):
+    """P4 in staged form: ``out`` = is ``col`` a post URL."""
+    p = "_ip_"
+    c = F.col
+    df = df.withColumn(p + "u", fix_backslashes(c(col)))
+    df = with_url_parts(df, p + "u", p)
+    hosts = list(profile.post_hosts)
+    named = [h for h in hosts if h]
+    ports = [int(x) for x in profile.allowed_ports]
+    df = df.withColumn(p + "np", normalize_path(c(p + "path")))
+    np_ = F.when(c(p + "np").startswith("/"), c(p + "np")).otherwise(F.concat(F.lit("/"), c(p + "np")))
+    port_ok = (F.lit(True) if not named else
+               ~c(p + "host").isin(named) | (c(p + "port_status") == "none")
+               | ((c(p + "port_status") == "ok") & c(p + "port_value").isin(ports)))
+    res = F.coalesce(
+        _any_contains(c(p + "u"), profile.post_prefixes) & c(p + "scheme").isin("http", "https", "")
+        & ~((c(p + "scheme") != "") & (c(p + "host") == "")) & c(p + "host").isin(hosts) & port_ok
+        & _any_startswith(np_, profile.post_prefixes), F.lit(False))
+    return _drop_prefixed(df.withColumn(out, res), p)
+
+
+def link_target_df(df, col: str, out: str, profile: SiteProfile = DEFAULT_PROFILE):
+    """P13 URL part in staged form: hrefs starting with ``http`` kept,
+    others resolved against the site base URL."""
+    df = df.withColumn("_lt_base", F.lit(profile.base_url))
+    df = resolve_url_df(df, col, "_lt_base", "_lt_res")
+    return df.withColumn(out, F.when(F.col(col).startswith("http"), F.col(col)).otherwise(F.col("_lt_res"))) \
+        .drop("_lt_base", "_lt_res")
+
+
+def classify_links_df(df, href: str, profile: SiteProfile = DEFAULT_PROFILE):
+    """P13 for a link table: adds ``url`` (target) and ``is_post``; the
+    rules run once per *distinct* href and are joined back, so a link
+    repeated across millions of pages costs one evaluation."""
+    from folio.session import materialize
+    hv = df.select(F.col(href).alias("_h")).where(F.col("_h").isNotNull()).distinct()
+    # the distinct-href table is small; checkpoints between the rule stages
+    # keep the optimizer from re-inlining one stage into the next
+    hv = materialize(link_target_df(hv, "_h", "url", profile))
+    hv = materialize(is_post_url_df(hv, "url", "is_post", profile))
+    return df.join(hv.withColumnRenamed("_h", href), href, "left")

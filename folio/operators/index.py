@@ -57,8 +57,8 @@ def _links_in(nodes: DataFrame, containers: DataFrame, profile: SiteProfile) ->
     out = (inside.join(title, ["page_id", "node_id"], "left")
            .withColumn("title", F.coalesce(F.col("title"), F.lit("")))
            .where(F.coalesce(F.col("href"), F.lit("")) != ""))
-    out = out.withColumn("url", urls.link_target(F.col("href"), profile))
-    return out.where(urls.is_post_url(F.col("url"), profile) & (F.col("title") != ""))
+    out = urls.classify_links_df(out, "href", profile)
+    return out.where(F.col("is_post") & (F.col("title") != "")).drop("is_post")
 
 
 def index_grouped(nodes: DataFrame, content: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -> DataFrame:
