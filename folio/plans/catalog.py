@@ -85,4 +85,4 @@ FROM pages
 
 
 # register the other query groups (they import ``register`` from here)
-from folio.plans import q_urls, q_html, q_docs  # noqa: E402,F401
+from folio.plans import q_urls, q_html, q_docs, q_incr  # noqa: E402,F401
