@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import urls
-from folio.functions.entities import html_unescape
 from folio.operators.dom import py_strip
 from folio.profile import DEFAULT_PROFILE, SiteProfile
 from folio.session import materialize
@@ -129,20 +128,6 @@ def rewrite_nodes(scoped: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) ->
             .drop("_href0", "_src0", "_href_c", "_src_c", "_san"))
 
 
-def sanitize_value(v: Column, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
-    """P10 for one attribute value: NULL (attribute dropped) when it hides
-    a dangerous scheme (P7), else the redirect is unwrapped (P8, then P7
-    again) and the link made absolute (P9). Empty values pass through."""
-    dangerous = urls.has_dangerous_scheme(v, profile, decoded=html_unescape(v))
-    unwrapped = urls.unwrap_redirect(v, profile)
-    dangerous2 = urls.has_dangerous_scheme(unwrapped, profile, decoded=html_unescape(unwrapped))
-    final = urls.absolutize_link(unwrapped, profile)
-    return (F.when(v.isNull() | (v == ""), v)
-            .when(dangerous, F.lit(None).cast("string"))
-            .when(dangerous2, F.lit(None).cast("string"))
-            .otherwise(final))
-
-
 # ---------------------------------------------------------------- D18
 _CANDIDATES = ["p", "div", "span", "a", "blockquote"]
 
