@@ -147,11 +147,17 @@ def prefer_first_non_empty(a: DataFrame, b: DataFrame, key: str = "page_id") ->
 
 def dedup_keep_first(df: DataFrame, key: str | list[str], order: list, part: str | None = "page_id") -> DataFrame:
     """First occurrence per key in the given order (not
-    ``dropDuplicates``, which keeps an arbitrary row)."""
+    ``dropDuplicates``, which keeps an arbitrary row). An aggregate
+    ``min_by(row, order)`` with map-side partial aggregation, so a key
+    holding a large share of the rows is reduced before the shuffle
+    instead of landing whole in one window partition."""
     key = [key] if isinstance(key, str) else key
     by = ([part] if part else []) + key
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in by]
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    return (df.groupBy(*by)
+            .agg(F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order_cols)).alias("_first"))
+            .select(*by, *[F.col("_first." + c).alias(c) for c in rest]))
 
 
 def scan_index(nodes: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -> DataFrame:

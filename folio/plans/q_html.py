@@ -373,12 +373,53 @@ def s8_scan_index(spark, sf_dir):
     block) are parsed, their content element located, post links
     extracted with sections, duplicates removed keeping the first, and
     stubs numbered in index order."""
+    nodes = _nodes_of(_index_pages(spark, sf_dir))
+    return index.scan_index(nodes).select("page_id", "ordinal", "title", "url", "section")
+
+
+def _index_pages(spark, sf_dir) -> DataFrame:
+    """Index pages: one per language and block of 50 documents, items in
+    document order (each page holds at most 50 items)."""
     docs = table(spark, sf_dir, "documents")
     items = docs.select(F.expr(_IDX_PAGE).alias("page_id"), "doc_id", "lang", F.expr(_IDX_ITEM).alias("item"))
-    pages = (items.groupBy("page_id", "lang")
-             .agg(F.expr("listagg(item, '') WITHIN GROUP (ORDER BY doc_id)").alias("items"))
-             .select("page_id", F.concat(F.lit(PR.index_url + "?lang="), "lang").alias("url"),
-                     F.concat(F.lit("<html><body><div class=\"TableOfContents\">toc</div><main>"), "items",
-                              F.lit("</main></body></html>")).alias("html")))
-    nodes = _nodes_of(pages)
-    return index.scan_index(nodes).select("page_id", "ordinal", "title", "url", "section")
+    return (items.groupBy("page_id", "lang")
+            .agg(F.expr("listagg(item, '') WITHIN GROUP (ORDER BY doc_id)").alias("items"))
+            .select("page_id", F.concat(F.lit(PR.index_url + "?lang="), "lang").alias("url"),
+                    F.concat(F.lit("<html><body><div class=\"TableOfContents\">toc</div><main>"), "items",
+                             F.lit("</main></body></html>")).alias("html")))
+
+
+@register("d14_locate_index_content", f"""
+SELECT DISTINCT {_IDX_PAGE} AS page_id, CASE WHEN {_BUCKET} % 2 = 0 THEN 'main' ELSE 'body' END AS tag FROM documents
+""")
+def d14_locate_index_content(spark, sf_dir):
+    """The content element of each index page -- a
+    content-class div unless it is a table-of-contents div, else main /
+    article / body; the body whenever grouped items exist."""
+    nodes = _nodes_of(_index_pages(spark, sf_dir))
+    c = index.locate_index_content(nodes)
+    return c.join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "tag")
+
+
+@register("i4_dedup_keep_first", "SELECT source, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source")
+def i4_dedup_keep_first(spark, sf_dir):
+    """First document per source in doc_id order (keep-first
+    de-duplication by key, partial aggregation)."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    return index.dedup_keep_first(d, "source", ["doc_id"], part=None).select("source", "doc_id", "lang")
+
+
+@register("i3_prefer_first_non_empty", """
+SELECT source, doc_id FROM documents WHERE lang = 'en'
+UNION ALL
+SELECT source, doc_id FROM documents d WHERE lang <> 'en'
+  AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.lang = 'en' AND e.source = d.source)
+""")
+def i3_prefer_first_non_empty(spark, sf_dir):
+    """Rows of the first alternative (English documents) per
+    source; the second alternative (other languages) only for sources
+    where the first has none."""
+    d = table(spark, sf_dir, "documents")
+    a = d.where(F.col("lang") == "en").select("source", "doc_id")
+    b = d.where(F.col("lang") != "en").select("source", "doc_id")
+    return index.prefer_first_non_empty(a, b, key="source")

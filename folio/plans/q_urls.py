@@ -199,3 +199,14 @@ def p9_absolutize_link(spark, sf_dir):
     return _cases(spark, sf_dir).select("case_id", urls.absolutize_link("raw").alias("absolute"))
 
 
+
+
+@register("p8_unwrap_redirect", url_oracle(
+    "SELECT case_id, CASE WHEN contains(raw, '/out') AND xpath = '/out'"
+    " AND regexp_extract(xquery, '(?:^|&)url=([^&]*)', 1) <> ''"
+    " THEN url_decode(replace(regexp_extract(xquery, '(?:^|&)url=([^&]*)', 1), '+', ' ')) ELSE raw END AS unwrapped"
+    " FROM x"))
+def p8_unwrap_redirect(spark, sf_dir):
+    """Redirect links (path exactly ``/out``, any host) replaced by
+    their first ``url`` parameter, query-decoded; others unchanged."""
+    return _cases(spark, sf_dir).select("case_id", urls.unwrap_redirect("raw").alias("unwrapped"))
