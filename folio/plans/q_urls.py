@@ -210,3 +210,20 @@ def p8_unwrap_redirect(spark, sf_dir):
     """Redirect links (path exactly ``/out``, any host) replaced by
     their first ``url`` parameter, query-decoded; others unchanged."""
     return _cases(spark, sf_dir).select("case_id", urls.unwrap_redirect("raw").alias("unwrapped"))
+
+
+_WS = "[\\s\\x00-\\x1f\\x7f-\\x{9f}]"
+_DANGER = " OR ".join(f"starts_with(t, '{s}')" for s in PR.dangerous_schemes)
+
+
+@register("p7_has_dangerous_scheme", url_oracle(
+    f"SELECT case_id, raw, COALESCE({_DANGER}, false) AS dangerous FROM ("
+    f" SELECT case_id, raw, CASE WHEN contains(raw, '%') OR contains(raw, '&') OR regexp_matches(raw, '{_WS}')"
+    f" THEN lower(regexp_replace(url_decode(raw), '{_WS}', '', 'g')) ELSE lower(raw) END AS t FROM cases)"))
+def p7_has_dangerous_scheme(spark, sf_dir):
+    """Entity-decode, percent-decode, drop whitespace and control
+    characters, lower-case, then test the dangerous scheme prefixes."""
+    from folio.functions.entities import html_unescape
+    c = _cases(spark, sf_dir).withColumn("_dec", html_unescape(F.col("raw")))
+    return c.select("case_id", "raw", F.coalesce(urls.has_dangerous_scheme("raw", decoded=F.col("_dec")),
+                                                 F.lit(False)).alias("dangerous"))
