@@ -438,3 +438,28 @@ def classify_links_df(df, href: str, profile: SiteProfile = DEFAULT_PROFILE):
     hv = materialize(link_target_df(hv, "_h", "url", profile))
     hv = materialize(is_post_url_df(hv, "url", "is_post", profile))
     return df.join(hv.withColumnRenamed("_h", href), href, "left")
+
+
+def validate_url_df(df, col: str, out_url: str, out_error: str, profile: SiteProfile = DEFAULT_PROFILE):
+    """P3 in staged form: adds ``out_url`` (rebuilt safe URL or NULL) and
+    ``out_error`` (reason or NULL) for ``col``."""
+    p = "_vu_"
+    c = F.col
+    df = df.withColumn(p + "u", fix_backslashes(c(col)))
+    df = with_url_parts(df, p + "u", p)
+    dom = profile.domain_suffix
+    allowed = [int(x) for x in profile.allowed_ports]
+    err = (F.when(~c(p + "scheme").isin("http", "https"), F.concat(F.lit("Unsafe URL scheme: "), c(p + "scheme")))
+           .when(~((c(p + "host") == dom) | c(p + "host").endswith("." + dom)),
+                 F.concat(F.lit("Unsafe URL domain: "), c(p + "host")))
+           .when(c(p + "port_status") == "bad", F.concat(F.lit("Invalid URL port: "), c(p + "port")))
+           .when(~((c(p + "port_status") == "none") | c(p + "port_value").isin(allowed)),
+                 F.concat(F.lit("Unsafe URL port: "), c(p + "port_value").cast("string"))))
+    netloc = F.concat(c(p + "host"), F.when(c(p + "port_status") == "ok",
+                                            F.concat(F.lit(":"), c(p + "port_value").cast("string"))).otherwise(F.lit("")))
+    rebuilt = F.concat(c(p + "scheme"), F.lit("://"), netloc, c(p + "path"),
+                       F.when(c(p + "c").rlike("^[^#]*\\?"), F.concat(F.lit("?"), c(p + "query"))).otherwise(F.lit("")),
+                       F.when(c(p + "has_frag"), F.concat(F.lit("#"), c(p + "fragment"))).otherwise(F.lit("")))
+    df = df.withColumn(out_error, err)
+    df = df.withColumn(out_url, F.when(c(out_error).isNull(), rebuilt))
+    return _drop_prefixed(df, p)

@@ -53,13 +53,12 @@ def resolve_redirects(start: DataFrame, crawl: DataFrame, profile: SiteProfile =
     cur = start.select("url", F.col("url").alias("_cur"), F.lit(0).alias("hops"),
                        F.lit(None).cast("string").alias("error"), F.lit(False).alias("done"))
     for _ in range(n):
-        v = urls.validate_url(F.col("_cur"), profile)
-        cur = cur.withColumn("_v", F.when(~F.col("done"), v))
+        cur = urls.validate_url_df(cur, "_cur", "_vurl", "_verr", profile)
         cur = cur.withColumns({
-            "error": F.when(~F.col("done") & F.col("_v.error").isNotNull(), F.col("_v.error")).otherwise(F.col("error")),
-            "done": F.col("done") | F.col("_v.error").isNotNull(),
-            "_cur": F.when(~F.col("done") & F.col("_v.error").isNull(), F.col("_v.url")).otherwise(F.col("_cur")),
-        }).drop("_v")
+            "error": F.when(~F.col("done") & F.col("_verr").isNotNull(), F.col("_verr")).otherwise(F.col("error")),
+            "done": F.col("done") | F.col("_verr").isNotNull(),
+            "_cur": F.when(~F.col("done") & F.col("_verr").isNull(), F.col("_vurl")).otherwise(F.col("_cur")),
+        }).drop("_vurl", "_verr")
         cur = cur.join(resp, "_cur", "left")
         redirect = (~F.col("done") & F.col("_st").between(300, 399) & (F.coalesce(F.col("_loc"), F.lit("")) != ""))
         cur = cur.withColumn("_redirect", redirect)

@@ -135,8 +135,8 @@ _REBUILT = (f"xscheme || '://' || {_NETLOC} || xpath || CASE WHEN regexp_matches
     f"SELECT case_id, CASE WHEN ({_VALID_ERR}) IS NULL THEN {_REBUILT} END AS safe_url, {_VALID_ERR} AS error FROM x"))
 def p3_validate_url(spark, sf_dir):
     """Safe-URL validation with the reason as data."""
-    v = urls.validate_url("raw")
-    return _cases(spark, sf_dir).select("case_id", v["url"].alias("safe_url"), v["error"].alias("error"))
+    c = urls.validate_url_df(_cases(spark, sf_dir), "raw", "safe_url", "error")
+    return c.select("case_id", "safe_url", "error")
 
 
 @register("s6_url_key", url_oracle("SELECT case_id, sha256(raw) AS url_key FROM cases"))
