@@ -233,3 +233,19 @@ def s14_require_rows(spark, sf):
     """The posts table is checked non-empty (one-row probe) before
     binding; per-book counts returned."""
     return book.post_count(book.require_rows(posts_of(spark, sf), "No posts found"), ["book_id"])
+
+
+@register("s10_read_markdown", None)
+def s10_read_markdown(spark, sf):
+    """Markdown files (documents written as one text folder per
+    language) read back whole, one row per file, then heading-demoted
+    (T3) as the convert path does."""
+    import uuid
+    from folio.session import ensure_checkpoint_dir
+    from folio.sources.pages import read_markdown
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/md-{uuid.uuid4().hex}"
+    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(out)
+    files = read_markdown(spark, out + "/*/*.txt")
+    demoted = markdown.demote_headings(files.select("doc_id", "text"))
+    return files.select("doc_id", "path").join(demoted, "doc_id").select(
+        "path", F.length("text").cast("bigint").alias("n_chars"))

@@ -423,3 +423,24 @@ def i3_prefer_first_non_empty(spark, sf_dir):
     a = d.where(F.col("lang") == "en").select("source", "doc_id")
     b = d.where(F.col("lang") != "en").select("source", "doc_id")
     return index.prefer_first_non_empty(a, b, key="source")
+
+
+@register("p11_class_matches", """
+SELECT page_id,
+  CAST(len(regexp_extract_all(html, '<[a-z0-9]+ [^>]*class="(?:[^"]* )?ad(?: [^"]*)?"', 0)) AS BIGINT) AS n_exact,
+  CAST(len(regexp_extract_all(lower(html), '<[a-z0-9]+ [^>]*class="[^"]*ad[^"]*"', 0)) AS BIGINT) AS n_icontains,
+  CAST(len(regexp_extract_all(html, '<[a-z0-9]+ [^>]*class="[^"]*x[^"]*"', 0)) AS BIGINT) AS n_contains_x
+FROM pages
+""")
+def p11_class_matches(spark, sf_dir):
+    """The three class-token match modes (exact token,
+    case-insensitive substring, case-sensitive substring) counted per
+    page over all elements."""
+    nodes = page_nodes(spark, sf_dir)
+    el = dom.elements(nodes)
+    cnt = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    agg = el.groupBy("page_id").agg(cnt(dom.has_class_token("ad", "exact")).alias("n_exact"),
+                                     cnt(dom.has_class_token("AD", "icontains")).alias("n_icontains"),
+                                     cnt(dom.has_class_token("x", "contains")).alias("n_contains_x"))
+    return table(spark, sf_dir, "pages").select("page_id").join(agg, "page_id", "left").select(
+        "page_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_exact", "n_icontains", "n_contains_x")])
