@@ -42,11 +42,19 @@ _ARROW_NODES = pa.schema([
 ])
 
 
+# output batches are flushed at this many node rows, so one task never holds
+# the nodes of a whole input batch of large pages at once
+_MAX_NODES_PER_BATCH = 200_000
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def empty() -> dict[str, list]:
+        return {f.name: [] for f in _ARROW_NODES}
+
     for batch in batches:
         ids = batch.column("page_id").to_pylist()
         docs = batch.column("html").to_pylist()
-        cols: dict[str, list] = {f.name: [] for f in _ARROW_NODES}
+        cols = empty()
         for pid, doc in zip(ids, docs):
             if pid is None:
                 continue
@@ -62,7 +70,11 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cols["classes"].extend(b.classes)
             cols["attrs"].extend(b.attrs)
             cols["text"].extend(b.text)
-        yield pa.RecordBatch.from_pydict(cols, schema=_ARROW_NODES)
+            if len(cols["page_id"]) >= _MAX_NODES_PER_BATCH:
+                yield pa.RecordBatch.from_pydict(cols, schema=_ARROW_NODES)
+                cols = empty()
+        if cols["page_id"]:
+            yield pa.RecordBatch.from_pydict(cols, schema=_ARROW_NODES)
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:

@@ -34,6 +34,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    # pages are up to max_bytes each: keep Arrow input batches of the parse
+    # small unless the cluster configuration says otherwise
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the built-in default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
     ensure_checkpoint_dir(spark)
     return spark
 
