@@ -198,7 +198,20 @@ def render_markdown(rw: DataFrame) -> DataFrame:
     parents = el.where(tag.isin("ul", "ol")).select(
         *KEY, F.col("node_id").alias("parent_id"), F.col("rtag").alias("_ptag"),
         F.coalesce(F.col("attrs").getItem("start").try_cast("int"), F.lit(1)).alias("_start"))
+    # tables: the first row of each table gets a header separator with one
+    # cell marker per td/th child
+    tables = el.where(tag == "table").select(*KEY, F.col("node_id").alias("_t"), F.col("end_id").alias("_te"))
+    trs = el.where(tag == "tr").select(*KEY, "node_id")
+    tr_table = (trs.join(tables, KEY).where((F.col("node_id") > F.col("_t")) & (F.col("node_id") <= F.col("_te")))
+                .groupBy(*KEY, "node_id").agg(F.max("_t").alias("_table")))
+    w_tr = Window.partitionBy(*KEY, "_table").orderBy("node_id")
+    cells = (el.where(tag.isin("td", "th")).groupBy(*KEY, F.col("parent_id").alias("node_id"))
+             .agg(F.count(F.lit(1)).alias("_cells")))
+    first_rows = (tr_table.withColumn("_rk", F.row_number().over(w_tr)).where("_rk = 1")
+                  .join(cells, KEY + ["node_id"], "left")
+                  .select(*KEY, "node_id", F.coalesce("_cells", F.lit(0)).alias("_hdr_cells")))
     x = (rw.join(ctx, KEY, "left")
+         .join(first_rows, KEY + ["node_id"], "left")
          .join(parents, KEY + ["parent_id"], "left")
          .where(_count_in("_repl") == 0)
          .withColumns({"_ld": _count_in("_lists"), "_qd": _count_in("_quotes"),
@@ -250,6 +263,8 @@ def render_markdown(rw: DataFrame) -> DataFrame:
         .when(tag.isin("ul", "ol"), F.when(F.col("_ld") > 0, nl).otherwise(block))
         .when(tag == "li", nl)
         .when(tag.isin("td", "th"), F.lit(" |"))
+        .when((tag == "tr") & (F.coalesce(F.col("_hdr_cells"), F.lit(0)) > 0),
+              F.concat(nl, F.lit("|"), F.repeat(F.lit(" --- |"), F.col("_hdr_cells"))))
         .when(tag.isin(BLOCK_TAGS), block)
         .otherwise(F.lit(""))))
     text = F.when(F.col("_in_pre"), F.col("text")).otherwise(

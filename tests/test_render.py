@@ -38,3 +38,9 @@ def test_body_fallbacks(spark):
     nodes = dom.html_nodes(df)
     got = {r.page_id: r.text_len for r in body.largest_div(nodes).collect()}
     assert got == {1: 18, 4: 2}
+
+
+def test_table_header_separator(render_pages):
+    md = render_pages([(1, "u", page('<div class="postBody"><table><tr><th>A</th><th>B</th></tr>'
+                                     '<tr><td>1</td><td>2</td></tr></table></div>'))])
+    assert md[1] == "| A | B |\n| --- | --- |\n| 1 | 2 |"
