@@ -59,3 +59,23 @@ def bounded_sample(rows: DataFrame, by: str, key: str, bound: int) -> DataFrame:
             .selectExpr(f"`{key}`", f"row_number() OVER (PARTITION BY `{by}` ORDER BY _u, `{key}`) AS _rank")
             .where(F.col("_rank") <= bound).select(key))
     return rows.join(near, key, "left_semi")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links`` (a, b): the smallest node that
+    it reaches. Labels take the least label around them and then jump to their
+    label's label, round by round, until none changes; rounds grow with the
+    logarithm of the longest path. Each round is a table in the shared folder."""
+    both = saved(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
+    now = saved(both.groupBy("a").agg(F.min("b").alias("low"))
+                .select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+    while True:
+        near = (both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+                .agg(F.min("root").alias("low")))
+        hooked = now.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "low").alias("root"))
+        jump = now.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        nxt = saved(hooked.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")))
+        changed = nxt.where("was != root").limit(1).count()
+        now = nxt.select("node", "root")
+        if not changed:
+            return now

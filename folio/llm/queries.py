@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import op6_bpe, op9_snapshots, op10_raking
+from folio.llm import op3_toxicity, op4_jaccard, op6_bpe, op9_snapshots, op10_raking
 from folio.llm.common import table
 
 #: Rank file of the production tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op3_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text after noisy-channel restoration."""
+    return op3_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, by vertical partitioning."""
+    return op4_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by the public ranks, decoded again."""
     return op6_bpe.encode(table(spark, sf_dir, "documents"), RANKS, with_ids=False)
@@ -82,12 +92,34 @@ FROM tagged d LEFT JOIN factors f
   ON f.source IS NOT DISTINCT FROM d.source AND f.lang IS NOT DISTINCT FROM d.lang AND f.topic = d.topic
 """
 
+_OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\x20\x09-\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+"""
+
 QUERIES = {
+    "op3_deobfuscated_toxicity": op3_deobfuscated_toxicity,
+    "op4_jaccard_components": op4_jaccard_components,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_snapshot_collapse": op9_snapshot_collapse,
     "op10_raked_mix": op10_raked_mix,
 }
 ORACLES = {
+    "op4_jaccard_components": _OP4,
     "op9_snapshot_collapse": _OP9,
     "op10_raked_mix": _OP10,
 }

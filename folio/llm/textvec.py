@@ -86,3 +86,36 @@ def shingles(row: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np
             s = s * np.uint64(0x100000001B3) + mix(h[k:n + k] + np.uint64(k))
     at = np.flatnonzero(row[:n] == row[width - 1:])
     return at, mix(s[at])
+
+
+def shingle_sets(column: pa.Array, width: int, hot: np.ndarray | None = None
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first place of each row) of the distinct shingles of every
+    row, sorted by row and then by one global order: shingles outside ``hot``
+    by hash, then those of ``hot`` (sorted hashes) by hash. A row with fewer
+    than ``width`` words has its whole sequence as one shingle."""
+    row, _, _, h = words(column)
+    at, s = shingles(row, h, width)
+    r = row[at]
+    n_words = np.bincount(row, minlength=len(column)) if len(row) else np.zeros(len(column), np.int64)
+    few = np.flatnonzero((n_words > 0) & (n_words < width))
+    if len(few):
+        start = (np.cumsum(n_words) - n_words)[few]
+        with np.errstate(over="ignore"):
+            whole = n_words[few].astype(np.uint64)
+            for k in range(width - 1):
+                more = np.flatnonzero(n_words[few] > k)
+                whole[more] = whole[more] * np.uint64(0x100000001B3) + mix(h[start[more] + k] + np.uint64(k + 99))
+        r, s = np.concatenate([r, few]), np.concatenate([s, mix(whole)])
+    order = s >> np.uint64(1)
+    if hot is not None and len(hot):
+        place = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        order = np.where(hot[place] == s, order | np.uint64(1 << 63), order)
+    o = np.argsort(order)
+    key = r[o].astype(np.uint16) if len(column) <= 65536 else r[o]
+    o = o[np.argsort(key, kind="stable")]
+    r, s = r[o], s[o]
+    keep = np.ones(len(s), bool)
+    keep[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
+    r, s = r[keep], s[keep]
+    return r, s, np.searchsorted(r, np.arange(len(column) + 1))
