@@ -5,8 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folio.llm import common, op6_bpe, op10_raking, queries
+from folio.llm import common, op3_toxicity, op4_jaccard, op6_bpe, op7_substrings, op10_raking, queries
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the noisy-channel classifier doesn't reject. Rows that
+    share a doc_id are judged one by one, by the text that was scored."""
+    return op3_toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component, that with the smallest
+    doc_id; documents without shingles stay."""
+    found = op4_jaccard.near_duplicates(docs).where("n_shingles > 0 AND doc_id != component_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier text has."""
+    out = op7_substrings.drop_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +40,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("substring_dedup", drop_repeats),
     ("mixing", mix),
     ("byte_bpe", tokens),
 ]

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import op3_toxicity, op4_jaccard, op6_bpe, op9_snapshots, op10_raking
+from folio.llm import op1_quality, op3_toxicity, op4_jaccard, op6_bpe, op7_substrings, op9_snapshots, op10_raking
 from folio.llm.common import table
 
 #: Rank file of the production tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, distances to the language references and the verdict."""
+    return op1_quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op3_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text after noisy-channel restoration."""
     return op3_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -27,6 +32,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_bpe.encode(table(spark, sf_dir, "documents"), RANKS, with_ids=False)
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat across documents."""
+    return op7_substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal conversations, rendered in parts of 64 turns."""
     return op9_snapshots.collapse_snapshots(table(spark, sf_dir, "conversations"))
@@ -103,18 +113,20 @@ s AS (
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
-  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
 """
 
 QUERIES = {
+    "op1_divergence_rules": op1_divergence_rules,
     "op3_deobfuscated_toxicity": op3_deobfuscated_toxicity,
     "op4_jaccard_components": op4_jaccard_components,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_compact_windows": op7_compact_windows,
     "op9_snapshot_collapse": op9_snapshot_collapse,
     "op10_raked_mix": op10_raked_mix,
 }
