@@ -250,43 +250,72 @@ def explain(of: dict[str, list[str]], at: dict[str, list[int]], wanted: dict[str
     return out
 
 
+class Scorer:
+    """Scores whole texts; one for each task."""
+
+    def __init__(self, model: tuple[np.ndarray, dict[str, float], float | None]) -> None:
+        counts, self.weight, self.prior = model
+        self.channel = Channel(counts)
+        self.memory: dict[str, tuple[tuple[str, float], ...]] = {}
+
+    def evidence(self, words: list[str]) -> tuple[tuple[str, float], ...]:
+        each = [(w, max([self.weight.get(f, 0.0) for f in features(w)])) for w in words]
+        return tuple([(w, x) for w, x in each if x])
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[float], list[int]]:
+        """The texts' scores, and how many restored words weighed in."""
+        memory, channel = self.memory, self.channel
+        if len(memory) > 300_000:
+            memory.clear()
+        scores, used = [], []
+        for text in texts:
+            low = (text or "").lower()
+            found: dict[str, float] = {}
+            for token in set(_WORD.findall(low)):
+                got = memory.get(token)
+                if got is None:
+                    got = memory[token] = self.evidence(channel.words(token))
+                if got:
+                    found.update(got)
+            for spaced in _SPACED.findall(low):
+                found.update(self.evidence(channel.restore(re.sub(r"[.\-_*]", " ", spaced)).split()))
+            total = (self.prior or 0.0) - CAUTION + sum(sorted(found.values()))
+            scores.append(0.0 if self.prior is None else round(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), 6))
+            used.append(len(found))
+        return scores, used
+
+
+def _model(docs: DataFrame, labels: DataFrame):
+    counts, weights, prior = fit(docs, labels)
+    return docs.sparkSession.sparkContext.broadcast((counts.astype(np.float32), weights, prior))
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` (doc_id) with held_out, score, predicted and the number of
     distinct restored words that weighed in."""
-    counts, weights, prior = fit(docs, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((counts.astype(np.float32), weights, prior))
+    shared = _model(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, weight, base = shared.value
-        channel = Channel(grams)
-        memory: dict[str, tuple[tuple[str, float], ...]] = {}
-
-        def evidence(words: list[str]) -> tuple[tuple[str, float], ...]:
-            each = ((w, max([weight.get(f, 0.0) for f in features(w)])) for w in words)
-            return tuple([(w, x) for w, x in each if x])
-
+        scorer = Scorer(shared.value)
         for batch in sliced(batches, "text"):
-            if len(memory) > 300_000:
-                memory.clear()
-            scores, used = [], []
-            for text in batch.column("text").to_pylist():
-                low = (text or "").lower()
-                found: dict[str, float] = {}
-                for token in set(_WORD.findall(low)):
-                    got = memory.get(token)
-                    if got is None:
-                        got = memory[token] = evidence(channel.words(token))
-                    if got:
-                        found.update(got)
-                for spaced in _SPACED.findall(low):
-                    found.update(evidence(channel.restore(re.sub(r"[.\-_*]", " ", spaced)).split()))
-                total = (base or 0.0) - CAUTION + sum(sorted(found.values()))
-                scores.append(0.0 if base is None else round(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), 6))
-                used.append(len(found))
+            scores, used = scorer(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(used, pa.int32())],
                                              ["doc_id", "score", "n_toxic_words"])
 
     return (docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_toxic_words int")
             .select("doc_id", F.coalesce(id_mod(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"), "score",
                     (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_toxic_words"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, unchanged."""
+    shared = _model(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in sliced(batches, "text"):
+            scores, _ = scorer(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([x < THRESHOLD for x in scores]))
+
+    return docs.mapInArrow(run, docs.schema)
