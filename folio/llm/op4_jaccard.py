@@ -17,10 +17,11 @@ Steps
    A key that only one class has is dropped by a map-side combined aggregate.
 4. Each class is compared with its keys' pivot (the key's first class), which
    is linear in the postings and joins groups of near copies at once. Then
-   keys whose classes are all in one component are done. The other keys get
-   further pivots, and at last every untested pair of classes that share a
-   key, are in different components and have compatible sizes is compared.
-   Links inside a component can't change it, so none that matters is lost.
+   keys whose classes are all in one component are done. While the others have
+   many pairs for their rows, they get further pivots; at last every untested
+   pair of classes that share a key, are in different components and have
+   compatible sizes is compared. Links inside a component can't change it, so
+   none that matters is lost.
 5. A pair's partial overlaps come from the fragments of both sets; the sums
    are tested exactly (100 * intersection >= 75 * union).
 
@@ -55,7 +56,11 @@ HOT_DOCS = 16
 WINDOW = 3_000_000
 #: Fragments of the global order: so many ranges of the hash, and the hot rest.
 FRAGMENTS = 8
-PIVOT_ROUNDS = 3
+#: Pivot rounds go on while all pairs would be so many times the rows, and end
+#: after the last one in any case.
+WORTH, PIVOT_ROUNDS = 10, 6
+#: Size of the bitmap that tells tasks which documents to make sets of again.
+BITS = 1 << 26
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -96,13 +101,42 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cid long, shingle long")
 
 
-def _ordered(docs: DataFrame, hot, whole: bool) -> DataFrame:
-    """``whole``: (cid, n, frag, part) with the shingles of each fragment;
-    otherwise (key, cid, n), the prefix of each set. Sets that one task meets
+def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each id in a bitmap of ``BITS`` bits."""
+    h = textvec.mix(ids.astype(np.int64).view(np.uint64))
+    return (h & np.uint64(BITS - 1)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) % BITS
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap that holds every id of ``ids`` (id); ``BITS / 64`` words of it
+    come to the driver at most, however many ids there are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(BITS, bool)
+        for batch in batches:
+            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False)):
+                own[at] = True
+        words = np.packbits(own, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["word", "bits"])
+
+    got = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(BITS // 64, np.int64)
+    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return words
+
+
+def _ordered(docs: DataFrame, hot, wanted=None) -> DataFrame:
+    """With ``wanted`` (a bitmap of doc_id hashes), for the documents in it: (cid, n, frag, part) with the shingles of each fragment;
+    without, (key, cid), the prefix of each set. Sets that one task meets
     again are left out."""
+    whole = wanted is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
+        bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little").view(bool) if whole else None
         seen: set[int] = set()
+        if whole:
+            batches = (b.filter(pa.array(np.logical_and(*[bits[at] for at in _bits(b.column("id").to_numpy(zero_copy_only=False))]))) for b in batches)
         for batch in sliced(batches, "text"):
             r, s, first = textvec.shingle_sets(batch.column("text"), WIDTH, known)
             n = np.diff(first)
@@ -130,65 +164,80 @@ def _ordered(docs: DataFrame, hot, whole: bool) -> DataFrame:
             else:
                 head = n - (n * NUM + DEN - 1) // DEN + 1
                 take = own[r] & (np.arange(len(s)) - first[r] < head[r])
-                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(cid[r[take]]), pa.array(n[r[take]])], ["key", "cid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(cid[r[take]])], ["key", "cid"])
+
+    return docs.select("text", *[_id().alias("id")] * whole).mapInArrow(
+        run, "cid long, n long, frag int, part array<long>" if whole else "key long, cid long")
+
 
-    return docs.select("text").mapInArrow(
-        run, "cid long, n long, frag int, part array<long>" if whole else "key long, cid long, n long")
+def _id():
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
 
 
 def _compatible(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
-def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame:
-    """(node, root) of the classes that have links. ``first``: (cid, doc_id),
+def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
+    """(node, root) of the classes that have links. ``first``: (cid, doc_id, n),
     one document of each class."""
-    postings = _ordered(docs, hot, whole=False)
-    shared = (postings.groupBy("key")
-              .agg(F.min(F.struct("cid", "n")).alias("low"), F.max("cid").alias("high")).where("low.cid != high"))
-    shared = saved(postings.join(shared.select("key", "low"), "key").select("key", "cid", "n", "low").distinct())
-    tested = roots = links = sets = None
-    rows = shared.withColumn("root", F.col("cid"))
-    for round_ in range(PIVOT_ROUNDS + 1):
+    postings = _ordered(docs, hot)
+    keys = postings.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("key", "low")
+    shared = saved(postings.join(keys, "key").distinct())
+    tested = links = roots = None
+    rows, round_ = shared, 0
+    while True:
         if round_ == 0:
-            pairs = rows.where("cid != low.cid").selectExpr("cid", "n", "low.cid AS cid2", "low.n AS n2")
-        elif round_ < PIVOT_ROUNDS:
-            pivot = rows.groupBy("key").agg(F.min_by(F.struct("cid", "n", "root"), F.xxhash64("cid", F.lit(round_))).alias("p"))
-            pairs = rows.join(pivot, "key").where("root != p.root").selectExpr("cid", "n", "p.cid AS cid2", "p.n AS n2")
+            pairs = rows.where("cid != low").selectExpr("cid AS x", "low AS y")
+        elif round_ <= PIVOT_ROUNDS and _all_pairs(rows) > WORTH * rows.count():
+            pivot = rows.groupBy("key").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(round_))).alias("p"))
+            pairs = rows.join(pivot, "key").where("root != p.root").selectExpr("cid AS x", "p.cid AS y")
         else:
-            other = rows.select("key", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            pairs = rows.join(other, "key").where("cid < cid2 AND root != root2").select("cid", "n", "cid2", "n2")
-        pairs = (pairs.where(_compatible("n", "n2"))
-                 .select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct())
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            other = rows.select("key", F.col("cid").alias("y"), F.col("root").alias("root2"))
+            pairs = rows.join(other, "key").where("cid < y AND root != root2").select(F.col("cid").alias("x"), "y")
+            round_ = None
+        sizes = first.select("cid", "n")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = saved(pairs.join(sizes.withColumnsRenamed({"cid": "a", "n": "na"}), "a")
+                      .join(sizes.withColumnsRenamed({"cid": "b", "n": "nb"}), "b").where(_compatible("na", "nb")))
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if pairs.limit(1).count():
             new = saved(_verified(docs, first, hot, pairs))
             links = new if links is None else links.unionByName(new)
             roots = components(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if round_ == PIVOT_ROUNDS or roots is None:
-            break
-        rows = (shared.drop("low").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-                .withColumn("root", F.coalesce("root", "cid")))
+        if round_ is None or roots is None and round_:
+            return roots
+        rows = shared.select("key", "cid")
+        if roots is not None:
+            rows = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+        rows = rows.withColumn("root", F.coalesce("root", "cid") if roots is not None else F.col("cid"))
         mixed = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
         rows = saved(rows.join(mixed, "key"))
         if not rows.limit(1).count():
-            break
-    return roots
+            return roots
+        round_ += 1
+
+
+def _all_pairs(rows: DataFrame) -> float:
+    """Pairs of rows that share a key and differ in their root."""
+    each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    per = each.groupBy("key").agg(F.sum("n").cast("double").alias("s"), F.sum(F.col("n").cast("double") * F.col("n")).alias("q"))
+    return per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
 
 
 def _verified(docs: DataFrame, first: DataFrame, hot, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose partial overlaps sum to a link. The sets of the
-    classes in question are made once more from their documents' texts."""
+    """The pairs (a, b, na, nb) whose partial overlaps sum to a link. The sets
+    of the classes in question are made once more from their texts."""
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    ids = first.join(wanted, "cid").select(F.col("doc_id").alias("id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    parts = saved(_ordered(texts, hot, whole=True).join(wanted, "cid", "left_semi").dropDuplicates(["cid", "frag"]))
-    x = parts.select(F.col("cid").alias("a"), F.col("n").alias("na"), "frag", F.col("part").alias("pa"))
-    y = parts.select(F.col("cid").alias("b"), F.col("n").alias("nb"), "frag", F.col("part").alias("pb"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(first.join(wanted, "cid").select(_id().alias("id"))))
+    parts = saved(_ordered(docs, hot, bitmap).join(wanted, "cid", "left_semi").dropDuplicates(["cid", "frag"]))
+    x = parts.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa"))
+    y = parts.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
     partial = (pairs.join(x, "a").join(y, ["b", "frag"])
                .select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("overlap")))
-    return (partial.groupBy("a", "b").agg(F.sum("overlap").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return (partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("both"))
             .where(F.col("both") * DEN >= (F.col("na") + F.col("nb") - F.col("both")) * NUM).select("a", "b"))
 
 
@@ -200,12 +249,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
              .where(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "shingle").limit(HOT))
     hot = spark.sparkContext.broadcast(np.sort(often.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)))
     rows = scanned.where("shingle IS NULL").select("doc_id", "n", "cid")
-    first = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id")))
+    first = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
     roots = link_classes(docs, first, hot)
     if roots is None:
         named = first.select("cid", F.col("doc_id").alias("component_id"))
     else:
-        own = first.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        own = first.drop("n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cid", "component_id")
     found = rows.where("n > 0").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
