@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import op1_quality, op3_toxicity, op4_jaccard, op6_bpe, op7_substrings, op9_snapshots, op10_raking
+from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking
 from folio.llm.common import table
+from folio.plans.sqlkit import html_decode_sql, strip_tags_sql
 
 #: Rank file of the production tokenizer.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +18,11 @@ def op1_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by the string-kernel classifier."""
+    return op2_langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text after noisy-channel restoration."""
     return op3_toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -37,6 +43,11 @@ def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_substrings.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return op8_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal conversations, rendered in parts of 64 turns."""
     return op9_snapshots.collapse_snapshots(table(spark, sf_dir, "conversations"))
@@ -121,17 +132,30 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
 """
 
+_OP8 = f"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '</?(p|h1)>', chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, url, {html_decode_sql(strip_tags_sql("replace(t, '<br>', ' ')"))} AS t FROM a),
+c AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(t, chr(10)), x -> trim(regexp_replace(x, '\\s+', ' ', 'g'))),
+                                                   x -> x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
 QUERIES = {
     "op1_divergence_rules": op1_divergence_rules,
+    "op2_string_kernel": op2_string_kernel,
     "op3_deobfuscated_toxicity": op3_deobfuscated_toxicity,
     "op4_jaccard_components": op4_jaccard_components,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_compact_windows": op7_compact_windows,
+    "op8_text_blocks": op8_text_blocks,
     "op9_snapshot_collapse": op9_snapshot_collapse,
     "op10_raked_mix": op10_raked_mix,
 }
 ORACLES = {
     "op4_jaccard_components": _OP4,
+    "op8_text_blocks": _OP8,
     "op9_snapshot_collapse": _OP9,
     "op10_raked_mix": _OP10,
 }
