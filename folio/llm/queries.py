@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking
+from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op5_lempel_ziv, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking
 from folio.llm.common import table
 from folio.plans.sqlkit import html_decode_sql, strip_tags_sql
 
@@ -33,6 +33,11 @@ def op4_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_lempel_ziv_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lempel-Ziv fingerprints of every text, its edited text and its next."""
+    return op5_lempel_ziv.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text by the public ranks, decoded again."""
     return op6_bpe.encode(table(spark, sf_dir, "documents"), RANKS, with_ids=False)
@@ -116,11 +121,11 @@ FROM tagged d LEFT JOIN factors f
 _OP4 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                '[^\x20\x09-\x0D]+'), x -> x <> '') AS w
+                                                '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (
@@ -137,8 +142,8 @@ WITH a AS (
   SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(</article>|$)', 1), '</?(p|h1)>', chr(10), 'g') AS t FROM pages),
 b AS (SELECT page_id, url, {html_decode_sql(strip_tags_sql("replace(t, '<br>', ' ')"))} AS t FROM a),
 c AS (
-  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(t, chr(10)), x -> trim(regexp_replace(x, '\\s+', ' ', 'g'))),
-                                                   x -> x <> ''), chr(10)) AS text FROM b)
+  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))),
+                                                   lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM c
 """
 
@@ -147,6 +152,7 @@ QUERIES = {
     "op2_string_kernel": op2_string_kernel,
     "op3_deobfuscated_toxicity": op3_deobfuscated_toxicity,
     "op4_jaccard_components": op4_jaccard_components,
+    "op5_lempel_ziv_prints": op5_lempel_ziv_prints,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_compact_windows": op7_compact_windows,
     "op8_text_blocks": op8_text_blocks,

@@ -16,8 +16,8 @@ _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = _BYTE.copy()
 _FOLD[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -70,8 +70,8 @@ def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray,
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(ends, a, side="right") - 1
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLD if fold else _BYTE)[raw] * powers(_BASE, n), out=sums[1:])
-    return row, a, b, mix((sums[b] - sums[a]) * powers(_INV, n)[a] + (b - a).astype(np.uint64))
+    np.cumsum((_FOLD if fold else _BYTE)[raw] * powers(BASE, n), out=sums[1:])
+    return row, a, b, mix((sums[b] - sums[a]) * powers(INVERSE, n)[a] + (b - a).astype(np.uint64))
 
 
 def shingles(row: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
