@@ -31,7 +31,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the raked mix samples at least once."""
-    return op10_raking.mix_documents(docs).where("copies > 0").select(*docs.columns)
+    own = [c for c in docs.columns if not c.startswith("mix_")]
+    return op10_raking.mix_documents(docs).where("mix_copies > 0").select(*own)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from folio.session import ensure_checkpoint_dir
 
 #: Characters of text one vectorised step holds at once inside a task.
 CHUNK_CHARS = 1_000_000
+#: Rows of a table of labels that may be broadcast.
+FEW = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,9 @@ def bounded_sample(rows: DataFrame, by: str, key: str, bound: int) -> DataFrame:
     """At most ``bound`` rows for each value of ``by``: those with the smallest
     hash of ``key``. The sizes of the groups come from one map-side combined
     count, so that only about ``bound`` rows a group reach the ranking."""
-    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = saved(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_size")))
+    if sizes.count() <= FEW:  # so many labels that shuffling by label is needed are no hot keys
+        sizes = F.broadcast(sizes)
     u = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = (rows.select(key, by).withColumn("_u", u).join(sizes, by)
             .where(F.col("_u") * F.col("_size") <= 1.2 * bound + 50)

@@ -82,17 +82,20 @@ def rake(cells: DataFrame, targets: DataFrame, rounds: int = 50, tolerance: floa
 
 def mix_documents(docs: DataFrame, power: float = 0.7, fraction: float = 1.0, targets: DataFrame | None = None,
                   seed: str = "mix") -> DataFrame:
-    """``docs`` with topic, tokens, factor (expected copies; the fitted mix
-    times ``fraction`` of the corpus's tokens) and copies (the sample)."""
-    own = docs.drop(*[c for c in docs.columns if c.lower() in ("topic", "tokens", "factor", "copies")])
-    tagged = own.withColumns({"topic": topic_of(), "tokens": n_tokens()})
-    cells = saved(tagged.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")))
+    """``docs`` with mix_topic, mix_tokens, mix_factor (expected copies: the
+    fitted mix times ``fraction`` of the corpus's tokens) and mix_copies (the
+    sample). Columns of ``docs`` with a ``mix_`` name are replaced."""
+    own = docs.select(*[c for c in docs.columns if not c.startswith("mix_")])
+    tagged = own.withColumns({"mix_topic": topic_of(), "mix_tokens": n_tokens()})
+    cells = saved(tagged.groupBy("source", "lang", F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens")))
     fitted = rake(cells, targets if targets is not None else marginal_targets(cells, power))
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0) * fraction
-    factors = fitted.select(*[F.col(d).alias(f"cell_{d}") for d in DIMS],
-                            F.round(F.col("weight") * F.lit(total) / F.col("tokens"), 4).alias("factor"))
-    on = reduce(lambda x, y: x & y, [F.col(d).eqNullSafe(F.col(f"cell_{d}")) for d in DIMS])
+    factors = fitted.select(*[F.col(d).alias(f"mix_cell_{d}") for d in DIMS],
+                            F.round(F.col("weight") * F.lit(total) / F.col("tokens"), 4).alias("mix_factor"))
+    on = (F.col("source").eqNullSafe(F.col("mix_cell_source")) & F.col("lang").eqNullSafe(F.col("mix_cell_lang"))
+          & F.col("mix_topic").eqNullSafe(F.col("mix_cell_topic")))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return (tagged.join(factors, on, "left").drop(*[f"cell_{d}" for d in DIMS])
-            .withColumn("factor", F.coalesce("factor", F.lit(0.0)))
-            .withColumn("copies", (F.floor("factor") + F.when(u < F.col("factor") - F.floor("factor"), 1).otherwise(0)).cast("int")))
+    whole = F.floor("mix_factor")
+    return (tagged.join(factors, on, "left").drop(*[f"mix_cell_{d}" for d in DIMS])
+            .withColumn("mix_factor", F.coalesce("mix_factor", F.lit(0.0)))
+            .withColumn("mix_copies", (whole + F.when(u < F.col("mix_factor") - whole, 1).otherwise(0)).cast("int")))

@@ -61,7 +61,7 @@ def op9_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fitted factor and sampled number of copies."""
     return (op10_raking.mix_documents(table(spark, sf_dir, "documents"))
-            .select("doc_id", "source", "lang", "topic", "tokens", "factor", "copies"))
+            .select("doc_id", "source", "lang", *[F.col(f"mix_{c}").alias(c) for c in ("topic", "tokens", "factor", "copies")]))
 
 
 _OP9 = """
