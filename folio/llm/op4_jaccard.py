@@ -13,8 +13,9 @@ Steps
    bounds the broadcast) come last, the others are ordered by hash. Which ones
    are known changes the work, never the result.
 3. Two sets that link share a shingle among the first
-   ``size - ceil(0.75 * size) + 1`` of either. Those prefixes are the postings.
-   A key that only one class has is dropped by a map-side combined aggregate.
+   ``size - ceil(0.75 * size) + 1`` of either. Those prefixes are the postings,
+   dealt once by key; keys that only one class has are dropped there. The rows
+   of frequent keys are salted.
 4. Each class is compared with its keys' pivot (the key's first class), which
    is linear in the postings and joins groups of near copies at once. Then
    keys whose classes are all in one component are done. While the others have
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import textvec
@@ -56,6 +57,10 @@ HOT_DOCS = 16
 WINDOW = 3_000_000
 #: Fragments of the global order: so many ranges of the hash, and the hot rest.
 FRAGMENTS = 8
+#: Fragments that are counted first.
+FIRST = 2
+#: Parts that the rows of a frequent key are dealt to.
+SALTS = 64
 #: Pivot rounds go on while all pairs would be so many times the rows, and end
 #: after the last one in any case.
 WORTH, PIVOT_ROUNDS = 10, 6
@@ -126,8 +131,9 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _ordered(docs: DataFrame, hot, wanted=None) -> DataFrame:
-    """With ``wanted`` (a bitmap of doc_id hashes), for the documents in it: (cid, n, frag, part) with the shingles of each fragment;
-    without, (key, cid), the prefix of each set. Sets that one task meets
+    """With ``wanted`` (a bitmap of doc_id hashes), for the documents in it: (cid, frag, part) with the shingles of each fragment;
+    without, (key, salt, cid), the prefix of each set; the rows of frequent keys
+    are salted by class, the others have salt 0. Sets that one task meets
     again are left out."""
     whole = wanted is not None
 
@@ -149,25 +155,26 @@ def _ordered(docs: DataFrame, hot, wanted=None) -> DataFrame:
                 if c not in seen and n[i]:
                     seen.add(c)
                     own[i] = True
+            place = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+            is_hot = known[place] == s if len(known) else np.zeros(len(s), bool)
             if whole:
-                place = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
-                is_hot = known[place] == s if len(known) else np.zeros(len(s), bool)
                 frag = np.where(is_hot, FRAGMENTS, (s >> np.uint64(32)).astype(np.int64) * FRAGMENTS >> 32)
-                code = r * (FRAGMENTS + 1) + frag
-                take = own[r]
-                code, part = code[take], s[take].view(np.int64)
-                cut = np.flatnonzero(np.diff(code, prepend=-1))
-                at = code[cut] // (FRAGMENTS + 1)
+                take, rows = own[r], np.flatnonzero(own)
+                code, part = (r * (FRAGMENTS + 1) + frag)[take], s[take].view(np.int64)
+                every = (rows[:, None] * (FRAGMENTS + 1) + np.arange(FRAGMENTS + 1)).ravel()  # empty fragments too
+                cut = np.append(np.searchsorted(code, every), len(part)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(cid[at]), pa.array(n[at]), pa.array((code[cut] % (FRAGMENTS + 1)).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.append(cut, len(part)).astype(np.int32)), pa.array(part))], ["cid", "n", "frag", "part"])
+                    pa.array(cid[every // (FRAGMENTS + 1)]), pa.array((every % (FRAGMENTS + 1)).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(cut), pa.array(part))], ["cid", "frag", "part"])
             else:
                 head = n - (n * NUM + DEN - 1) // DEN + 1
                 take = own[r] & (np.arange(len(s)) - first[r] < head[r])
-                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(cid[r[take]])], ["key", "cid"])
+                c = cid[r[take]]
+                salt = np.where(is_hot[take], 1 + c % SALTS, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(salt), pa.array(c)], ["key", "salt", "cid"])
 
     return docs.select("text", *[_id().alias("id")] * whole).mapInArrow(
-        run, "cid long, n long, frag int, part array<long>" if whole else "key long, cid long")
+        run, "cid long, frag int, part array<long>" if whole else "key long, salt int, cid long")
 
 
 def _id():
@@ -181,14 +188,17 @@ def _compatible(a: str, b: str):
 def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
     """(node, root) of the classes that have links. ``first``: (cid, doc_id, n),
     one document of each class."""
-    postings = _ordered(docs, hot)
-    keys = postings.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("key", "low")
-    shared = saved(postings.join(keys, "key").distinct())
+    group = Window.partitionBy("key", "salt")
+    shared = saved(_ordered(docs, hot).withColumns({"low": F.min("cid").over(group), "high": F.max("cid").over(group)})
+                   .where("salt > 0 OR low != high").select("key", "salt", "cid", "low"))
     tested = links = roots = None
     rows, round_ = shared, 0
     while True:
         if round_ == 0:
-            pairs = rows.where("cid != low").selectExpr("cid AS x", "low AS y")
+            heads = rows.where("salt > 0").select("key", "low").distinct()  # a frequent key's pivots meet each other
+            top = heads.groupBy("key").agg(F.min("low").alias("y"))
+            pairs = (rows.where("cid != low").selectExpr("cid AS x", "low AS y")
+                     .unionByName(heads.join(top, "key").where("low != y").selectExpr("low AS x", "y")))
         elif round_ <= PIVOT_ROUNDS and _all_pairs(rows) > WORTH * rows.count():
             pivot = rows.groupBy("key").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(round_))).alias("p"))
             pairs = rows.join(pivot, "key").where("root != p.root").selectExpr("cid AS x", "p.cid AS y")
@@ -232,13 +242,23 @@ def _verified(docs: DataFrame, first: DataFrame, hot, pairs: DataFrame) -> DataF
     of the classes in question are made once more from their texts."""
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(first.join(wanted, "cid").select(_id().alias("id"))))
-    parts = saved(_ordered(docs, hot, bitmap).join(wanted, "cid", "left_semi").dropDuplicates(["cid", "frag"]))
-    x = parts.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa"))
-    y = parts.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
-    partial = (pairs.join(x, "a").join(y, ["b", "frag"])
-               .select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("overlap")))
-    return (partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("both"))
-            .where(F.col("both") * DEN >= (F.col("na") + F.col("nb") - F.col("both")) * NUM).select("a", "b"))
+    parts = saved(_ordered(docs, hot, bitmap))
+
+    def overlaps(pairs: DataFrame, which: str) -> DataFrame:
+        """Sums of the partial overlaps, and of the fragments' sizes."""
+        own = parts.where(which)
+        x = own.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa"))
+        y = own.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
+        each = (pairs.join(x, "a").join(y, ["b", "frag"])
+                .select(*pairs.columns, "frag", F.size(F.array_intersect("pa", "pb")).alias("o"), F.size("pa").alias("sa"), F.size("pb").alias("sb")))
+        each = each.groupBy(*pairs.columns, "frag").agg(*[F.max(c).cast("long").alias(c) for c in ("o", "sa", "sb")])  # a set may be there twice
+        return each.groupBy(*pairs.columns).agg(*[F.sum(c).alias(c) for c in ("o", "sa", "sb")])
+
+    enough = lambda o: o * DEN >= (F.col("na") + F.col("nb") - o) * NUM
+    # a quarter of the fragments rules out most pairs: the rest can't overlap by more than its smaller size
+    some = (overlaps(pairs, f"frag < {FIRST}").where(enough(F.col("o") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))))
+            .select("a", "b", "na", "nb", F.col("o").alias("o1")))
+    return overlaps(some, f"frag >= {FIRST}").where(enough(F.col("o1") + F.col("o"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
