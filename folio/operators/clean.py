@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.text import split_lines_expr
 from folio.operators.dom import has_class_token, inside_any, py_strip
 from folio.profile import DEFAULT_PROFILE, SiteProfile
 
@@ -52,14 +53,9 @@ def drop_license_lines(docs: DataFrame, text_col: str = "text",
     """Drop the lines of a plain text that mention a licence phrase
     (case-insensitive); other lines -- and other licences -- stay. Lines
     split on Python line boundaries and re-joined with ``\\n``."""
-    from folio.functions.text import split_lines_expr
     pattern = "|".join(_re_escape(p) for p in profile.license_phrases)
-    lines = docs.select(key, F.posexplode(split_lines_expr(F.col(text_col))).alias("pos", "line"))
-    kept = lines.where(~F.lower("line").rlike(pattern))
-    joined = (kept.groupBy(key)
-              .agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY pos)").alias(text_col)))
-    return (docs.select(key).join(joined, key, "left")
-            .withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))))
+    kept = F.filter(split_lines_expr(F.col(text_col)), lambda x: ~F.lower(x).rlike(pattern))
+    return docs.select(key, F.array_join(kept, "\n").alias(text_col))
 
 
 def _re_escape(s: str) -> str:

@@ -1,14 +1,14 @@
-"""Markdown document operators (T1-T3, S12, S13, T11 helper).
+"""Markdown document operators.
 
-A document is exploded into ``(doc, pos, line)`` rows; the code-fence
-state is a fold over the document's fence lines only (small), giving
-spans that every line is tested against; results are re-joined with an
-ordered string aggregate per document.
+All of these are local to one document, so each is one projection over
+arrays of lines: split, fold the fence lines to spans, test each line
+against the spans, join. Nothing is exploded and re-gathered, and no
+shuffle is planned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import split_lines_expr
@@ -22,14 +22,19 @@ def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(key, F.posexplode(split_lines_expr(F.col(text))).alias("pos", "line"))
 
 
-def code_fence_spans(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document the inclusive ``[s, e]`` position spans of fenced
-    code. Outside a block, a line whose left-stripped text starts with
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body``
+    (or a lambda inside it) uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fence_spans(lines: Column) -> Column:
+    """Inclusive ``[s, e]`` position spans of fenced code in an array of
+    lines. Outside a block, a line whose left-stripped text starts with
     three backticks or tildes opens one; inside, only the same 3-char
     marker closes it; an unclosed block runs to the end."""
-    stripped = F.regexp_replace(F.col("line"), _PY_LSTRIP, "")
-    fences = (lines.where(stripped.startswith("```") | stripped.startswith("~~~"))
-              .select(key, F.struct(F.col("pos").alias("p"), F.substring(stripped, 1, 3).alias("m")).alias("f")))
+    marked = F.transform(lines, lambda x, i: F.struct(i.alias("p"), F.substring(F.regexp_replace(x, _PY_LSTRIP, ""), 1, 3).alias("m")))
+    fences = F.filter(marked, lambda f: f["m"].isin("```", "~~~"))
     init = F.struct(F.lit(None).cast("string").alias("m"), F.lit(None).cast("int").alias("o"),
                     F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
 
@@ -47,59 +52,77 @@ def code_fence_spans(lines: DataFrame, key: str = "doc_id") -> DataFrame:
                       F.concat(acc["spans"], F.array(F.struct(acc["o"].alias("s"), F.lit(2147483647).alias("e")))))\
             .otherwise(acc["spans"])
 
-    return (fences.groupBy(key)
-            .agg(F.array_sort(F.collect_list("f")).alias("fl"))
-            .select(key, F.aggregate("fl", init, step, finish).alias("spans")))
+    return F.aggregate(fences, init, step, finish)
+
+
+def _heading_parts(text) -> Column:
+    """Array of ``line, in_code, indent, level, rest``; the last three are
+    NULL unless the line is an ATX heading outside fenced code."""
+    def parts(both):
+        def one(line, i):
+            in_code = F.exists(both["spans"], lambda s: (i >= s["s"]) & (i <= s["e"]))
+            is_h = ~in_code & line.rlike(HEADING_RE)
+            return F.struct(line.alias("line"), in_code.alias("in_code"),
+                            F.when(is_h, F.regexp_extract(line, HEADING_RE, 1)).alias("indent"),
+                            F.when(is_h, F.length(F.regexp_extract(line, HEADING_RE, 2))).alias("level"),
+                            F.when(is_h, F.regexp_extract(line, HEADING_RE, 3)).alias("rest"))
+        return F.transform(both["lines"], one)
+    split = split_lines_expr(F.col(text) if isinstance(text, str) else text)
+    return _let(split, lambda lines: _let(F.struct(lines.alias("lines"), fence_spans(lines).alias("spans")), parts))
 
 
-def _in_spans(pos: Column) -> Column:
-    return F.coalesce(F.exists("spans", lambda s: (pos >= s["s"]) & (pos <= s["e"])), F.lit(False))
+def code_fence_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """T2 per document: one row ``key, s, e`` for each span."""
+    spans = _let(split_lines_expr(F.col(text)), fence_spans)
+    return docs.select(key, F.inline(spans))
 
 
 def heading_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines with ``in_code`` and, outside code, the ATX heading parts:
     ``indent``, ``level`` (number of #), ``rest`` (from the space on)."""
-    lines = split_lines(docs, key, text)
-    spans = code_fence_spans(lines, key)
-    x = lines.join(spans, key, "left").withColumn("in_code", _in_spans(F.col("pos"))).drop("spans")
-    is_h = ~F.col("in_code") & F.col("line").rlike(HEADING_RE)
-    return x.select(key, "pos", "line", "in_code",
-                    F.when(is_h, F.regexp_extract("line", HEADING_RE, 1)).alias("indent"),
-                    F.when(is_h, F.length(F.regexp_extract("line", HEADING_RE, 2))).alias("level"),
-                    F.when(is_h, F.regexp_extract("line", HEADING_RE, 3)).alias("rest"))
+    return (docs.select(key, F.posexplode(_heading_parts(text)).alias("pos", "h"))
+            .select(key, "pos", "h.line", "h.in_code", "h.indent", "h.level", "h.rest"))
 
 
-def demote_headings(docs: DataFrame, levels: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Outside fenced code, ATX headings (0-3 leading spaces, ``#``
-    run, then a space) get ``min(n + levels, 6)`` hashes, indent kept;
+def demoted(text, levels: int = 2) -> Column:
+    """T3 as a column: outside fenced code, ATX headings (0-3 leading spaces,
+    ``#`` run, then a space) get ``min(n + levels, 6)`` hashes, indent kept;
     everything else unchanged. Lines re-joined with ``\\n``."""
-    h = heading_lines(docs, key, text)
-    new = F.when(F.col("level").isNotNull(),
-                 F.concat(F.col("indent"), F.repeat(F.lit("#"), F.least(F.col("level") + levels, F.lit(6))),
-                          F.col("rest"))).otherwise(F.col("line"))
-    joined = (h.select(key, "pos", new.alias("line")).groupBy(key)
-              .agg(F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY pos)").alias(text)))
-    return docs.select(key).join(joined, key, "left").withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    def line(h):
+        marks = F.repeat(F.lit("#"), F.least(h["level"] + levels, F.lit(6)))
+        return F.when(h["level"].isNotNull(), F.concat(h["indent"], marks, h["rest"])).otherwise(h["line"])
+    return F.array_join(F.transform(_heading_parts(text), line), "\n")
+
+
+def demote_headings(docs: DataFrame, levels: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """T3 per document: ``key, text``."""
+    return docs.select(key, demoted(text, levels).alias(text))
 
 
 def toc(docs: DataFrame, depth: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Code-aware headings down to ``depth``: ``key, pos, level,
     title`` (title = heading text, trimmed)."""
-    h = heading_lines(docs, key, text)
-    return (h.where(F.col("level") <= depth)
+    return (heading_lines(docs, key, text).where(F.col("level") <= depth)
             .select(key, "pos", F.col("level").cast("int").alias("level"), F.trim(F.col("rest")).alias("title")))
 
 
 def split_chapters(docs: DataFrame, level: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Split at headings of level <= ``level`` outside code: a
-    running count of chapter starts numbers the chapters (0 = text before
-    the first heading); each chapter's lines re-joined in order."""
-    h = heading_lines(docs, key, text)
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.when(F.col("level") <= level, F.lit(1)).otherwise(F.lit(0))
-    c = h.withColumn("chapter_no", F.sum(starts).over(w).cast("int"))
-    return (c.groupBy(key, "chapter_no")
-            .agg(F.min_by(F.when(F.col("level") <= level, F.trim("rest")), F.when(F.col("level") <= level, F.col("pos")))
-                 .alias("title"),
-                 F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY pos)").alias("text"))
-            .withColumn("title", F.coalesce("title", F.lit(""))))
+    """Split at headings of level <= ``level`` outside code; chapters
+    are numbered from 1, chapter 0 is the text before the first heading (if
+    any); each chapter's lines re-joined in order."""
+    def chapters(both):
+        def one(k, i):
+            last = F.when(i + 1 < F.size(both["starts"]), F.element_at(both["starts"], i + 2)).otherwise(F.size(both["lines"]))
+            own = F.element_at(both["lines"], k + 1)
+            return F.struct((i + both["shift"]).alias("chapter_no"), F.when(own["level"] <= level, F.trim(own["rest"])).otherwise(F.lit("")).alias("title"),
+                            F.array_join(F.transform(F.slice(both["lines"], k + 1, last - k), lambda h: h["line"]), "\n").alias("text"))
+        return F.transform(both["starts"], one)
+
+    def begin(lines):
+        heads = F.filter(F.transform(lines, lambda h, i: F.when(h["level"] <= level, i)), lambda x: x.isNotNull())
+        lead = (F.size(lines) > 0) & ~F.coalesce(F.element_at(lines, 1)["level"] <= level, F.lit(False))
+        none = F.array().cast("array<int>")
+        starts = F.concat(F.when(lead, F.array(F.lit(0))).otherwise(none), heads)
+        return F.when(F.size(lines) > 0, _let(F.struct(lines.alias("lines"), starts.alias("starts"),
+                                                       F.when(lead, 0).otherwise(1).alias("shift")), chapters))
+    return docs.select(key, F.inline(_let(_heading_parts(text), begin)))

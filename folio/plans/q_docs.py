@@ -100,15 +100,11 @@ SELECT d.doc_id, COALESCE(t.text, '') AS text FROM documents d LEFT JOIN (
 """)(lambda spark, sf: markdown.demote_headings(_md_docs(spark, sf)))
 
 register("t2_code_fence_spans", f"""
-SELECT doc_id, CAST(count(*) FILTER (WHERE NOT is_fence AND fences_before % 2 = 1) AS BIGINT) AS code_lines,
-       CAST(count(*) FILTER (WHERE is_fence) AS BIGINT) AS fence_lines
-FROM ({_MD_ROWS}) GROUP BY doc_id
-""")(lambda spark, sf: (
-    markdown.heading_lines(_md_docs(spark, sf))
-    .withColumn("_fence", F.regexp_replace("line", "^\\s+", "").startswith("```"))
-    .groupBy("doc_id").agg(
-        F.sum(F.when(F.col("in_code") & ~F.col("_fence"), 1).otherwise(0)).cast("bigint").alias("code_lines"),
-        F.sum(F.when(F.col("_fence"), 1).otherwise(0)).cast("bigint").alias("fence_lines"))))
+SELECT doc_id, s, COALESCE(e, 2147483647) AS e FROM (
+  SELECT doc_id, pos AS s, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS e,
+         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM ({_MD_ROWS}) WHERE is_fence)
+WHERE k % 2 = 1
+""")(lambda spark, sf: markdown.code_fence_spans(_md_docs(spark, sf)))
 
 register("s12_toc", f"""
 SELECT doc_id, pos, CAST(n AS INTEGER) AS level, trim(rest) AS title FROM ({_MD_HEAD}) WHERE is_h AND n <= 2
