@@ -11,14 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.operators.markdown import demote_headings
+from folio.operators.markdown import demoted
 from folio.profile import DEFAULT_PROFILE, SiteProfile
 
 
+#: Ordinals that one window of W2 and W3 spans.
+BLOCK = 4096
+
+
 def _ne(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(""))
 
 
+def _by_name(x: Column, y: Column) -> Column:
+    """Case-insensitive order, ties by value."""
+    return (F.when(F.lower(x) < F.lower(y), F.lit(-1)).when(F.lower(x) > F.lower(y), F.lit(1))
+            .when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(F.lit(0)))
+
+
 def date_range(posts: DataFrame, by: list[str]) -> DataFrame:
     """A1: earliest / latest non-empty date string; ``unknown`` when none."""
     return posts.groupBy(*by).agg(F.coalesce(F.min(_ne("posted_date")), F.lit("unknown")).alias("earliest"),
@@ -31,9 +41,7 @@ def author_list(posts: DataFrame, by: list[str]) -> DataFrame:
     map-side before it is gathered per group."""
     d = posts.where(F.coalesce(F.col("author"), F.lit("")) != "").select(*by, "author").distinct()
     agg = d.groupBy(*by).agg(F.collect_list("author").alias("_a"))
-    cmp = lambda x, y: (F.when(F.lower(x) < F.lower(y), F.lit(-1)).when(F.lower(x) > F.lower(y), F.lit(1))
-                        .when(x < y, F.lit(-1)).when(x > y, F.lit(1)).otherwise(F.lit(0)))
-    return agg.select(*by, F.array_join(F.array_sort("_a", cmp), ", ").alias("authors"))
+    return agg.select(*by, F.array_join(F.array_sort("_a", _by_name), ", ").alias("authors"))
 
 
 def post_count(posts: DataFrame, by: list[str]) -> DataFrame:
@@ -42,28 +50,63 @@ def post_count(posts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def corpus_report(posts: DataFrame, by: list[str]) -> DataFrame:
-    """A1-A3 per group (e.g. per book and section, or per author)."""
-    keys = posts.select(*by).distinct()
-    return (keys.join(post_count(posts, by), by, "left").join(date_range(posts, by), by, "left")
-            .join(author_list(posts, by), by, "left")
-            .withColumn("authors", F.coalesce("authors", F.lit(""))))
+    """A1-A3 per group (e.g. per book and section, or per author) in one
+    aggregate; NULL keys are groups like any other."""
+    names = F.collect_set(F.when(F.coalesce(F.col("author"), F.lit("")) != "", F.col("author")))
+    return (posts.groupBy(*by)
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_posts"),
+                 F.coalesce(F.min(_ne("posted_date")), F.lit("unknown")).alias("earliest"),
+                 F.coalesce(F.max(_ne("posted_date")), F.lit("unknown")).alias("latest"), names.alias("_a"))
+            .select(*by, "n_posts", "earliest", "latest", F.array_join(F.array_sort("_a", _by_name), ", ").alias("authors")))
+
+
+def _blocked(posts: DataFrame, book: str, *aggs: Column) -> DataFrame:
+    """One row for each book and block of ``BLOCK`` ordinals, with ``aggs``."""
+    return posts.groupBy(F.col(book).alias("_book"), _block().alias("_at")).agg(*aggs)
+
+
+def _block() -> Column:
+    return F.coalesce(F.floor(F.col("ordinal") / BLOCK), F.lit(-(1 << 60))).cast("bigint")
+
+
+def _with_carry(posts: DataFrame, book: str, carry: DataFrame) -> DataFrame:
+    p = posts.withColumn("_block", _block())
+    return (p.join(carry, F.col(book).eqNullSafe(F.col("_book")) & (F.col("_block") == F.col("_at")))
+            .drop("_book", "_at"))
 
 
 def section_break(posts: DataFrame, book: str = "book_id") -> DataFrame:
     """``is_break`` -- a section heading is emitted when the section is
     non-empty and differs from the last emitted one (empty sections do not
-    reset; a returning section is emitted again)."""
-    w = Window.partitionBy(book).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.last(_ne("section"), ignorenulls=True).over(w)
-    return posts.withColumn("is_break", (F.coalesce(F.col("section"), F.lit("")) != "")
-                            & ~F.coalesce(F.col("section") == prev, F.lit(False)))
+    reset; a returning section is emitted again). The last section before a
+    block of ordinals is carried between blocks, so no window holds a book."""
+    last = F.max_by(_ne("section"), F.when(_ne("section").isNotNull(), F.col("ordinal")))
+    before = Window.partitionBy("_book").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carry = _blocked(posts, book, last.alias("_last")).select("_book", "_at", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    w = Window.partitionBy(book, "_block").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.coalesce(F.last(_ne("section"), ignorenulls=True).over(w), F.col("_carry"))
+    return (_with_carry(posts, book, carry)
+            .withColumn("is_break", (F.coalesce(F.col("section"), F.lit("")) != "") & ~F.coalesce(F.col("section") == prev, F.lit(False)))
+            .drop("_block", "_carry"))
 
 
 def with_position(posts: DataFrame, book: str = "book_id") -> DataFrame:
-    """1-based position and total per book."""
-    w = Window.partitionBy(book).orderBy("ordinal")
-    return posts.withColumns({"position": F.row_number().over(w).cast("bigint"),
-                              "total": F.count(F.lit(1)).over(Window.partitionBy(book)).cast("bigint")})
+    """1-based position and total per book, from the counts of blocks of
+    ordinals and the place inside the block."""
+    before = Window.partitionBy("_book").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (_blocked(posts, book, F.count(F.lit(1)).alias("_n"))
+             .select("_book", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                     F.sum("_n").over(Window.partitionBy("_book")).cast("bigint").alias("total")))
+    w = Window.partitionBy(book, "_block").orderBy("ordinal")
+    return (_with_carry(posts, book, carry)
+            .withColumn("position", (F.row_number().over(w) + F.col("_before")).cast("bigint")).drop("_block", "_before"))
+
+
+def bind_text(parts: DataFrame, by: list[str], order: list[str], text: str = "text", sep: str = "", out: str = "text") -> DataFrame:
+    """A5: the texts of a group in ``order``, joined by ``sep``. One row holds a
+    group: meant for groups of document size (a conversation, a chapter)."""
+    sql = f"listagg(`{text}`, '{sep}') WITHIN GROUP (ORDER BY {', '.join(order)})"
+    return parts.groupBy(*by).agg(F.coalesce(F.expr(sql), F.lit("")).alias(out))
 
 
 def carry_forward(df: DataFrame, col: str, part: str, order: str, out: str | None = None) -> DataFrame:
@@ -88,6 +131,7 @@ def about_page(posts: DataFrame, book: str = "book_id", commit_hash: str = "",
     rep = date_range(posts, [book]).join(author_list(posts, [book]), book, "left")
     label = profile.repo_url[len("https://"):] if profile.repo_url.startswith("https://") else profile.repo_url
     commit = f" with git commit `{commit_hash}`" if commit_hash else ""
+    # ---- fixed values: wording of the about page ----
     text = F.concat(
         F.lit("# About This Book\n\n"),
         F.lit("This book contains blog posts written from "), F.col("earliest"), F.lit(" to "), F.col("latest"),
@@ -126,10 +170,7 @@ def bind_book(posts: DataFrame, book: str = "book_id", commit_hash: str = "",
                  .select(book, F.lit(-2).cast("long").alias("ordinal"), F.lit(0).alias("part"),
                          F.lit("about").alias("kind"), "text"))
     p = section_break(posts, book)
-    bodies = demote_headings(p.select(F.col("url").alias("_k"), F.col("markdown").alias("_md")),
-                             demote_levels, key="_k", text="_md")
-    p = p.join(bodies.withColumnRenamed("_k", "url").withColumnRenamed("_md", "_demoted"), "url", "left")
-    body = F.when(F.coalesce(F.col("markdown"), F.lit("")) != "", F.concat(F.col("_demoted"), F.lit("\n\n")))\
+    body = F.when(F.coalesce(F.col("markdown"), F.lit("")) != "", F.concat(demoted("markdown", demote_levels), F.lit("\n\n")))\
         .otherwise(F.concat(F.lit("*See original post at: "), F.col("url"), F.lit("*\n\n")))
     post_parts = F.array(
         F.struct(F.lit(0).alias("part"), F.lit("section").alias("kind"),
@@ -152,11 +193,11 @@ def write_book(fragments: DataFrame, path: str, book: str = "book_id") -> None:
     no separator: range-partitioned by (book, ordinal, part) and sorted
     within partitions, so the part files read in name order are the
     book. No task ever holds a whole book."""
-    # every fragment ends with a newline: write it without that newline and
-    # let the line separator restore it, so the files concatenate exactly
+    # the line separator restores the newline that ends a fragment; one that
+    # has none gets it
     (fragments.repartitionByRange(book, "ordinal", "part")
      .sortWithinPartitions(book, "ordinal", "part")
-     .select(F.col(book), F.expr("substring(text, 1, length(text) - 1)").alias("value"))
+     .select(F.col(book), F.regexp_replace("text", "\n\\z", "").alias("value"))
      .write.mode("overwrite").partitionBy(book).option("lineSep", "\n").text(path))
 
 

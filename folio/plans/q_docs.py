@@ -153,14 +153,17 @@ register("a2_author_list", "SELECT * FROM " + _AUTHORS_SQL.format(by="book_id"))
 register("a3_post_count", f"SELECT book_id, CAST(count(*) AS BIGINT) AS n_posts FROM {POSTS_SQL} GROUP BY book_id")(
     lambda spark, sf: book.post_count(posts_of(spark, sf), ["book_id"]))
 
+# every fourth empty section is NULL instead
+_NULL_SECTION = "CASE WHEN section = '' AND ordinal % 4 = 1 THEN NULL ELSE section END"
 register("a6_corpus_report", f"""
-SELECT k.book_id, k.section, CAST(c.n AS BIGINT) AS n_posts, c.earliest, c.latest, COALESCE(a.authors, '') AS authors
-FROM (SELECT DISTINCT book_id, section FROM {POSTS_SQL}) k
-JOIN (SELECT book_id, section, count(*) AS n, COALESCE(min(NULLIF(posted_date, '')), 'unknown') AS earliest,
-             COALESCE(max(NULLIF(posted_date, '')), 'unknown') AS latest FROM {POSTS_SQL} GROUP BY 1, 2) c
-  ON k.book_id = c.book_id AND k.section = c.section
-LEFT JOIN {_AUTHORS_SQL.format(by="book_id, section")} a ON k.book_id = a.book_id AND k.section = a.section
-""")(lambda spark, sf: book.corpus_report(posts_of(spark, sf), ["book_id", "section"]))
+WITH p AS (SELECT * REPLACE ({_NULL_SECTION} AS section) FROM {POSTS_SQL})
+SELECT c.book_id, c.section, n_posts, earliest, latest, COALESCE(a.authors, '') AS authors
+FROM (SELECT book_id, section, CAST(count(*) AS BIGINT) AS n_posts, COALESCE(min(NULLIF(posted_date, '')), 'unknown') AS earliest,
+             COALESCE(max(NULLIF(posted_date, '')), 'unknown') AS latest FROM p GROUP BY 1, 2) c
+LEFT JOIN (SELECT book_id, section, string_agg(author, ', ' ORDER BY lower(author), author) AS authors
+           FROM (SELECT DISTINCT book_id, section, author FROM p WHERE author <> '') GROUP BY 1, 2) a
+  ON c.book_id IS NOT DISTINCT FROM a.book_id AND c.section IS NOT DISTINCT FROM a.section
+""")(lambda spark, sf: book.corpus_report(posts_of(spark, sf).withColumn("section", F.expr(_NULL_SECTION)), ["book_id", "section"]))
 
 register("w2_section_break", f"""
 SELECT book_id, ordinal, section,
@@ -185,8 +188,9 @@ FROM conversations
 
 register("a5_bind_text", """
 SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role) AS transcript FROM conversations GROUP BY conv_id
-""")(lambda spark, sf: table(spark, sf, "conversations").groupBy("conv_id").agg(
-    F.expr("listagg(concat(role, ': ', text), '\\n') WITHIN GROUP (ORDER BY turn, role)").alias("transcript")))
+""")(lambda spark, sf: book.bind_text(
+    table(spark, sf, "conversations").withColumn("said", F.concat("role", F.lit(": "), "text")),
+    ["conv_id"], ["turn", "role"], "said", "\\n", "transcript"))
 
 _BYLINE = ("CASE WHEN author <> '' AND posted_date <> '' THEN '*By ' || author || ' on ' || posted_date || '*' || chr(10) || chr(10)"
            " WHEN author <> '' THEN '*By ' || author || '*' || chr(10) || chr(10)"
@@ -195,33 +199,70 @@ register("t5_byline", f"SELECT book_id, ordinal, {_BYLINE} AS byline FROM {POSTS
     lambda spark, sf: posts_of(spark, sf).select("book_id", "ordinal", book.byline(F.col("author"), F.col("posted_date")).alias("byline")))
 
 _NL2 = "chr(10) || chr(10)"
-register("t8_bind_book", f"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _about_sql(posts: str) -> str:
+    """The about page of each book, from SQL over ``posts``."""
+    label = PR.repo_url.removeprefix("https://")
+    return f"""
+SELECT r.book_id, '# About This Book' || {_NL2} || 'This book contains blog posts written from ' || earliest || ' to ' || latest || ' by:'
+       || {_NL2} || CASE WHEN COALESCE(authors, '') <> '' THEN authors || {_NL2} ELSE '' END || '---' || {_NL2}
+       || {_quoted(f"*This ebook was compiled by {PR.compiler_name} using [{label}]({PR.repo_url}). Last text update was on ")} || latest || '.*' || {_NL2} AS text
+FROM (SELECT book_id, COALESCE(min(NULLIF(posted_date, '')), 'unknown') AS earliest,
+             COALESCE(max(NULLIF(posted_date, '')), 'unknown') AS latest FROM {posts} GROUP BY book_id) r
+LEFT JOIN (SELECT book_id, string_agg(author, ', ' ORDER BY lower(author), author) AS authors
+           FROM (SELECT DISTINCT book_id, author FROM {posts} WHERE author <> '') GROUP BY book_id) a USING (book_id)"""
+
+
+# four documents in a row share a URL, so one URL is in several books
+_SHARED_SPARK = f"concat('{PR.base_url}/posts/', CAST(ordinal div 4 AS STRING), '/x')"
+_SHARED_POSTS = f"(SELECT * REPLACE ('{PR.base_url}/posts/' || CAST(ordinal // 4 AS VARCHAR) || '/x' AS url) FROM {POSTS_SQL})"
+
+
+def _shared_posts(spark, sf):
+    return posts_of(spark, sf).withColumn("url", F.expr(_SHARED_SPARK))
+
+
+_FRAGMENTS_SQL = f"""
 WITH p AS (SELECT *, section <> '' AND COALESCE(section <> last_value(NULLIF(section, '') IGNORE NULLS) OVER (
                 PARTITION BY book_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_break
-           FROM {POSTS_SQL}),
+           FROM {_SHARED_POSTS}),
 frag AS (
   SELECT book_id, ordinal, 0 AS part, 'section' AS kind, '# ' || section || {_NL2} AS text FROM p WHERE is_break
   UNION ALL SELECT book_id, ordinal, 1, 'heading', '## ' || title || {_NL2} FROM p
   UNION ALL SELECT book_id, ordinal, 2, 'byline', {_BYLINE} FROM p WHERE author <> '' OR posted_date <> ''
   UNION ALL SELECT book_id, ordinal, 3, 'body', CASE WHEN markdown <> '' THEN regexp_replace(markdown, '\\n$', '') || {_NL2}
-                                                ELSE '*See original post at: ' || url || '*' || {_NL2} END FROM p)
+                                                ELSE '*See original post at: ' || url || '*' || {_NL2} END FROM p
+  UNION ALL SELECT book_id, -2, 0, 'about', text FROM ({_about_sql("p")}))
 SELECT book_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(part AS INTEGER) AS part, kind, text FROM frag
-UNION ALL SELECT DISTINCT book_id, CAST(-1 AS BIGINT), 0, 'toc', '\\tableofcontents' || {_NL2} FROM p
-""")(lambda spark, sf: book.bind_book(posts_of(spark, sf)).where(F.col("ordinal") > -2)
-     .select("book_id", "ordinal", "part", "kind", "text"))
+UNION ALL SELECT DISTINCT book_id, CAST(o AS BIGINT), 0, kind, text FROM p, (VALUES
+  (-4, 'front_matter', {_quoted(book.front_matter())}), (-3, 'title', {_quoted(f"# {PR.book_title}")} || {_NL2}),
+  (-1, 'toc', '\\tableofcontents' || {_NL2})) v(o, kind, text)
+"""
+register("t8_bind_book", _FRAGMENTS_SQL)(
+    lambda spark, sf: book.bind_book(_shared_posts(spark, sf)).select("book_id", "ordinal", "part", "kind", "text"))
 
-register("t7_about_page", None)(lambda spark, sf: book.about_page(posts_of(spark, sf)))
-register("s9_write_book", None)(lambda spark, sf: _write_and_read(spark, sf))
+register("t7_about_page", _about_sql(POSTS_SQL))(lambda spark, sf: book.about_page(posts_of(spark, sf)))
+register("s9_write_book", f"""
+SELECT book_id, line, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT book_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM ({_FRAGMENTS_SQL})) GROUP BY ALL
+""")(lambda spark, sf: _write_and_read(spark, sf))
 
 
 def _write_and_read(spark, sf):
     """Bind the books, write them as ordered text part files under the
-    session's checkpoint folder and read the lines back (rows check)."""
+    session's checkpoint folder and read their lines back: how often each line
+    of a book is there."""
     import uuid
     from folio.session import ensure_checkpoint_dir
     out = ensure_checkpoint_dir(spark).rstrip("/") + f"/books-{uuid.uuid4().hex}"
-    book.write_book(book.bind_book(posts_of(spark, sf)), out)
-    return spark.read.text(out).groupBy("book_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_lines"))
+    book.write_book(book.bind_book(_shared_posts(spark, sf)), out)
+    lines = spark.read.option("lineSep", "\n").text(out)
+    return lines.groupBy("book_id", F.col("value").alias("line")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 @register("s14_require_rows", f"SELECT book_id, CAST(count(*) AS BIGINT) AS n_posts FROM {POSTS_SQL} GROUP BY book_id")
