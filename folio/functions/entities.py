@@ -2,8 +2,8 @@
 
 Spark has no built-in for the HTML5 named-entity table, so the decoding
 step of the dangerous-scheme test (P7) uses the standard library's
-``html.unescape`` on Arrow batches. Only values that contain ``&`` reach
-Python; everything else short-circuits JVM-side.
+``html.unescape`` on Arrow batches. Only rows whose value contains ``&`` reach
+Python.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,10 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if isinstance(v, str) else v)
 
 
-def html_unescape(c: Column) -> Column:
-    """Entity-decoded value; the UDF runs only when ``&`` occurs."""
-    return F.when(c.contains("&"), _unescape(c)).otherwise(c)
+def with_unescaped(df: DataFrame, col: str, out: str) -> DataFrame:
+    """``df`` with the entity-decoded ``col``: rows with ``&`` go through the
+    UDF, all others stay in the JVM (a UDF under ``CASE`` would run for every
+    row)."""
+    has = F.coalesce(F.col(col).contains("&"), F.lit(False))
+    return (df.where(has).withColumn(out, _unescape(F.col(col)))
+            .unionByName(df.where(~has).withColumn(out, F.col(col))))

@@ -10,6 +10,8 @@ last ``@`` and before the first ``:``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once: inside ``body`` it is a
+    lambda variable, so a rule that reads the parts of a URL many times
+    neither repeats the split nor grows the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fix_backslashes(url) -> Column:
     """``\\`` -> ``/`` before parsing."""
     return F.replace(_c(url), F.lit("\\"), F.lit("/"))
@@ -33,31 +42,37 @@ def _clean(url: Column) -> Column:
 def url_parts(url) -> Column:
     """Split a URL into a struct of scheme, authority, userinfo, host,
     port (string), path, query, fragment. Missing parts are ``''``.
-    ``has_authority`` tells ``//`` was present."""
-    u = _clean(_c(url))
+    ``has_authority``, ``has_query`` and ``has_fragment`` tell whether ``//``,
+    ``?`` and ``#`` were present; ``clean`` is the URL without tabs, line
+    breaks and leading controls."""
     scheme_re = "^([A-Za-z][A-Za-z0-9+.\\-]*):"
-    scheme = F.lower(F.regexp_extract(u, scheme_re, 1))
-    rest = F.when(scheme == "", u).otherwise(F.regexp_replace(u, scheme_re, ""))
-    frag = F.regexp_extract(rest, "#(.*)$", 1)
-    has_frag = rest.contains("#")
-    no_frag = F.regexp_replace(rest, "#.*$", "")
-    has_auth = no_frag.startswith("//")
-    authority = F.when(has_auth, F.regexp_extract(no_frag, "^//([^/?]*)", 1)).otherwise(F.lit(""))
-    after_auth = F.when(has_auth, F.regexp_replace(no_frag, "^//[^/?]*", "")).otherwise(no_frag)
-    query = F.regexp_extract(after_auth, "\\?(.*)$", 1)
-    path = F.regexp_replace(after_auth, "\\?.*$", "")
-    userinfo = F.regexp_extract(authority, "^(.*)@", 1)
-    hostinfo = F.regexp_replace(authority, "^.*@", "")
-    bracket = hostinfo.startswith("[")
-    host = F.lower(F.when(bracket, F.regexp_extract(hostinfo, "^\\[([^\\]]*)\\]", 1))
-                   .otherwise(F.regexp_extract(hostinfo, "^([^:]*)", 1)))
-    port = F.when(bracket, F.regexp_extract(hostinfo, "^\\[[^\\]]*\\]:(.*)$", 1)) \
-        .otherwise(F.regexp_extract(hostinfo, "^[^:]*:(.*)$", 1))
-    return F.struct(
-        scheme.alias("scheme"), authority.alias("authority"), userinfo.alias("userinfo"),
-        host.alias("host"), port.alias("port"), path.alias("path"), query.alias("query"),
-        frag.alias("fragment"), has_auth.alias("has_authority"), has_frag.alias("has_fragment"),
-    )
+
+    def by_scheme(u):
+        scheme = F.lower(F.regexp_extract(u, scheme_re, 1))
+        return F.struct(u.alias("clean"), scheme.alias("scheme"),
+                        F.when(scheme == "", u).otherwise(F.regexp_replace(u, scheme_re, "")).alias("rest"))
+
+    def by_fragment(x):
+        nofrag = F.regexp_replace(x["rest"], "#.*$", "")
+        auth = nofrag.startswith("//")
+        return F.struct(x["clean"].alias("clean"), x["scheme"].alias("scheme"),
+                        F.regexp_extract(x["rest"], "#(.*)$", 1).alias("fragment"), x["rest"].contains("#").alias("has_fragment"),
+                        auth.alias("has_authority"),
+                        F.when(auth, F.regexp_extract(nofrag, "^//([^/?]*)", 1)).otherwise(F.lit("")).alias("authority"),
+                        F.when(auth, F.regexp_replace(nofrag, "^//[^/?]*", "")).otherwise(nofrag).alias("after"))
+
+    def by_host(x):
+        hostinfo = F.regexp_replace(x["authority"], "^.*@", "")
+        bracketed = hostinfo.startswith("[")
+        host = F.lower(F.when(bracketed, F.regexp_extract(hostinfo, "^\\[([^\\]]*)\\]", 1)).otherwise(F.regexp_extract(hostinfo, "^([^:]*)", 1)))
+        port = F.when(bracketed, F.regexp_extract(hostinfo, "^\\[[^\\]]*\\]:(.*)$", 1)).otherwise(F.regexp_extract(hostinfo, "^[^:]*:(.*)$", 1))
+        return F.struct(x["scheme"].alias("scheme"), x["authority"].alias("authority"),
+                        F.regexp_extract(x["authority"], "^(.*)@", 1).alias("userinfo"), host.alias("host"), port.alias("port"),
+                        F.regexp_replace(x["after"], "\\?.*$", "").alias("path"), F.regexp_extract(x["after"], "\\?(.*)$", 1).alias("query"),
+                        x["fragment"].alias("fragment"), x["has_authority"].alias("has_authority"),
+                        x["has_fragment"].alias("has_fragment"), x["after"].contains("?").alias("has_query"), x["clean"].alias("clean"))
+
+    return let(_clean(_c(url)), lambda u: let(by_scheme(u), lambda x: let(by_fragment(x), by_host)))
 
 
 def port_status(port: Column) -> Column:
@@ -127,59 +142,43 @@ def resolve_url(href, base) -> Column:
     """RFC 3986 reference resolution of ``href`` against ``base``
     (``//h/x`` takes the base scheme, ``..`` above the root is dropped,
     query and trailing slash kept)."""
-    r = url_parts(href)
-    b = url_parts(base)
-    ref = _clean(_c(href))
-
-    def build(scheme, auth, has_auth, path, query, has_query, frag, has_frag):
-        out = F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit(""))
-        out = F.concat(out, F.when(has_auth, F.concat(F.lit("//"), auth)).otherwise(F.lit("")), path)
-        out = F.concat(out, F.when(has_query, F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-        return F.concat(out, F.when(has_frag, F.concat(F.lit("#"), frag)).otherwise(F.lit("")))
-
-    r_has_query = F.regexp_replace(ref, "#.*$", "").contains("?")
-    b_has_query = F.regexp_replace(_clean(_c(base)), "#.*$", "").contains("?")
-    same_scheme = (r["scheme"] == "") | (r["scheme"] == b["scheme"])
-    is_abs_path = r["path"].startswith("/")
-    net = build(b["scheme"], r["authority"], F.lit(True), r["path"], r["query"], r_has_query,
-                r["fragment"], r["has_fragment"])
-    empty_path = build(b["scheme"], b["authority"], b["has_authority"], b["path"],
-                       F.when(r_has_query, r["query"]).otherwise(b["query"]),
-                       r_has_query | b_has_query, r["fragment"], r["has_fragment"])
-    rel_path = build(b["scheme"], b["authority"], b["has_authority"],
-                     F.when(is_abs_path, _remove_dots(r["path"]))
-                     .otherwise(_remove_dots(_merge_path(b["path"], r["path"], b["has_authority"]))),
-                     r["query"], r_has_query, r["fragment"], r["has_fragment"])
-    return (F.when(_c(base).isNull() | (_c(base) == ""), ref)
-            .when(F.coalesce(_c(href), F.lit("")) == "", _c(base))
-            .when(~same_scheme, ref)
-            .when(r["has_authority"], net)
-            .when(r["path"] == "", empty_path)
-            .otherwise(rel_path))
+    def build(x):
+        r, b, ref, whole = x["r"], x["b"], x["ref"], x["base"]
+        pre = F.when(b["scheme"] != "", F.concat(b["scheme"], F.lit(":"))).otherwise(F.lit(""))
+        auth = F.when(b["has_authority"], F.concat(F.lit("//"), b["authority"])).otherwise(F.lit(""))
+        query = F.when(r["has_query"], F.concat(F.lit("?"), r["query"])).otherwise(F.lit(""))
+        frag = F.when(r["has_fragment"], F.concat(F.lit("#"), r["fragment"])).otherwise(F.lit(""))
+        merged = F.when(r["path"].startswith("/"), r["path"]).otherwise(_merge_path(b["path"], r["path"], b["has_authority"]))
+        return (F.when(whole.isNull() | (whole == ""), r["clean"])
+                .when(F.coalesce(ref, F.lit("")) == "", whole)
+                .when(~((r["scheme"] == "") | (r["scheme"] == b["scheme"])), r["clean"])
+                .when(r["has_authority"], F.concat(pre, F.lit("//"), r["authority"], r["path"], query, frag))
+                .when(r["path"] == "", F.concat(pre, auth, b["path"],
+                                                F.when(~r["has_query"] & b["has_query"], F.concat(F.lit("?"), b["query"])).otherwise(query), frag))
+                .otherwise(F.concat(pre, auth, let(merged, _remove_dots), query, frag)))
+
+    return let(F.struct(url_parts(href).alias("r"), url_parts(base).alias("b"), _c(href).alias("ref"), _c(base).alias("base")), build)
 
 
 def validate_url(url, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
     """struct<url, error>. Scheme http/https; host equal to the domain
     or a sub-domain; port none/80/443; the URL is rebuilt from host and
     port only (credentials dropped)."""
-    u = fix_backslashes(url)
-    p = url_parts(u)
-    dom = profile.domain_suffix
-    host_ok = (p["host"] == dom) | p["host"].endswith("." + dom)
-    ps = port_status(p["port"])
-    pv = port_value(p["port"])
-    allowed = [int(x) for x in profile.allowed_ports]
-    port_ok = (ps == "none") | ((ps == "ok") & pv.isin(allowed))
-    netloc = F.concat(p["host"], F.when(ps == "ok", F.concat(F.lit(":"), pv.cast("string"))).otherwise(F.lit("")))
-    rebuilt = F.concat(
-        p["scheme"], F.lit("://"), netloc, p["path"],
-        F.when(_clean(u).rlike("^[^#]*\\?"), F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")),
-        F.when(p["has_fragment"], F.concat(F.lit("#"), p["fragment"])).otherwise(F.lit("")))
-    error = (F.when(~p["scheme"].isin("http", "https"), F.concat(F.lit("Unsafe URL scheme: "), p["scheme"]))
-             .when(~host_ok, F.concat(F.lit("Unsafe URL domain: "), p["host"]))
-             .when(ps == "bad", F.concat(F.lit("Invalid URL port: "), p["port"]))
-             .when(~port_ok, F.concat(F.lit("Unsafe URL port: "), pv.cast("string"))))
-    return F.struct(F.when(error.isNull(), rebuilt).alias("url"), error.alias("error"))
+    dom, allowed = profile.domain_suffix, [int(x) for x in profile.allowed_ports]
+
+    def check(p):
+        ps, pv = port_status(p["port"]), port_value(p["port"])
+        netloc = F.concat(p["host"], F.when(ps == "ok", F.concat(F.lit(":"), pv.cast("string"))).otherwise(F.lit("")))
+        rebuilt = F.concat(p["scheme"], F.lit("://"), netloc, p["path"],
+                           F.when(p["has_query"], F.concat(F.lit("?"), p["query"])).otherwise(F.lit("")),
+                           F.when(p["has_fragment"], F.concat(F.lit("#"), p["fragment"])).otherwise(F.lit("")))
+        error = (F.when(~p["scheme"].isin("http", "https"), F.concat(F.lit("Unsafe URL scheme: "), p["scheme"]))
+                 .when(~((p["host"] == dom) | p["host"].endswith("." + dom)), F.concat(F.lit("Unsafe URL domain: "), p["host"]))
+                 .when(ps == "bad", F.concat(F.lit("Invalid URL port: "), p["port"]))
+                 .when(~((ps == "none") | ((ps == "ok") & pv.isin(allowed))), F.concat(F.lit("Unsafe URL port: "), pv.cast("string"))))
+        return let(error, lambda e: F.struct(F.when(e.isNull(), rebuilt).alias("url"), e.alias("error")))
+
+    return let(url_parts(fix_backslashes(url)), check)
 
 
 def is_post_url(url, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
@@ -190,37 +189,25 @@ def is_post_url(url, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
     ports only, and a prefix test on the *normalised* path. An
     out-of-range port gives false instead of an exception."""
     u = fix_backslashes(url)
-    cheap = _any_contains(u, profile.post_prefixes)
-    p = url_parts(u)
-    hosts = list(profile.post_hosts)
+    hosts, allowed = list(profile.post_hosts), [int(x) for x in profile.allowed_ports]
     named = [h for h in hosts if h]
-    ps = port_status(p["port"])
-    port_ok = (F.lit(True) if not named else
-               ~p["host"].isin(named) | (ps == "none") |
-               ((ps == "ok") & port_value(p["port"]).isin([int(x) for x in profile.allowed_ports])))
-    npath = normalize_path(p["path"])
-    npath = F.when(npath.startswith("/"), npath).otherwise(F.concat(F.lit("/"), npath))
-    prefix_ok = _any_startswith(npath, profile.post_prefixes)
-    return F.coalesce(
-        cheap & p["scheme"].isin("http", "https", "") & ~((p["scheme"] != "") & (p["host"] == ""))
-        & p["host"].isin(hosts) & port_ok & prefix_ok,
-        F.lit(False))
+
+    def check(p):
+        ps = port_status(p["port"])
+        port_ok = (F.lit(True) if not named else
+                   ~p["host"].isin(named) | (ps == "none") | ((ps == "ok") & port_value(p["port"]).isin(allowed)))
+        path = let(normalize_path(p["path"]), lambda n: _any_startswith(F.when(n.startswith("/"), n).otherwise(F.concat(F.lit("/"), n)), profile.post_prefixes))
+        return (p["scheme"].isin("http", "https", "") & ~((p["scheme"] != "") & (p["host"] == "")) & p["host"].isin(hosts) & port_ok & path)
+
+    return F.coalesce(F.when(_any_contains(u, profile.post_prefixes), let(url_parts(u), check)), F.lit(False))
 
 
 def _any_contains(c: Column, subs) -> Column:
-    out = None
-    for s in subs:
-        cond = c.contains(s)
-        out = cond if out is None else (out | cond)
-    return out
+    return reduce(lambda x, y: x | y, [c.contains(s) for s in subs])
 
 
 def _any_startswith(c: Column, subs) -> Column:
-    out = None
-    for s in subs:
-        cond = c.startswith(s)
-        out = cond if out is None else (out | cond)
-    return out
+    return reduce(lambda x, y: x | y, [c.startswith(s) for s in subs])
 
 
 def absolutize_link(value, profile: SiteProfile = DEFAULT_PROFILE, base=None) -> Column:
@@ -228,8 +215,7 @@ def absolutize_link(value, profile: SiteProfile = DEFAULT_PROFILE, base=None) ->
     any value with a scheme; otherwise resolve against the site base URL
     (or ``base`` when given, e.g. the page URL)."""
     v = _c(value)
-    keep = (v.startswith("http://") | v.startswith("https://") | v.startswith("#")
-            | v.startswith("mailto:") | v.startswith("tel:") | (url_parts(v)["scheme"] != ""))
+    keep = _any_startswith(v, ("http://", "https://", "#", "mailto:", "tel:")) | (url_parts(v)["scheme"] != "")
     b = F.lit(profile.base_url) if base is None else _c(base)
     return F.when(keep, v).otherwise(resolve_url(v, b))
 
@@ -245,8 +231,8 @@ def keep_link(href, anchor, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
     """Non-empty href, non-empty anchor text, resolved target is a
     post URL."""
     h = _c(href)
-    return (F.coalesce(h, F.lit("")) != "") & (F.coalesce(_c(anchor), F.lit("")) != "") \
-        & is_post_url(link_target(h, profile), profile)
+    return ((F.coalesce(h, F.lit("")) != "") & (F.coalesce(_c(anchor), F.lit("")) != "")
+            & let(link_target(h, profile), lambda t: is_post_url(t, profile)))
 
 
 def first_non_empty(*cols) -> Column:
@@ -286,180 +272,45 @@ def has_dangerous_scheme(value, profile: SiteProfile = DEFAULT_PROFILE, decoded=
 
 def unwrap_redirect(value, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
     """A value whose parsed path is exactly the redirect path is
-    replaced by the first value of the redirect parameter (query-decoded);
-    any host qualifies; one level only."""
+    replaced by the first non-blank value of the redirect parameter; names
+    and values are query-decoded, stray ``%`` stay; any host qualifies; one
+    level only."""
     v = _c(value)
-    p = url_parts(v)
-    raw = F.regexp_extract(p["query"], "(?:^|&)" + profile.redirect_param + "=([^&]*)", 1)
-    dec = F.coalesce(F.try_url_decode(raw), raw)
-    hit = v.contains(profile.redirect_path) & (p["path"] == profile.redirect_path) & (raw != "")
-    return F.when(hit, dec).otherwise(v)
-
-
-# ---------------------------------------------------------------------------
-# Staged DataFrame forms. Each stage is its own projection, so a URL's
-# parts are computed once per row instead of being re-expanded inside
-# every expression that reads them (nested URL rules otherwise blow up the
-# expression tree and the generated code).
-# ---------------------------------------------------------------------------
-
-def with_url_parts(df, col: str, p: str):
-    """Add URL-part columns ``{p}c, {p}scheme, {p}authority, {p}host,
-    {p}port, {p}path, {p}query, {p}fragment, {p}has_auth, {p}has_query,
-    {p}has_frag, {p}port_status, {p}port_value`` for ``col`` (five
-    projections)."""
-    scheme_re = "^([A-Za-z][A-Za-z0-9+.\\-]*):"
-    c = F.col
-    df = df.withColumn(p + "c", _clean(c(col)))
-    df = df.withColumn(p + "scheme", F.lower(F.regexp_extract(c(p + "c"), scheme_re, 1)))
-    rest = F.when(c(p + "scheme") == "", c(p + "c")).otherwise(F.regexp_replace(c(p + "c"), scheme_re, ""))
-    df = df.withColumn(p + "rest", rest)
-    nofrag = F.regexp_replace(c(p + "rest"), "#.*$", "")
-    df = df.withColumns({
-        p + "fragment": F.regexp_extract(c(p + "rest"), "#(.*)$", 1),
-        p + "has_frag": c(p + "rest").contains("#"),
-        p + "has_auth": nofrag.startswith("//"),
-        p + "authority": F.when(nofrag.startswith("//"), F.regexp_extract(nofrag, "^//([^/?]*)", 1)).otherwise(F.lit("")),
-        p + "after": F.when(nofrag.startswith("//"), F.regexp_replace(nofrag, "^//[^/?]*", "")).otherwise(nofrag),
-    })
-    hostinfo = F.regexp_replace(c(p + "authority"), "^.*@", "")
-    br = hostinfo.startswith("[")
-    df = df.withColumns({
-        p + "query": F.regexp_extract(c(p + "after"), "\\?(.*)$", 1),
-        p + "has_query": c(p + "after").contains("?"),
-        p + "path": F.regexp_replace(c(p + "after"), "\\?.*$", ""),
-        p + "host": F.lower(F.when(br, F.regexp_extract(hostinfo, "^\\[([^\\]]*)\\]", 1))
-                            .otherwise(F.regexp_extract(hostinfo, "^([^:]*)", 1))),
-        p + "port": F.when(br, F.regexp_extract(hostinfo, "^\\[[^\\]]*\\]:(.*)$", 1))
-                     .otherwise(F.regexp_extract(hostinfo, "^[^:]*:(.*)$", 1)),
-    })
-    st = port_status(c(p + "port"))
-    df = df.withColumns({p + "port_status": st,
-                         p + "port_value": F.when(st == "ok", c(p + "port").cast("int"))})
-    return df.drop(p + "rest", p + "after")
-
-
-def _drop_prefixed(df, p: str):
-    return df.drop(*[x for x in df.columns if x.startswith(p)])
-
-
-def resolve_url_df(df, href: str, base: str, out: str):
-    """P6 in staged form: ``out`` = ``href`` resolved against ``base``."""
-    r, b = "_rr_", "_rb_"
-    df = with_url_parts(with_url_parts(df, href, r), base, b)
-    c = F.col
-    q = lambda hq, qq: F.when(c(hq), F.concat(F.lit("?"), c(qq))).otherwise(F.lit(""))
-    fr = F.when(c(r + "has_frag"), F.concat(F.lit("#"), c(r + "fragment"))).otherwise(F.lit(""))
-    pre = F.when(c(b + "scheme") != "", F.concat(c(b + "scheme"), F.lit(":"))).otherwise(F.lit(""))
-    auth = F.when(c(b + "has_auth"), F.concat(F.lit("//"), c(b + "authority"))).otherwise(F.lit(""))
-    merged = F.when(c(r + "path").startswith("/"), c(r + "path")) \
-        .otherwise(_merge_path(c(b + "path"), c(r + "path"), c(b + "has_auth")))
-    df = df.withColumn(r + "dots", _remove_dots(merged))
-    res = (F.when(c(base).isNull() | (c(base) == ""), c(r + "c"))
-           .when(F.coalesce(c(href), F.lit("")) == "", c(base))
-           .when(~((c(r + "scheme") == "") | (c(r + "scheme") == c(b + "scheme"))), c(r + "c"))
-           .when(c(r + "has_auth"), F.concat(pre, F.lit("//"), c(r + "authority"), c(r + "path"),
-                                            q(r + "has_query", r + "query"), fr))
-           .when(c(r + "path") == "", F.concat(pre, auth, c(b + "path"),
-                                              F.when(c(r + "has_query"), F.concat(F.lit("?"), c(r + "query")))
-                                              .when(c(b + "has_query"), F.concat(F.lit("?"), c(b + "query")))
-                                              .otherwise(F.lit("")), fr))
-           .otherwise(F.concat(pre, auth, c(r + "dots"), q(r + "has_query", r + "query"), fr)))
-    return _drop_prefixed(_drop_prefixed(df.withColumn(out, res), r), b)
+
+    def decode(x):
+        esc = F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")
+        return F.coalesce(F.try_url_decode(esc), x)
+
+    def target(p):
+        pairs = F.filter(F.split(p["query"], "&"), lambda x: x.rlike("^[^=]*=.") & (decode(F.substring_index(x, "=", 1)) == profile.redirect_param))
+        first = F.when(F.size(pairs) > 0, decode(F.regexp_replace(F.element_at(pairs, 1), "^[^=]*=", "")))
+        return F.when(p["path"] == profile.redirect_path, first)
+
+    return F.when(v.contains(profile.redirect_path), F.coalesce(let(url_parts(v), target), v)).otherwise(v)
 
 
 def sanitize_df(df, col: str, out: str, profile: SiteProfile = DEFAULT_PROFILE):
-    """P10 on one column in staged form: NULL when the value hides a
-    dangerous scheme (P7, also after unwrapping the redirect, P8), else
-    the unwrapped value made absolute (P9). Empty values pass through.
-    Apply it to the *distinct* values of a link column and join back."""
-    from folio.functions.entities import html_unescape
-    s = "_sz_"
-    c = F.col
-    df = df.withColumn(s + "dec", html_unescape(c(col)))
-    df = with_url_parts(df, col, s + "p_")
-    raw = F.regexp_extract(c(s + "p_query"), "(?:^|&)" + profile.redirect_param + "=([^&]*)", 1)
-    df = df.withColumns({s + "bad": has_dangerous_scheme(c(col), profile, decoded=c(s + "dec")),
-                         s + "raw": raw})
-    hit = c(col).contains(profile.redirect_path) & (c(s + "p_path") == profile.redirect_path) & (c(s + "raw") != "")
-    df = df.withColumn(s + "unw", F.when(hit, F.coalesce(F.try_url_decode(c(s + "raw")), c(s + "raw"))).otherwise(c(col)))
-    df = df.withColumn(s + "dec2", html_unescape(c(s + "unw")))
-    df = with_url_parts(df, s + "unw", s + "q_")
-    keep = (c(s + "unw").startswith("http://") | c(s + "unw").startswith("https://") | c(s + "unw").startswith("#")
-            | c(s + "unw").startswith("mailto:") | c(s + "unw").startswith("tel:") | (c(s + "q_scheme") != ""))
-    df = df.withColumns({s + "bad2": has_dangerous_scheme(c(s + "unw"), profile, decoded=c(s + "dec2")),
-                         s + "keep": keep, s + "base": F.lit(profile.base_url)})
-    df = resolve_url_df(df, s + "unw", s + "base", s + "abs")
+    """P10 on one column: NULL when the value hides a dangerous scheme (P7,
+    also after unwrapping the redirect, P8), else the unwrapped value made
+    absolute (P9). Empty values pass through. Apply it to the *distinct*
+    values of a link column and join back; only values with ``&`` are
+    entity-decoded in Python."""
+    from folio.functions.entities import with_unescaped
+    s, c = "_sz_", F.col
+    df = df.withColumn(s + "unw", unwrap_redirect(c(col), profile))
+    df = with_unescaped(with_unescaped(df, col, s + "dec"), s + "unw", s + "dec2")
+    bad = has_dangerous_scheme(c(col), profile, decoded=c(s + "dec")) | has_dangerous_scheme(c(s + "unw"), profile, decoded=c(s + "dec2"))
     res = (F.when(c(col).isNull() | (c(col) == ""), c(col))
-           .when(c(s + "bad") | c(s + "bad2"), F.lit(None).cast("string"))
-           .when(c(s + "keep"), c(s + "unw"))
-           .otherwise(c(s + "abs")))
-    return _drop_prefixed(df.withColumn(out, res), s)
-
-
-def is_post_url_df(df, col: str, out: str, profile: SiteProfile = DEFAULT_PROFILE):
-    """P4 in staged form: ``out`` = is ``col`` a post URL."""
-    p = "_ip_"
-    c = F.col
-    df = df.withColumn(p + "u", fix_backslashes(c(col)))
-    df = with_url_parts(df, p + "u", p)
-    hosts = list(profile.post_hosts)
-    named = [h for h in hosts if h]
-    ports = [int(x) for x in profile.allowed_ports]
-    df = df.withColumn(p + "np", normalize_path(c(p + "path")))
-    np_ = F.when(c(p + "np").startswith("/"), c(p + "np")).otherwise(F.concat(F.lit("/"), c(p + "np")))
-    port_ok = (F.lit(True) if not named else
-               ~c(p + "host").isin(named) | (c(p + "port_status") == "none")
-               | ((c(p + "port_status") == "ok") & c(p + "port_value").isin(ports)))
-    res = F.coalesce(
-        _any_contains(c(p + "u"), profile.post_prefixes) & c(p + "scheme").isin("http", "https", "")
-        & ~((c(p + "scheme") != "") & (c(p + "host") == "")) & c(p + "host").isin(hosts) & port_ok
-        & _any_startswith(np_, profile.post_prefixes), F.lit(False))
-    return _drop_prefixed(df.withColumn(out, res), p)
-
-
-def link_target_df(df, col: str, out: str, profile: SiteProfile = DEFAULT_PROFILE):
-    """P13 URL part in staged form: hrefs starting with ``http`` kept,
-    others resolved against the site base URL."""
-    df = df.withColumn("_lt_base", F.lit(profile.base_url))
-    df = resolve_url_df(df, col, "_lt_base", "_lt_res")
-    return df.withColumn(out, F.when(F.col(col).startswith("http"), F.col(col)).otherwise(F.col("_lt_res"))) \
-        .drop("_lt_base", "_lt_res")
+           .when(bad, F.lit(None).cast("string"))
+           .otherwise(absolutize_link(c(s + "unw"), profile)))
+    return df.withColumn(out, res).drop(s + "unw", s + "dec", s + "dec2")
 
 
 def classify_links_df(df, href: str, profile: SiteProfile = DEFAULT_PROFILE):
     """P13 for a link table: adds ``url`` (target) and ``is_post``; the
     rules run once per *distinct* href and are joined back, so a link
     repeated across millions of pages costs one evaluation."""
-    from folio.session import materialize
     hv = df.select(F.col(href).alias("_h")).where(F.col("_h").isNotNull()).distinct()
-    # the distinct-href table is small; checkpoints between the rule stages
-    # keep the optimizer from re-inlining one stage into the next
-    hv = materialize(link_target_df(hv, "_h", "url", profile))
-    hv = materialize(is_post_url_df(hv, "url", "is_post", profile))
-    return df.join(hv.withColumnRenamed("_h", href), href, "left")
-
-
-def validate_url_df(df, col: str, out_url: str, out_error: str, profile: SiteProfile = DEFAULT_PROFILE):
-    """P3 in staged form: adds ``out_url`` (rebuilt safe URL or NULL) and
-    ``out_error`` (reason or NULL) for ``col``."""
-    p = "_vu_"
-    c = F.col
-    df = df.withColumn(p + "u", fix_backslashes(c(col)))
-    df = with_url_parts(df, p + "u", p)
-    dom = profile.domain_suffix
-    allowed = [int(x) for x in profile.allowed_ports]
-    err = (F.when(~c(p + "scheme").isin("http", "https"), F.concat(F.lit("Unsafe URL scheme: "), c(p + "scheme")))
-           .when(~((c(p + "host") == dom) | c(p + "host").endswith("." + dom)),
-                 F.concat(F.lit("Unsafe URL domain: "), c(p + "host")))
-           .when(c(p + "port_status") == "bad", F.concat(F.lit("Invalid URL port: "), c(p + "port")))
-           .when(~((c(p + "port_status") == "none") | c(p + "port_value").isin(allowed)),
-                 F.concat(F.lit("Unsafe URL port: "), c(p + "port_value").cast("string"))))
-    netloc = F.concat(c(p + "host"), F.when(c(p + "port_status") == "ok",
-                                            F.concat(F.lit(":"), c(p + "port_value").cast("string"))).otherwise(F.lit("")))
-    rebuilt = F.concat(c(p + "scheme"), F.lit("://"), netloc, c(p + "path"),
-                       F.when(c(p + "c").rlike("^[^#]*\\?"), F.concat(F.lit("?"), c(p + "query"))).otherwise(F.lit("")),
-                       F.when(c(p + "has_frag"), F.concat(F.lit("#"), c(p + "fragment"))).otherwise(F.lit("")))
-    df = df.withColumn(out_error, err)
-    df = df.withColumn(out_url, F.when(c(out_error).isNull(), rebuilt))
-    return _drop_prefixed(df, p)
+    hv = hv.select(F.col("_h").alias(href), link_target("_h", profile).alias("url"))
+    hv = hv.withColumn("is_post", is_post_url("url", profile))
+    return df.join(hv, href, "left")

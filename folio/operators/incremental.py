@@ -8,36 +8,74 @@ appends the new records. A snapshot diff is a full outer join on URL.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio import schemas
 from folio.functions import urls
 from folio.profile import DEFAULT_PROFILE, SiteProfile
 
-# ---- fixed values: charsets decoded natively; others fall back to UTF-8 ----
-NATIVE_CHARSETS = ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE")
+# ---- fixed values: names of the charsets that built-in functions decode ----
+UTF8 = ("utf-8", "utf8")
+LATIN1 = ("iso-8859-1", "iso8859-1", "latin-1", "latin1", "l1", "8859", "cp819")
+ASCII = ("us-ascii", "ascii", "646")
+CP1252 = ("windows-1252", "cp1252", "1252")
+# ---- fixed values: characters of windows-1252 at 0x80-0x9F (five are undefined) ----
+CP1252_HIGH = "\u20ac\ufffd\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\ufffd\u017d\ufffd" \
+              "\ufffd\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\ufffd\u017e\u0178"
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("known", T.BooleanType())]))
+def _decode_other(body: pd.Series, charset: pd.Series) -> pd.DataFrame:
+    def one(b, c):
+        try:
+            return (None if b is None else bytes(b).decode(c, "replace")), True
+        except (LookupError, ValueError):
+            return None, False
+    return pd.DataFrame([one(b, c) for b, c in zip(body, charset)], columns=["text", "known"])
+
+
+def decode_bodies(crawl: DataFrame, out: str = "html") -> DataFrame:
+    """``out`` = the body by its declared charset (UTF-8 if none), invalid
+    bytes replaced; ``charset_known`` is false for a name that nothing
+    decodes. Common charsets stay in the JVM; only rows of other ones reach
+    Python's codecs."""
+    cs = F.lower(F.coalesce(F.nullif(F.trim(F.col("encoding")), F.lit("")), F.lit("utf-8")))
+    tagged = crawl.withColumn("_cs", F.replace(cs, F.lit("_"), F.lit("-")))
+    c, latin = F.col("_cs"), F.expr("decode(body, 'ISO-8859-1')")
+    controls = "".join(chr(x) for x in range(0x80, 0xA0))
+    native = (F.when(c.isin(*LATIN1), latin)
+              .when(c.isin(*ASCII), F.regexp_replace(latin, "[\\x80-\\xff]", "\ufffd"))
+              .when(c.isin(*CP1252), F.translate(latin, controls, CP1252_HIGH))
+              .otherwise(F.expr("make_valid_utf8(cast(body AS STRING))")))
+    inside = c.isin(*UTF8, *LATIN1, *ASCII, *CP1252)
+    own = tagged.where(inside).withColumns({out: native, "charset_known": F.lit(True)})
+    other = (tagged.where(~inside).withColumn("_d", _decode_other("body", "_cs"))
+             .withColumns({out: F.col("_d.text"), "charset_known": F.col("_d.known")}).drop("_d"))
+    return own.unionByName(other).drop("_cs")
+
+
+# ---- fixed values: messages of rejected responses ----
+HTTP_ERROR, BAD_TYPE, TOO_LARGE = "HTTP error ", "Unexpected Content-Type: ", "Response too large: exceeds {} bytes"
 
 
 def admit_responses(crawl: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -> DataFrame:
     """Keep a record when its status is not an error, its MIME type
-    (before ``;``, trimmed, lower-cased) is allowed or absent, and its body
-    is at most ``max_bytes``; decode the body with the declared charset
-    (default UTF-8, invalid bytes replaced). Rejected rows keep a
-    ``reject_reason`` and a NULL ``html``."""
+    (before ``;``, trimmed, lower-cased) is allowed or absent, its charset is
+    known and, if the profile sets ``max_bytes``, its body is no larger; decode
+    the body. Rejected rows keep a ``reject_reason`` and a NULL ``html``."""
     ct = F.coalesce(F.col("content_type"), F.lit(""))
     mime = F.lower(F.trim(F.split_part(ct, F.lit(";"), F.lit(1))))
-    enc = F.upper(F.coalesce(F.nullif(F.trim(F.col("encoding")), F.lit("")), F.lit("UTF-8")))
-    decoded = F.when(enc.isin("UTF-8", "UTF8"), F.expr("make_valid_utf8(cast(body AS STRING))"))
-    for cs in NATIVE_CHARSETS[1:]:
-        decoded = decoded.when(enc == cs, F.expr(f"decode(body, '{cs}')"))
-    decoded = decoded.otherwise(F.expr("make_valid_utf8(cast(body AS STRING))"))
-    reason = (F.when(F.col("status") >= 400, F.concat(F.lit("HTTP error "), F.col("status").cast("string")))
-              .when((ct != "") & ~mime.isin(list(profile.mime_allow)),
-                    F.concat(F.lit("Unexpected Content-Type: "), F.col("content_type")))
-              .when(F.length("body") > profile.max_bytes, F.lit(f"Response too large: exceeds {profile.max_bytes} bytes")))
-    return crawl.withColumn("reject_reason", reason).withColumn(
-        "html", F.when(F.col("reject_reason").isNull(), decoded))
+    reason = (F.when(F.col("status") >= 400, F.concat(F.lit(HTTP_ERROR), F.col("status").cast("string")))
+              .when((ct != "") & ~mime.isin(list(profile.mime_allow)), F.concat(F.lit(BAD_TYPE), F.col("content_type"))))
+    if profile.max_bytes is not None:
+        reason = reason.when(F.length("body") > profile.max_bytes, F.lit(TOO_LARGE.format(profile.max_bytes)))
+    reason = reason.when(~F.col("charset_known"), F.concat(F.lit("Unknown charset: "), F.col("encoding")))
+    decoded = decode_bodies(crawl, "_html").withColumn("reject_reason", reason)
+    return (decoded.withColumn("html", F.when(F.col("reject_reason").isNull(), F.col("_html")))
+            .select(*crawl.columns, "reject_reason", "html"))
 
 
 def resolve_redirects(start: DataFrame, crawl: DataFrame, profile: SiteProfile = DEFAULT_PROFILE,
@@ -46,45 +84,47 @@ def resolve_redirects(start: DataFrame, crawl: DataFrame, profile: SiteProfile =
     ``crawl`` table: each hop's URL is validated (P3), a relative target
     is resolved against the current URL, a redirect without ``Location``
     is a final response, and at most ``max_requests`` requests are made
-    (so ``max_requests - 1`` redirects). Unrolled left joins -- no
-    recursion. Returns ``url, final_url, hops, error``."""
+    (so ``max_requests - 1`` redirects). Unrolled left joins in one plan; a
+    target that many chains meet at is one row of ``crawl``, and its joins
+    are split by AQE. Returns ``url, final_url, last_url, hops, error``;
+    ``last_url`` is the last one reached, also after an error."""
     n = max_requests or profile.max_requests
     resp = crawl.select(F.col("url").alias("_cur"), F.col("status").alias("_st"), F.col("location").alias("_loc"))
     cur = start.select("url", F.col("url").alias("_cur"), F.lit(0).alias("hops"),
                        F.lit(None).cast("string").alias("error"), F.lit(False).alias("done"))
     for _ in range(n):
-        cur = urls.validate_url_df(cur, "_cur", "_vurl", "_verr", profile)
+        cur = cur.withColumn("_v", F.when(~F.col("done"), urls.validate_url("_cur", profile)))
         cur = cur.withColumns({
-            "error": F.when(~F.col("done") & F.col("_verr").isNotNull(), F.col("_verr")).otherwise(F.col("error")),
-            "done": F.col("done") | F.col("_verr").isNotNull(),
-            "_cur": F.when(~F.col("done") & F.col("_verr").isNull(), F.col("_vurl")).otherwise(F.col("_cur")),
-        }).drop("_vurl", "_verr")
+            "error": F.coalesce("error", F.col("_v.error")),
+            "done": F.col("done") | F.col("_v.error").isNotNull(),
+            "_cur": F.coalesce(F.col("_v.url"), F.col("_cur")),
+        }).drop("_v")
         cur = cur.join(resp, "_cur", "left")
         redirect = (~F.col("done") & F.col("_st").between(300, 399) & (F.coalesce(F.col("_loc"), F.lit("")) != ""))
-        cur = cur.withColumn("_redirect", redirect)
-        cur = urls.resolve_url_df(cur, "_loc", "_cur", "_next")
+        cur = cur.withColumn("_redirect", F.coalesce(redirect, F.lit(False)))
         cur = cur.withColumns({
-            "_cur": F.when(F.col("_redirect"), F.col("_next")).otherwise(F.col("_cur")),
-            "hops": F.when(F.col("_redirect"), F.col("hops") + 1).otherwise(F.col("hops")),
             "error": F.when(~F.col("done") & ~F.col("_redirect") & F.col("_st").isNull(), F.lit("No response"))
             .otherwise(F.col("error")),
+            "hops": F.when(F.col("_redirect"), F.col("hops") + 1).otherwise(F.col("hops")),
             "done": F.col("done") | ~F.col("_redirect"),
-        }).drop("_st", "_loc", "_next", "_redirect")
-        from folio.session import materialize
-        cur = materialize(cur)
+            "_cur": F.when(F.col("_redirect"), urls.resolve_url("_loc", "_cur")).otherwise(F.col("_cur")),
+        }).drop("_st", "_loc", "_redirect")
     return cur.select("url", F.when(F.col("error").isNull() & F.col("done"), F.col("_cur")).alias("final_url"),
-                      "hops", F.when(~F.col("done"), F.lit("Exceeded maximum redirects")).otherwise(F.col("error"))
-                      .alias("error"))
+                      F.col("_cur").alias("last_url"), "hops",
+                      F.when(~F.col("done"), F.lit("Exceeded maximum redirects")).otherwise(F.col("error")).alias("error"))
 
 
-def read_post_cache(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_post_cache(spark: SparkSession, path: str, fmt: str = "parquet", key_pattern: str = "([^/]*?)(?:\\.json)?$") -> DataFrame:
     """The cache table; missing fields read as ``''``. ``fmt='json'``
-    imports one-record-per-file JSON (PERMISSIVE): corrupt or non-object
-    records count as misses (dropped)."""
+    imports one-record-per-file JSON: the key is taken
+    from the file's path by ``key_pattern`` (by default its name), and a corrupt
+    record, a list or another non-object is a miss (dropped)."""
     if fmt == "json":
-        schema = schemas.POST_CACHE.add("_corrupt_record", "string")
-        df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true").json(path))
-        df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+        files = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+        rec = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+        df = (files.where(F.ltrim("value").startswith("{")).withColumn("_r", rec).where("_r IS NOT NULL AND size(_r) > 0")
+              .select(F.regexp_extract("_file", key_pattern, 1).alias("url_key"), F.col("_r")["url"].alias("url"),
+                      *[F.col("_r")[c].alias(c) for c in ("markdown", "author", "posted_date")]))
     else:
         df = spark.read.schema(schemas.POST_CACHE).parquet(path)
     return df.select("url_key", "url", *[F.coalesce(F.col(c), F.lit("")).alias(c)
@@ -135,8 +175,9 @@ def incremental_posts(stubs: DataFrame, cache: DataFrame, extract) -> tuple[Data
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "url", value: str = "markdown") -> DataFrame:
     """J6 / ST3: ``key, change`` in added / removed / changed / same, by a
     full outer join on the key and a comparison of content hashes."""
-    o = old.select(key, F.sha2(F.col(value), 256).alias("_ho"))
-    n = new.select(key, F.sha2(F.col(value), 256).alias("_hn"))
+    digest = F.coalesce(F.sha2(F.col(value), 256), F.lit("null"))  # a NULL text is a value
+    o = old.select(key, digest.alias("_ho"))
+    n = new.select(key, digest.alias("_hn"))
     j = o.join(n, key, "full")
     change = (F.when(F.col("_ho").isNull(), F.lit("added")).when(F.col("_hn").isNull(), F.lit("removed"))
               .when(F.col("_ho") != F.col("_hn"), F.lit("changed")).otherwise(F.lit("same")))

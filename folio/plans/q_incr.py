@@ -33,27 +33,55 @@ _S2_PROFILE = dataclasses.replace(PR, max_bytes=20000)
 _CT = ("CASE doc_id % 6 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'application/xhtml+xml'"
        " WHEN 2 THEN 'application/octet-stream' WHEN 3 THEN NULL WHEN 4 THEN 'image/png' ELSE ' TEXT/HTML ' END")
 _ST = "CASE doc_id % 9 WHEN 2 THEN 404 WHEN 3 THEN 500 ELSE 200 END"
+# charsets by document: (declared name, Spark body, decoded text in DuckDB); the
+# bodies end in bytes that the charset can't hold, or in its own special ones
+_HIGH = "regexp_replace(text, '[^ -~]', '?'{g})"
+_CHARSETS = [
+    ("NULL", "concat(encode(text, 'UTF-8'), X'E2FF')", "text || chr(65533) || chr(65533)"),
+    ("'utf8'", "encode(text, 'UTF-8')", "text"),
+    ("'US-ASCII'", f"concat(encode({_HIGH.format(g='')}, 'UTF-8'), X'E9')", _HIGH.format(g=", 'g'") + " || chr(65533)"),
+    ("'latin-1'", f"concat(encode({_HIGH.format(g='')}, 'UTF-8'), X'E9')", _HIGH.format(g=", 'g'") + " || chr(233)"),
+    ("'windows-1252'", f"concat(encode({_HIGH.format(g='')}, 'UTF-8'), X'8096')", _HIGH.format(g=", 'g'") + " || chr(8364) || chr(8211)"),
+    ("'gbk'", f"concat(encode({_HIGH.format(g='')}, 'UTF-8'), X'C4E3')", _HIGH.format(g=", 'g'") + " || chr(20320)"),
+    ("'UTF-16LE'", "concat(encode(text, 'UTF-16LE'), X'00D8')", "text || chr(65533)"),
+    ("'no-such-charset'", "encode(text, 'UTF-8')", "NULL"),
+]
+
+
+def _by_charset(k: int) -> str:
+    return "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {c[k]}" for i, c in enumerate(_CHARSETS)) + " END"
+
+
+_BAD = f"""CASE WHEN {_ST} >= 400 THEN 'HTTP error ' || CAST({_ST} AS VARCHAR)
+       WHEN COALESCE({_CT}, '') <> '' AND lower(trim(split_part({_CT}, ';', 1))) NOT IN ('text/html', 'application/xhtml+xml')
+            THEN 'Unexpected Content-Type: ' || {_CT} WHEN doc_id % 8 = 7 THEN 'Unknown charset: no-such-charset' END"""
 
 
 @register("s2_admit_responses", f"""
-SELECT {POST_URL} AS url,
-  CASE WHEN {_ST} >= 400 THEN 'HTTP error ' || CAST({_ST} AS VARCHAR)
+SELECT url, reject_reason, CASE WHEN reject_reason IS NULL THEN html END AS html
+FROM (SELECT {POST_URL} AS url, {_BAD} AS reject_reason, {_by_charset(2)} AS html FROM documents)
+""")
+def s2_admit_responses(spark, sf):
+    """Crawl records (status, content type and a body per document in
+    one of eight declared charsets, with bad bytes) admitted or rejected."""
+    return incremental.admit_responses(_crawl(spark, sf, _by_charset(0), _by_charset(1))).select("url", "reject_reason", "html")
+
+
+@register("s2_size_limit", f"""
+SELECT {POST_URL} AS url, CASE WHEN {_ST} >= 400 THEN 'HTTP error ' || CAST({_ST} AS VARCHAR)
        WHEN COALESCE({_CT}, '') <> '' AND lower(trim(split_part({_CT}, ';', 1))) NOT IN ('text/html', 'application/xhtml+xml')
             THEN 'Unexpected Content-Type: ' || {_CT}
-       WHEN strlen(text) > 20000 THEN 'Response too large: exceeds 20000 bytes' END AS reject_reason,
-  CASE WHEN {_ST} >= 400 OR (COALESCE({_CT}, '') <> '' AND lower(trim(split_part({_CT}, ';', 1))) NOT IN ('text/html', 'application/xhtml+xml'))
-       OR strlen(text) > 20000 THEN NULL ELSE text END AS html
-FROM documents
+       WHEN strlen(text) > 20000 THEN 'Response too large: exceeds 20000 bytes' END AS reject_reason FROM documents
 """)
-def s2_admit_responses(spark, sf):
-    """Crawl records (status, content type and UTF-8 body per
-    document) admitted or rejected with a reason; size cap 20,000 bytes
-    for this query."""
-    crawl = table(spark, sf, "documents").select(
+def s2_size_limit(spark, sf):
+    """S2 with the optional size limit, here 20,000 bytes."""
+    return incremental.admit_responses(_crawl(spark, sf, "NULL", "encode(text, 'UTF-8')"), _S2_PROFILE).select("url", "reject_reason")
+
+
+def _crawl(spark, sf, encoding: str, content: str):
+    return table(spark, sf, "documents").select(
         F.expr(POST_URL).alias("url"), F.expr(_ST).cast("int").alias("status"), F.lit(None).cast("string").alias("location"),
-        F.expr(_CT).alias("content_type"), F.lit(None).cast("string").alias("encoding"),
-        F.encode("text", "UTF-8").alias("body"))
-    return incremental.admit_responses(crawl, _S2_PROFILE).select("url", "reject_reason", "html")
+        F.expr(_CT).alias("content_type"), F.expr(encoding).cast("string").alias("encoding"), F.expr(content).alias("body"))
 
 
 # ---------------------------------------------------------------- S3 / J5
@@ -153,6 +181,23 @@ FROM documents WHERE doc_id % 2 = 0
 """)(lambda spark, sf: _cache(spark, sf))
 
 
+@register("s4_json", f"""
+SELECT 'k' || CAST(doc_id AS VARCHAR) AS url_key, {POST_URL} AS url, text AS markdown, '' AS author, source AS posted_date
+FROM documents WHERE doc_id % 4 < 2
+""")
+def s4_json(spark, sf):
+    """A folder of JSON records named by key; every second pair of files
+    holds a list or broken JSON instead, which counts as a miss."""
+    path = _scratch(spark, "json-cache")
+    record = F.to_json(F.struct(F.expr(POST_URL).alias("url"), F.col("text").alias("markdown"), F.col("source").alias("posted_date")))
+    value = (F.when(F.col("doc_id") % 4 < 2, record).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("["), record, F.lit("]")))
+             .otherwise(F.concat(F.lit("{\"url\": "), F.col("source"))))
+    # one folder a record: the key is taken from it
+    (table(spark, sf, "documents").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), value.alias("value"))
+     .write.partitionBy("key").text(path))
+    return incremental.read_post_cache(spark, path + "/*/*", "json", "/key=([^/]*)/")
+
+
 @register("j3_attach_content", f"""
 SELECT {POST_URL} AS url, 'Post ' || CAST(doc_id AS VARCHAR) AS title, source AS section,
        {BODY_MD} AS markdown, source AS author, '' AS posted_date FROM documents

@@ -135,7 +135,7 @@ _REBUILT = (f"xscheme || '://' || {_NETLOC} || xpath || CASE WHEN regexp_matches
     f"SELECT case_id, CASE WHEN ({_VALID_ERR}) IS NULL THEN {_REBUILT} END AS safe_url, {_VALID_ERR} AS error FROM x"))
 def p3_validate_url(spark, sf_dir):
     """Safe-URL validation with the reason as data."""
-    c = urls.validate_url_df(_cases(spark, sf_dir), "raw", "safe_url", "error")
+    c = _cases(spark, sf_dir).withColumn("v", urls.validate_url("raw")).withColumns({"safe_url": F.col("v.url"), "error": F.col("v.error")})
     return c.select("case_id", "safe_url", "error")
 
 
@@ -223,7 +223,36 @@ _DANGER = " OR ".join(f"starts_with(t, '{s}')" for s in PR.dangerous_schemes)
 def p7_has_dangerous_scheme(spark, sf_dir):
     """Entity-decode, percent-decode, drop whitespace and control
     characters, lower-case, then test the dangerous scheme prefixes."""
-    from folio.functions.entities import html_unescape
-    c = _cases(spark, sf_dir).withColumn("_dec", html_unescape(F.col("raw")))
+    from folio.functions.entities import with_unescaped
+    c = with_unescaped(_cases(spark, sf_dir), "raw", "_dec")
     return c.select("case_id", "raw", F.coalesce(urls.has_dangerous_scheme("raw", decoded=F.col("_dec")),
                                                  F.lit(False)).alias("dangerous"))
+
+
+# redirect links of every document: blank, repeated and encoded names, a stray %
+_OUT = "CASE doc_id % 5 WHEN 0 THEN '/out?url=&url=' WHEN 1 THEN '/out?%75rl=' WHEN 2 THEN '/out?a=b&url=50%&url=' WHEN 3 THEN '/out?url' ELSE '/out?x=1&url=' END"
+
+
+@register("p8_redirect_pairs", f"""
+SELECT doc_id, CASE doc_id % 5 WHEN 2 THEN '50%' WHEN 3 THEN '/out?urlhttps%3A%2F%2Fx.example%2F' || CAST(doc_id AS VARCHAR) || '+z'
+               ELSE 'https://x.example/' || CAST(doc_id AS VARCHAR) || ' z' END AS target FROM documents
+""")
+def p8_redirect_pairs(spark, sf_dir):
+    """The query is read as pairs; blank values are skipped, names and
+    values decoded, a stray ``%`` kept."""
+    from folio.sources.pages import table
+    link = F.concat(F.expr(_OUT), F.lit("https%3A%2F%2Fx.example%2F"), F.col("doc_id").cast("string"), F.lit("+z"))
+    return table(spark, sf_dir, "documents").select("doc_id", urls.unwrap_redirect(link).alias("target"))
+
+
+_KEEP = ("CASE doc_id % 5 WHEN 0 THEN '/posts/' WHEN 1 THEN 'https://other.example.com/posts/' WHEN 2 THEN 'http:///posts/'"
+         " WHEN 3 THEN '/s/../handbook/' ELSE '/a/../posts/' END")
+
+
+@register("p13_keep_link", "SELECT doc_id, doc_id % 5 IN (0, 4) AND doc_id % 3 <> 0 AS kept FROM documents")
+def p13_keep_link(spark, sf_dir):
+    """Href and anchor text present, target a post of the site."""
+    from folio.sources.pages import table
+    href = F.concat(F.expr(_KEEP), F.col("doc_id").cast("string"), F.lit("/x"))
+    anchor = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", urls.keep_link(href, anchor).alias("kept"))

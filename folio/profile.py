@@ -37,7 +37,7 @@ class SiteProfile:
     redirect_param: str = "url"
     license_phrases: tuple[str, ...] = ("creative commons", "cc by")
     default_section: str = "Introduction"
-    max_bytes: int = 10 * 1024 * 1024
+    max_bytes: int | None = None         # reject larger bodies; off by default, as a table holds them anyway
     max_requests: int = 5
     mime_allow: tuple[str, ...] = ("text/html", "application/xhtml+xml")
     inline_literal_tags: tuple[str, ...] = ("kbd", "q", "cite", "del", "s", "mark", "u", "ins")
@@ -51,7 +51,6 @@ class SiteProfile:
     compiler_name: str = "the corpus compiler"
     repo_url: str = "https://example.org/corpus-compiler"
     # ---- flags for documented quirks (K = keep as default) ----
-    relative_base: str = "site"          # 'site' (original) or 'page'
     cache_placeholders: bool = False     # original caches placeholders; we cache successes only
 
 

@@ -12,32 +12,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "folio") -> SparkSession:
     """Return a session configured for the folio jobs.
 
-    On a cluster the master, memory and checkpoint folder come from the
-    submit configuration; locally (tests, bench) a ``local[N]`` session is
-    built with AQE on and the UI off.
+    On a cluster everything (memory, shuffle partitions, checkpoint folder)
+    comes from the submit configuration; only a local master (tests, bench)
+    gets defaults here. AQE is on by Spark's own default.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("FOLIO_SHUFFLE_PARTITIONS", "8"))
-    spark = (
-        builder
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    # pages are up to max_bytes each: keep Arrow input batches of the parse
-    # small unless the cluster configuration says otherwise
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the built-in default
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
+    if master and master.startswith("local"):
+        builder = (builder
+                   .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+                   .config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "16g"))
+                   .config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false"))
+    spark = builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if master and master.startswith("local"):
+        spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
