@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import textvec
-from folio.llm.common import sliced
+from folio.llm.common import saved, sliced
 
 TOP = 300
 MIN_CHARS, MIN_WORDS = 200, 100
@@ -140,7 +140,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
     """For each language: shares of character classes, sorted hashes of the
     common words, and their shares with that of all other words last. At most
     ``TOP`` + ``CLASSES`` + 1 rows a language come to the driver."""
-    counts = language_counts(docs)
+    counts = saved(language_counts(docs))  # read three times below
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "cell"))
     top = counts.where("kind = 1").withColumn("rank", rank).where(F.col("rank") <= TOP).select("lang", "kind", "cell", "n")
     whole = counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).select("lang", (F.col("kind") + 2).alias("kind"), F.lit(0).cast("long").alias("cell"), "n")
