@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from folio import schemas
 from folio.functions import urls
 from folio.profile import DEFAULT_PROFILE, SiteProfile
+from folio.session import materialize
 
 # ---- fixed values: names of the charsets that built-in functions decode ----
 UTF8 = ("utf-8", "utf8")
@@ -131,6 +132,12 @@ def read_post_cache(spark: SparkSession, path: str, fmt: str = "parquet", key_pa
                                          for c in ("markdown", "author", "posted_date")])
 
 
+def has_cache(spark: SparkSession, path: str) -> bool:
+    """Whether the cache folder exists (asked of its own file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_post_cache(records: DataFrame, path: str) -> None:
     """Append extracted records (markdown, author, date -- title and
     section come from the index) to the cache table. Write errors fail
@@ -160,16 +167,19 @@ def attach_content(stubs: DataFrame, extracted: DataFrame) -> DataFrame:
                                       for c in ("markdown", "author", "posted_date")])
 
 
-def incremental_posts(stubs: DataFrame, cache: DataFrame, extract) -> tuple[DataFrame, DataFrame]:
+def incremental_posts(stubs: DataFrame, cache: DataFrame, extract, profile: SiteProfile = DEFAULT_PROFILE) -> tuple[DataFrame, DataFrame]:
     """Cache-or-compute. Hits are filled from the cache and never
     re-extracted; misses go through ``extract(missing_stubs) -> url,
     markdown, author, posted_date``. Returns ``(posts, new_cache_rows)``;
-    the caller appends the new rows (S5)."""
+    the caller appends the new rows (S5). Rows without a body (``rule`` 0) are
+    not cached unless the profile says so."""
     hits = fill_from_cache(stubs, cache).drop("url_key")
     miss = missing_from_cache(stubs, cache).drop("url_key")
-    fresh = attach_content(miss, extract(miss))
+    made = materialize(extract(miss))  # read by both results, extracted once
+    fresh = attach_content(miss, made)
     posts = hits.select(*fresh.columns).unionByName(fresh)
-    return posts, fresh.select("url", "markdown", "author", "posted_date")
+    new = made if profile.cache_placeholders or "rule" not in made.columns else made.where("rule > 0")
+    return posts, new.select("url", "markdown", "author", "posted_date")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "url", value: str = "markdown") -> DataFrame:

@@ -198,6 +198,14 @@ class NodeTableBuilder(HTMLParser):
             return
         self._new(kind, None, None, None, data)
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` that is no known declaration is a comment up to ``>``,
+        or up to the end."""
+        j = self.rawdata.find(">", i)
+        j = len(self.rawdata) - 1 if j < 0 else j
+        self.handle_comment(self.rawdata[i + 2:j])
+        return j + 1
+
     def handle_comment(self, data):
         self._new("comment", None, None, None, data)
 
@@ -207,9 +215,19 @@ class NodeTableBuilder(HTMLParser):
         self.end_id[0] = len(self.kind) - 1
 
 
-def parse_document(html: str | None) -> NodeTableBuilder:
+def parse_document(html: str | None, strict: bool = False) -> NodeTableBuilder:
+    """The node table of one page. A page that the tokenizer cannot read
+    becomes its document row and one row of kind ``error`` with the reason,
+    unless ``strict`` asks for the error itself."""
     b = NodeTableBuilder()
-    if html:
-        b.feed(html)
-    b.finish()
+    try:
+        if html:
+            b.feed(html)
+        b.finish()
+    except Exception as e:
+        if strict:
+            raise
+        b = NodeTableBuilder()
+        b._new("error", None, None, None, f"{type(e).__name__}: {e}")
+        b.finish()
     return b

@@ -34,12 +34,9 @@ def register(name: str, sql: str | None = None):
 
 
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 over the whole ``pages`` table, parsed once, hash-partitioned by
-    ``page_id`` and checkpointed so every later join/window on the page
-    reuses one exchange and one parse."""
-    pages = scan_pages(spark, f"{sf_dir}/pages.parquet")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(dom.html_nodes(pages).repartition(n, "page_id"))
+    """D1 over the whole ``pages`` table, parsed once into a Parquet node
+    table; later scans read only the columns and kinds they need."""
+    return materialize(dom.html_nodes(scan_pages(spark, f"{sf_dir}/pages.parquet")))
 
 
 # --------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators import body, clean, dom, index, metadata, render
+from folio.operators import body, clean, dom, index, metadata, posts, render
 from folio.plans.catalog import page_nodes, register
 from folio.plans.sqlkit import html_decode_sql, strip_tags_sql
 from folio.profile import DEFAULT_PROFILE as PR
@@ -42,8 +42,7 @@ def _doc_pages(spark, sf_dir, html_sql: str, url_sql: str = POST_URL) -> DataFra
 
 
 def _nodes_of(pages: DataFrame) -> DataFrame:
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(dom.html_nodes(pages).repartition(n, "page_id"))
+    return materialize(dom.html_nodes(pages))
 
 
 def _page(head: str, body_sql: str) -> str:
@@ -192,15 +191,7 @@ def d17_body_or_placeholder(spark, sf_dir):
     largest div, rendered to Markdown; the placeholder when no body
     exists. ``rule`` 1-4 as chosen, 0 = placeholder."""
     pages = _doc_pages(spark, sf_dir, _page("''", _BODY_CASE))
-    nodes = _nodes_of(pages)
-    chosen = body.choose_body(nodes)
-    md = render.html_to_markdown(clean.drop_noise(clean.scope_nodes(nodes, chosen)))
-    j = (pages.select("page_id", "url").join(chosen.select("page_id", "rule"), "page_id", "left")
-         .join(md.select("page_id", "markdown"), "page_id", "left"))
-    return j.select("page_id", F.coalesce("rule", F.lit(0)).cast("bigint").alias("rule"),
-                    F.when(F.col("rule").isNull(), F.concat(F.lit("*Content could not be extracted from "),
-                                                            F.col("url"), F.lit("*")))
-                    .otherwise(F.col("markdown")).alias("markdown"))
+    return posts.extract_posts(pages).select("page_id", "rule", "markdown")
 
 
 # --- noise / hidden / comment sections (D2-D5) ---------------------------
@@ -291,6 +282,70 @@ def d19_rewrites_and_links(spark, sf_dir):
     return md.select("page_id", "markdown")
 
 
+# --- blocks (D19): lists, code, quotes and tables of every document ---------
+_W = f"regexp_replace({SRC}, '[^a-z0-9]', '')"
+_BLOCKS = [
+    (f"concat('<ol>\n<li>', {SRC}, '</li>\n<li>two</li>\n<li>', {ID}, '</li>\n</ol>')",
+     f"concat('1. ', {SRC}, chr(10), '2. two', chr(10), '3. ', {ID})"),
+    (f"concat('<ul><li>', {SRC}, '<ul><li>in</li><li>', {ID}, '</li></ul></li><li>out</li></ul>')",
+     f"concat('* ', {SRC}, chr(10), '  + in', chr(10), '  + ', {ID}, chr(10), '* out')"),
+    (f"concat('<ul>\n <li><p>', {SRC}, '</p></li>\n <li><p>', {ID}, '</p>\n<p>more</p></li></ul>')",
+     f"concat('* ', {SRC}, chr(10), chr(10), '* ', {ID}, chr(10), chr(10), '  more')"),
+    (f"concat('<pre>if x:\n    ', {SRC}, '\n\n\n  ', {ID}, '\n</pre><p>end</p>')",
+     f"concat('```', chr(10), 'if x:', chr(10), '    ', {SRC}, chr(10), chr(10), chr(10), '  ', {ID}, chr(10), '```', chr(10), chr(10), 'end')"),
+    (f"concat('<blockquote>\n<p>', {SRC}, '</p>\n<p>', {ID}, '</p></blockquote><p>end</p>')",
+     f"concat('> ', {SRC}, chr(10), '>', chr(10), '> ', {ID}, chr(10), chr(10), 'end')"),
+    (f"concat('<table><tr><th>a</th><th>', {SRC}, '</th></tr><tr><td>', {ID}, '</td><td>b</td></tr></table>')",
+     f"concat('| a | ', {SRC}, ' |', chr(10), '| --- | --- |', chr(10), '| ', {ID}, ' | b |')"),
+]
+_BL_HTML = f"CASE doc_id % {len(_BLOCKS)}" + "".join(f" WHEN {i} THEN {h}" for i, (h, _) in enumerate(_BLOCKS)) + " END"
+_BL_MD = f"CASE doc_id % {len(_BLOCKS)}" + "".join(f" WHEN {i} THEN {m}" for i, (_, m) in enumerate(_BLOCKS)) + " END"
+
+
+@register("d19_blocks", f"SELECT doc_id AS page_id, concat_ws(chr(10) || chr(10), {_BL_MD}, NULLIF({BODY_MD}, '')) AS markdown FROM documents")
+def d19_blocks(spark, sf_dir):
+    """D19 round trip: ordered, nested and loose lists, indented code with
+    blank lines, quotes of two paragraphs, tables, before each text."""
+    pages = _doc_pages(spark, sf_dir, _page("''", f"concat('<div class=\"postBody\">', {_BL_HTML}, '<p>', {ESC}, '</p></div>')"))
+    return posts.extract_posts(pages).select("page_id", "markdown")
+
+
+_DEEP = (f"concat('<div class=\"postBody\"><p>', {ESC}, '</p>', CASE doc_id % 3"
+         f" WHEN 0 THEN concat(repeat('<div>', 45), '<span>Licensed under CC BY 4.0.</span>', repeat('</div>', 45))"
+         f" WHEN 1 THEN '<p>Under <abbr title=\"Creative Commons\">C</abbr></p>'"
+         f" ELSE '<p>See <a href=\"/l\" title=\"CC BY\"></a></p>' END, '</div>')")
+
+
+# the link goes first; what is left of its paragraph no longer mentions a licence
+@register("d18_nested", f"SELECT doc_id AS page_id, concat_ws(chr(10) || chr(10), NULLIF({BODY_MD}, ''), CASE doc_id % 3 WHEN 2 THEN 'See' END) AS markdown FROM documents")
+def d18_nested(spark, sf_dir):
+    """D18 round trip: licence text 45 elements deep, and licences that only
+    an abbreviation's or an empty link's title names."""
+    return posts.extract_posts(_doc_pages(spark, sf_dir, _page("''", _DEEP))).select("page_id", "markdown")
+
+
+_P10 = ["'javascript:x'", "'&#x6A;ava&#x0A;script:x'", "'%6A%61vascript:x'", "'/out?url=vbscript%3Ax'", "'DATA:text/html,x'",
+        f"concat('/a/', {ID})", f"concat('https://x.example.com/', {ID})", f"concat('/out?url=https%3A%2F%2Fy.example.com%2F', {ID})", "'#top'", "''"]
+_P10_OUT = ["NULL", "NULL", "NULL", "NULL", "NULL", f"concat('{_B}/a/', {ID})", f"concat('https://x.example.com/', {ID})",
+            f"concat('https://y.example.com/', {ID})", "'#top'", "''"]
+
+
+def _p10(values) -> str:
+    return "CASE doc_id % 10 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@register("p10_sanitize_links", f"SELECT doc_id AS page_id, {_p10(_P10_OUT)} AS href, {_p10(_P10_OUT)} AS src FROM documents")
+def p10_sanitize_links(spark, sf_dir):
+    """P10: ``href`` of a link and ``src`` of an image per document,
+    sanitised on the node table."""
+    link = _p10(_P10)
+    pages = _doc_pages(spark, sf_dir, _page("''", f"concat('<div class=\"postBody\"><a href=\"', {link}, '\">t</a><img src=\"', {link}, '\"></div>')"))
+    nodes = _nodes_of(pages)
+    rw = render.rewrite_nodes(clean.scope_nodes(nodes, body.find_body(nodes)))
+    return (rw.where(F.col("tag").isin("a", "img")).groupBy("page_id")
+            .agg(F.max(F.when(F.col("tag") == "a", F.col("href"))).alias("href"), F.max(F.when(F.col("tag") == "img", F.col("src"))).alias("src")))
+
+
 # --- metadata (M1-M10) ------------------------------------------------------
 _DATE_SPARK = "CAST(date_add(DATE'2020-01-01', CAST(doc_id % 1000 AS INT)) AS STRING)"
 _DATE_DUCK = "CAST(DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) AS VARCHAR)"
@@ -307,8 +362,8 @@ def _meta_html(date: str) -> str:
             f" '<script type=\"application/ld+json\">not json</script>',"
             f" CASE WHEN {a} = 1 THEN concat('<meta name=\"author\" content=\" <b>', {SRC}, '</b>  \">') ELSE '' END,"
             f" CASE WHEN {d} = 1 THEN concat('<meta property=\"article:published_time\" content=\"', {ts}, '\">') ELSE '' END)")
-    body_sql = (f"concat('<div class=\"postBody\"><p>', {ESC}, '</p></div>',"
-                f" CASE WHEN {a} = 2 THEN concat('<div class=\"byline\"><a class=\"UsersName-root\" href=\"/u\">', {SRC}, '</a></div>') ELSE '' END,"
+    body_sql = (f"concat(CASE WHEN doc_id % 11 = 3 THEN concat('<p>', {ESC}, '</p>') ELSE concat('<div class=\"postBody\"><p>', {ESC}, '</p></div>') END,"
+                f" CASE WHEN {a} = 2 THEN concat('<p class=\"byline\"><a class=\"UsersName-root\" href=\"/u\">', {SRC}, '</a></p>') ELSE '' END,"
                 f" CASE WHEN {d} = 2 THEN concat('<time datetime=\"', {ts}, '\">', {date}, '</time>') ELSE '' END)")
     return _page(head, body_sql)
 
@@ -317,22 +372,14 @@ def _meta_html(date: str) -> str:
 SELECT doc_id AS page_id, {POST_URL} AS url,
        CASE doc_id % 4 WHEN 3 THEN '' ELSE source END AS author,
        CASE WHEN CAST(floor(doc_id / 4) AS BIGINT) % 4 = 3 THEN '' ELSE {_DATE_DUCK} END AS posted_date,
-       {BODY_MD} AS markdown
+       CASE WHEN doc_id % 11 = 3 THEN concat('*Content could not be extracted from ', {POST_URL}, '*') ELSE {BODY_MD} END AS markdown
 FROM documents
 """)
 def m10_extract_posts(spark, sf_dir):
     """M1-M10 round trip: author from JSON-LD (object or string) / meta
     (tags and whitespace cleaned) / byline, date from JSON-LD / meta /
     ``time``, body Markdown -- one filled post row per page."""
-    pages = _doc_pages(spark, sf_dir, _meta_html(_DATE_SPARK))
-    nodes = _nodes_of(pages)
-    meta = metadata.page_metadata(nodes)
-    chosen = body.choose_body(nodes)
-    md = render.html_to_markdown(clean.drop_noise(clean.scope_nodes(nodes, chosen)))
-    return (pages.select("page_id", "url").join(meta, "page_id", "left")
-            .join(md.select("page_id", "markdown"), "page_id", "left")
-            .select("page_id", "url", "author", "posted_date",
-                    F.coalesce("markdown", F.lit("")).alias("markdown")))
+    return posts.extract_posts(_doc_pages(spark, sf_dir, _meta_html(_DATE_SPARK))).drop("rule")
 
 
 register("m8_author", f"""

@@ -10,19 +10,19 @@ safe too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from folio import schemas
 from folio.functions import urls
 from folio.operators import incremental
+from folio.operators.index import dedup_keep_first
 from folio.profile import DEFAULT_PROFILE, SiteProfile
+from folio.session import materialize
 
 
 def stream_dedup(batch: DataFrame, key: str = "url", order: str = "page_id") -> DataFrame:
     """ST2: first record per key inside a batch (earliest ``order``)."""
-    w = Window.partitionBy(key).orderBy(order)
-    return batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return dedup_keep_first(batch, key, [order], part=None)
 
 
 def stream_new_pages(spark: SparkSession, in_dir: str, cache_dir: str, checkpoint: str, extract,
@@ -32,16 +32,12 @@ def stream_new_pages(spark: SparkSession, in_dir: str, cache_dir: str, checkpoin
     src = spark.readStream.schema(schemas.PAGES).parquet(in_dir)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        pages = stream_dedup(batch)
-        try:
+        pages = materialize(stream_dedup(batch))  # read by the extraction and by its joins
+        if incremental.has_cache(spark, cache_dir):
             cache = incremental.read_post_cache(spark, cache_dir)
             pages = (pages.withColumn("url_key", urls.url_key("url"))
                      .join(cache.select("url_key"), "url_key", "left_anti").drop("url_key"))
-        except Exception as e:  # noqa: BLE001 - an absent cache folder means an empty cache
-            if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
-                raise
-        rows = extract(pages)
-        incremental.append_post_cache(rows, cache_dir)
+        incremental.append_post_cache(extract(pages), cache_dir)
 
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -37,3 +37,12 @@ def test_implicit_body_and_li_autoclose():
     assert tags == ["html", "body", "ul", "li", "li"]
     li = [i for i in range(len(b.kind)) if b.tag[i] == "li"]
     assert b.parent_id[li[1]] == b.parent_id[li[0]]
+
+
+def test_malformed_declarations_and_errors():
+    from folio.operators.parser import parse_document
+    for html in ("<p>a<![x[b]]>c</p>", "<![", "<!", "<![if x]>y<![endif]>", "<!DOCTYPE [<!x>", "<p <b>x", "&#xFFFFFFFFFF;", "<a href='"):
+        b = parse_document(html)
+        assert b.kind[0] == "document" and len(b.kind) == len(b.end_id)
+    b = parse_document("<p>a<![x[b]]>c</p>")
+    assert "error" not in b.kind and [t for k, t in zip(b.kind, b.text) if k == "text"] == ["a", "c"]
