@@ -56,9 +56,9 @@ HOT_DOCS = 16
 #: Shingles a task gathers before it looks for repeated ones.
 WINDOW = 3_000_000
 #: Fragments of the global order: so many ranges of the hash, and the hot rest.
-FRAGMENTS = 8
+FRAGMENTS = 16
 #: Fragments that are counted first.
-FIRST = 2
+FIRST = 3
 #: Parts that the rows of a frequent key are dealt to.
 SALTS = 64
 #: Pivot rounds go on while all pairs would be so many times the rows, and end
@@ -130,9 +130,9 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return words
 
 
-def _ordered(docs: DataFrame, hot, wanted=None) -> DataFrame:
-    """With ``wanted`` (a bitmap of doc_id hashes), for the documents in it: (cid, frag, part) with the shingles of each fragment;
-    without, (key, salt, cid), the prefix of each set; the rows of frequent keys
+def _ordered(docs: DataFrame, hot, wanted=None, short: bool = False) -> DataFrame:
+    """With ``wanted`` (a bitmap of doc_id hashes), for the documents in it: (cid, frag, part) with the shingles of each fragment
+    (``short``: of the first ones, cut to 32 bits); without, (key, salt, cid), the prefix of each set; the rows of frequent keys
     are salted by class, the others have salt 0. Sets that one task meets
     again are left out."""
     whole = wanted is not None
@@ -161,7 +161,10 @@ def _ordered(docs: DataFrame, hot, wanted=None) -> DataFrame:
                 frag = np.where(is_hot, FRAGMENTS, (s >> np.uint64(32)).astype(np.int64) * FRAGMENTS >> 32)
                 take, rows = own[r], np.flatnonzero(own)
                 code, part = (r * (FRAGMENTS + 1) + frag)[take], s[take].view(np.int64)
-                every = (rows[:, None] * (FRAGMENTS + 1) + np.arange(FRAGMENTS + 1)).ravel()  # empty fragments too
+                if short:
+                    low = code % (FRAGMENTS + 1) < FIRST
+                    code, part = code[low], (part[low] >> 32).astype(np.int32)
+                every = (rows[:, None] * (FRAGMENTS + 1) + np.arange(FIRST if short else FRAGMENTS + 1)).ravel()  # empty fragments too
                 cut = np.append(np.searchsorted(code, every), len(part)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cid[every // (FRAGMENTS + 1)]), pa.array((every % (FRAGMENTS + 1)).astype(np.int32)),
@@ -174,7 +177,7 @@ def _ordered(docs: DataFrame, hot, wanted=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(salt), pa.array(c)], ["key", "salt", "cid"])
 
     return docs.select("text", *[_id().alias("id")] * whole).mapInArrow(
-        run, "cid long, frag int, part array<long>" if whole else "key long, salt int, cid long")
+        run, f"cid long, frag int, part array<{'int' if short else 'long'}>" if whole else "key long, salt int, cid long")
 
 
 def _id():
@@ -240,25 +243,24 @@ def _all_pairs(rows: DataFrame) -> float:
 def _verified(docs: DataFrame, first: DataFrame, hot, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) whose partial overlaps sum to a link. The sets
     of the classes in question are made once more from their texts."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(first.join(wanted, "cid").select(_id().alias("id"))))
-    parts = saved(_ordered(docs, hot, bitmap))
-
-    def overlaps(pairs: DataFrame, which: str) -> DataFrame:
+    def overlaps(pairs: DataFrame, short: bool) -> DataFrame:
         """Sums of the partial overlaps, and of the fragments' sizes."""
-        own = parts.where(which)
-        x = own.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa"))
-        y = own.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
+        wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(first.join(wanted, "cid").select(_id().alias("id"))))
+        parts = saved(_ordered(docs, hot, bitmap, short))
+        x = parts.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa"))
+        y = parts.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
         each = (pairs.join(x, "a").join(y, ["b", "frag"])
-                .select(*pairs.columns, "frag", F.size(F.array_intersect("pa", "pb")).alias("o"), F.size("pa").alias("sa"), F.size("pb").alias("sb")))
+                .select(*pairs.columns, "frag", (F.size(F.array_intersect("pa", "pb")) + F.size("pa") - F.size(F.array_distinct("pa"))).alias("o"), F.size("pa").alias("sa"), F.size("pb").alias("sb")))
         each = each.groupBy(*pairs.columns, "frag").agg(*[F.max(c).cast("long").alias(c) for c in ("o", "sa", "sb")])  # a set may be there twice
         return each.groupBy(*pairs.columns).agg(*[F.sum(c).alias(c) for c in ("o", "sa", "sb")])
 
     enough = lambda o: o * DEN >= (F.col("na") + F.col("nb") - o) * NUM
-    # a quarter of the fragments rules out most pairs: the rest can't overlap by more than its smaller size
-    some = (overlaps(pairs, f"frag < {FIRST}").where(enough(F.col("o") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))))
-            .select("a", "b", "na", "nb", F.col("o").alias("o1")))
-    return overlaps(some, f"frag >= {FIRST}").where(enough(F.col("o1") + F.col("o"))).select("a", "b")
+    # the first fragments rule out most pairs: shortened hashes (twins counted in
+    # full) give no less than the overlap, and the rest has its smaller size at most
+    slack = F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
+    some = saved(overlaps(pairs, short=True).where(enough(F.col("o") + slack)).select("a", "b", "na", "nb"))
+    return overlaps(some, short=False).where(enough(F.col("o"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
