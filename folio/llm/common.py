@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from folio.session import ensure_checkpoint_dir
 
 #: Characters of text one vectorised step holds at once inside a task.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 #: Rows of a table of labels that may be broadcast.
 FEW = 10_000
 

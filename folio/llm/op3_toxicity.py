@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
         grams, names = shared.value
         own, place, n, rows, memory = Channel(grams), {f: i for i, f in enumerate(names)}, np.zeros(len(names), np.int64), 0, {}
         for batch in sliced(batches, "text"):
-            if len(memory) > 200_000:
+            if len(memory) > 150_000:
                 memory.clear()
             for text in batch.column("text").to_pylist():
                 rows += 1
@@ -265,7 +265,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> tuple[list[float], list[int]]:
         """The texts' scores, and how many restored words weighed in."""
         memory, channel = self.memory, self.channel
-        if len(memory) > 300_000:
+        if len(memory) > 150_000:
             memory.clear()
         scores, used = [], []
         for text in texts:

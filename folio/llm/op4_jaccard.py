@@ -54,7 +54,7 @@ HOT = 1 << 19
 #: Documents that a shingle must have been seen in together to count as hot.
 HOT_DOCS = 16
 #: Shingles a task gathers before it looks for repeated ones.
-WINDOW = 3_000_000
+WINDOW = 1_500_000
 #: Fragments of the global order: so many ranges of the hash, and the hot rest.
 FRAGMENTS = 16
 #: Fragments that are counted first.
@@ -65,7 +65,7 @@ SALTS = 64
 #: after the last one in any case.
 WORTH, PIVOT_ROUNDS = 10, 6
 #: Size of the bitmap that tells tasks which documents to make sets of again.
-BITS = 1 << 26
+BITS = 1 << 24
 
 
 def _sets(docs: DataFrame) -> DataFrame:
