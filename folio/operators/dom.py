@@ -157,12 +157,6 @@ def subtree_text_length(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
             .drop("_t0", "_t1"))
 
 
-def scope_intervals(scopes: DataFrame, name: str = "ivals") -> DataFrame:
-    """Per page, the (small) list of subtree intervals of ``scopes``."""
-    return (scopes.groupBy("page_id")
-            .agg(F.collect_list(F.struct(F.col("node_id").alias("s"), F.col("end_id").alias("e"))).alias(name)))
-
-
 def inside_any(ivals_col: str = "ivals", strict: bool = False) -> Column:
     """True when ``node_id`` lies in any interval of ``ivals_col``
     (``strict``: excluding the interval roots themselves)."""
@@ -196,21 +190,26 @@ def descendants_of(nodes: DataFrame, ancestors: DataFrame, how: str = "inner",
     return joined.select("_n.*", *[F.col("_a." + c2) for c2 in a.columns if c2 != "page_id"])
 
 
+def page_texts(nodes: DataFrame, strip: bool = True) -> DataFrame:
+    """Per page the texts of its nodes as an array ``_texts``, node_id being
+    the place (``''`` for nodes that are no text). ``nodes`` is the whole node
+    table of the pages."""
+    text = F.when(F.col("kind") == "text", py_strip(F.col("text")) if strip else F.col("text"))
+    own = nodes.select("page_id", F.struct("node_id", F.coalesce(text, F.lit("")).alias("t")).alias("_x"))
+    return own.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["t"]).alias("_texts"))
+
+
 def node_text(nodes: DataFrame, scopes: DataFrame, strip: bool = True,
               out: str = "text") -> DataFrame:
     """Text of each scope's subtree, per ``(page_id, node_id)`` of
     ``scopes``. Stripped form trims each text node and joins with no
     separator; unstripped form concatenates raw text. Scopes without text
-    get ``''``."""
-    texts = nodes.where(F.col("kind") == "text").select("page_id", "node_id", "text")
-    if strip:
-        texts = texts.withColumn("text", py_strip(F.col("text")))
+    get ``''``. A subtree is a slice of its page's texts, so the work is the
+    size of the subtrees; there is no text x scope join."""
     sc = scopes.select("page_id", "node_id", "end_id")
-    inner = descendants_of(texts, sc)
-    agg = (inner.groupBy("page_id", F.col("anc_node_id").alias("node_id"))
-           .agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY node_id)").alias(out)))
-    return (sc.join(agg, ["page_id", "node_id"], "left")
-            .withColumn(out, F.coalesce(F.col(out), F.lit(""))))
+    own = F.slice("_texts", F.col("node_id") + 1, F.col("end_id") - F.col("node_id") + 1)
+    return (sc.join(page_texts(nodes, strip), "page_id", "left")
+            .select("page_id", "node_id", "end_id", F.coalesce(F.array_join(own, ""), F.lit("")).alias(out)))
 
 
 # Python str.strip() removes Unicode whitespace, including the ASCII
@@ -229,8 +228,9 @@ def page_links(nodes: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
     if scopes is not None:
         anchors = descendants_of(anchors, scopes.select("page_id", "node_id", "end_id"), "left_semi")
     anchors = anchors.select("page_id", "node_id", "end_id", F.col("attrs").getItem("href").alias("href"))
-    txt = node_text(nodes, anchors, strip=True, out="anchor")
-    return anchors.join(txt.select("page_id", "node_id", "anchor"), ["page_id", "node_id"], "left")
+    own = F.slice("_texts", F.col("node_id") + 1, F.col("end_id") - F.col("node_id") + 1)
+    return (anchors.join(page_texts(nodes), "page_id", "left")
+            .select("page_id", "node_id", "end_id", "href", F.coalesce(F.array_join(own, ""), F.lit("")).alias("anchor")))
 
 
 def first_match(df: DataFrame, by: str | list[str] = "page_id", order: str | list = "node_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import urls
-from folio.operators.dom import descendants_of, elements, has_class_token, py_strip
+from folio.operators.dom import descendants_of, elements, has_class_token, node_text
 from folio.profile import DEFAULT_PROFILE, SiteProfile
 
 
@@ -49,11 +49,7 @@ def _links_in(nodes: DataFrame, containers: DataFrame, profile: SiteProfile) ->
     anchors = elements(nodes).where(F.col("tag") == "a").select(
         "page_id", "node_id", "end_id", F.col("attrs").getItem("href").alias("href"))
     inside = descendants_of(anchors, containers, "inner", include_self=False)
-    texts = nodes.where(F.col("kind") == "text").select("page_id", F.col("node_id").alias("_t"),
-                                                        py_strip(F.col("text")).alias("_x"))
-    a_ids = inside.select("page_id", "node_id", "end_id").distinct()
-    title = (a_ids.join(texts, "page_id").where((F.col("_t") > F.col("node_id")) & (F.col("_t") <= F.col("end_id")))
-             .groupBy("page_id", "node_id").agg(F.expr("listagg(_x, '') WITHIN GROUP (ORDER BY _t)").alias("title")))
+    title = node_text(nodes, inside.select("page_id", "node_id", "end_id").distinct(), out="title").drop("end_id")
     out = (inside.join(title, ["page_id", "node_id"], "left")
            .withColumn("title", F.coalesce(F.col("title"), F.lit("")))
            .where(F.coalesce(F.col("href"), F.lit("")) != ""))
@@ -84,20 +80,18 @@ def index_grouped(nodes: DataFrame, content: DataFrame, profile: SiteProfile = D
 
     titles = first_div_in(profile.group_title_class, "tdiv")
     rights = first_div_in(profile.group_links_class, "rdiv")
-    texts = nodes.where(F.col("kind") == "text").select("page_id", F.col("node_id").alias("_t"),
-                                                        py_strip(F.col("text")).alias("_x"))
-
-    def text_of(df: DataFrame, lo: str, hi: str, key: list[str], out: str) -> DataFrame:
-        return (df.join(texts, "page_id").where((F.col("_t") > F.col(lo)) & (F.col("_t") <= F.col(hi)))
-                .groupBy(*key).agg(F.expr("listagg(_x, '') WITHIN GROUP (ORDER BY _t)").alias(out)))
+    def text_of(df: DataFrame, lo: str, hi: str, out: str) -> DataFrame:
+        spans = df.select("page_id", "item_id", F.col(lo).alias("node_id"), F.col(hi).alias("end_id"))
+        said = node_text(nodes, spans.select("page_id", "node_id", "end_id").distinct(), out=out).drop("end_id")
+        return spans.join(said, ["page_id", "node_id"]).select("page_id", "item_id", out)
 
     anchors = el.where(F.col("tag") == "a").select("page_id", F.col("node_id").alias("_a"), F.col("end_id").alias("_ae"))
     first_a = (titles.join(anchors, "page_id")
                .where((F.col("_a") > F.col("tdiv_id")) & (F.col("_a") <= F.col("tdiv_end")))
                .groupBy("page_id", "item_id").agg(F.min_by(F.struct("_a", "_ae"), "_a").alias("_fa"))
                .select("page_id", "item_id", F.col("_fa._a").alias("_a"), F.col("_fa._ae").alias("_ae")))
-    a_text = text_of(first_a, "_a", "_ae", ["page_id", "item_id"], "a_text")
-    t_text = text_of(titles, "tdiv_id", "tdiv_end", ["page_id", "item_id"], "t_text")
+    a_text = text_of(first_a, "_a", "_ae", "a_text")
+    t_text = text_of(titles, "tdiv_id", "tdiv_end", "t_text")
     sec = (items.select("page_id", F.col("node_id").alias("item_id"))
            .join(titles, ["page_id", "item_id"], "left")
            .join(first_a.select("page_id", "item_id", F.lit(True).alias("_has_a")), ["page_id", "item_id"], "left")
@@ -124,10 +118,7 @@ def index_by_heading(nodes: DataFrame, content: DataFrame, profile: SiteProfile
     walk = descendants_of(el.where(F.col("tag").isin("h1", "h2", "h3", "ul")).select("page_id", "node_id", "end_id", "tag"),
                           sc, "left_semi", include_self=False)
     heads = walk.where(F.col("tag") != "ul").select("page_id", "node_id", "end_id")
-    texts = nodes.where(F.col("kind") == "text").select("page_id", F.col("node_id").alias("_t"),
-                                                        py_strip(F.col("text")).alias("_x"))
-    htext = (heads.join(texts, "page_id").where((F.col("_t") > F.col("node_id")) & (F.col("_t") <= F.col("end_id")))
-             .groupBy("page_id", "node_id").agg(F.expr("listagg(_x, '') WITHIN GROUP (ORDER BY _t)").alias("_h")))
+    htext = node_text(nodes, heads, out="_h").drop("end_id")
     rows = (walk.select("page_id", "node_id", "end_id", "tag")
             .join(htext, ["page_id", "node_id"], "left")
             .withColumn("_h", F.when(F.col("tag") != "ul", F.coalesce(F.col("_h"), F.lit("")))))
