@@ -272,17 +272,19 @@ def s14_require_rows(spark, sf):
     return book.post_count(book.require_rows(posts_of(spark, sf), "No posts found"), ["book_id"])
 
 
-@register("s10_read_markdown", None)
+@register("s10_read_markdown", f"""
+SELECT d.doc_id, COALESCE(t.text, '') AS text FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(CASE WHEN is_h THEN indent || repeat('#', CAST(least(n + 2, 6) AS INTEGER)) || rest ELSE line END,
+                            chr(10) ORDER BY pos) AS text
+  FROM ({_MD_HEAD}) GROUP BY doc_id) t ON d.doc_id = t.doc_id
+""")
 def s10_read_markdown(spark, sf):
-    """Markdown files (documents written as one text folder per
-    language) read back whole, one row per file, then heading-demoted
-    (T3) as the convert path does."""
+    """Markdown files, one for each document, read back whole and
+    heading-demoted (T3) as the convert path does."""
     import uuid
     from folio.session import ensure_checkpoint_dir
     from folio.sources.pages import read_markdown
     out = ensure_checkpoint_dir(spark).rstrip("/") + f"/md-{uuid.uuid4().hex}"
-    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(out)
+    _md_docs(spark, sf).write.partitionBy("doc_id").text(out)
     files = read_markdown(spark, out + "/*/*.txt")
-    demoted = markdown.demote_headings(files.select("doc_id", "text"))
-    return files.select("doc_id", "path").join(demoted, "doc_id").select(
-        "path", F.length("text").cast("bigint").alias("n_chars"))
+    return files.select(F.regexp_extract("path", "/doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"), markdown.demoted("text").alias("text"))

@@ -436,6 +436,29 @@ def _index_pages(spark, sf_dir) -> DataFrame:
                              F.lit("</main></body></html>")).alias("html")))
 
 
+@register("i1_index_grouped", f"""
+SELECT {_IDX_PAGE} AS page_id, concat('Post ', CAST(doc_id AS VARCHAR)) AS title, {POST_URL} AS url, source AS section
+FROM documents WHERE {_BUCKET} % 2 = 1
+""")
+def i1_index_grouped(spark, sf_dir):
+    """Kept links of grouped items, with the title link as section."""
+    nodes = _nodes_of(_index_pages(spark, sf_dir))
+    return index.index_grouped(nodes, index.locate_index_content(nodes)).select("page_id", "title", "url", "section")
+
+
+@register("i2_index_by_heading", f"""
+SELECT {_IDX_PAGE} AS page_id, title, {POST_URL} AS url, source AS section FROM (
+  SELECT *, concat('Post ', CAST(doc_id AS VARCHAR)) AS title FROM documents
+  UNION ALL SELECT *, 'Again' FROM documents, range(2) r(i) WHERE doc_id % 7 = 0) x
+WHERE {_BUCKET} % 2 = 0
+""".replace("SELECT *, 'Again' FROM documents, range(2) r(i)", "SELECT documents.*, 'Again' FROM documents, range(2) r(i)"))
+def i2_index_by_heading(spark, sf_dir):
+    """Links of lists under the current heading; a nested list gives its
+    links again."""
+    nodes = _nodes_of(_index_pages(spark, sf_dir))
+    return index.index_by_heading(nodes, index.locate_index_content(nodes)).select("page_id", "title", "url", "section")
+
+
 @register("d14_locate_index_content", f"""
 SELECT DISTINCT {_IDX_PAGE} AS page_id, CASE WHEN {_BUCKET} % 2 = 0 THEN 'main' ELSE 'body' END AS tag FROM documents
 """)

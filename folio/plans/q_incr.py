@@ -240,3 +240,11 @@ def st1_stream_new_pages(spark, sf):
     for run in ("c1", "c2"):
         refresh.stream_new_pages(spark, root + "/in/*", root + "/cache", root + "/" + run, extract)
     return incremental.read_post_cache(spark, root + "/cache").select("url", "markdown")
+
+
+@register("st2_stream_dedup", "SELECT source AS url, min(doc_id) AS page_id, arg_min(text, doc_id) AS html FROM documents GROUP BY source")
+def st2_stream_dedup(spark, sf):
+    """ST2: the first record of each key in a batch; keys are sources here,
+    so a hot key is there."""
+    batch = table(spark, sf, "documents").select(F.col("source").alias("url"), F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
+    return refresh.stream_dedup(batch)
