@@ -76,4 +76,4 @@ def test_licence_blocks_nested_and_rewritten(render_pages):
         (4, "u", page('<div class="postBody"><p>Text.</p><div>Kept <p>CC BY <b>4.0</b></p> tail</div><p>CC <b>BY</b></p></div>')),
     ])
     assert md[1] == md[2] == md[3] == "Text."
-    assert md[4] == "Text.\n\nKept\n\ntail\n\nCC **BY**"  # stripped pieces join without a space
+    assert md[4] == "Text.\n\nKept tail\n\nCC **BY**"  # stripped pieces join without a space
