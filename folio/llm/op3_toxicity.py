@@ -42,7 +42,7 @@ from folio.llm import textvec
 from folio.llm.common import bounded_sample, id_mod, sliced
 
 #: Labelled rows that the classifier may learn from, by class.
-TOXIC, CLEAN = 4000, 40_000
+TOXIC, CLEAN = 2000, 40_000
 #: Candidate features; the ones with the most toxic texts are taken.
 FEATURES = 50_000
 #: Least weight (nats) of a feature.
