@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from folio.functions import urls
 from folio.operators.dom import py_strip
 from folio.profile import DEFAULT_PROFILE, SiteProfile
+from folio.session import materialize
 
 KEY = ["page_id", "scope_id"]
 BLOCK_TAGS = ["div", "section", "article", "main", "header", "aside", "figure", "details",
@@ -119,11 +120,12 @@ def sanitize_links(rows: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -> D
     """P10: ``href`` and ``src`` of the rewritten tags, by the rules on the
     distinct values; a dangerous one becomes NULL. Only rows that have a link
     take part in the joins, and they come back by node."""
+    rows = materialize(rows)  # read for the links, their join, the licence test and the rendering
     subject = (F.col("kind") == "element") & F.col("tag").isin(list(profile.rewrite_tags))
     links = (rows.where(subject & (F.col("href").isNotNull() | F.col("src").isNotNull()))
              .select(*KEY, "node_id", F.explode(F.map_from_arrays(F.array(F.lit("h"), F.lit("s")), F.array("href", "src"))).alias("_k", "_v"))
              .where("_v IS NOT NULL"))
-    clean = urls.sanitize_df(links.select("_v").distinct(), "_v", "_c", profile)
+    clean = urls.sanitize_df(materialize(links.select("_v").distinct()), "_v", "_c", profile)
     done = (links.join(clean, "_v").groupBy(*KEY, "node_id")
             .agg(F.max(F.when(F.col("_k") == "h", F.col("_c"))).alias("_h"), F.max(F.when(F.col("_k") == "s", F.col("_c"))).alias("_s"),
                  F.lit(True).alias("_linked")))
