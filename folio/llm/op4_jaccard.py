@@ -188,6 +188,14 @@ def _compatible(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
+def _reachable():
+    """Whether a pair can be a link: what follows the prefixes adds no more
+    than the larger remainder to the ``c`` keys that they share."""
+    rest = lambda n: F.ceil(F.col(n) * NUM / DEN) - 1
+    most = F.col("c") + F.greatest(rest("na"), rest("nb"))
+    return most * DEN >= (F.col("na") + F.col("nb") - most) * NUM
+
+
 def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
     """(node, root) of the classes that have links. ``first``: (cid, doc_id, n),
     one document of each class."""
@@ -210,11 +218,15 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
             pairs = rows.join(other, "key").where("cid < y AND root != root2").select(F.col("cid").alias("x"), "y")
             round_ = None
         sizes = first.select("cid", "n")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = (pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+                 .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs.join(sizes.withColumnsRenamed({"cid": "a", "n": "na"}), "a")
+        pairs = (pairs.join(sizes.withColumnsRenamed({"cid": "a", "n": "na"}), "a")
                       .join(sizes.withColumnsRenamed({"cid": "b", "n": "nb"}), "b").where(_compatible("na", "nb")))
+        if round_ is None:  # here ``c`` counts all keys that the two prefixes share
+            pairs = pairs.where(_reachable())
+        pairs = saved(pairs.drop("c"))
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if pairs.limit(1).count():
             new = saved(_verified(docs, first, hot, pairs))
