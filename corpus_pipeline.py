@@ -17,10 +17,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that with the smallest
-    doc_id; documents without shingles stay."""
-    found = op4_jaccard.near_duplicates(docs).where("n_shingles > 0 AND doc_id != component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """One row of each near-duplicate component, that with the smallest doc_id
+    (a null one comes last); rows without shingles stay. Rows are joined by text
+    hash, as rows of one doc_id may have different texts."""
+    tagged = docs.withColumn("_copy_tid", F.xxhash64("text")).where("text IS NOT NULL")
+    found = common.saved(op4_jaccard.near_duplicates(tagged.select(F.col("_copy_tid").alias("doc_id"), "text")).where("n_shingles > 0")
+                         .select(F.col("doc_id").alias("_copy_tid"), F.col("component_id").alias("_copy_of")).distinct())
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_copy_tid").alias("tid"))
+    ids = tagged.groupBy("doc_id", "_copy_tid").agg(F.count(F.lit(1)).alias("n")).join(found, "_copy_tid")
+    best = ids.groupBy("_copy_of").agg(F.min_by(F.struct("n", rank.alias("rank")), rank).alias("_copy_best"))
+    marks = common.saved(found.join(best, "_copy_of"))
+    joined = (docs.withColumn("_copy_tid", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).join(marks, "_copy_tid", "left")
+              .where(F.col("_copy_of").isNull() | ((F.col("_copy_tid") == F.col("_copy_best.rank.tid"))
+                                                   & F.col("doc_id").eqNullSafe(F.col("_copy_best.rank.id")))))
+    if not marks.where("_copy_best.n > 1").limit(1).count():
+        return joined.select(*docs.columns)
+    once = joined.where("_copy_best.n > 1").dropDuplicates(["_copy_of"])  # repeated rows
+    return joined.where("_copy_of IS NULL OR _copy_best.n = 1").unionByName(once).select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

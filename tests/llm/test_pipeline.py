@@ -81,3 +81,12 @@ def test_stages_on_odd_rows(spark):
             now = corpus_pipeline.common.saved(stage(spark, now, SF))
         assert now.count() <= frame.count()
     assert components_of([t for _, t, *_ in rows])
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = (sentence(rng, 40, 9000) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, c), (None, a), (None, None), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, c), (None, None), (None, None), (4, "")], key=str)
