@@ -43,9 +43,11 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the raked mix samples at least once."""
+    """Documents as often as the raked mix samples them: a row for each copy, so
+    that the output's tokens meet the raked marginals."""
     own = [c for c in docs.columns if not c.startswith("mix_")]
-    return op10_raking.mix_documents(docs).where("mix_copies > 0").select(*own)
+    copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")
+    return op10_raking.mix_documents(docs).where("mix_copies > 0").select(*own, copies).select(*own)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,16 @@ def test_near_copies_are_dropped_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, c), (None, None), (None, None), (4, "")], key=str)
+
+
+def test_mixing_emits_every_copy(spark):
+    """A hot source and a small one: the output's tokens meet the raked targets."""
+    rng = np.random.default_rng(6)
+    rows = [(i, sentence(rng, 20, 900), "x", "hot" if i % 20 else "small", None) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = {r.doc_id: r.mix_copies for r in corpus_pipeline.op10_raking.mix_documents(docs).collect()}
+    got = [r.doc_id for r in corpus_pipeline.mix(spark, docs, SF).collect()]
+    assert max(mixed.values()) > 1 and {i: got.count(i) for i in set(got)} == {i: n for i, n in mixed.items() if n}
+    share = sum(i % 20 == 0 for i in got) / len(got)
+    want = 0.05 ** 0.7 / (0.05 ** 0.7 + 0.95 ** 0.7)
+    assert abs(share - want) < 0.02
