@@ -66,9 +66,10 @@ _LUT = np.zeros(0x250, np.int32)
 for _c in range(0x250):
     _LUT[_c] = _CODE.get(chr(_c).lower(), _OTHER if chr(_c).isalpha() else 0)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SPACED = re.compile(r"(?<![^\x20\x09-\x0D])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\x20\x09-\x0D])")
+_SPACED = re.compile(r"(?<![^\x20\x09-\x0D])[^\W_](?:[\s.\-_*]+[^\W_]){2,}(?![^\x20\x09-\x0D])")
 _EDGE_L, _EDGE_R = re.compile(r"^[^\w@$€£§¡(<+|!]+|^[!|(<+]+(?=[^\W\d_]{3})"), re.compile(r"[^\w@$]+$|[$@]{2,}$")
-_RUN = re.compile(r"([^\W\d_])\1\1")
+_GAP = re.compile(r"[\s.\-_*]+")
+_TWICE = re.compile(r"([^\W\d_])\1")
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -100,8 +101,9 @@ class Channel:
         p2 = (c2 + 8 * p1) / (c2.sum(1, keepdims=True) + 8)
         self.logp = np.log((c3 + 8 * p2) / (c3.sum(2, keepdims=True) + 8)).reshape(-1).astype(np.float32).tolist()
 
-    def options(self, text: str, i: int) -> list[tuple[int, float]]:
-        """(code or -1 for nothing, cost) of the i-th character."""
+    def options(self, text: str, i: int, whole: bool = False) -> list[tuple[int, float]]:
+        """(code or -1 for nothing, cost) of the i-th character; with ``whole``,
+        a look-alike must be a letter."""
         c = text[i]
         if c.isalpha():
             out = [(_CODE.get(c, _OTHER), 0.0)]
@@ -111,16 +113,18 @@ class Channel:
         if c == " ":
             return [(-1, C_SPACE), (0, 0.0)]
         like = LOOKALIKES.get(c, "")
+        if whole and like:
+            return [(_CODE[x], C_LIKE) for x in like]
         return [(_CODE[x], C_LIKE) for x in like] + [(-1, C_DROP if like else C_MARK), (0, C_BREAK)]
 
-    def restore(self, text: str) -> str:
+    def restore(self, text: str, whole: bool = False) -> str:
         """The likeliest letters, with spaces between words."""
         logp = self.logp
         beam: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # last two codes -> cost, (code, before)
         for i in range(len(text)):
             nxt: dict[int, tuple[float, tuple | None]] = {}
             for state, (cost, path) in beam.items():
-                for code, c in self.options(text, i):
+                for code, c in self.options(text, i, whole):
                     if code < 0:
                         to, total, way = state, cost + c, path
                     elif code == 0 and state & 63 == 0:
@@ -139,14 +143,13 @@ class Channel:
 
     def words(self, token: str) -> list[str]:
         """The restored words of one token of lower-cased text."""
-        if token.isalpha() and not _RUN.search(token):
+        if token.isalpha() and not _TWICE.search(token):
             return [token]
         core = _EDGE_R.sub("", _EDGE_L.sub("", token))
-        letters = sum(map(str.isalpha, core))
-        if core.isalpha() and not _RUN.search(core):
-            return [core]
-        if not letters or letters + sum(c in LOOKALIKES for c in core) < 0.5 * len(core):
-            return [w for w in re.split(r"[\W\d_]+", core) if w]
+        if core.isalpha():
+            return [core] if not _TWICE.search(core) else [*dict.fromkeys([*self.restore(core).split(), core])]
+        if not any(map(str.isalpha, core)):  # letters only if all its look-alikes are
+            return self.restore(core, True).split() if any(c in LOOKALIKES for c in core) else []
         plain = [w for w in re.split(r"[\W\d_]+", core) if len(w) > 2]
         return [*dict.fromkeys([*self.restore(core).split(), *plain])]
 
@@ -159,7 +162,7 @@ class Channel:
                 found = memory[token] = tuple(self.words(token))
             out.update(found)
         for spaced in _SPACED.findall(low):
-            out.update(self.restore(re.sub(r"[.\-_*]", " ", spaced)).split())
+            out.update(self.restore(_GAP.sub(" ", spaced)).split())
         return out
 
 
@@ -278,7 +281,7 @@ class Scorer:
                 if got:
                     found.update(got)
             for spaced in _SPACED.findall(low):
-                found.update(self.evidence(channel.restore(re.sub(r"[.\-_*]", " ", spaced)).split()))
+                found.update(self.evidence(channel.restore(_GAP.sub(" ", spaced)).split()))
             total = (self.prior or 0.0) - CAUTION + sum(sorted(found.values()))
             scores.append(0.0 if self.prior is None else round(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), 6))
             used.append(len(found))

@@ -109,6 +109,16 @@ def test_channel_restores_and_scores(spark, docs):
     assert op3_toxicity.score(empty(spark), labels).count() == 0
 
 
+def test_channel_decodes_doubled_letters_and_separators(spark):
+    sample = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    channel = op3_toxicity.Channel(op3_toxicity.trigram_counts(sample))
+    for odd, plain in (("stuupid", "stupid"), ("idiiot", "idiot"), ("scuum", "scum"), ("i--d--i--o--t", "idiot"), ("m...o...r...o...n", "moron")):
+        assert plain in channel.words(odd)
+    assert "hello" in channel.words("hello") and channel.words("455") == ["ass"] and channel.words("---") == []
+    for spaced in ("you i  d  i  o  t now", "you i\nd\ni\no\nt now", "you i. d. i. o. t now"):
+        assert "idiot" in channel.text_words(spaced, {})
+
+
 def components_of(texts):
     sets = {}
     for i, t in enumerate(texts):
