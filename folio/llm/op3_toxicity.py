@@ -10,10 +10,12 @@ Steps
 1. Trigram counts over every text: each task sums its own, Spark adds them up
    (at most 64**3 rows, whatever the corpus).
 2. Labelled rows outside the held-out fold: at most ``TOXIC`` toxic and
-   ``CLEAN`` clean ones. Words and word beginnings of the toxic ones, near
-   copies of one text counted once, are the candidate features; the clean ones
-   are counted in tasks. A feature's weight is a lower bound of its log odds
-   over the texts that no better feature explains.
+   ``CLEAN`` clean ones, near copies (similarity 0.75) of one text counted once
+   in each class. Words and word beginnings of the toxic ones are the candidate
+   features; texts are restored and features counted in tasks, and only those
+   of a weight above ``LEAST`` reach the driver. A feature's weight is a lower
+   bound of its log odds over the texts that no better feature explains.
+
 3. Every whole text: the weights of its distinct restored words are summed with
    the prior's log odds, and a sigmoid gives the score.
 
@@ -38,13 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm import textvec
-from folio.llm.common import bounded_sample, id_mod, sliced
+from folio.llm import op4_jaccard
+from folio.llm.common import bounded_sample, id_mod, saved, sliced
 
 #: Labelled rows that the classifier may learn from, by class.
 TOXIC, CLEAN = 2000, 40_000
-#: Candidate features; the ones with the most toxic texts are taken.
-FEATURES = 50_000
+#: Features that a task counts before it hands them on.
+COUNTED = 200_000
 #: Least weight (nats) of a feature.
 LEAST = 2.0
 #: Taken off the prior log odds: one weak word alone convicts no text.
@@ -171,61 +173,93 @@ def features(word: str) -> list[str]:
     return [f"={word}", *[word[:k] for k in range(3, 9) if len(word) > k]]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, toxic: int, bound: int) -> DataFrame:
-    known = (labels.where((F.col("toxic") == toxic) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
+def _features(word):
+    """``features`` as a column."""
+    ks = F.filter(F.sequence(F.lit(3), F.lit(8)), lambda k: F.length(word) > k)
+    return F.concat(F.array(F.concat(F.lit("="), word)), F.transform(ks, lambda k: F.substring(word, F.lit(1), k)))
+
+
+def usable_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) outside the held-out fold whose document has a text."""
+    known = (labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
              .where(id_mod(F.col("doc_id"), MODULUS) != HELD_OUT))
-    ids = bounded_sample(known, "toxic", "doc_id", bound).select("doc_id")
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi")  # ``bound`` ids at most
+    return saved(known.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi"))
+
+
+def _sample(docs: DataFrame, known: DataFrame, toxic: int, bound: int) -> DataFrame:
+    ids = bounded_sample(known.where(F.col("toxic") == toxic), "toxic", "doc_id", bound).select("doc_id")
+    return (docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi")  # ``bound`` ids at most
+            .select(F.xxhash64("text").alias("tid"), "text", F.lit(toxic).alias("toxic")))
+
+
+def collapsed(rows: DataFrame) -> DataFrame:
+    """``rows`` (tid, text, toxic), one of each near-duplicate component and class."""
+    near = op4_jaccard.near_duplicates(rows.select(F.col("tid").alias("doc_id"), "text"))
+    heads = (rows.select("tid", "toxic").join(near.select(F.col("doc_id").alias("tid"), "component_id").distinct(), "tid")
+             .groupBy("component_id", "toxic").agg(F.min("tid").alias("tid")).select("tid", "toxic"))
+    return rows.join(heads, ["tid", "toxic"], "left_semi").dropDuplicates(["tid", "toxic"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], float | None]:
     """(trigram counts, feature weights, prior log odds)."""
     counts = trigram_counts(docs)
-    channel = Channel(counts)
-    texts = sorted(r[0] for r in _sample(docs, labels, 1, TOXIC).select("text").collect())
-    at: defaultdict[str, list[int]] = defaultdict(list)  # restored word -> toxic texts that have it
-    seen: set[int] = set()
-    n_toxic, memory = 0, {}
-    for text in texts:
-        _, s, _ = textvec.shingle_sets(pa.array([text]), 5)
-        if len(s):  # near copies share a minimum hash
-            lows = [int(textvec.mix(s ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()) for k in range(1, 5)]
-            if not seen.isdisjoint(lows):
-                continue
-            seen.update(lows)
-        for w in channel.text_words(text, memory):
-            at[w].append(n_toxic)
-        n_toxic += 1
-    of: defaultdict[str, list[str]] = defaultdict(list)
-    for w in at:
-        for f in features(w):
-            of[f].append(w)
-    df = {f: len({i for w in words for i in at[w]}) for f, words in of.items()}
-    wanted = {f: n for f, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:FEATURES] if n >= 3}
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((counts.astype(np.float32), sorted(wanted)))
+    known = usable_labels(docs, labels)
+    sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return counts, {}, None
+    sample = saved(collapsed(saved(_sample(docs, known, 1, TOXIC).union(_sample(docs, known, 0, CLEAN)))))
+    taken = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    ratio = taken[0] / taken[1]
+    shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, memory = Channel(shared.value), {}
+        for batch in sliced(batches, "text"):
+            if len(memory) > 150_000:
+                memory.clear()
+            for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist()):
+                found = sorted(own.text_words(text, memory))
+                yield pa.RecordBatch.from_arrays([pa.array([tid] * len(found), pa.int64()), pa.array(found, pa.string())], ["tid", "word"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, names = shared.value
-        own, place, n, rows, memory = Channel(grams), {f: i for i, f in enumerate(names)}, np.zeros(len(names), np.int64), 0, {}
+        own, memory = Channel(shared.value), {}
+        n: defaultdict[str, int] = defaultdict(int)
+
+        def so_far() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["feature", "n"])
+            n.clear()
+            return out
+
         for batch in sliced(batches, "text"):
             if len(memory) > 150_000:
                 memory.clear()
             for text in batch.column("text").to_pylist():
-                rows += 1
-                n[[*{i for w in own.text_words(text, memory) for f in features(w) if (i := place.get(f)) is not None}]] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], rows))], ["feature", "n"])
-
-    got = (_sample(docs, labels, 0, CLEAN).select("text").mapInArrow(count, "feature long, n long")
-           .groupBy("feature").agg(F.sum("n").alias("n")).toPandas())
-    clean = dict(zip(got["feature"].tolist(), got["n"].tolist()))
-    n_clean = clean.get(-1, 0)
-    if not n_toxic or not n_clean:
-        return counts, {}, None
-    names = sorted(wanted)
-    against = {f: clean.get(i, 0) for i, f in enumerate(names)}
-    return counts, explain(of, at, wanted, against, n_clean / n_toxic), math.log(n_toxic / n_clean) if n_toxic < n_clean else 0.0
+                for f in {f for w in own.text_words(text, memory) for f in features(w)}:
+                    n[f] += 1
+                if len(n) > COUNTED:
+                    yield so_far()
+        yield so_far()
+
+    words = saved(sample.where("toxic = 1").select("tid", "text").mapInArrow(restored, "tid long, word string"))
+    pairs = words.select("tid", "word", F.explode(_features(F.col("word"))).alias("feature"))
+    toxic = pairs.groupBy("feature").agg(F.count_distinct("tid").alias("t")).where("t >= 3")
+    clean = (sample.where("toxic = 0").select("text").mapInArrow(count, "feature string, n long")
+             .groupBy("feature").agg(F.sum("n").alias("n")))
+    weight = F.log((F.col("t") - F.sqrt("t")) / (F.col("n") + 1.5) * F.lit(ratio))
+    likely = saved(toxic.join(clean, "feature", "left").select("feature", "t", F.coalesce("n", F.lit(0)).alias("n")).where(weight > LEAST))
+    wanted, against = {}, {}
+    for r in likely.collect():
+        wanted[r.feature], against[r.feature] = r.t, r.n
+    place: dict[int, int] = {}
+    at: dict[str, list[int]] = {}  # restored word -> toxic texts that have it
+    of: defaultdict[str, list[str]] = defaultdict(list)
+    for r in (pairs.join(likely, "feature", "left_semi").select("word", "tid").distinct()
+              .groupBy("word").agg(F.array_sort(F.collect_set("tid")).alias("tids")).orderBy("word").toLocalIterator()):  # TOXIC at most a word
+        at[r.word] = [place.setdefault(t, len(place)) for t in r.tids]
+        for f in features(r.word):
+            if f in wanted:
+                of[f].append(r.word)
+    return counts, explain(of, at, wanted, against, ratio), math.log(taken[1] / taken[0]) if taken[1] < taken[0] else 0.0
 
 
 def explain(of: dict[str, list[str]], at: dict[str, list[int]], wanted: dict[str, int], against: dict[str, int],
