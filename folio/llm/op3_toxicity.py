@@ -14,8 +14,8 @@ Steps
    in each class. Words and word beginnings of the toxic ones are the candidate
    features; texts are restored and features counted in tasks, and only those
    of a weight above ``LEAST`` reach the driver. A feature's weight is a lower
-   bound of its log odds over the texts that no better feature explains.
-
+   bound of its log odds over the texts that no better feature explains. The
+   prior is the log odds of all usable labels, whatever the sample's bounds.
 3. Every whole text: the weights of its distinct restored words are summed with
    the prior's log odds, and a sigmoid gives the score.
 
@@ -44,7 +44,7 @@ from folio.llm import op4_jaccard
 from folio.llm.common import bounded_sample, id_mod, saved, sliced
 
 #: Labelled rows that the classifier may learn from, by class.
-TOXIC, CLEAN = 2000, 40_000
+TOXIC, CLEAN = 4000, 40_000
 #: Features that a task counts before it hands them on.
 COUNTED = 200_000
 #: Least weight (nats) of a feature.
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float
         for f in features(r.word):
             if f in wanted:
                 of[f].append(r.word)
-    return counts, explain(of, at, wanted, against, ratio), math.log(taken[1] / taken[0]) if taken[1] < taken[0] else 0.0
+    return counts, explain(of, at, wanted, against, ratio), math.log(sizes[1] / sizes[0]) if sizes[1] < sizes[0] else 0.0
 
 
 def explain(of: dict[str, list[str]], at: dict[str, list[int]], wanted: dict[str, int], against: dict[str, int],

@@ -119,6 +119,23 @@ def test_channel_decodes_doubled_letters_and_separators(spark):
         assert "idiot" in channel.text_words(spaced, {})
 
 
+def test_toxicity_prior_counts_labels_and_near_copies_collapse(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    notice = sentence(rng, 12, 9000)
+    texts = [(i, sentence(rng, 40, 9000) + (" awful " if i < 60 else " ") + notice) for i in range(400)]
+    texts += [(1000 + i, texts[i % 2 * 399][1] + f" tail{i}") for i in range(200)]  # near copies of a toxic and a clean text
+    labels = [(i, int(i < 60 or i >= 1000 and i % 2 == 0)) for i, _ in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(op3_toxicity, "CLEAN", 50)
+    known = {r.toxic: r["count"] for r in op3_toxicity.usable_labels(docs, frame).groupBy("toxic").count().collect()}
+    _, weights, prior = op3_toxicity.fit(docs, frame)
+    assert np.isclose(prior, np.log(known[1] / known[0])) and "=awful" in weights or "awf" in weights
+    rows = docs.join(frame, "doc_id").selectExpr("xxhash64(text) AS tid", "text", "toxic")
+    left = Counter(r.toxic for r in op3_toxicity.collapsed(rows).collect())
+    assert left == {1: 60, 0: 340}  # the shared notice joins none, the copies are one with theirs
+
+
 def components_of(texts):
     sets = {}
     for i, t in enumerate(texts):
