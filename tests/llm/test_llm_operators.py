@@ -248,6 +248,25 @@ def test_substring_dedup_with_misleading_pivots(spark):
     assert blocks_of(enumerate(rows)) and not blocks_of(after)
 
 
+def test_substring_dedup_finds_edited_passages(spark):
+    """Passages of 50 to 120 words with edits at any place, in other contexts,
+    against the brute-force similarity of their shingle sets."""
+    rng, rows, want = np.random.default_rng(17), [], []
+    for i in range(200):
+        n = (50, 60, 80, 120)[i % 4]
+        one = sentence(rng, n, 9000).split()
+        two = list(one)
+        for k in range(1 + (n >= 80)):
+            two[[n // 2, 2, n - 3, int(rng.integers(n))][(i // 4 + k) % 4]] = f"e{i}e{k}"
+        x, y = ({tuple(t[k:k + 5]) for k in range(n - 4)} for t in (one, two))
+        if 100 * len(x & y) >= 75 * len(x | y):
+            want.append((len(rows), len(rows) + 1))
+        rows += [sentence(rng, 100, 9000) + " " + " ".join(t) + " " + sentence(rng, 100, 9000) for t in (one, two)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {tuple(sorted((r.doc_id, r.source_doc_id))) for r in op7_substrings.repeats(docs).collect()}
+    assert len(want) > 150 and len(got & set(want)) >= 0.95 * len(want) and all(b == a + 1 and a % 2 == 0 for a, b in got)
+
+
 def test_compact_windows_cover_each_passage_once():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 12, 60).astype(np.uint64)
