@@ -267,6 +267,20 @@ def test_substring_dedup_finds_edited_passages(spark):
     assert len(want) > 150 and len(got & set(want)) >= 0.95 * len(want) and all(b == a + 1 and a % 2 == 0 for a, b in got)
 
 
+def test_substring_dedup_compares_near_copies_beside_the_pivot(spark):
+    """Many texts share 38 words; near copies of 50 around those are in pairs of texts."""
+    rng = np.random.default_rng(23)
+    line = sentence(rng, 38, 9000)
+    rows = [sentence(rng, 60, 9000) + " " + line + " " + sentence(rng, 60, 9000) for _ in range(60)]
+    for i in range(60):
+        own, end = sentence(rng, 6, 9000).split(), sentence(rng, 6, 9000)
+        for t in (own, [*own[:2], f"e{i}", *own[3:]]):
+            rows.append(sentence(rng, 60, 9000) + " " + " ".join(t) + " " + line + " " + end + " " + sentence(rng, 60, 9000))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {tuple(sorted((r.doc_id, r.source_doc_id))) for r in op7_substrings.repeats(docs).collect()}
+    assert len(got & {(k, k + 1) for k in range(60, 180, 2)}) >= 58
+
+
 def test_compact_windows_cover_each_passage_once():
     rng = np.random.default_rng(2)
     v = rng.integers(0, 12, 60).astype(np.uint64)
