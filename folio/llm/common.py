@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm import textvec
 from folio.session import ensure_checkpoint_dir
 
 #: Characters of text one vectorised step holds at once inside a task.
@@ -50,6 +51,44 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(int(a), int(b - a))
 
 
+#: Bits of the bitmaps that tell tasks which hashes are worth a shuffle: 8 MB, whatever the input.
+BITS = 1 << 26
+
+
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash (uint64) in a bitmap of ``BITS`` bits."""
+    h = textvec.mix(h)
+    return h & np.uint64(BITS - 1), (h >> np.uint64(32)) & np.uint64(BITS - 1)
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes in the first column (long). Its words are made in
+    tasks and OR-ed in Spark; ``BITS / 64`` of them reach the driver at most."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(BITS // 64, np.uint64)
+        for batch in batches:
+            if batch.num_rows:
+                at = np.unique(np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+                word = at >> np.uint64(6)
+                first = np.flatnonzero(np.diff(word, prepend=word[0] + np.uint64(1)))
+                own[word[first]] |= np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at].view(np.int64))], ["word", "bits"])
+
+    got = hashes.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(BITS // 64, np.uint64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def in_bitmap(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes (uint64) may be in the bitmap; none that is in it is missed."""
+    out = np.ones(len(h), bool)
+    for at in _places(h):
+        out &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
 def bounded_sample(rows: DataFrame, by: str, key: str, bound: int) -> DataFrame:
     """At most ``bound`` rows for each value of ``by``: those with the smallest
     hash of ``key``. The sizes of the groups come from one map-side combined

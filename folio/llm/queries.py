@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op5_lempel_ziv, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking
+from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op5_lempel_ziv, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking, op11_winnowing
 from folio.llm.common import table
 from folio.plans.sqlkit import html_decode_sql, strip_tags_sql
 
@@ -64,6 +64,13 @@ def op10_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "source", "lang", *[F.col(f"mix_{c}").alias(c) for c in ("topic", "tokens", "factor", "copies")]))
 
 
+def op11_winnowed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the words and items that they share with the benchmark."""
+    found = op11_winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 _OP9 = """
 WITH rows_ AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 seq AS (
@@ -147,6 +154,30 @@ c AS (
 SELECT page_id, url, text, length(text) AS n_chars FROM c
 """
 
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows_ AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+  FROM b WHERE len(w) > 0),
+lens AS (SELECT DISTINCT k FROM windows_),
+grams AS (
+  SELECT rid, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM d, lens WHERE len(w) >= k),
+hits AS (SELECT rid, grams.k, i, item FROM grams JOIN windows_ USING (k, g)),
+words_ AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + k)) AS p FROM hits) x GROUP BY rid),
+items_ AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hits) x GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words_ USING (rid) LEFT JOIN items_ USING (rid)
+"""
+
 QUERIES = {
     "op1_divergence_rules": op1_divergence_rules,
     "op2_string_kernel": op2_string_kernel,
@@ -158,10 +189,12 @@ QUERIES = {
     "op8_text_blocks": op8_text_blocks,
     "op9_snapshot_collapse": op9_snapshot_collapse,
     "op10_raked_mix": op10_raked_mix,
+    "op11_winnowed_leaks": op11_winnowed_leaks,
 }
 ORACLES = {
     "op4_jaccard_components": _OP4,
     "op8_text_blocks": _OP8,
     "op9_snapshot_collapse": _OP9,
     "op10_raked_mix": _OP10,
+    "op11_winnowed_leaks": _OP11,
 }

@@ -52,15 +52,16 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def words(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(column: pa.Array, fold: bool = True, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte, end byte, hash) of every word, in order. Words are
-    runs of bytes other than space and 0x09-0x0D; ``fold`` lower-cases A-Z."""
+    runs of bytes other than those that ``outside`` marks (space and 0x09-0x0D);
+    ``fold`` lower-cases A-Z."""
     raw, ends = buffer(column)
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    inside = ~_SPACE[raw]
+    inside = ~outside[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     bounds = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < n)]
