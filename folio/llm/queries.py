@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op5_lempel_ziv, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking, op11_winnowing
+from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op5_lempel_ziv, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking, op11_winnowing, op13_phrases
 from folio.llm.common import table
 from folio.plans.sqlkit import html_decode_sql, strip_tags_sql
 
@@ -71,6 +71,11 @@ def op11_winnowed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of two to five words."""
+    return op13_phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 _OP9 = """
 WITH rows_ AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 seq AS (
@@ -178,6 +183,33 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words_ USING (rid) LEFT JOIN items_ USING (rid)
 """
 
+_OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS (
+  SELECT lang, k, g, count(*) AS f
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+        FROM w, range(1, 6) r(k) WHERE len(w) >= k) x
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+kept AS (
+  SELECT * FROM cand c
+  WHERE NOT EXISTS (SELECT 1 FROM cand x WHERE x.lang = c.lang AND x.k > c.k AND 100 * x.a >= 100 * c.a AND contains(' ' || x.g || ' ', ' ' || c.g || ' '))),
+cuts AS (
+  SELECT c.lang, c.g, c.a, i, array_to_string(c.w[1:i], ' ') AS g1, array_to_string(c.w[i + 1:], ' ') AS g2
+  FROM kept c, range(1, 5) r(i) WHERE i < c.k),
+scored AS (
+  SELECT c.lang, c.g AS phrase, c.a, x.f AS l, y.f AS r, n, 1000::HUGEINT * c.a * n // (x.f::HUGEINT * y.f) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.g ORDER BY 1000::HUGEINT * c.a * n // (x.f::HUGEINT * y.f), i) AS worst
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g1 JOIN f y ON y.lang = c.lang AND y.g = c.g2 JOIN totals t ON t.lang = c.lang),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored WHERE worst = 1)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_divergence_rules": op1_divergence_rules,
     "op2_string_kernel": op2_string_kernel,
@@ -190,6 +222,7 @@ QUERIES = {
     "op9_snapshot_collapse": op9_snapshot_collapse,
     "op10_raked_mix": op10_raked_mix,
     "op11_winnowed_leaks": op11_winnowed_leaks,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES = {
     "op4_jaccard_components": _OP4,
@@ -197,4 +230,5 @@ ORACLES = {
     "op9_snapshot_collapse": _OP9,
     "op10_raked_mix": _OP10,
     "op11_winnowed_leaks": _OP11,
+    "op13_phrase_collocations": _OP13,
 }
