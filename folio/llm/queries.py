@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op5_lempel_ziv, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking, op11_winnowing, op13_phrases
+from folio.llm import op1_quality, op2_langid, op3_toxicity, op4_jaccard, op5_lempel_ziv, op6_bpe, op7_substrings, op8_blocks, op9_snapshots, op10_raking, op11_winnowing, op12_negatives, op13_phrases
 from folio.llm.common import table
 from folio.plans.sqlkit import html_decode_sql, strip_tags_sql
 
@@ -71,6 +71,11 @@ def op11_winnowed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_tree_bounded_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive."""
+    return op12_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's 2000 best phrases of two to five words."""
     return op13_phrases.collocations(table(spark, sf_dir, "documents"))
@@ -183,6 +188,23 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words_ USING (rid) LEFT JOIN items_ USING (rid)
 """
 
+_OP12 = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM v a, v r WHERE a.vec_id % 100 = 0 AND a.rid <> r.rid),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
 _OP13 = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -222,6 +244,7 @@ QUERIES = {
     "op9_snapshot_collapse": op9_snapshot_collapse,
     "op10_raked_mix": op10_raked_mix,
     "op11_winnowed_leaks": op11_winnowed_leaks,
+    "op12_tree_bounded_negatives": op12_tree_bounded_negatives,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES = {
@@ -230,5 +253,6 @@ ORACLES = {
     "op9_snapshot_collapse": _OP9,
     "op10_raked_mix": _OP10,
     "op11_winnowed_leaks": _OP11,
+    "op12_tree_bounded_negatives": _OP12,
     "op13_phrase_collocations": _OP13,
 }
