@@ -5,7 +5,8 @@ a shallow trie over the first ids whose leaves are hash containers of the
 remaining bytes. A container that grows beyond ``BURST`` paths bursts into a
 trie node with a container for each next id. When a trie holds ``LIMIT`` paths,
 its largest subtrees leave as sorted runs until half of it is free. Spark deals
-the runs by prefix (language and first two ids) and merges their counts.
+the runs by prefix (language and first id, and a byte of the second id below a hot
+word, of which there are ``HOT`` at most) and merges their counts.
 
 Steps, each of them over all documents
 1. Words are counted per language; those found ``LEAST`` times or more go into a
@@ -49,6 +50,10 @@ TOP = 2000
 BURST, LIMIT = 8192, 600_000
 #: Levels of trie nodes over the containers.
 SHALLOW = 2
+#: Paths in a batch of runs that leave.
+OUT = 100_000
+#: Words that are one HOT-th of all words or more are hot: their subtrees are dealt to up to 256 tasks.
+HOT = 1000
 #: Words whose counts a task gathers before they leave.
 GATHER = 1_500_000
 ID = 8
@@ -95,23 +100,62 @@ class HatTrie:
         for first, (rests, own) in parts.items():
             self.add(first, rests, own)
 
-    def run(self) -> Iterator[tuple[bytes, int]]:
-        """All paths with their counts, in byte order."""
+    def run(self) -> tuple[list[bytes], list[int]]:
+        """All paths in byte order, and their counts."""
+        paths, counts = [], []
         for first in sorted(self.child):
-            below = self.child[first]
-            for rest, n in below.run() if isinstance(below, HatTrie) else sorted(below.items()):
-                yield first + rest, n
-
-    def spill(self, keep: int) -> Iterator[tuple[bytes, int]]:
-        """Take the largest subtrees out, as one sorted run each, until no more than ``keep`` paths are left."""
+            rests, own = _run(self.child[first])
+            paths += [first + r for r in rests]
+            counts += own
+        return paths, counts
+
+    def spill(self, keep: int) -> Iterator[tuple[bytes, list[bytes], list[int]]]:
+        """Take the largest subtrees out, each as (first id, sorted rests,
+        counts), until no more than ``keep`` paths are left."""
         size = lambda below: below.size if isinstance(below, HatTrie) else len(below)
         for first in sorted(self.child, key=lambda x: -size(self.child[x])):
             if self.size <= keep:
                 return
             below = self.child.pop(first)
             self.size -= size(below)
-            for rest, n in below.run() if isinstance(below, HatTrie) else sorted(below.items()):
-                yield first + rest, n
+            yield first, *_run(below)
+
+
+def _run(below: HatTrie | dict[bytes, int]) -> tuple[list[bytes], list[int]]:
+    """A subtree as a sorted run."""
+    if isinstance(below, HatTrie):
+        return below.run()
+    rests = sorted(below)
+    return rests, [below[r] for r in rests]
+
+
+class _Blocks:
+    """Sorted runs as rows (lang, prefix, k, rests, counts): the rests of the
+    paths of ``k`` words below one prefix, end to end."""
+
+    def __init__(self, hot: set[bytes]) -> None:
+        self.hot, self.rows, self.counts, self.ends = hot, [], [], [0]
+
+    def add(self, lang: str, first: bytes, rests: list[bytes], counts: list[int]) -> None:
+        for size in {len(r) for r in rests}:
+            own = [x for x in zip(rests, counts) if len(x[0]) == size]
+            parts = {first: own}
+            if first in self.hot:  # a hot word's subtree is dealt by a byte of the second id
+                parts = {}
+                for x in own:
+                    parts.setdefault(first + x[0][ID - 1:ID], []).append(x)
+            for prefix, part in parts.items():
+                self.rows.append((lang, prefix, size // ID + 1, b"".join([r for r, _ in part])))
+                self.counts += [n for _, n in part]
+                self.ends.append(len(self.counts))
+
+    def take(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        if len(self.counts) > least:
+            lang, prefix, k, rests = zip(*self.rows)
+            counts = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.counts, pa.int64()))
+            self.rows, self.counts, self.ends = [], [], [0]
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(prefix, pa.binary()), pa.array(k, pa.int32()), pa.array(rests, pa.binary()), counts],
+                                             ["lang", "prefix", "k", "rests", "counts"])
 
 
 def _with_lang(docs: DataFrame) -> DataFrame:
@@ -181,19 +225,14 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                  .groupBy("lang", "id", "salted", "word").agg(F.sum("n").alias("n")))
 
 
-def _path_counts(docs: DataFrame, words, pairs=None) -> DataFrame:
+def _path_counts(docs: DataFrame, words, hot: set[bytes], pairs=None) -> DataFrame:
     """(lang, path, n) of the paths found ``LEAST`` times or more: two words
-    that ``words`` knows, or with ``pairs`` three to ``LONGEST`` words whose pairs it knows."""
+    that ``words`` knows, or with ``pairs`` three to ``LONGEST`` words whose pairs
+    it knows. ``hot``: ids of words whose subtrees are dealt to many tasks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
 
-        def rows(lang: str, entries) -> Iterator[pa.RecordBatch]:
-            out = list(entries)
-            for a in range(0, len(out), 50_000):
-                part = out[a:a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([p for p, _ in part], pa.binary()), pa.array([n for _, n in part])],
-                                                 ["lang", "path", "n"])
-
+        blocks = _Blocks(hot)
         for batch in sliced(batches, "text"):
             langs = pc.dictionary_encode(batch.column("lang"))
             names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
@@ -238,15 +277,23 @@ def _path_counts(docs: DataFrame, words, pairs=None) -> DataFrame:
                         trie = tries[name] = HatTrie()
                     trie.add(heads[x], rests[i:j], counts[i:j])
             if sum(t.size for t in tries.values()) > LIMIT:
-                for name in list(tries):
-                    yield from rows(name, tries[name].spill(tries[name].size // 2))
-                    if not tries[name].size:
-                        del tries[name]
+                for name, trie in tries.items():
+                    for subtree in trie.spill(trie.size // 2):
+                        blocks.add(name, *subtree)
+                        yield from blocks.take(OUT)
+                tries = {name: trie for name, trie in tries.items() if trie.size}
         for name, trie in tries.items():
-            yield from rows(name, trie.run())
+            for subtree in trie.spill(0):
+                blocks.add(name, *subtree)
+                yield from blocks.take(OUT)
+        yield from blocks.take()
 
-    runs = _with_lang(docs).mapInArrow(run, "lang string, path binary, n long").withColumn("prefix", F.expr(f"substring(path, 1, {2 * ID})"))
-    return saved(runs.repartition("lang", "prefix").groupBy("lang", "prefix", "path").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("lang", "path", "n"))
+    runs = _with_lang(docs).mapInArrow(run, "lang string, prefix binary, k int, rests binary, counts array<long>").repartition("lang", "prefix")
+    width = (F.col("k") - 1) * ID
+    entry = F.explode(F.transform("counts", lambda n, i: F.struct(
+        F.concat(F.expr(f"substring(prefix, 1, {ID})"), F.substring(F.col("rests"), i * width + 1, width)).alias("path"), n.alias("n"))))
+    return saved(runs.select("lang", "prefix", entry.alias("entry")).groupBy("lang", "prefix", F.col("entry.path").alias("path"))
+                 .agg(F.sum("entry.n").alias("n")).where(F.col("n") >= LEAST).select("lang", "path", "n"))
 
 
 def _id_bytes(c: F.Column) -> F.Column:
@@ -266,13 +313,15 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = counted.where("id IS NOT NULL")
     known = spark.sparkContext.broadcast(bitmap(words.select("salted")))
-    two = _path_counts(docs, known)
+    every_word = total.agg(F.sum("n")).first()[0] or 0
+    hot = {r["id"].to_bytes(ID, signed=True) for r in words.where(F.col("n") * HOT >= every_word).select("id").collect()}  # HOT ids at most
+    two = _path_counts(docs, known, hot)
     pair = words.select("lang", _id_bytes(F.col("id")).alias("one"), "salted")
     first, second = pair.toDF("lang", "one", "s1"), pair.toDF("lang", "other", "s2")
     ends = (two.select("lang", _part("path", F.lit(0), F.lit(1)).alias("one"), _part("path", F.lit(1), F.lit(1)).alias("other"))
             .join(first, ["lang", "one"]).join(second, ["lang", "other"]).select("s1", "s2"))
     known_pairs = spark.sparkContext.broadcast(bitmap(_hashed_pairs(ends)))
-    more = _path_counts(docs, known, known_pairs)
+    more = _path_counts(docs, known, hot, known_pairs)
     found = two.unionByName(more)
     every = saved(found.unionByName(words.select("lang", _id_bytes(F.col("id")).alias("path"), "n")).withColumnRenamed("n", "f"))
 

@@ -62,7 +62,7 @@ def test_against_brute_force(spark, monkeypatch, docs, least, top):
 
 
 def test_spills_and_bursts_change_nothing(spark, monkeypatch, docs):
-    for name, value in (("LEAST", 5), ("BURST", 4), ("LIMIT", 50), ("GATHER", 40)):
+    for name, value in (("LEAST", 5), ("BURST", 4), ("LIMIT", 50), ("GATHER", 40), ("OUT", 20)):
         monkeypatch.setattr(op13_phrases, name, value)
     assert run(spark, docs, 2000) == brute(docs, 5, 2000)
 
@@ -79,14 +79,13 @@ def test_trie_keeps_sorted_runs_and_sizes(monkeypatch):
         trie.add(first, rests, counts)
         want.update({first + r: n for r, n in zip(rests, counts)})
         if trie.size > 300:
-            part = list(trie.spill(trie.size // 2))
-            heads = [p[:8] for p, _ in part]
-            assert len(set(heads)) == 1 + sum(a != b for a, b in zip(heads, heads[1:]))  # whole subtrees
-            out.update(dict(part))
+            for first, rests, n in trie.spill(trie.size // 2):
+                assert rests == sorted(rests) and first not in trie.child  # whole subtrees
+                out.update({first + r: x for r, x in zip(rests, n)})
     assert any(isinstance(x, op13_phrases.HatTrie) for x in trie.child.values())
-    rest = list(trie.run())
-    assert [p for p, _ in rest] == sorted(p for p, _ in rest) and len(rest) == trie.size
-    out.update(dict(rest))
+    paths, counts = trie.run()
+    assert paths == sorted(paths) and len(paths) == trie.size
+    out.update(dict(zip(paths, counts)))
     assert out == want
 
 
