@@ -14,7 +14,8 @@ element's subtree is the id interval ``[node_id, end_id]``. So:
 
 All joins are keyed on ``page_id`` (plus ``node_id`` where possible), so a
 page never spans tasks except through AQE skew splitting; page size is
-bounded by the admission cap (S2).
+bounded by the admission cap (S2). ``page_id`` must therefore be unique and
+not null; ``parse_pages`` gives keys to pages without such an id.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from __future__ import annotations
 from typing import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio import schemas
 from folio.operators.parser import parse_document
+from folio.session import materialize
 
 _ARROW_NODES = pa.schema([
     ("page_id", pa.int64()),
@@ -48,6 +52,8 @@ _MAX_NODES_PER_BATCH = 200_000
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Node rows of ``(page_id, html)`` batches; every page has its rows,
+    those with a null id too."""
     def empty() -> dict[str, list]:
         return {f.name: [] for f in _ARROW_NODES}
 
@@ -56,8 +62,6 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         docs = batch.column("html").to_pylist()
         cols = empty()
         for pid, doc in zip(ids, docs):
-            if pid is None:
-                continue
             b = parse_document(doc)
             n = len(b.kind)
             cols["page_id"].extend([pid] * n)
@@ -88,6 +92,36 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(_parse_batches, schemas.NODES)
 
 
+def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D1 for pages whose ``page_id`` may be null or repeated: ``(rows, nodes)``.
+
+    The parse gives each input row a key of its own (partition and place) and
+    writes it once, with the row's other columns, into the same table as its
+    nodes. ``nodes`` has that key as ``page_id``, so every operator sees one page
+    per input row; ``rows`` is ``page_key`` and the input columns but ``html``.
+    """
+    own = [c for c in pages.columns if c != "html"]
+    packed = pages.select("html", F.struct(*[F.col(c) for c in own]).alias("_row"))
+    row_type = packed.schema["_row"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, row = pa.array(range(base, base + n), pa.int64()), batch.column("_row")
+            base += n
+            head = [keys if f.name == "page_id" else pa.array(["page"] * n) if f.name == "kind" else pa.nulls(n, f.type) for f in _ARROW_NODES]
+            yield pa.RecordBatch.from_arrays([*head, row], [*_ARROW_NODES.names, "_row"])
+            for part in _parse_batches(iter([pa.RecordBatch.from_arrays([keys, batch.column("html")], ["page_id", "html"])])):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, row.type)], [*_ARROW_NODES.names, "_row"])
+
+    parsed = materialize(packed.mapInArrow(run, T.StructType([*schemas.NODES.fields, T.StructField("_row", row_type)])))
+    rows = parsed.where("kind = 'page'").select(F.col("page_id").alias("page_key"), *[F.col("_row")[c].alias(c) for c in own])
+    return rows, parsed.where("kind != 'page'").drop("_row")
+
+
 def elements(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind") == "element")
 

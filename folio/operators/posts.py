@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 
 from folio.operators import body, clean, dom, metadata, render
 from folio.profile import DEFAULT_PROFILE, SiteProfile
-from folio.session import materialize
 
 
 def extract_posts(pages: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -> DataFrame:
     """M1-M10 with D15-D19: ``page_id, url, author, posted_date, markdown,
-    rule`` for every row of ``pages(page_id, url, html)``. ``rule`` tells
-    which body rule matched (0: none; ``markdown`` is then the placeholder).
-    Pages are parsed once into a node table in the shared folder."""
-    nodes = materialize(dom.html_nodes(pages))
+    rule``, one row for every row of ``pages(page_id, url, html)``, also where
+    ids are null or repeated. ``rule`` tells which body rule matched (0: none;
+    ``markdown`` is then the placeholder). Pages are parsed once into a node
+    table in the shared folder, under keys of their own."""
+    rows, nodes = dom.parse_pages(pages.select("page_id", "url", "html"))
     chosen = body.choose_body(nodes)
     md = render.html_to_markdown(clean.drop_noise(clean.scope_nodes(nodes, chosen), profile), profile)
     found = md.join(chosen.select("page_id", "rule"), "page_id").select("page_id", "markdown", "rule")
     head, _, tail = profile.placeholder_template.partition("{url}")
     placeholder = F.concat(F.lit(head), F.coalesce("url", F.lit("")), F.lit(tail))
-    return (pages.select("page_id", "url").join(found, "page_id", "left").join(metadata.page_metadata(nodes), "page_id", "left")
+    meta = metadata.page_metadata(nodes).withColumnRenamed("page_id", "page_key")
+    return (rows.join(found.withColumnRenamed("page_id", "page_key"), "page_key", "left").join(meta, "page_key", "left")
             .select("page_id", "url", F.coalesce("author", F.lit("")).alias("author"), F.coalesce("posted_date", F.lit("")).alias("posted_date"),
                     F.coalesce("markdown", placeholder).alias("markdown"), F.coalesce("rule", F.lit(0)).cast("bigint").alias("rule")))
 

@@ -65,6 +65,23 @@ def d1_html_nodes(spark, sf_dir):
             .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
+# ids that are null, shared by many documents, or their own; every fourth row is there twice
+_KEYS = "CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN doc_id % 5 ELSE doc_id END"
+
+
+@register("d1_keys", f"""
+WITH d AS (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 4 = 0)
+SELECT {_KEYS} AS page_id, {POST_URL} AS url, {SRC} AS author, {BODY_MD} AS markdown FROM d
+""")
+def d1_keys(spark, sf_dir):
+    """D1 / M10 on pages whose ids are null or repeated, and on repeated
+    rows: one post for each input row."""
+    html = _page(f"concat('<meta name=\"author\" content=\"', {SRC}, '\">')", f"concat('<div class=\"postBody\"><p>', {ESC}, '</p></div>')")
+    pages = _doc_pages(spark, sf_dir, html)
+    pages = pages.unionByName(pages.where("page_id % 4 = 0")).withColumn("page_id", F.expr(_KEYS.replace("doc_id", "page_id")))
+    return posts.extract_posts(pages).select("page_id", "url", "author", "markdown")
+
+
 _BODY_SQL = "regexp_extract(html, '(?s)<body>(.*?)(</body>|$)', 1)"
 _NO_NOISE = _BODY_SQL
 for _t in ("nav", "footer", "script", "style", "noscript"):
