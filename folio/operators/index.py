@@ -141,7 +141,8 @@ def dedup_keep_first(df: DataFrame, key: str | list[str], order: list, part: str
     ``dropDuplicates``, which keeps an arbitrary row). An aggregate
     ``min_by(row, order)`` with map-side partial aggregation, so a key
     holding a large share of the rows is reduced before the shuffle
-    instead of landing whole in one window partition."""
+    instead of landing whole in one window partition. Rows whose key is null
+    count as rows of one key."""
     key = [key] if isinstance(key, str) else key
     by = ([part] if part else []) + key
     rest = [c for c in df.columns if c not in by]

@@ -114,6 +114,28 @@ def s3_resolve_redirects(spark, sf):
     return incremental.resolve_redirects(start, crawl).select("url", "final_url", F.col("hops").cast("int").alias("hops"), "error")
 
 
+@register("s3_long_chains", f"""
+WITH d AS (SELECT *, doc_id % 97 AS h FROM documents)
+SELECT {_R} || CAST(doc_id AS VARCHAR) || '/0' AS url, CAST(CASE WHEN doc_id % 11 = 0 OR h >= 64 THEN 64 ELSE h END AS INTEGER) AS hops,
+  CASE WHEN doc_id % 11 = 0 OR h >= 64 THEN NULL ELSE {_R} || CAST(doc_id AS VARCHAR) || '/' || CAST(h AS VARCHAR) END AS final_url,
+  CASE WHEN doc_id % 11 = 0 OR h >= 64 THEN 'Exceeded maximum redirects' END AS error FROM d
+""")
+def s3_long_chains(spark, sf):
+    """Chains of ``doc_id % 97`` hops under a limit of 64 requests;
+    every eleventh ends in a loop, and every URL has up to three responses, of
+    which the one with the smallest status counts."""
+    docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 97).cast("int").alias("h"))
+    steps = docs.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("k"))
+    name = lambda k: F.concat(F.lit(PR.base_url + "/r/"), F.col("doc_id").cast("string"), F.lit("/"), k.cast("string"))
+    loops = F.col("doc_id") % 11 == 0
+    last = F.col("k") == F.col("h")
+    crawl = steps.select(name(F.col("k")).alias("url"), F.when(last & ~loops, 200).otherwise(308).alias("status"),
+                         F.when(~last, name(F.col("k") + 1)).when(loops, name(F.floor(F.col("h") / 2))).alias("location"))
+    repeats = crawl.unionByName(crawl).unionByName(crawl.withColumn("status", F.lit(503)))
+    start = docs.select(name(F.lit(0)).alias("url"))
+    return incremental.resolve_redirects(start, repeats, max_requests=64).select("url", "hops", "final_url", "error")
+
+
 # ---------------------------------------------------------------- cache, S4 S5 S7 J1 J2 J3 U3
 _DATE = "CAST(date_add(DATE'2020-01-01', CAST(doc_id % 1000 AS INT)) AS STRING)"
 _DATE_DUCK = "CAST(DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) AS VARCHAR)"
@@ -170,10 +192,38 @@ SELECT {POST_URL} AS url, text AS markdown, source AS author, {_DATE_DUCK} AS po
 """)(lambda spark, sf: incremental.fill_from_cache(_stubs(spark, sf), _cache(spark, sf))
      .select("url", "markdown", "author", "posted_date"))
 
-register("s4_read_post_cache", f"""
-SELECT sha256({POST_URL}) AS url_key, {POST_URL} AS url, text AS markdown, source AS author, {_DATE_DUCK} AS posted_date
-FROM documents WHERE doc_id % 2 = 0
-""")(lambda spark, sf: _cache(spark, sf))
+
+
+def _records(spark, sf, suffix: str = "", where: str = "true"):
+    return table(spark, sf, "documents").where(where).select(
+        F.expr(POST_URL).alias("url"), F.concat("text", F.lit(suffix)).alias("markdown"), F.col("source").alias("author"), F.expr(_DATE).alias("posted_date"))
+
+
+@register("s4_read_post_cache", f"""
+SELECT sha256({POST_URL}) AS url_key, {POST_URL} AS url, text AS markdown, source AS author, {_DATE_DUCK} AS posted_date FROM documents
+""")
+def s4_read_post_cache(spark, sf):
+    """All documents as cache records, put in with S5 and read back."""
+    path = _scratch(spark, "post-cache")
+    incremental.append_post_cache(_records(spark, sf), path)
+    return incremental.read_post_cache(spark, path)
+
+
+@register("s5_upsert", f"""
+SELECT sha256({POST_URL}) AS url_key, {POST_URL} AS url, text || CASE WHEN doc_id % 5 = 0 THEN ' v3' WHEN doc_id % 3 = 0 THEN ' v2' ELSE '' END AS markdown,
+       source AS author, {_DATE_DUCK} AS posted_date FROM documents
+""")
+def s5_upsert(spark, sf):
+    """All documents put in, a third of them again with a newer
+    text, compaction, and a fifth once more (some rows twice); a key reads as
+    its newest record, from the snapshot or from the log after it."""
+    path = _scratch(spark, "post-cache")
+    incremental.append_post_cache(_records(spark, sf), path)
+    incremental.append_post_cache(_records(spark, sf, " v2", "doc_id % 3 = 0"), path)
+    incremental.compact_post_cache(spark, path)
+    third = _records(spark, sf, " v3", "doc_id % 5 = 0")
+    incremental.append_post_cache(third.unionByName(third), path)
+    return incremental.read_post_cache(spark, path)
 
 
 @register("s4_json", f"""
@@ -218,6 +268,26 @@ def j6_snapshot_diff(spark, sf):
     return refresh.refresh_diff(old, new)
 
 
+@register("j6_repeated_keys", """
+WITH old AS (SELECT CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN source ELSE CAST(doc_id AS VARCHAR) END AS url, text FROM documents WHERE doc_id % 10 <> 0),
+new AS (SELECT CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN source ELSE CAST(doc_id AS VARCHAR) END AS url,
+               CASE WHEN doc_id % 50 = 2 THEN NULL ELSE text END AS text FROM documents WHERE doc_id % 10 <> 3 AND NOT (source = 'src1' AND doc_id % 4 = 1)),
+o AS (SELECT url, string_agg(coalesce(text, '0x'), '|' ORDER BY coalesce(text, '0x')) AS t FROM old GROUP BY url),
+n AS (SELECT url, string_agg(coalesce(text, '0x'), '|' ORDER BY coalesce(text, '0x')) AS t FROM new GROUP BY url)
+SELECT CASE WHEN n.t IS NULL THEN o.url ELSE n.url END AS url,
+       CASE WHEN o.t IS NULL THEN 'added' WHEN n.t IS NULL THEN 'removed' WHEN o.t <> n.t THEN 'changed' ELSE 'same' END AS change
+FROM o FULL JOIN n ON o.url IS NOT DISTINCT FROM n.url
+""")
+def j6_repeated_keys(spark, sf):
+    """J6 with a null key and with keys of many rows (sources): one row for
+    each distinct key, compared by all of its rows."""
+    key = F.expr("CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN source ELSE CAST(doc_id AS STRING) END").alias("url")
+    d = table(spark, sf, "documents")
+    old = d.where("doc_id % 10 <> 0").select(key, F.col("text").alias("markdown"))
+    new = d.where("doc_id % 10 <> 3 AND NOT (source = 'src1' AND doc_id % 4 = 1)").select(key, F.when(F.col("doc_id") % 50 != 2, F.col("text")).alias("markdown"))
+    return incremental.snapshot_diff(old, new)
+
+
 # ---------------------------------------------------------------- ST1 / ST2
 @register("st1_stream_new_pages", f"SELECT {POST_URL} AS url, {BODY_MD} AS markdown FROM documents WHERE doc_id % 7 <> 6")
 def st1_stream_new_pages(spark, sf):

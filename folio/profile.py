@@ -39,6 +39,7 @@ class SiteProfile:
     default_section: str = "Introduction"
     max_bytes: int | None = None         # reject larger bodies; off by default, as a table holds them anyway
     max_requests: int = 5
+    redirect_statuses: tuple[int, ...] = (301, 302, 303, 307, 308)
     mime_allow: tuple[str, ...] = ("text/html", "application/xhtml+xml")
     inline_literal_tags: tuple[str, ...] = ("kbd", "q", "cite", "del", "s", "mark", "u", "ins")
     embed_tags: tuple[str, ...] = ("iframe", "object", "embed", "video", "audio")

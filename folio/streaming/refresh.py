@@ -1,8 +1,9 @@
 """Streaming form of the weekly refresh (ST1-ST3).
 
 New page files arrive in a folder; each micro-batch keeps the first
-record per URL (ST2), drops URLs already in the cache (J1), extracts the
-rest and appends them to the cache (S5). ``trigger(availableNow=True)``
+record per URL (ST2), drops URLs already in the cache (J1, in the key
+buckets of the batch only), extracts the rest and puts them into the
+cache (S5). ``trigger(availableNow=True)``
 drains what is there and stops; the checkpoint makes replays idempotent
 per file, and the anti-join against the cache makes a fresh checkpoint
 safe too.
@@ -34,9 +35,9 @@ def stream_new_pages(spark: SparkSession, in_dir: str, cache_dir: str, checkpoin
     def per_batch(batch: DataFrame, epoch: int) -> None:
         pages = materialize(stream_dedup(batch))  # read by the extraction and by its joins
         if incremental.has_cache(spark, cache_dir):
-            cache = incremental.read_post_cache(spark, cache_dir)
-            pages = (pages.withColumn("url_key", urls.url_key("url"))
-                     .join(cache.select("url_key"), "url_key", "left_anti").drop("url_key"))
+            keyed = pages.withColumn("url_key", urls.url_key("url"))
+            cache = incremental.read_post_cache(spark, cache_dir, keys=keyed)
+            pages = keyed.join(cache.select("url_key"), "url_key", "left_anti").drop("url_key")
         incremental.append_post_cache(extract(pages), cache_dir)
 
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
