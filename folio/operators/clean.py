@@ -9,21 +9,21 @@ processed twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import split_lines_expr
-from folio.operators.dom import has_class_token, inside_any, py_strip
+from folio.operators import dom
+from folio.operators.dom import has_class_token
 from folio.profile import DEFAULT_PROFILE, SiteProfile
 
 
 def scope_nodes(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Nodes inside each scope subtree, tagged with ``scope_id`` (the scope
-    root's node_id). ``scopes(page_id, node_id, end_id)``; one join on
-    ``page_id`` against a handful of scope rows per page."""
-    sc = scopes.select("page_id", F.col("node_id").alias("scope_id"), F.col("end_id").alias("scope_end"))
-    return (nodes.join(sc, "page_id")
-            .where((F.col("node_id") >= F.col("scope_id")) & (F.col("node_id") <= F.col("scope_end"))))
+    """Nodes inside each scope subtree, tagged with ``scope_id`` and
+    ``scope_end`` (the scope root's interval). ``scopes(page_id, node_id,
+    end_id)`` may nest; the sweep of J4 finds them."""
+    inside = dom.descendants_of(nodes, scopes.select("page_id", "node_id", "end_id"))
+    return inside.withColumnsRenamed({"anc_node_id": "scope_id", "anc_end_id": "scope_end"})
 
 
 def removal_rule(profile: SiteProfile = DEFAULT_PROFILE) -> Column:
@@ -38,14 +38,12 @@ def removal_rule(profile: SiteProfile = DEFAULT_PROFILE) -> Column:
 
 def drop_noise(scoped: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -> DataFrame:
     """Remove the subtrees of noise, hidden and comment-section
-    elements inside each scope (root excluded). The removed intervals of a
-    scope are collected (few per page) and tested per node."""
-    roots = (scoped.where(removal_rule(profile) & (F.col("node_id") > F.col("scope_id")))
-             .groupBy("page_id", "scope_id")
-             .agg(F.collect_list(F.struct(F.col("node_id").alias("s"), F.col("end_id").alias("e"))).alias("_rm")))
-    return (scoped.join(roots, ["page_id", "scope_id"], "left")
-            .where(~inside_any("_rm"))
-            .drop("_rm"))
+    elements inside each scope (root excluded). Subtrees nest, so a node is
+    inside one exactly if the furthest end of those opened so far isn't before
+    it: one window in document order, no list of intervals."""
+    w = Window.partitionBy("page_id", "scope_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.when(removal_rule(profile) & (F.col("node_id") > F.col("scope_id")), F.col("end_id"))
+    return (scoped.withColumn("_gone", F.max(end).over(w)).where("_gone IS NULL OR _gone < node_id").drop("_gone"))
 
 
 def drop_license_lines(docs: DataFrame, text_col: str = "text",

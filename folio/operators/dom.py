@@ -5,12 +5,12 @@ other operator builds on.
 element's subtree is the id interval ``[node_id, end_id]``. So:
 
 * "descendant of" is ``node_id BETWEEN a.node_id AND a.end_id`` on the
-  same page (J4);
+  same page (J4), found by a sweep over open and close events;
 * the text length under an element is a difference of a running sum
   (``text_before``) taken at ``end_id`` and at ``node_id`` -- a window and
   an equi-join instead of an ancestor climb;
-* "inside any of a set of subtrees" is a membership test against that
-  page's (small) list of intervals.
+* "inside any of a set of subtrees" is a comparison with the furthest end
+  of those opened so far, as subtrees nest.
 
 All joins are keyed on ``page_id`` (plus ``node_id`` where possible), so a
 page never spans tasks except through AQE skew splitting; page size is
@@ -191,37 +191,46 @@ def subtree_text_length(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
             .drop("_t0", "_t1"))
 
 
-def inside_any(ivals_col: str = "ivals", strict: bool = False) -> Column:
-    """True when ``node_id`` lies in any interval of ``ivals_col``
-    (``strict``: excluding the interval roots themselves)."""
-    if strict:
-        f = lambda r: (F.col("node_id") > r["s"]) & (F.col("node_id") <= r["e"])
-    else:
-        f = lambda r: (F.col("node_id") >= r["s"]) & (F.col("node_id") <= r["e"])
-    return F.coalesce(F.exists(F.col(ivals_col), f), F.lit(False))
+def open_levels(nodes: DataFrame, ancestors: DataFrame, include_self: bool) -> DataFrame:
+    """One ordered pass over each page's events: ``page_id, _pos, _k, _node,
+    _anc, _level``. Every row of ``ancestors`` opens before (``include_self``) or
+    after its own node and closes at the end of its subtree; ``_level`` is how
+    many are open. Subtrees nest, so an element that is open at level ``l`` is
+    the last one opened there."""
+    of_node = F.struct(*[F.col(c) for c in nodes.columns])
+    of_anc = F.struct(*[F.col(c) for c in ancestors.columns])
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("_x")).schema["_x"].dataType)
+    seen = nodes.select("page_id", F.col("node_id").alias("_pos"), F.lit(1).alias("_k"), of_node.alias("_node"), none(ancestors, of_anc).alias("_anc"), F.lit(0).alias("_d"))
+    event = lambda pos, k, anc, d: F.struct(F.col(pos).alias("_pos"), F.lit(k).alias("_k"), anc.alias("_anc"), F.lit(d).alias("_d"))
+    both = F.inline(F.array(event("node_id", 0 if include_self else 2, of_anc, 1), event("end_id", 3, none(ancestors, of_anc), -1)))
+    events = ancestors.select("page_id", none(nodes, of_node).alias("_node"), both).select(*seen.columns)
+    w = Window.partitionBy("page_id").orderBy("_pos", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    return seen.unionByName(events).withColumn("_level", F.sum("_d").over(w).cast("int")).drop("_d")
 
 
 def descendants_of(nodes: DataFrame, ancestors: DataFrame, how: str = "inner",
                    include_self: bool = True) -> DataFrame:
     """Rows of ``nodes`` inside the subtrees of ``ancestors``.
 
-    ``ancestors(page_id, node_id, end_id, ...)`` columns other than the key
-    are carried with an ``anc_`` prefix. An equi-join on ``page_id`` with a
-    range residual; always pre-filter ``ancestors`` to the few candidates
-    of interest. ``how='left_anti'`` gives removal, ``'left_semi'``
-    containment.
+    ``ancestors(page_id, node_id, end_id, ...)`` columns other than the key are
+    carried with an ``anc_`` prefix; a node in several subtrees is a row for each.
+    ``how='left_anti'`` gives removal, ``'left_semi'`` containment.
+
+    A sweep over open and close events per page, not a join: a node's level says
+    how many subtrees it is in, and its subtree at level ``l`` is the last one
+    opened there. The work is that of the nodes and of the result, however many
+    subtrees a page has. Rows without a page are in no subtree.
     """
-    a = ancestors.select(
-        "page_id",
-        *[F.col(c).alias("anc_" + c) for c in ancestors.columns if c != "page_id"])
-    n = nodes.alias("_n")
-    a2 = a.alias("_a")
-    lo = (F.col("_n.node_id") >= F.col("_a.anc_node_id")) if include_self else (F.col("_n.node_id") > F.col("_a.anc_node_id"))
-    c = (F.col("_n.page_id") == F.col("_a.page_id")) & lo & (F.col("_n.node_id") <= F.col("_a.anc_end_id"))
-    joined = n.join(a2, c, how)
+    swept = open_levels(nodes.where("page_id IS NOT NULL") if how != "left_anti" else nodes, ancestors.where("page_id IS NOT NULL"), include_self)
+    own = [F.col("_node")[c].alias(c) for c in nodes.columns]
     if how in ("left_semi", "left_anti"):
-        return joined.select("_n.*")
-    return joined.select("_n.*", *[F.col("_a." + c2) for c2 in a.columns if c2 != "page_id"])
+        return swept.where((F.col("_k") == 1) & ((F.col("_level") > 0) if how == "left_semi" else (F.col("_level") == 0))).select(*own)
+    opened = F.col("_anc").isNotNull()
+    w = Window.partitionBy("page_id", "_l").orderBy("_pos", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.when(opened, F.array("_level")).when(F.col("_level") > 0, F.sequence(F.lit(1), F.col("_level")))
+    return (swept.where("_k < 3 AND (_k != 1 OR _level > 0)").withColumn("_l", F.explode(level))
+            .withColumn("_anc", F.last("_anc", ignorenulls=True).over(w)).where("_k = 1")
+            .select(*own, *[F.col("_anc")[c].alias("anc_" + c) for c in ancestors.columns if c != "page_id"]))
 
 
 def page_texts(nodes: DataFrame, strip: bool = True) -> DataFrame:

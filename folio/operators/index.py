@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folio.functions import urls
 from folio.operators.dom import descendants_of, elements, has_class_token, node_text
 from folio.profile import DEFAULT_PROFILE, SiteProfile
+from folio.session import materialize
 
 
 def is_main_content(classes: str = "classes") -> Column:
@@ -68,7 +69,7 @@ def index_grouped(nodes: DataFrame, content: DataFrame, profile: SiteProfile = D
     items = descendants_of(divs.where(has_class_token(profile.group_item_class, "contains"))
                            .select("page_id", "node_id", "end_id"),
                            content.select("page_id", "node_id", "end_id"), "left_semi", include_self=False)
-    items = items.select("page_id", "node_id", "end_id")
+    items = materialize(items.select("page_id", "node_id", "end_id"))
 
     def first_div_in(cls: str, name: str) -> DataFrame:
         d = divs.where(has_class_token(cls, "contains")).select("page_id", "node_id", "end_id")
@@ -78,18 +79,18 @@ def index_grouped(nodes: DataFrame, content: DataFrame, profile: SiteProfile = D
                 .select("page_id", F.col("anc_node_id").alias("item_id"),
                         F.col("node_id").alias(name + "_id"), F.col("end_id").alias(name + "_end")))
 
-    titles = first_div_in(profile.group_title_class, "tdiv")
+    titles = materialize(first_div_in(profile.group_title_class, "tdiv"))
     rights = first_div_in(profile.group_links_class, "rdiv")
     def text_of(df: DataFrame, lo: str, hi: str, out: str) -> DataFrame:
         spans = df.select("page_id", "item_id", F.col(lo).alias("node_id"), F.col(hi).alias("end_id"))
         said = node_text(nodes, spans.select("page_id", "node_id", "end_id").distinct(), out=out).drop("end_id")
         return spans.join(said, ["page_id", "node_id"]).select("page_id", "item_id", out)
 
-    anchors = el.where(F.col("tag") == "a").select("page_id", F.col("node_id").alias("_a"), F.col("end_id").alias("_ae"))
-    first_a = (titles.join(anchors, "page_id")
-               .where((F.col("_a") > F.col("tdiv_id")) & (F.col("_a") <= F.col("tdiv_end")))
-               .groupBy("page_id", "item_id").agg(F.min_by(F.struct("_a", "_ae"), "_a").alias("_fa"))
-               .select("page_id", "item_id", F.col("_fa._a").alias("_a"), F.col("_fa._ae").alias("_ae")))
+    anchors = el.where(F.col("tag") == "a").select("page_id", "node_id", "end_id")
+    first_a = (descendants_of(anchors, titles.select("page_id", F.col("tdiv_id").alias("node_id"), F.col("tdiv_end").alias("end_id"), "item_id"),
+                              include_self=False)
+               .groupBy("page_id", F.col("anc_item_id").alias("item_id")).agg(F.min_by(F.struct("node_id", "end_id"), "node_id").alias("_fa"))
+               .select("page_id", "item_id", F.col("_fa.node_id").alias("_a"), F.col("_fa.end_id").alias("_ae")))
     a_text = text_of(first_a, "_a", "_ae", "a_text")
     t_text = text_of(titles, "tdiv_id", "tdiv_end", "t_text")
     sec = (items.select("page_id", F.col("node_id").alias("item_id"))
@@ -156,7 +157,7 @@ def scan_index(nodes: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -> Data
     """Index pages -> ordered stubs ``page_id, ordinal, title, url,
     section`` (grouped structure preferred, heading structure otherwise,
     de-duplicated by exact URL keeping the first)."""
-    content = locate_index_content(nodes, profile)
+    content = materialize(locate_index_content(nodes, profile))  # read by both structures
     grouped = index_grouped(nodes, content, profile)
     heading = index_by_heading(nodes, content, profile)
     both = prefer_first_non_empty(grouped, heading)
