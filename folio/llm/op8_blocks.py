@@ -12,7 +12,8 @@ Definitions
   for a null or empty page and for a page without article blocks.
 - Broken markup is read as browsers do where it matters: unclosed paragraphs
   end at the next block, scripts and styles end at their own end tag only, an
-  unclosed comment runs to the end.
+  unclosed comment runs to the end. Unknown elements, formulas and drawings are
+  part of their line; scripts and the like don't cut a line either.
 - Repeated rows are pages of their own; extra columns are ignored.
 """
 
@@ -29,11 +30,14 @@ from pyspark.sql import DataFrame
 from folio.llm.common import sliced
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?", re.S)
-#: Elements whose content is no page text.
-_SILENT = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "math", "select", "datalist", "object", "audio", "video", "canvas"}
+#: Elements whose content is no page text. They don't end a block.
+_SILENT = {"script", "style", "title", "textarea", "template", "iframe", "noembed", "noframes", "xmp", "select", "datalist", "audio", "video", "canvas",
+           "annotation", "annotation-xml"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
-           "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
+#: Elements that begin and end blocks; all others, unknown ones and formulas too, are part of a line.
+_BLOCK = set("""address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt embed fieldset figcaption figure footer
+form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html input legend li link listing main menu meta nav ol optgroup option p plaintext pre
+search section summary table tbody td tfoot th thead tr ul""".split())
 #: Containers by what they usually hold.
 _ARTICLE, _MAIN = {"article"}, {"main"}
 _FRAME = {"nav", "aside", "menu", "form", "button", "dialog", "footer", "fieldset"}
@@ -46,7 +50,7 @@ _GOOD_WORDS = set("article content post entry story body main text prose article
 _WORDS = re.compile(r"[a-z]+")
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDE = re.compile(r"(?:^|\s)hidden(?=\s|$|=)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_article", "in_main",
+FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_article", "in_article_or_main",
             "in_frame", "in_header", "bad_class", "good_class", "hidden", "heading", "list_item")
 
 # Labelled pages: (html, labels of its blocks in order; 1 is article text).
@@ -67,6 +71,26 @@ LABELLED: list[tuple[str, str]] = [
      "<div>Copyright</div>", "11" "00" "00" "0"),
     (f"<body><h1>Flood</h1><p>{_P}</p><p>{_P} {_P}</p><p>Then it stopped.</p><p>{_P}</p><p><a href=1>Home</a> | <a href=2>Top</a></p>", "11111" "0"),
     (f"<body><table><tr><td><a href=1>A</a><td><a href=2>B</a></table><article><table><tr><td>Level<td>4 m<tr><td>Rain<td>9 mm</table><pre>{_P}</pre><p>a</p><h2>b</h2></article>", "00" "1111" "1" "11"),
+    (f"<body><nav><a href=1>Home</a></nav><article><h1>Flood</h1><p>{_P}</p><p>{_P}</p><p>{_P} {_P}</p></article></body>", "0" "1111"),
+    (f"<body><div class=menu><a href=1>Home</a></div><main><h1>Flood</h1><p>{_P}</p><p>{_P}", "0" "111"),
+    (f"<body><h1>Flood</h1><p>{_P} {_P}</p><p>{_P}</p>", "111"),
+    (f"<body><p>{_P}</p><p>{_P}</p><p>{_P}</p>", "111"),
+    (f"<body><div><a href=1>All news of today</a></div><div>Places and people</div><div><a href=2>Maps of the valley</a></div><div><p>{_P}</p><p>Three short words.</p><p>{_P}</p></div>"
+     "<div><a href=3>The next page here</a></div><div>Or go back</div><div><a href=4>The last page here</a></div>", "000" "111" "000"),
+    (f"<body><div><a href=1>Home</a></div><p>{_P}</p><p>{_P}</p><p>Go on.</p><p>{_P}</p>", "0" "1111"),
+    (f"<body><div><a href=1>Home</a></div><div>Sections</div><div><a href=2>News</a></div><div><p>{_P}</p><p>Short.</p><p>{_P}</p></div><div><a href=3>Next</a></div><div>Or</div>"
+     "<div><a href=4>Back</a></div>", "000" "111" "000"),
+    (f"<body><div><a href=1>Home</a></div><div>Places</div><div><a href=2>News</a></div><article><h1>Flood</h1><p><a href=3>Part one</a></p><p>Two.</p><p><a href=4>Part three</a></p>"
+     f"<div class=more-text><p>{_P}</p></div><div class=side-by-side>Left.</div><p class=notice-board>{_P}</p><h2 class=alert-level>High</h2><p class=legal-text>{_P}</p></article>"
+     f"<p class=legal-text>{_P}</p>", "000" "1111" "11111" "0"),
+    (f"<body><article><h1>Flood</h1><p><a href=1>Map</a></p><p>{_P}</p><p>Two.</p><p><a href=2>Boats</a></p><p>{_P} {_P}</p><p>The end.</p></article>", "1111111"),
+    (f"<body><main><h1>Flood</h1><p><a href=1>Map</a></p><p>{_P}</p><p>Two.</p><p><a href=2>Boats</a></p><p>{_P} {_P}</p><p>The end.</p></main>", "1111111"),
+    (f"<body><article><p>Yes.</p><p>{_P}</p><p>No.</p><p hidden>{_P}</p><ul><li>Boats<li>Mud</ul><p hidden>Draft</p><p>{_P}</p><p>End.</p></article>", "111" "0" "11" "0" "11"),
+    (f"<body><main><p>Yes.</p><p>{_P}</p><p>No.</p><p hidden>{_P}</p><ul><li>Boats<li>Mud</ul><p hidden>Draft</p><p>{_P}</p><p>End.</p></main>", "111" "0" "11" "0" "11"),
+    (f"<body><p hidden>Draft</p><p>{_P}</p><p>{_P}</p><p>{_P}</p><p hidden>{_P}</p><div><a href=1>Home</a></div>", "0" "111" "00"),
+    *[(f"<body><div><a href=1>Home</a></div><{tag}><p>One.</p><p><a href=1>Map</a></p><p>Two.</p><p><a href=2>Boats and mud</a></p><form>Go</form><p>Three words here.</p><p><a href=3>Bank</a></p>"
+       "<p>a</p><h2>b</h2><p><a href=4>c</a></p><p>d</p><p><a href=5>e</a></p></" + tag + "><div>Top</div><div><a href=6>Home</a></div><div>End</div>", "0" "1111" "0" "1111111" "000") for tag in ("article", "main")],
+    (f"<body><div>Menu</div><div><a href=1>Home</a></div><div><p>One.</p><p>{_P}</p><p>Two.</p><p>{_P} {_P}</p></div>", "00" "1111"),
 ]
 
 
@@ -86,7 +110,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if joined:
             n = joined.count(" ") + 1
             texts.append(joined)
-            rows.append([n, min(1.0, linked / n), 0, 0, 0, 0, *[float(f > 0) for f in flags], float(heading > 0), float(item > 0)])
+            rows.append([n, min(1.0, linked / n), 0, 0, 0, 0, *[float(f > 0) for f in (flags[0], flags[0] + flags[1], *flags[2:])], float(heading > 0), float(item > 0)])
         text.clear()
         linked = 0
 
@@ -114,7 +138,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if not name:
             continue
         ending, attrs = m[1] or m[4], m[3] or m[6] or ""
-        if name not in _INLINE:
+        if name in _BLOCK:
             end_block()
         elif name == "br":
             text.append(" ")
@@ -131,17 +155,19 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             continue
         if name in _VOID:
             continue
-        if name in ("li", "dt", "dd", "td", "th", "tr", "option", "a") or name not in _INLINE:
+        if name in ("li", "dt", "dd", "td", "th", "tr", "option", "a") or name in _BLOCK:
             same = {name} if name in ("li", "a", "tr") else {"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {"p"}
             for k in range(len(stack) - 1, -1, -1):  # an unclosed element of the kind ends here
                 if stack[k][0] in same:
                     close(k)
                     break
-                if stack[k][0] not in _INLINE and (stack[k][0] != "p" or name == "a"):
+                if stack[k][0] in _BLOCK and (stack[k][0] != "p" or name == "a"):
                     break
         found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
-        said = set(_WORDS.findall(" ".join([found.get(k, "") for k in ("class", "id", "role", "itemprop")]).lower()))
-        bad = said & _BAD_WORDS
+        tokens = " ".join([found.get(k, "") for k in ("class", "id", "role", "itemprop")]).lower()
+        said = set(_WORDS.findall(tokens))
+        # inside an article or main a word counts as a whole class only: "more-text" is text
+        bad = (set(tokens.split()) if flags[0] or flags[1] else said) & _BAD_WORDS
         if flags[0] or said & _GOOD_WORDS:
             bad -= {"header"}  # an article's own heading
         bits = ((name in _ARTICLE) | (name in _MAIN or found.get("role") == "main") << 1 | (name in _FRAME) << 2
@@ -166,7 +192,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 10):
     if depth == 0 or y.min() == y.max():
         return float(y.mean())
     best = None
-    for f in range(x.shape[1]):
+    for f in [*range(6, x.shape[1]), *range(6)]:  # of equal splits, what the markup says goes before counts of words
         values = np.unique(x[:, f])
         for limit in (values[1:] + values[:-1]) / 2:
             left = x[:, f] <= limit
