@@ -75,6 +75,9 @@ LABELLED: list[tuple[str, str]] = [
     (f"<body><div class=menu><a href=1>Home</a></div><main><h1>Flood</h1><p>{_P}</p><p>{_P}", "0" "111"),
     (f"<body><h1>Flood</h1><p>{_P} {_P}</p><p>{_P}</p>", "111"),
     (f"<body><p>{_P}</p><p>{_P}</p><p>{_P}</p>", "111"),
+    (f"<body><h1>Flood</h1><p>{_P}</p><p>{_P}</p><div>Best of today</div><div><a href=1>{_P}</a></div><div>And this one</div><div><a href=2>{_P}</a></div>", "111" "0000"),
+    (f"<body><header>Daily news here.</header><p>{_P}</p><div class=comments>Nice river there.</div><p>{_P}</p><aside>See the maps.</aside><p>{_P}</p><p hidden>Draft of text.</p><p>{_P}</p>"
+     f"<div class=ad>Buy boats now.</div><p>{_P}</p><h3>Three short words</h3><p>{_P}</p><ul><li>Two boats<li>Mud</ul><p>{_P}</p><p><a href=1>Go to the maps</a></p><p>{_P}</p>", "0" "10" "10" "10" "10" "111111" "0" "1"),
     (f"<body><div><a href=1>All news of today</a></div><div>Places and people</div><div><a href=2>Maps of the valley</a></div><div><p>{_P}</p><p>Three short words.</p><p>{_P}</p></div>"
      "<div><a href=3>The next page here</a></div><div>Or go back</div><div><a href=4>The last page here</a></div>", "000" "111" "000"),
     (f"<body><div><a href=1>Home</a></div><p>{_P}</p><p>{_P}</p><p>Go on.</p><p>{_P}</p>", "0" "1111"),
@@ -186,7 +189,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     return texts, x
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 16):
     """A decision tree: a share of article blocks, or (feature, limit, tree of
     the rows up to the limit, tree of the others), split by Gini impurity."""
     if depth == 0 or y.min() == y.max():
