@@ -1,8 +1,8 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut into blocks: runs of text between block-level tags. A block's
-features are its words and link density, those of its neighbours, and what the
-markup around it says (containers, class words). A decision tree, grown from
+features are its words and link density, its neighbours' words outside of links
+and link density, and what the markup around it says (containers, class words). A decision tree, grown from
 the small labelled pages below, tells article blocks from the rest.
 
 Definitions
@@ -50,7 +50,7 @@ _GOOD_WORDS = set("article content post entry story body main text prose article
 _WORDS = re.compile(r"[a-z]+")
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDE = re.compile(r"(?:^|\s)hidden(?=\s|$|=)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_article", "in_article_or_main",
+FEATURES = ("words", "link_density", "plain_words_before", "links_before", "plain_words_after", "links_after", "in_article", "in_article_or_main",
             "in_frame", "in_header", "bad_class", "good_class", "hidden", "heading", "list_item")
 
 # Labelled pages: (html, labels of its blocks in order; 1 is article text).
@@ -75,6 +75,8 @@ LABELLED: list[tuple[str, str]] = [
     (f"<body><div class=menu><a href=1>Home</a></div><main><h1>Flood</h1><p>{_P}</p><p>{_P}", "0" "111"),
     (f"<body><h1>Flood</h1><p>{_P} {_P}</p><p>{_P}</p>", "111"),
     (f"<body><p>{_P}</p><p>{_P}</p><p>{_P}</p>", "111"),
+    (f"<body><nav><ul><li><a href=1>Home page</a><li>About the town<li><a href=2>All news of today</a></ul></nav><ul><li><a href=3>Maps of the valley</a><li><a href=4>Boats</a></ul>"
+     f"<div class=menu><ul><li>Town hall<li>Market place</ul></div><p>{_P}</p><ul><li>Two boats there<li>Mud</ul><p>{_P}</p>", "000" "00" "00" "1111"),
     (f"<body><h1>Flood</h1><p>{_P}</p><p>{_P}</p><div>Best of today</div><div><a href=1>{_P}</a></div><div>And this one</div><div><a href=2>{_P}</a></div>", "111" "0000"),
     (f"<body><header>Daily news here.</header><p>{_P}</p><div class=comments>Nice river there.</div><p>{_P}</p><aside>See the maps.</aside><p>{_P}</p><p hidden>Draft of text.</p><p>{_P}</p>"
      f"<div class=ad>Buy boats now.</div><p>{_P}</p><h3>Three short words</h3><p>{_P}</p><ul><li>Two boats<li>Mud</ul><p>{_P}</p><p><a href=1>Go to the maps</a></p><p>{_P}</p>", "0" "10" "10" "10" "10" "111111" "0" "1"),
@@ -185,7 +187,8 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     end_block()
     x = np.array(rows, float).reshape(len(rows), len(FEATURES))
     if len(x):
-        x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
+        plain = np.column_stack([x[:, 0] * (1 - x[:, 1]), x[:, 1]])  # words outside of links, link density
+        x[1:, 2:4], x[:-1, 4:6] = plain[:-1], plain[1:]
     return texts, x
 
 

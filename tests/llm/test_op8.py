@@ -75,7 +75,10 @@ def test_neighbours_decide():
             walk(t[3])
 
     walk(tree)
-    assert used & {"links_before", "links_after"} and used & {"words_before", "words_after"}
+    assert used & {"plain_words_before", "plain_words_after"}
+    blocks, x = op8_blocks.blocks("<body><p>A long line of plain text about the river and the town and its boats.</p><h3>Read more</h3><p><a href=/>A long line of text in a link about "
+                                  "the river, the town and its many boats.</a></p><h3>Read more</h3><p>A long line of plain text about the river and the town and its boats.</p>")
+    assert op8_blocks.decide(tree, x).tolist() == [True, False, False, True, True]
     plain = ["One night the river rose and the whole lower road of the town was under water."] * 4
     for n in range(2, 5):
         blocks, x = op8_blocks.blocks("<body><div><a href=/>Home</a></div>" + "".join(f"<p>{p}</p>" for p in plain[:n]))
