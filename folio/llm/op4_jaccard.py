@@ -20,9 +20,10 @@ Steps
    is linear in the postings and joins groups of near copies at once. Then
    keys whose classes are all in one component are done. While the others have
    many pairs for their rows, they get further pivots; at last every untested
-   pair of classes that share a key, are in different components and have
-   compatible sizes is compared. Links inside a component can't change it, so
-   none that matters is lost.
+   pair of classes that share a key and a size band and are in different
+   components is compared. A pair leaves a join only if what follows the key in
+   both sets can make it a link, which holds for the first key that a link
+   shares. Links inside a component can't change it, so none that matters is lost.
 5. A pair's partial overlaps come from the fragments of both sets; the sums
    are tested exactly (100 * intersection >= 75 * union).
 
@@ -38,6 +39,7 @@ Definitions
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,9 +134,9 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 def _ordered(docs: DataFrame, hot, wanted=None, short: bool = False) -> DataFrame:
     """With ``wanted`` (a bitmap of doc_id hashes), for the documents in it: (cid, frag, part) with the shingles of each fragment
-    (``short``: of the first ones, cut to 32 bits); without, (key, salt, cid), the prefix of each set; the rows of frequent keys
-    are salted by class, the others have salt 0. Sets that one task meets
-    again are left out."""
+    (``short``: of the first ones, cut to 32 bits); without, (key, salt, cid, n, at), the prefix of each set with its size and the
+    key's place; the rows of frequent keys are salted by class, the others have
+    salt 0. Sets that one task meets again are left out."""
     whole = wanted is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,70 +176,69 @@ def _ordered(docs: DataFrame, hot, wanted=None, short: bool = False) -> DataFram
                 take = own[r] & (np.arange(len(s)) - first[r] < head[r])
                 c = cid[r[take]]
                 salt = np.where(is_hot[take], 1 + c % SALTS, 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(salt), pa.array(c)], ["key", "salt", "cid"])
+                at = (np.arange(len(s)) - first[r])[take].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(salt), pa.array(c), pa.array(n[r[take]].astype(np.int32)), pa.array(at)],
+                                                 ["key", "salt", "cid", "n", "at"])
 
     return docs.select("text", *[_id().alias("id")] * whole).mapInArrow(
-        run, f"cid long, frag int, part array<{'int' if short else 'long'}>" if whole else "key long, salt int, cid long")
+        run, f"cid long, frag int, part array<{'int' if short else 'long'}>" if whole else "key long, salt int, cid long, n int, at int")
 
 
 def _id():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
 
 
-def _compatible(a: str, b: str):
-    return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
-
-
-def _reachable():
-    """Whether a pair can be a link: what follows the prefixes adds no more
-    than the larger remainder to the ``c`` keys that they share."""
-    rest = lambda n: F.ceil(F.col(n) * NUM / DEN) - 1
-    most = F.col("c") + F.greatest(rest("na"), rest("nb"))
-    return most * DEN >= (F.col("na") + F.col("nb") - most) * NUM
+def _may_link(a: str, b: str):
+    """Whether two sets (structs ``cid, n, at``) whose first shared key is this
+    one can be a link: before it they share nothing, and from it on no more than
+    the smaller remainder. A link has such a first key, so none is lost."""
+    a, b = F.col(a), F.col(b)
+    return F.least(a["n"] - a["at"], b["n"] - b["at"]) * (NUM + DEN) >= NUM * (a["n"] + b["n"])
 
 
 def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
     """(node, root) of the classes that have links. ``first``: (cid, doc_id, n),
     one document of each class."""
     group = Window.partitionBy("key", "salt")
-    shared = saved(_ordered(docs, hot).withColumns({"low": F.min("cid").over(group), "high": F.max("cid").over(group)})
-                   .where("salt > 0 OR low != high").select("key", "salt", "cid", "low"))
+    shared = saved(_ordered(docs, hot).select("key", "salt", F.struct("cid", "n", "at").alias("x"))
+                   .withColumns({"low": F.min("x").over(group), "high": F.max("x.cid").over(group)})
+                   .where("salt > 0 OR low.cid != high").select("key", "salt", "x", "low"))
     tested = links = roots = None
     rows, round_ = shared, 0
     while True:
         if round_ == 0:
             heads = rows.where("salt > 0").select("key", "low").distinct()  # a frequent key's pivots meet each other
             top = heads.groupBy("key").agg(F.min("low").alias("y"))
-            pairs = (rows.where("cid != low").selectExpr("cid AS x", "low AS y")
-                     .unionByName(heads.join(top, "key").where("low != y").selectExpr("low AS x", "y")))
+            pairs = (rows.where("x.cid != low.cid").selectExpr("x", "low AS y")
+                     .unionByName(heads.join(top, "key").where("low.cid != y.cid").selectExpr("low AS x", "y"))).where(_may_link("x", "y"))
         elif round_ <= PIVOT_ROUNDS and _all_pairs(rows) > WORTH * rows.count():
-            pivot = rows.groupBy("key").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(round_))).alias("p"))
-            pairs = rows.join(pivot, "key").where("root != p.root").selectExpr("cid AS x", "p.cid AS y")
+            pivot = rows.groupBy("key").agg(F.min_by(F.struct("x", "root"), F.xxhash64("x.cid", F.lit(round_))).alias("p"))
+            pairs = rows.join(pivot, "key").where("root != p.root").select("x", F.col("p.x").alias("y")).where(_may_link("x", "y"))
         else:
-            other = rows.select("key", F.col("cid").alias("y"), F.col("root").alias("root2"))
-            pairs = rows.join(other, "key").where("cid < y AND root != root2").select(F.col("cid").alias("x"), "y")
+            # sizes of a link differ by one band at most, so a band meets itself and the next one
+            band = F.floor(F.log(F.col("x.n").cast("double")) / math.log(DEN / NUM)).cast("int")
+            left = rows.withColumn("band", F.explode(F.array(band, band + 1)))
+            right = rows.select("key", F.col("x").alias("y"), F.col("root").alias("root2"), F.explode(F.array(band, band + 1)).alias("band"))
+            first_band = F.greatest(band, F.floor(F.log(F.col("y.n").cast("double")) / math.log(DEN / NUM)).cast("int"))
+            meets = (F.col("band") == first_band) & (F.col("x.cid") < F.col("y.cid")) & (F.col("root") != F.col("root2")) & _may_link("x", "y")
+            pairs = left.join(right, ["key", "band"]).where(meets).select("x", "y")
             round_ = None
-        sizes = first.select("cid", "n")
-        pairs = (pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-                 .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
+        small, large = F.least("x", "y"), F.greatest("x", "y")
+        pairs = pairs.select(small["cid"].alias("a"), large["cid"].alias("b"), small["n"].alias("na"), large["n"].alias("nb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = (pairs.join(sizes.withColumnsRenamed({"cid": "a", "n": "na"}), "a")
-                      .join(sizes.withColumnsRenamed({"cid": "b", "n": "nb"}), "b").where(_compatible("na", "nb")))
-        if round_ is None:  # here ``c`` counts all keys that the two prefixes share
-            pairs = pairs.where(_reachable())
-        pairs = saved(pairs.drop("c"))
+        pairs = saved(pairs)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if pairs.limit(1).count():
             new = saved(_verified(docs, first, hot, pairs))
             links = new if links is None else links.unionByName(new)
             roots = components(links)
-        if round_ is None or roots is None and round_:
+        if round_ is None:
             return roots
-        rows = shared.select("key", "cid")
+        rows = shared.select("key", "x")
         if roots is not None:
-            rows = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-        rows = rows.withColumn("root", F.coalesce("root", "cid") if roots is not None else F.col("cid"))
+            rows = rows.join(roots, F.col("x.cid") == F.col("node"), "left").drop("node")
+        rows = rows.withColumn("root", F.coalesce("root", "x.cid") if roots is not None else F.col("x.cid"))
         mixed = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
         rows = saved(rows.join(mixed, "key"))
         if not rows.limit(1).count():
