@@ -30,7 +30,24 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``saved`` has written, once nothing reads them any
+    more. The driver's garbage collection then lets Spark remove the shuffle
+    files of the finished steps too."""
+    for df in tables:
+        path = getattr(df, "_saved_path", None)
+        if path:
+            jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            del df._saved_path
+    if tables and tables[0] is not None:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def id_mod(doc_id: Column, n: int) -> Column:
@@ -119,6 +136,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = now.select(F.col("node").alias("root"), F.col("root").alias("far"))
         nxt = saved(hooked.join(jump, "root").select("node", "was", F.least("root", "far").alias("root")))
         changed = nxt.where("was != root").limit(1).count()
-        now = nxt.select("node", "root")
+        forget(now, *([] if changed else [both]))
+        now = nxt
         if not changed:
-            return now
+            return now.select("node", "root")

@@ -1,18 +1,20 @@
 """Substring dedup by compact windows.
 
-A compact window of a text stands for all passages of ``WORDS`` words that
-start in [l, r]: their minimum hashes are the same. Repeats of more words hold
-such passages, so longer windows aren't needed.
+A compact window is a node of the Cartesian tree over a text's hashes: all
+passages inside its range that hold its minimum share that minimum. Passages of
+``WORDS`` words are looked at: those that start in [l, r] have one signature.
+Repeats of more words hold such passages, so longer ones aren't needed.
 
 Steps
 1. Equal texts are one text (xxhash64 of the text); its further copies are
    repeats as a whole. Positions are shingles of five words.
-2. Each of ``BANDS`` signatures is the minima of two hash functions, which must
-   agree in one passage, so that one common phrase is no signature. Passages of
-   a similarity of 0.75 share one with a probability of 1 - (1 - 0.75^2)^5 =
-   98.4 %, equal ones share all. Signatures that one text alone has are dropped
-   by a map-side combined aggregate; the others are joined with the signature's
-   first text (its pivot), which is linear in the windows.
+2. Each of ``BANDS`` signatures is an interval join of the windows of two hash
+   functions: where their ranges of starts overlap, both minima must agree, so
+   that one common phrase is no signature. Passages of a similarity of 0.75 share
+   one with a probability of 1 - (1 - 0.75^2)^5 = 98.4 %, equal ones share all.
+   Signatures are counted first; those that one text alone has are dropped before
+   their windows are written. The others are joined with the signature's first
+   text (its pivot), which is linear in the windows.
 3. A text and a pivot's text are verified on word shingles: a passage of
    ``WORDS`` words or more whose shingle sets have a Jaccard similarity of 0.75
    or more is a repeat.
@@ -45,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import textvec
-from folio.llm.common import saved, sliced
+from folio.llm.common import bitmap, forget, in_bitmap, saved, sliced
 
 #: Two hash functions for each of ``BANDS`` signatures.
 WORDS, SHINGLE, BANDS = 50, 5, 5
@@ -64,36 +66,75 @@ def text_id(text: str = "text"):
     return F.xxhash64(text)
 
 
-def compact_windows(v: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of all compact windows of at least ``width`` positions: the
-    nodes of the Cartesian tree over ``v`` whose range is that wide. Of equal
-    minima the middle one is taken, so that runs of one value stay shallow."""
-    out, todo = [], [(0, len(v))]
-    while todo:
-        a, b = todo.pop()
-        if b - a < width:
+def compact_windows(v: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the compact windows of at least ``width`` positions: the
+    nodes of the Cartesian trees over the texts' hashes ``v`` whose range is that
+    wide, in order of ``c``. Every passage inside [l, r] that holds ``c`` has its
+    minimum there; of equal minima the first one is the parent. ``first`` and
+    ``last`` are the ends of each position's text. ``l`` and ``r`` stop at
+    ``width`` - 1 positions from ``c``: no passage of that width reaches further.
+
+    A node's range ends before the nearest smaller hash on either side. Minima
+    of 1, 2, 4, ... positions find it for all nodes at a time, in as many steps
+    as ``width`` has bits."""
+    n, least, span = len(v), [v], 1
+    while 2 * span < 2 * width:
+        below = least[-1]
+        least.append(np.minimum(below[:-span], below[span:]) if len(below) > span else below[:0])
+        span *= 2
+    # only a position that is the minimum of some passage is a node this wide
+    top = max(k for k in range(len(least)) if 1 << k <= width)
+    if n < width:
+        return (np.zeros(0, np.int64),) * 3
+    low = np.minimum(least[top][:n - width + 1], least[top][width - (1 << top):n - (1 << top) + 1])
+    inside = last[:n - width + 1] >= np.arange(n - width + 1) + width - 1
+    reach = np.zeros(n + width - 1, np.uint64)
+    reach[width - 1:n] = np.where(inside, low, 0)  # passages by start, shifted so that c's are reach[c:c + width]
+    span = 1
+    while 2 * span <= width:
+        reach, span = np.maximum(reach[:-span], reach[span:]), 2 * span
+    reach = np.maximum(reach[:n], reach[width - span:width - span + n])
+    c = np.flatnonzero(reach == v)
+    own, left, right = v[c], c.copy(), c + 1
+    for k in range(len(least) - 1, -1, -1):
+        step, mins = 1 << k, least[k]
+        if not len(mins):
             continue
-        part = v[a:b]
-        c = int(part.argmin())
-        if b - a > c + 1 and part[c + 1:].min() == part[c]:
-            same = np.flatnonzero(part == part[c])
-            c = int(same[len(same) // 2])
-        out.append((a, a + c, b - 1))
-        todo += [(a, a + c), (a + c + 1, b)]
-    return out
+        at = left - step
+        ok = (at >= first[c]) & (c - at < width) & (mins[np.clip(at, 0, len(mins) - 1)] > own)
+        left = np.where(ok, at, left)
+        ok = (right + step - 1 <= last[c]) & (right + step - 1 - c < width) & (mins[np.clip(right, 0, len(mins) - 1)] >= own)
+        right = np.where(ok, right + step, right)
+    wide = right - left >= width
+    return left[wide], c[wide], right[wide] - 1
+
+
+def _passages(v: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, minimum): passages of ``RUN`` positions that start in
+    [start, end] belong to one compact window. The ranges don't overlap."""
+    l, c, r = compact_windows(v, first, last, RUN)
+    return np.maximum(l, c - RUN + 1), np.minimum(c, r - RUN + 1), v[c]
+
+
+def _hashes(s: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash of each shingle."""
+    return textvec.mix(s ^ textvec.mix(np.array([k + 1], np.uint64)))
 
 
 def _minima(s: np.ndarray, k: int) -> np.ndarray:
     """The least k-th hash of the ``RUN`` shingles from each position on."""
-    v, w = textvec.mix(s ^ textvec.mix(np.array([k + 1], np.uint64))), 1
+    v, w = _hashes(s, k), 1
     while 2 * w <= RUN:
         v, w = np.minimum(v[:-w], v[w:]), 2 * w
     return np.minimum(v[:len(v) - RUN + w], v[RUN - w:])
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """``texts`` (tid, text) to (key, tid, l, r): the passages of ``WORDS``
-    words that start in [l, r] have one signature, two minima that must agree."""
+def windows(texts: DataFrame, known=None) -> DataFrame:
+    """``texts`` (tid, text) to (key, tid, l, r): the passages of ``WORDS`` words
+    that start in [l, r] have one signature. A signature is an interval join of
+    the compact windows of two hash functions: where they overlap, both minima
+    hold. With ``known`` (a bitmap) only signatures that it knows; without, only
+    (key, t), ``t`` being 32 bits of the text's hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in sliced(batches, "text"):
@@ -105,22 +146,39 @@ def windows(texts: DataFrame) -> DataFrame:
             at, s = textvec.shingles(row, h, SHINGLE)
             if len(s) < RUN:
                 continue
-            r = row[at]
-            n = len(s) - RUN + 1
-            whole = (r[:n] == r[RUN - 1:]) & np.isin(r[:n], new)
-            place = np.arange(n) - np.searchsorted(r, np.arange(batch.num_rows))[r[:n]]
-            owner = np.array(tids, np.int64)[r[:n]]
+            mine = np.isin(row[at], new)
+            r, s = row[at][mine], s[mine]
+            bounds = np.searchsorted(r, np.arange(batch.num_rows + 1))
+            first, last = bounds[r], bounds[r + 1] - 1
+            owner = np.array(tids, np.int64)
             for band in range(BANDS):
-                key = textvec.mix(_minima(s, 2 * band) + textvec.mix(_minima(s, 2 * band + 1) + np.uint64(band)))
-                start = whole.copy()
-                start[1:] &= (key[1:] != key[:-1]) | (r[1:n] != r[:n - 1])
-                first = np.flatnonzero(start)
-                stop = np.flatnonzero(whole & np.append(start[1:] | ~whole[1:], True))
-                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(owner[first]),
-                                                  pa.array(place[first].astype(np.int32)), pa.array(place[stop].astype(np.int32))],
-                                                 ["key", "tid", "l", "r"])
-
-    return texts.select("tid", "text").mapInArrow(run, "key long, tid long, l int, r int")
+                (a, ae, x), (b, be, y) = (_passages(_hashes(s, k), first, last) for k in (2 * band, 2 * band + 1))
+                if not len(a):
+                    continue
+                # both lists of ranges cover the same starts without a gap inside a text
+                l = np.union1d(a, b)
+                i, j = np.searchsorted(a, l, side="right") - 1, np.searchsorted(b, l, side="right") - 1
+                end = np.minimum(ae[i], be[j])
+                key = textvec.mix(x[i] + textvec.mix(y[j] + np.uint64(band)))
+                if known is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner[r[l]].astype(np.int32))], ["key", "t"])
+                    continue
+                some = in_bitmap(known.value, key)
+                l, end, key = l[some], end[some], key[some]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner[r[l]]), pa.array((l - first[l]).astype(np.int32)),
+                                                  pa.array((end - first[l]).astype(np.int32))], ["key", "tid", "l", "r"])
+
+    return texts.select("tid", "text").mapInArrow(run, "key long, t int" if known is None else "key long, tid long, l int, r int")
+
+
+def shared_windows(texts: DataFrame) -> DataFrame:
+    """Windows whose signature several texts may have. Signatures are counted
+    first (8 bytes and 32 bits of a text each); those of one text alone are never
+    written with their windows, but for the few that the bitmap of the others
+    lets through. A larger corpus lets more through: that costs work only."""
+    often = windows(texts).groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low != high").select("key")
+    known = texts.sparkSession.sparkContext.broadcast(bitmap(often))
+    return saved(windows(texts, known))
 
 
 def _segments(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -291,9 +349,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(tid, start, end, ptid, pstart, pend): passages of a text that repeat
     one of a text before it; ``tid`` is the hash of the text."""
     texts = docs.where("text IS NOT NULL").select(text_id().alias("tid"), "text")
-    rows = saved(windows(texts))  # read by the aggregate and by the join
+    rows = shared_windows(texts)  # read by the aggregate and by the join
     pivots = rows.groupBy("key").agg(F.min("tid").alias("ptid"), F.max("tid").alias("high")).where("ptid != high").select("key", "ptid")
     shared = saved(rows.join(pivots, "key").select("key", "tid", "l", "r", "ptid").distinct())
+    forget(rows)
     wanted = shared.select("tid").distinct()
     kept = saved(texts.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]))
     second = kept.select(F.col("tid").alias("ptid"), F.col("text").alias("ptext"))

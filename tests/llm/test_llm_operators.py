@@ -281,14 +281,28 @@ def test_substring_dedup_compares_near_copies_beside_the_pivot(spark):
     assert len(got & {(k, k + 1) for k in range(60, 180, 2)}) >= 58
 
 
-def test_compact_windows_cover_each_passage_once():
+@pytest.mark.parametrize("width", [1, 7, 8, 46])
+def test_compact_windows_are_the_nodes_of_cartesian_trees(width):
     rng = np.random.default_rng(2)
-    v = rng.integers(0, 12, 60).astype(np.uint64)
-    windows = op7_substrings.compact_windows(v, 7)
-    for i in range(60):
-        for j in range(i + 6, 60):
-            own = [c for a, c, b in windows if a <= i <= c <= j <= b]
-            assert len(own) == 1 and v[own[0]] == v[i:j + 1].min()
+    sizes = [60, 1, 46, 45, 130, 7]
+    v = np.concatenate([rng.integers(1, top, n) for top, n in zip((12, 3, 50, 5, 1000, 2), sizes)]).astype(np.uint64)
+    ends = np.cumsum(sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    first, last = (ends - sizes)[text], ends[text] - 1
+    got = list(zip(*(x.tolist() for x in op7_substrings.compact_windows(v, first, last, width))))
+
+    def nodes(x, y):  # of the tree over [x, y]
+        if y - x + 1 >= width:
+            c = x + int(v[x:y + 1].argmin())
+            yield max(x, c - width + 1), c, min(y, c + width - 1)
+            yield from nodes(x, c - 1)
+            yield from nodes(c + 1, y)
+
+    assert got == sorted((n for x, y in zip(ends - sizes, ends - 1) for n in nodes(int(x), int(y))), key=lambda n: n[1])
+    for i in range(len(v) - width + 1):
+        if text[i] == text[i + width - 1]:
+            own = [c for x, c, y in got if x <= i <= c <= i + width - 1 <= y]
+            assert len(own) == 1 and v[own[0]] == v[i:i + width].min()
 
 
 def test_blocks_of_labelled_and_odd_pages(spark):
