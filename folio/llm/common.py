@@ -35,19 +35,18 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame | None) -> None:
+def forget(*tables: DataFrame, keep: bool = False) -> None:
     """Delete tables that ``saved`` has written, once nothing reads them any
-    more. The driver's garbage collection then lets Spark remove the shuffle
-    files of the finished steps too."""
-    for df in tables:
+    more (not with ``keep``). The driver's garbage collection then lets Spark
+    remove the shuffle files of the finished steps too."""
+    for df in () if keep else tables:
         path = getattr(df, "_saved_path", None)
         if path:
             jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
             del df._saved_path
-    if tables and tables[0] is not None:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def id_mod(doc_id: Column, n: int) -> Column:

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import textvec
-from folio.llm.common import components, saved, sliced
+from folio.llm.common import components, forget, saved, sliced
 
 WIDTH, NUM, DEN = 5, 75, 100
 #: Known frequent shingles: at most so many (8 bytes each) are broadcast.
@@ -132,11 +132,12 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return words
 
 
-def _ordered(docs: DataFrame, hot, wanted=None, short: bool = False) -> DataFrame:
-    """With ``wanted`` (a bitmap of doc_id hashes), for the documents in it: (cid, frag, part) with the shingles of each fragment
-    (``short``: of the first ones, cut to 32 bits); without, (key, salt, cid, n, at), the prefix of each set with its size and the
-    key's place; the rows of frequent keys are salted by class, the others have
-    salt 0. Sets that one task meets again are left out."""
+def _ordered(docs: DataFrame, hot, wanted=None) -> DataFrame:
+    """With ``wanted`` (a bitmap of doc_id hashes), for the documents in it: (cid,
+    frag, part) with the shingles of each fragment; without, (key, cid, rest), the
+    prefix of each set. ``rest`` packs a salt (frequent keys' rows are salted by
+    class, the others have salt 0), the set's size and the key's place into one
+    number. Sets that one task meets again are left out."""
     whole = wanted is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +164,7 @@ def _ordered(docs: DataFrame, hot, wanted=None, short: bool = False) -> DataFram
                 frag = np.where(is_hot, FRAGMENTS, (s >> np.uint64(32)).astype(np.int64) * FRAGMENTS >> 32)
                 take, rows = own[r], np.flatnonzero(own)
                 code, part = (r * (FRAGMENTS + 1) + frag)[take], s[take].view(np.int64)
-                if short:
-                    low = code % (FRAGMENTS + 1) < FIRST
-                    code, part = code[low], (part[low] >> 32).astype(np.int32)
-                every = (rows[:, None] * (FRAGMENTS + 1) + np.arange(FIRST if short else FRAGMENTS + 1)).ravel()  # empty fragments too
+                every = (rows[:, None] * (FRAGMENTS + 1) + np.arange(FRAGMENTS + 1)).ravel()  # empty fragments too
                 cut = np.append(np.searchsorted(code, every), len(part)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cid[every // (FRAGMENTS + 1)]), pa.array((every % (FRAGMENTS + 1)).astype(np.int32)),
@@ -175,13 +173,12 @@ def _ordered(docs: DataFrame, hot, wanted=None, short: bool = False) -> DataFram
                 head = n - (n * NUM + DEN - 1) // DEN + 1
                 take = own[r] & (np.arange(len(s)) - first[r] < head[r])
                 c = cid[r[take]]
-                salt = np.where(is_hot[take], 1 + c % SALTS, 0).astype(np.int32)
-                at = (np.arange(len(s)) - first[r])[take].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(salt), pa.array(c), pa.array(n[r[take]].astype(np.int32)), pa.array(at)],
-                                                 ["key", "salt", "cid", "n", "at"])
+                salt = np.where(is_hot[take], 1 + c % SALTS, 0)
+                rest = ((salt << 28) + n[r[take]] << 28) + (np.arange(len(s)) - first[r])[take]
+                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(c), pa.array(rest)], ["key", "cid", "rest"])
 
     return docs.select("text", *[_id().alias("id")] * whole).mapInArrow(
-        run, f"cid long, frag int, part array<{'int' if short else 'long'}>" if whole else "key long, salt int, cid long, n int, at int")
+        run, "cid long, frag int, part array<long>" if whole else "key long, cid long, rest long")
 
 
 def _id():
@@ -200,9 +197,13 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
     """(node, root) of the classes that have links. ``first``: (cid, doc_id, n),
     one document of each class."""
     group = Window.partitionBy("key", "salt")
-    shared = saved(_ordered(docs, hot).select("key", "salt", F.struct("cid", "n", "at").alias("x"))
-                   .withColumns({"low": F.min("x").over(group), "high": F.max("x.cid").over(group)})
-                   .where("salt > 0 OR low.cid != high").select("key", "salt", "x", "low"))
+    field = lambda c, shift: F.shiftright(c, shift).bitwiseAND(F.lit((1 << 28) - 1))
+    unpacked = lambda cid, rest: F.struct(cid.alias("cid"), field(rest, 28).alias("n"), field(rest, 0).alias("at"))
+    shared = saved(_ordered(docs, hot).withColumn("salt", F.shiftright("rest", 56).cast("int"))
+                   .withColumns({"low": F.min("cid").over(group), "high": F.max("cid").over(group), "low_rest": F.min_by("rest", "cid").over(group)})
+                   .where("salt > 0 OR low != high")
+                   .select("key", "salt", unpacked(F.col("cid"), F.col("rest")).alias("x"), unpacked(F.col("low"), F.col("low_rest")).alias("low")))
+    forget(shared, keep=True)
     tested = links = roots = None
     rows, round_ = shared, 0
     while True:
@@ -230,7 +231,7 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
         pairs = saved(pairs)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if pairs.limit(1).count():
-            new = saved(_verified(docs, first, hot, pairs))
+            new = _verified(docs, first, hot, pairs)
             links = new if links is None else links.unionByName(new)
             roots = components(links)
         if round_ is None:
@@ -256,11 +257,13 @@ def _all_pairs(rows: DataFrame) -> float:
 def _verified(docs: DataFrame, first: DataFrame, hot, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) whose partial overlaps sum to a link. The sets
     of the classes in question are made once more from their texts."""
-    def overlaps(pairs: DataFrame, short: bool) -> DataFrame:
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(first.join(wanted, "cid").select(_id().alias("id"))))
+    whole = saved(_ordered(docs, hot, bitmap))
+    short = whole.where(F.col("frag") < FIRST).withColumn("part", F.transform("part", lambda h: F.shiftright(h, 32).cast("int")))
+
+    def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """Sums of the partial overlaps, and of the fragments' sizes."""
-        wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(first.join(wanted, "cid").select(_id().alias("id"))))
-        parts = saved(_ordered(docs, hot, bitmap, short))
         x = parts.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa"))
         y = parts.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
         each = (pairs.join(x, "a").join(y, ["b", "frag"])
@@ -272,8 +275,10 @@ def _verified(docs: DataFrame, first: DataFrame, hot, pairs: DataFrame) -> DataF
     # the first fragments rule out most pairs: shortened hashes (twins counted in
     # full) give no less than the overlap, and the rest has its smaller size at most
     slack = F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
-    some = saved(overlaps(pairs, short=True).where(enough(F.col("o") + slack)).select("a", "b", "na", "nb"))
-    return overlaps(some, short=False).where(enough(F.col("o"))).select("a", "b")
+    some = saved(overlaps(pairs, short).where(enough(F.col("o") + slack)).select("a", "b", "na", "nb"))
+    links = saved(overlaps(some, whole).where(enough(F.col("o"))).select("a", "b"))
+    forget(whole, some)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
