@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folio.functions import digest
 from folio.functions.text import content_hash, iso_date_prefix, typed_date
-from folio.operators import book, clean, markdown
+from folio.operators import book, clean, longtext, markdown
 from folio.plans.catalog import register
 from folio.profile import DEFAULT_PROFILE as PR
 from folio.sources.pages import table
@@ -148,7 +149,15 @@ SELECT book_id, COALESCE(min(NULLIF(posted_date, '')), 'unknown') AS earliest,
 _AUTHORS_SQL = f"""(SELECT {{by}}, string_agg(author, ', ' ORDER BY lower(author), author) AS authors
   FROM (SELECT DISTINCT {{by}}, author FROM {POSTS_SQL} WHERE author <> '') GROUP BY {{by}})"""
 register("a2_author_list", "SELECT * FROM " + _AUTHORS_SQL.format(by="book_id"))(
-    lambda spark, sf: book.author_list(posts_of(spark, sf), ["book_id"]))
+    lambda spark, sf: book.author_list(posts_of(spark, sf), ["book_id"]).drop("authors_part"))
+
+# every document its own author: a list that goes over many rows of A2 at scale
+register("k1_author_ranks", f"""
+SELECT book_id, author, CAST(row_number() OVER (PARTITION BY book_id ORDER BY lower(author), author) AS BIGINT) AS rank FROM (
+  SELECT DISTINCT lang AS book_id, substr(md5(text), 1, 12) || CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'A' END AS author FROM documents)
+""")(lambda spark, sf: book.author_ranks(table(spark, sf, "documents").select(
+    F.col("lang").alias("book_id"), F.expr("concat(substr(md5(text), 1, 12), CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'A' END)").alias("author")),
+    ["book_id"]))
 
 register("a3_post_count", f"SELECT book_id, CAST(count(*) AS BIGINT) AS n_posts FROM {POSTS_SQL} GROUP BY book_id")(
     lambda spark, sf: book.post_count(posts_of(spark, sf), ["book_id"]))
@@ -163,7 +172,8 @@ FROM (SELECT book_id, section, CAST(count(*) AS BIGINT) AS n_posts, COALESCE(min
 LEFT JOIN (SELECT book_id, section, string_agg(author, ', ' ORDER BY lower(author), author) AS authors
            FROM (SELECT DISTINCT book_id, section, author FROM p WHERE author <> '') GROUP BY 1, 2) a
   ON c.book_id IS NOT DISTINCT FROM a.book_id AND c.section IS NOT DISTINCT FROM a.section
-""")(lambda spark, sf: book.corpus_report(posts_of(spark, sf).withColumn("section", F.expr(_NULL_SECTION)), ["book_id", "section"]))
+""")(lambda spark, sf: book.corpus_report(posts_of(spark, sf).withColumn("section", F.expr(_NULL_SECTION)), ["book_id", "section"])
+  .drop("authors_part"))
 
 register("w2_section_break", f"""
 SELECT book_id, ordinal, section,
@@ -246,7 +256,7 @@ UNION ALL SELECT DISTINCT book_id, CAST(o AS BIGINT), 0, kind, text FROM p, (VAL
 register("t8_bind_book", _FRAGMENTS_SQL)(
     lambda spark, sf: book.bind_book(_shared_posts(spark, sf)).select("book_id", "ordinal", "part", "kind", "text"))
 
-register("t7_about_page", _about_sql(POSTS_SQL))(lambda spark, sf: book.about_page(posts_of(spark, sf)))
+register("t7_about_page", _about_sql(POSTS_SQL))(lambda spark, sf: book.about_page(posts_of(spark, sf)).drop("part"))
 register("s9_write_book", f"""
 SELECT book_id, line, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT book_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS line FROM ({_FRAGMENTS_SQL})) GROUP BY ALL
@@ -265,6 +275,45 @@ def _write_and_read(spark, sf):
     return lines.groupBy("book_id", F.col("value").alias("line")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+_ITEM_SQL = "CAST('0x' || substr(md5(line), {at}, 7) AS BIGINT)"
+_DIGEST_SQL = " * 2147483648 + ".join(
+    f"list_reduce(list({_ITEM_SQL.format(at=at)} ORDER BY ordinal DESC, part DESC, i DESC), lambda a, x: (a * {b} + x) % {digest.PRIME})"
+    for at, b in zip((1, 8), digest.BASES))
+
+
+@register("s9_verify_book", f"""
+SELECT book_id, CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes,
+       CAST({_DIGEST_SQL} AS BIGINT) AS digest, true AS intact
+FROM (SELECT book_id, ordinal, part, unnest(l) AS line, generate_subscripts(l, 1) AS i
+      FROM (SELECT book_id, ordinal, part, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM ({_FRAGMENTS_SQL})))
+GROUP BY book_id
+""")
+def s9_verify_book(spark, sf):
+    """The books' files, read back by their manifest: size and ordered
+    digest of each whole book, and whether the fragments agree."""
+    import uuid
+    from folio.session import ensure_checkpoint_dir, materialize
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/books-{uuid.uuid4().hex}"
+    fragments = materialize(book.bind_book(_shared_posts(spark, sf)))
+    book.write_book(fragments, out)
+    return book.verify_book(fragments, out)
+
+
+@register("k4_stable_order", f"""
+SELECT book_id, CAST(count(*) AS BIGINT) AS n, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal, CAST(0 AS BIGINT) AS descents
+FROM {POSTS_SQL} GROUP BY book_id
+""")
+def k4_stable_order(spark, sf):
+    """K4: posts dealt at random, written in index order, and the written files
+    checked for it."""
+    import uuid
+    from folio.session import ensure_checkpoint_dir
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/ordered-{uuid.uuid4().hex}"
+    book.write_ordered(posts_of(spark, sf).repartition(F.xxhash64("ordinal")), out, ["book_id", "ordinal"])
+    found = book.order_report(spark, out, "book_id", ["book_id", "ordinal"])
+    return found.select("book_id", "n", F.col("first.ordinal").alias("first_ordinal"), F.col("last.ordinal").alias("last_ordinal"), "descents")
+
+
 @register("s14_require_rows", f"SELECT book_id, CAST(count(*) AS BIGINT) AS n_posts FROM {POSTS_SQL} GROUP BY book_id")
 def s14_require_rows(spark, sf):
     """The posts table is checked non-empty (one-row probe) before
@@ -288,3 +337,44 @@ def s10_read_markdown(spark, sf):
     _md_docs(spark, sf).write.partitionBy("doc_id").text(out)
     files = read_markdown(spark, out + "/*/*.txt")
     return files.select(F.regexp_extract("path", "/doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"), markdown.demoted("text").alias("text"))
+
+
+# all documents of a language as one Markdown text over many part files
+_LONG_ROWS = f"""
+  SELECT lang AS book_id, line, CAST(row_number() OVER w - 1 AS BIGINT) AS pos, starts_with(ltrim(line), '```') AS is_fence,
+         count(*) FILTER (WHERE starts_with(ltrim(line), '```')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fences_before
+  FROM ({_MD_ROWS}) JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY lang ORDER BY doc_id, r.pos)
+""".replace(f"({_MD_ROWS}) JOIN", f"({_MD_ROWS}) r JOIN")
+_LONG_HEAD = _MD_HEAD.replace(_MD_ROWS, _LONG_ROWS)
+
+
+def _long_lines(spark, sf):
+    """The texts, written by S9 and read back as lines."""
+    import uuid
+    from folio.session import ensure_checkpoint_dir
+    out = ensure_checkpoint_dir(spark).rstrip("/") + f"/long-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(F.col("lang").alias("book_id"), F.col("doc_id").alias("ordinal"), F.lit(0).alias("part"),
+                                                F.expr(_MD_SPARK).alias("text"))
+    book.write_book(docs.where("text <> ''"), out)
+    return longtext.read_lines(spark, out, "book_id")
+
+
+register("t2_long_texts", f"""
+SELECT book_id, s, e FROM (
+  SELECT book_id, pos AS s, lead(pos) OVER (PARTITION BY book_id ORDER BY pos) AS e,
+         row_number() OVER (PARTITION BY book_id ORDER BY pos) AS k FROM ({_LONG_ROWS}) WHERE is_fence)
+WHERE k % 2 = 1
+""")(lambda spark, sf: longtext.fence_spans_of_lines(_long_lines(spark, sf), "book_id"))
+
+register("t3_long_texts", f"""
+SELECT book_id, pos, CASE WHEN is_h THEN indent || repeat('#', CAST(least(n + 2, 6) AS INTEGER)) || rest ELSE line END AS line FROM ({_LONG_HEAD})
+""")(lambda spark, sf: longtext.demote_lines(_long_lines(spark, sf), "book_id"))
+
+register("s13_long_texts", f"""
+SELECT book_id, CAST(chapter_no AS BIGINT) AS chapter_no, max(title) AS title, CAST(count(*) AS BIGINT) AS n_lines, min(pos) AS first_line
+FROM (SELECT *, CASE WHEN is_h AND n <= 2 THEN trim(rest) END AS title,
+             sum(CASE WHEN is_h AND n <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter_no FROM ({_LONG_HEAD}))
+GROUP BY book_id, chapter_no
+""")(lambda spark, sf: longtext.chapter_lines(_long_lines(spark, sf), "book_id").groupBy("book_id", "chapter_no")
+     .agg(F.max("title").alias("title"), F.count(F.lit(1)).alias("n_lines"), F.min("pos").alias("first_line")))

@@ -318,3 +318,21 @@ def st2_stream_dedup(spark, sf):
     so a hot key is there."""
     batch = table(spark, sf, "documents").select(F.col("source").alias("url"), F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
     return refresh.stream_dedup(batch)
+
+
+@register("st2_stream_state", """
+SELECT url, arg_min(doc_id, doc_id % 3 * 1000000000000 + doc_id) AS page_id, arg_min(text, doc_id % 3 * 1000000000000 + doc_id) AS html
+FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN source ELSE substr(md5(text), 1, 3) END AS url FROM documents) GROUP BY url
+""")
+def st2_stream_state(spark, sf):
+    """ST2 over three batches that share keys, some of them hot: all documents,
+    dealt to the batches by ``doc_id``; keyed state holds what earlier ones had."""
+    root = _scratch(spark, "state")
+    pages = table(spark, sf, "documents").select(F.expr("CASE WHEN doc_id % 4 = 0 THEN source ELSE substr(md5(text), 1, 3) END").alias("url"),
+                                                F.col("doc_id").alias("page_id"), F.col("text").alias("html"))
+    for k in range(3):  # one file a batch, the next one is written when the last one is read
+        pages.where(F.col("page_id") % 3 == k).write.parquet(f"{root}/in/{k}")
+        arrived = spark.readStream.schema(pages.schema).parquet(root + "/in/*")
+        (refresh.dedup_stream(arrived).writeStream.format("parquet").option("checkpointLocation", root + "/run").option("path", root + "/out")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(pages.schema).parquet(root + "/out")

@@ -1,7 +1,7 @@
 """Streaming form of the weekly refresh (ST1-ST3).
 
 New page files arrive in a folder; each micro-batch keeps the first
-record per URL (ST2), drops URLs already in the cache (J1, in the key
+record per URL, drops URLs already in the cache (J1, in the key
 buckets of the batch only), extracts the rest and puts them into the
 cache (S5). ``trigger(availableNow=True)``
 drains what is there and stops; the checkpoint makes replays idempotent
@@ -11,7 +11,11 @@ safe too.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folio import schemas
 from folio.functions import urls
@@ -26,6 +30,49 @@ def stream_dedup(batch: DataFrame, key: str = "url", order: str = "page_id") ->
     return dedup_keep_first(batch, key, [order], part=None)
 
 
+def _least(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame | None:
+    best = None
+    for rows in batches:
+        rows = rows if best is None else pd.concat([best, rows], ignore_index=True)
+        best = rows.sort_values(order, kind="stable", na_position="first").head(1)
+    return best
+
+
+def dedup_stream(stream: DataFrame, key: str = "url", order: str = "page_id", time: str | None = None, within_ms: int | None = None) -> DataFrame:
+    """ST2 across batches: a stream of the first record of each key. The batch
+    that has a key first decides, inside of it the least ``order``; ties keep any
+    one of the tied rows. The state is one flag a key. With a crawl time column
+    a flag ends once the watermark (``within_ms`` late) is ``within_ms`` past the
+    key's first record, so state is bounded by that span, and later rows than the
+    watermark are dropped; without, it is kept for good. A null key is a key.
+    Each Arrow batch is reduced to one row a key before the shuffle, so a hot key
+    reaches its task as a row for each batch of its input."""
+    schema = stream.schema
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.sort_values(order, kind="stable", na_position="first").drop_duplicates(key)
+
+    def first(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = _least(batches, [order])
+        if state.exists or best is None:
+            return
+        state.update((True,))
+        if time:
+            seen = int(best[time].iloc[0].timestamp() * 1000)
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + within_ms)
+        yield best
+
+    rows = stream.mapInPandas(reduce, schema)
+    if time:
+        rows = rows.withWatermark(time, f"{within_ms} milliseconds")
+    ends = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(first, schema, "seen boolean", "append", ends)
+
+
 def stream_new_pages(spark: SparkSession, in_dir: str, cache_dir: str, checkpoint: str, extract,
                      profile: SiteProfile = DEFAULT_PROFILE):
     """ST1: process new page files into the cache. ``extract(pages) ->
