@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,6 +271,13 @@ def _verify(pairs: DataFrame) -> DataFrame:
     return pairs.select("tid", "text", "ptid", "ptext").mapInArrow(run, _SPAN)
 
 
+def _listed(column: pa.Array, *names: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A column of lists of structs as the row of each struct and its fields."""
+    flat = column.flatten()
+    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), {x: flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names}
+
+
 def _blocks(anchors: DataFrame) -> DataFrame:
     """``anchors`` (tid, text, ws) to (block, tid, start): the exact blocks of
     ``WORDS`` words that start in one of the windows ``ws``."""
@@ -278,13 +286,15 @@ def _blocks(anchors: DataFrame) -> DataFrame:
             row, _, _, h = textvec.words(batch.column("text"))
             at, s = textvec.shingles(row, h, WORDS)
             first = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
-            for i, (tid, ws) in enumerate(zip(batch.column("tid").to_pylist(), batch.column("ws").to_pylist())):
-                own = s[first[i]:first[i + 1]]
-                near = np.unique(np.concatenate([np.arange(w["l"], w["r"] + 1) for w in ws]))
-                near = near[near < len(own)]
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[near].view(np.int64)), pa.array(np.full(len(near), tid)),
-                                                      pa.array(near.astype(np.int32))], ["block", "tid", "start"])
+            of, ws = _listed(batch.column("ws"), "l", "r")
+            l, r = first[of] + ws["l"], np.minimum(first[of] + ws["r"], first[of + 1] - 1)
+            some = l <= r
+            edges = np.bincount(l[some], minlength=len(s) + 1) - np.bincount(r[some] + 1, minlength=len(s) + 1)
+            near = np.flatnonzero(np.cumsum(edges[:len(s)]) > 0)
+            if len(near):
+                owner = row[at][near]
+                yield pa.RecordBatch.from_arrays([pa.array(s[near].view(np.int64)), pa.array(np.array(batch.column("tid").to_pylist(), np.int64)[owner]),
+                                                  pa.array((near - first[owner]).astype(np.int32))], ["block", "tid", "start"])
 
     return anchors.select("tid", "text", "ws").mapInArrow(run, "block long, tid long, start int")
 
@@ -297,18 +307,25 @@ def _finer(windows: DataFrame, level: int) -> DataFrame:
             row, _, _, h = textvec.words(batch.column("text"))
             at, s = textvec.shingles(row, h, SHINGLE)
             first = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
-            for i, (tid, ws) in enumerate(zip(batch.column("tid").to_pylist(), batch.column("ws").to_pylist())):
-                out = []
-                for k in (2 * BANDS + 2 * level, 2 * BANDS + 2 * level + 1):
-                    low = _minima(s[first[i]:first[i + 1]], k)
-                    for w in ws:
-                        own = low[w["l"]:w["r"] + 1]
-                        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                        keys = textvec.mix(own[cut] + textvec.mix(np.array([w["key"]], np.int64).view(np.uint64) + np.uint64(k)))
-                        out += zip(keys.view(np.int64).tolist(), (cut + w["l"]).tolist(), (np.append(cut[1:], len(own)) - 1 + w["l"]).tolist())
-                keys, ls, rs = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([tid] * len(out), pa.int64()),
-                                                  pa.array(ls, pa.int32()), pa.array(rs, pa.int32())], ["key", "tid", "l", "r"])
+            of, ws = _listed(batch.column("ws"), "key", "l", "r")
+            tid = np.array(batch.column("tid").to_pylist(), np.int64)[of]
+            l, r = first[of] + ws["l"], first[of] + ws["r"]  # passages that start there end in their own text
+            for k in (2 * BANDS + 2 * level, 2 * BANDS + 2 * level + 1):
+                if not len(l):
+                    continue
+                low = _minima(s, k)
+                cuts = np.flatnonzero(low[1:] != low[:-1]) + 1
+                c, d = np.searchsorted(cuts, l, side="right"), np.searchsorted(cuts, r, side="right")
+                salted = textvec.mix(ws["key"].view(np.uint64) + np.uint64(k))
+                for part in np.array_split(np.arange(len(l)), 1 + int((d - c + 1).sum()) // 500_000):
+                    n = (d - c + 1)[part]
+                    w, j = np.repeat(part, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    bounds = np.concatenate([cuts, [0]])
+                    begin = np.where(j == 0, l[w], bounds[c[w] + j - 1])
+                    end = np.where(c[w] + j == d[w], r[w], bounds[c[w] + j] - 1)
+                    keys = textvec.mix(low[begin] + salted[w])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tid[w]), pa.array((begin - l[w] + ws["l"][w]).astype(np.int32)),
+                                                      pa.array((end - l[w] + ws["l"][w]).astype(np.int32))], ["key", "tid", "l", "r"])
 
     return windows.select("tid", "text", "ws").mapInArrow(run, "key long, tid long, l int, r int")
 
@@ -318,10 +335,13 @@ def _among_rest(rows: DataFrame, spans: DataFrame, tested: DataFrame, verified)
     ``rows`` (key, tid, l, r) are the windows of all but the pivots, ``tested``
     the pairs so far; ``verified`` is (pairs to spans, rows to windows by text)."""
     verify, by_text = verified
+    source = None  # the table that ``rows`` are made of
     for level in range(ROUNDS + 1):
         c = spans.select(F.col("tid").alias("ctid"), "start", "end")
         left = rows.join(c, (F.col("tid") == F.col("ctid")) & (F.greatest("l", "start") <= F.least(F.col("r"), F.col("end") - WORDS)), "left_anti")
         left = saved(left)  # repeated passages need no other source
+        if source is not None:
+            forget(source)
         groups = saved(left.groupBy("key").agg(F.min("tid").alias("ptid"), F.max("tid").alias("high"), F.count(F.lit(1)).alias("m"))
                        .where("ptid != high"))
         size = groups.agg(F.sum("m"), F.sum(F.expr("m * (m - 1.0) / 2"))).first()
@@ -334,14 +354,18 @@ def _among_rest(rows: DataFrame, spans: DataFrame, tested: DataFrame, verified)
             spread = own.select("key", F.col("tid").alias("ptid"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
             pairs = dealt.join(spread, ["key", "salt"]).where("tid > ptid").select("tid", "ptid").distinct()
         else:
-            left = saved(left.join(groups.select("key", "ptid"), "key").where("tid != ptid"))
-            pairs = left.select("tid", "ptid").distinct()
+            source = saved(left.join(groups.select("key", "ptid"), "key").where("tid != ptid"))
+            forget(left)
+            pairs = source.select("tid", "ptid").distinct()
         pairs = saved(pairs.join(tested, ["tid", "ptid"], "left_anti"))
-        spans = saved(spans.unionByName(verify(pairs)))
+        before, spans = spans, saved(spans.unionByName(verify(pairs)))
+        forget(before)
         if last:
+            forget(left)
             break
+        forget(groups)
         tested = tested.unionByName(pairs)
-        rows = _finer(by_text(left.select("key", "tid", "l", "r")), level)
+        rows = _finer(by_text(source.select("key", "tid", "l", "r")), level)
     return spans
 
 
