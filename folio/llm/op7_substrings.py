@@ -18,14 +18,15 @@ Steps
 3. A text and a pivot's text are verified on word shingles: a passage of
    ``WORDS`` words or more whose shingle sets have a Jaccard similarity of 0.75
    or more is a repeat.
-4. Windows without a verified passage get further pivots among themselves, with
-   keys split by further minima, while all pairs would be many for the rows; at
-   last all pairs of texts that share a key are verified.
-5. If a window isn't within a verified passage, it may still share one with
-   another text than the pivot. All windows of its group then emit the exact
-   blocks of ``WORDS`` words that start in them, and texts are joined on those,
-   again with the first one: every exact repeat of ``WORDS`` words is found, in
-   work linear in the windows.
+4. Passages that no verified one holds may be near copies of another text than
+   the pivot. Two passages of ``RUN`` shingles that have ``HITS`` in common share
+   one of the ``PREFIX`` first shingles of either, in any order that all texts
+   have in common; rare shingles come first, so that a frequent phrase is no key.
+   Texts that share such a key are verified: while all pairs would be many for the
+   rows, with the key's first open text (which then is done), at last in pairs,
+   keys salted. Only pairs without an open passage are left out. The step loses
+   none of those passages; near copies with three to six words put in at one
+   place may share such a key or not.
 
 Definitions
 - Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; spans count words from 0,
@@ -57,9 +58,17 @@ RUN = WORDS - SHINGLE + 1
 NUM, DEN = 75, 100
 #: Of ``RUN`` positions, the hits that a similarity of 0.75 takes.
 HITS = -(-2 * RUN * NUM // (NUM + DEN))
+#: A passage that reaches no further out of a verified one has its source: what
+#: is left of it when that one is cut is no passage.
+EDGE = RUN - HITS
+#: Of two passages of ``RUN`` shingles that have ``HITS`` in common, each has one
+#: of those among its first so many.
+PREFIX = RUN - HITS + 1
+#: Numbers of texts that make a shingle rank behind those of fewer texts.
+OFTEN = (2, 16, 256)
 #: Pivot rounds go on while all pairs would be so many times the rows, and end
 #: after the last one in any case; parts that the rows of a key are dealt to.
-WORTH, ROUNDS, SALTS = 10, 6, 8
+WORTH, ROUNDS, SALTS = 1, 6, 8
 _SPAN = "tid long, start int, end int, ptid long, pstart int, pend int"
 
 
@@ -122,14 +131,6 @@ def _hashes(s: np.ndarray, k: int) -> np.ndarray:
     return textvec.mix(s ^ textvec.mix(np.array([k + 1], np.uint64)))
 
 
-def _minima(s: np.ndarray, k: int) -> np.ndarray:
-    """The least k-th hash of the ``RUN`` shingles from each position on."""
-    v, w = _hashes(s, k), 1
-    while 2 * w <= RUN:
-        v, w = np.minimum(v[:-w], v[w:]), 2 * w
-    return np.minimum(v[:len(v) - RUN + w], v[RUN - w:])
-
-
 def windows(texts: DataFrame, known=None) -> DataFrame:
     """``texts`` (tid, text) to (key, tid, l, r): the passages of ``WORDS`` words
     that start in [l, r] have one signature. A signature is an interval join of
@@ -271,101 +272,128 @@ def _verify(pairs: DataFrame) -> DataFrame:
     return pairs.select("tid", "text", "ptid", "ptext").mapInArrow(run, _SPAN)
 
 
-def _listed(column: pa.Array, *names: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """A column of lists of structs as the row of each struct and its fields."""
-    flat = column.flatten()
-    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column)), sizes), {x: flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names}
-
-
-def _blocks(anchors: DataFrame) -> DataFrame:
-    """``anchors`` (tid, text, ws) to (block, tid, start): the exact blocks of
-    ``WORDS`` words that start in one of the windows ``ws``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            row, _, _, h = textvec.words(batch.column("text"))
-            at, s = textvec.shingles(row, h, WORDS)
-            first = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
-            of, ws = _listed(batch.column("ws"), "l", "r")
-            l, r = first[of] + ws["l"], np.minimum(first[of] + ws["r"], first[of + 1] - 1)
-            some = l <= r
-            edges = np.bincount(l[some], minlength=len(s) + 1) - np.bincount(r[some] + 1, minlength=len(s) + 1)
-            near = np.flatnonzero(np.cumsum(edges[:len(s)]) > 0)
-            if len(near):
-                owner = row[at][near]
-                yield pa.RecordBatch.from_arrays([pa.array(s[near].view(np.int64)), pa.array(np.array(batch.column("tid").to_pylist(), np.int64)[owner]),
-                                                  pa.array((near - first[owner]).astype(np.int32))], ["block", "tid", "start"])
-
-    return anchors.select("tid", "text", "ws").mapInArrow(run, "block long, tid long, start int")
-
-
-def _finer(windows: DataFrame, level: int) -> DataFrame:
-    """``windows`` (tid, text, ws) with keys split by further minima: passages
-    of a similarity of 0.75 stay together in one of two with 94 %."""
+def _starts(batch: pa.RecordBatch, first: np.ndarray, column: str, l: str, r: str, less: int = 0, edge: int = 0) -> np.ndarray:
+    """Which positions lie in [l - edge, r - less + edge] of one of their text's ranges."""
+    lists = batch.column(column)
+    flat, n = lists.flatten(), int(first[-1])
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(lists)), sizes)
+    a, b = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) + first[of] for x in (l, r))
+    a, b = np.maximum(a - edge, first[of]), np.minimum(b - less + edge + 1, first[of + 1])
+    edges = np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1)
+    return np.cumsum(edges)[:n] > 0
+
+
+def _heads(order: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, position) of the ``PREFIX`` first distinct hashes, by ``order``,
+    of the ``RUN`` positions from each start in ``x`` on."""
+    v = order[x[:, None] + np.arange(RUN)]
+    low = np.sort(v, axis=1)
+    rank = np.ones(low.shape, np.int64)
+    rank[:, 1:] = low[:, 1:] != low[:, :-1]
+    rank = np.cumsum(rank, axis=1)
+    rank[:, -1] = PREFIX  # of fewer distinct ones all
+    last = low[np.arange(len(x)), np.argmax(rank >= PREFIX, axis=1)]
+    i, j = np.nonzero(v <= last[:, None])
+    return x[i], x[i] + j
+
+
+def _prefixes(texts: DataFrame, classes=None, known=None) -> DataFrame:
+    """``texts`` (tid, text, ws, open, cut): ``ws`` are ranges of starts of
+    passages, ``open`` those that need a source, ``cut`` the verified spans.
+
+    Without ``classes`` (key, tid), the distinct shingles of the passages; with
+    ``classes`` (bitmaps of ever more frequent shingles) (key, tid, l, r), the
+    shingles among the ``PREFIX`` first of passages that start in [l, r]: of open
+    ones, or with ``known`` (a bitmap) those of the others that it knows. A shingle
+    that one text alone has is no key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             row, _, _, h = textvec.words(batch.column("text"))
             at, s = textvec.shingles(row, h, SHINGLE)
             first = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
-            of, ws = _listed(batch.column("ws"), "key", "l", "r")
-            tid = np.array(batch.column("tid").to_pylist(), np.int64)[of]
-            l, r = first[of] + ws["l"], first[of] + ws["r"]  # passages that start there end in their own text
-            for k in (2 * BANDS + 2 * level, 2 * BANDS + 2 * level + 1):
-                if not len(l):
-                    continue
-                low = _minima(s, k)
-                cuts = np.flatnonzero(low[1:] != low[:-1]) + 1
-                c, d = np.searchsorted(cuts, l, side="right"), np.searchsorted(cuts, r, side="right")
-                salted = textvec.mix(ws["key"].view(np.uint64) + np.uint64(k))
-                for part in np.array_split(np.arange(len(l)), 1 + int((d - c + 1).sum()) // 500_000):
-                    n = (d - c + 1)[part]
-                    w, j = np.repeat(part, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    bounds = np.concatenate([cuts, [0]])
-                    begin = np.where(j == 0, l[w], bounds[c[w] + j - 1])
-                    end = np.where(c[w] + j == d[w], r[w], bounds[c[w] + j] - 1)
-                    keys = textvec.mix(low[begin] + salted[w])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tid[w]), pa.array((begin - l[w] + ws["l"][w]).astype(np.int32)),
-                                                      pa.array((end - l[w] + ws["l"][w]).astype(np.int32))], ["key", "tid", "l", "r"])
-
-    return windows.select("tid", "text", "ws").mapInArrow(run, "key long, tid long, l int, r int")
-
-
-def _among_rest(rows: DataFrame, spans: DataFrame, tested: DataFrame, verified) -> DataFrame:
-    """``spans`` and those among the texts that aren't near their pivots.
-    ``rows`` (key, tid, l, r) are the windows of all but the pivots, ``tested``
-    the pairs so far; ``verified`` is (pairs to spans, rows to windows by text)."""
-    verify, by_text = verified
-    source = None  # the table that ``rows`` are made of
+            owner, tid = row[at], np.array(batch.column("tid").to_pylist(), np.int64)
+            every = _starts(batch, first, "ws", "l", "r")
+            if classes is None:
+                mine = np.flatnonzero(np.convolve(every, np.ones(RUN, np.int64))[:len(s)] > 0) if every.any() else np.zeros(0, np.int64)
+                mine = mine[np.lexsort((s[mine], owner[mine]))]
+                new = np.ones(len(mine), bool)
+                new[1:] = (s[mine][1:] != s[mine][:-1]) | (owner[mine][1:] != owner[mine][:-1])
+                mine = mine[new]
+                yield pa.RecordBatch.from_arrays([pa.array(s[mine].view(np.int64)), pa.array(tid[owner[mine]])], ["key", "tid"])
+                continue
+            need = _starts(batch, first, "open", "l", "r") & ~_starts(batch, first, "cut", "start", "end", WORDS, EDGE)
+            level = np.sum([in_bitmap(words, s) for words in classes.value], axis=0, dtype=np.uint64) if len(s) else s
+            order = (s >> np.uint64(2)) | (level << np.uint64(62))
+            # a passage whose own shingles fill its prefix has no key
+            by = np.lexsort((np.arange(len(s)), s, owner))
+            twin = np.zeros(len(s), bool)
+            twin[by[1:]] = (s[by[1:]] == s[by[:-1]]) & (owner[by[1:]] == owner[by[:-1]])
+            own = np.concatenate([[0], np.cumsum((level == 0) & ~twin)])
+            x = np.flatnonzero(need if known is None else every & ~need)
+            x = x[own[x + RUN] - own[x] < PREFIX]
+            parts = [_heads(order, part) for part in np.array_split(x, 1 + len(x) // 50_000)] if len(x) else []
+            start, place = (np.concatenate(c) for c in zip(*parts)) if parts else (x, x)
+            key = level[place] > 0
+            if known is not None:
+                key &= in_bitmap(known.value, s[place])
+            start, place = start[key], place[key]
+            by = np.lexsort((start, place))
+            start, place = start[by], place[by]
+            head = np.flatnonzero(np.diff(place, prepend=-1))
+            tail = np.append(head[1:], len(place)) - 1
+            at, low = place[head], first[owner[place[head]]]
+            yield pa.RecordBatch.from_arrays([pa.array(s[at].view(np.int64)), pa.array(tid[owner[at]]), pa.array((start[head] - low).astype(np.int32)),
+                                              pa.array((start[tail] - low).astype(np.int32) if len(head) else np.zeros(0, np.int32))], ["key", "tid", "l", "r"])
+
+    return texts.select("tid", "text", "ws", "open", "cut").mapInArrow(run, "key long, tid long" if classes is None else "key long, tid long, l int, r int")
+
+
+def _among_rest(shared: DataFrame, spans: DataFrame, kept: DataFrame, tested: DataFrame, verify) -> DataFrame:
+    """``spans`` and those of passages that aren't near their pivots. ``shared``
+    (key, tid, l, r, ptid) are the windows, ``kept`` their texts, ``tested`` the
+    pairs so far; ``verify`` makes spans of pairs."""
+    spark = shared.sparkSession
+    place = F.struct("l", "r")
+    own = shared.groupBy("tid").agg(F.collect_set(place).alias("ws"), F.collect_set(F.when(F.col("tid") != F.col("ptid"), place)).alias("open"))  # of one text
+    cut = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
+    texts = saved(own.join(cut, "tid", "left").join(kept, "tid"))
+    counts = saved(_prefixes(texts).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN[0]))
+    classes = spark.sparkContext.broadcast([bitmap(counts.where(F.col("n") >= n).select("key")) for n in OFTEN])
+    need = saved(_prefixes(texts, classes))
+    known = spark.sparkContext.broadcast(bitmap(need.select("key")))
+    source = rows = saved(need.withColumn("open", F.lit(True)).unionByName(_prefixes(texts, classes, known).withColumn("open", F.lit(False))))
+    forget(counts, need, texts)
     for level in range(ROUNDS + 1):
-        c = spans.select(F.col("tid").alias("ctid"), "start", "end")
-        left = rows.join(c, (F.col("tid") == F.col("ctid")) & (F.greatest("l", "start") <= F.least(F.col("r"), F.col("end") - WORDS)), "left_anti")
-        left = saved(left)  # repeated passages need no other source
-        if source is not None:
-            forget(source)
-        groups = saved(left.groupBy("key").agg(F.min("tid").alias("ptid"), F.max("tid").alias("high"), F.count(F.lit(1)).alias("m"))
-                       .where("ptid != high"))
-        size = groups.agg(F.sum("m"), F.sum(F.expr("m * (m - 1.0) / 2"))).first()
+        if level:  # what a verified span holds has its source
+            c = spans.select(F.col("tid").alias("ctid"), "start", "end")
+            held = F.col("open") & (F.col("tid") == F.col("ctid")) & (F.col("l") >= F.col("start") - EDGE) & (F.col("r") + WORDS - EDGE <= F.col("end"))
+            rows = rows.join(c, held, "left_anti").unionByName(rows.join(c, held, "left_semi").withColumn("open", F.lit(False)))
+        by_text = saved(rows.groupBy("key", "tid").agg(F.max("open").alias("open")))
+        keys = saved(by_text.groupBy("key").agg(F.min(F.when(F.col("open"), F.col("tid"))).alias("pivot"), F.count(F.lit(1)).alias("n"),
+                                                F.sum(F.col("open").cast("long")).alias("m")).where("m > 0 AND n > 1"))
+        size = keys.agg(F.sum("n"), F.sum(F.expr("m * (n - (m + 1.0) / 2)"))).first()
         if not size[0]:
             break
         last = level == ROUNDS or size[1] <= WORTH * size[0]
         if last:
-            own = left.join(groups.select("key"), "key", "left_semi").select("key", "tid").distinct()
-            dealt = own.withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int"))
-            spread = own.select("key", F.col("tid").alias("ptid"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            pairs = dealt.join(spread, ["key", "salt"]).where("tid > ptid").select("tid", "ptid").distinct()
+            live = by_text.join(keys.select("key"), "key", "left_semi")
+            dealt = live.withColumn("salt", F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int"))
+            spread = live.where("open").select("key", F.col("tid").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            met = dealt.join(spread, ["key", "salt"]).where("tid != other AND (NOT open OR tid > other)")
         else:
-            source = saved(left.join(groups.select("key", "ptid"), "key").where("tid != ptid"))
-            forget(left)
-            pairs = source.select("tid", "ptid").distinct()
+            met = by_text.join(keys.select("key", F.col("pivot").alias("other")), "key").where("tid != other")
+        pairs = met.select(F.greatest("tid", "other").alias("tid"), F.least("tid", "other").alias("ptid")).distinct()
         pairs = saved(pairs.join(tested, ["tid", "ptid"], "left_anti"))
-        before, spans = spans, saved(spans.unionByName(verify(pairs)))
-        forget(before)
+        spans = spans.unionByName(saved(verify(pairs)))
         if last:
-            forget(left)
             break
-        forget(groups)
         tested = tested.unionByName(pairs)
-        rows = _finer(by_text(source.select("key", "tid", "l", "r")), level)
+        before, rows = source, saved(rows.join(keys.select("key", "pivot"), "key")
+                                     .withColumn("open", F.col("open") & (F.col("tid") != F.col("pivot"))).drop("pivot"))
+        source = rows
+        forget(before, by_text, keys)
+    forget(source, by_text, keys)
     return spans
 
 
@@ -375,46 +403,17 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = docs.where("text IS NOT NULL").select(text_id().alias("tid"), "text")
     rows = shared_windows(texts)  # read by the aggregate and by the join
     pivots = rows.groupBy("key").agg(F.min("tid").alias("ptid"), F.max("tid").alias("high")).where("ptid != high").select("key", "ptid")
-    shared = saved(rows.join(pivots, "key").select("key", "tid", "l", "r", "ptid").distinct())
+    shared = saved(rows.join(pivots, "key").select("tid", "l", "r", "ptid").distinct())
     forget(rows)
     wanted = shared.select("tid").distinct()
     kept = saved(texts.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]))
     second = kept.select(F.col("tid").alias("ptid"), F.col("text").alias("ptext"))
-    pairs = shared.where("tid != ptid").select("tid", "ptid").distinct()
-    pairs = saved(pairs)
+    pairs = saved(shared.where("tid != ptid").select("tid", "ptid").distinct())
 
     def verify(some: DataFrame) -> DataFrame:
         return _verify(some.join(kept, "tid").join(second, "ptid"))
 
-    def by_text(some: DataFrame) -> DataFrame:
-        return some.groupBy("tid").agg(F.collect_set(F.struct("key", "l", "r")).alias("ws")).join(kept, "tid")  # of one text
-
-    spans = _among_rest(shared.where("tid != ptid").select("key", "tid", "l", "r"), saved(verify(pairs)), pairs, (verify, by_text))
-    # windows with a passage outside the verified ones, and all others of their groups
-    w, s = shared.where("tid != ptid").alias("w"), spans.alias("s")
-    lost = (w.join(s, (F.col("w.tid") == F.col("s.tid")) & (F.col("w.ptid") == F.col("s.ptid"))
-                   & (F.col("w.l") >= F.col("s.start")) & (F.col("w.r") + WORDS <= F.col("s.end")), "left_anti").select("key").distinct())
-    anchors = shared.join(lost, "key", "left_semi").groupBy("tid").agg(F.collect_set(F.struct("l", "r")).alias("ws"))  # of one text
-    blocks = _blocks(anchors.join(kept, "tid"))
-    heads = (blocks.groupBy("block").agg(F.min(F.struct("tid", "start")).alias("p"), F.max("tid").alias("high"))
-             .where("p.tid != high").select("block", "p"))
-    found = blocks.join(heads, "block").where("tid != p.tid").select("tid", "start", F.col("p.tid").alias("ptid"), (F.col("p.start") - F.col("start")).alias("shift"))
-    # blocks of one pair of texts that overlap at one shift are one passage
-    ranges = (found.groupBy("tid", "ptid", "shift").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-              .select("tid", "ptid", "shift", F.inline(_ranges(F.col("starts")))))
-    exact = ranges.select("tid", F.col("s").alias("start"), F.col("e").alias("end"), "ptid",
-                          (F.col("s") + F.col("shift")).alias("pstart"), (F.col("e") + F.col("shift")).alias("pend"))
-    return spans.unionByName(saved(exact))
-
-
-def _ranges(starts):
-    """Joined ranges ``s, e`` of blocks of ``WORDS`` words, by sorted starts."""
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        return (F.when((F.size(acc) > 0) & (x <= last["e"]),
-                       F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), (x + WORDS).alias("e")))))
-                .otherwise(F.concat(acc, F.array(F.struct(x.alias("s"), (x + WORDS).alias("e"))))))
-    return F.aggregate(starts, F.array().cast("array<struct<s:int,e:int>>"), step)
+    return _among_rest(shared, saved(verify(pairs)), kept, pairs, verify)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
