@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folio.functions import digest
 from folio.functions.text import content_hash, iso_date_prefix, typed_date
 from folio.operators import book, clean, longtext, markdown
+from folio.plans import standins
 from folio.plans.catalog import register
 from folio.profile import DEFAULT_PROFILE as PR
 from folio.sources.pages import table
@@ -334,9 +335,9 @@ def s10_read_markdown(spark, sf):
     from folio.session import ensure_checkpoint_dir
     from folio.sources.pages import read_markdown
     out = ensure_checkpoint_dir(spark).rstrip("/") + f"/md-{uuid.uuid4().hex}"
-    _md_docs(spark, sf).write.partitionBy("doc_id").text(out)
-    files = read_markdown(spark, out + "/*/*.txt")
-    return files.select(F.regexp_extract("path", "/doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"), markdown.demoted("text").alias("text"))
+    standins.write_files(_md_docs(spark, sf).withColumnRenamed("doc_id", "key"), out, ".md")
+    files = read_markdown(spark, out)
+    return files.select(F.regexp_extract("path", "/([0-9]+)\\.md$", 1).cast("bigint").alias("doc_id"), markdown.demoted("text").alias("text"))
 
 
 # all documents of a language as one Markdown text over many part files

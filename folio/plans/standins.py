@@ -8,6 +8,9 @@ builds the same rows for the oracle.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +92,34 @@ def url_cases_sql() -> str:
     UNION ALL
     SELECT page_id * 1000 + 999, page_id, url, url FROM pages
     """
+
+
+#: Folders that a table of single files is dealt to.
+FILE_BLOCKS = 256
+
+
+def write_files(rows: DataFrame, path: str, suffix: str) -> None:
+    """Write ``rows(key, text)`` as one file ``<n>/<key><suffix>`` for each key,
+    a row ending in a line break, in folders of ``path`` (any file system that
+    ``pyarrow.fs`` reaches). A folder is written by one task. Spark's own writer
+    makes a folder for each key and sets modes of every file by a process of its
+    own on a local file system, about 40 ms a file."""
+    block = F.pmod(F.xxhash64("key"), F.lit(FILE_BLOCKS))
+    dealt = rows.select(F.col("key").cast("string"), "text", block.alias("block")).repartition(FILE_BLOCKS, "block")
+
+    def write(part) -> None:
+        fs, root = FileSystem.from_uri(path)
+        name, out = None, None
+        for row in part:
+            at = f"{root}/{row.block}/{quote(row.key or '', safe='=')}{suffix}"
+            if at != name:
+                if out is None or name.rpartition("/")[0] != f"{root}/{row.block}":
+                    fs.create_dir(f"{root}/{row.block}", recursive=True)
+                if out is not None:
+                    out.close()
+                name, out = at, fs.open_output_stream(at)
+            out.write((row.text or "").encode() + b"\n")
+        if out is not None:
+            out.close()
+
+    dealt.sortWithinPartitions("block", "key").foreachPartition(write)

@@ -16,8 +16,9 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Existing Markdown files as ``doc_id, path, text`` (one row per
-    whole file). ``doc_id`` is a stable hash of the path."""
-    df = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    whole file). ``path`` is a folder, read with all below it, or a pattern; a
+    folder is listed in parallel. ``doc_id`` is a stable hash of the path."""
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
     return df.select(F.xxhash64("path").alias("doc_id"), "path", F.col("value").alias("text"))
 
 
