@@ -166,12 +166,13 @@ def read_post_cache(spark: SparkSession, path: str, fmt: str = "parquet", key_pa
     they are. With ``keys(url_key)`` only the buckets of those keys are read (their
     names, 256 at most, go to the scan as a partition filter).
 
-    ``fmt='json'`` imports one-record-per-file JSON: the key is taken from the
+    ``fmt='json'`` imports one-record-per-file JSON, of a folder with all below
+    it or of a pattern (a folder is listed in parallel): the key is taken from the
     file's path by ``key_pattern`` (by default its name); a corrupt record, a list
     or another non-object is a miss (dropped), an empty object a record without
     fields. Of several files of a key the greatest record counts."""
     if fmt == "json":
-        files = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("_file", F.input_file_name())
         rec = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
         df = (files.where(F.ltrim("value").startswith("{")).withColumn("_r", rec).where("_r IS NOT NULL")
               .where((F.size("_r") > 0) | F.col("value").rlike("^\\s*\\{\\s*\\}\\s*$"))

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from folio.operators import incremental, posts
+from folio.plans import standins
 from folio.plans.catalog import register
 from folio.plans.q_html import BODY_MD, POST_URL, _page, ESC, SRC
 from folio.profile import DEFAULT_PROFILE as PR
@@ -237,10 +238,8 @@ def s4_json(spark, sf):
     record = F.to_json(F.struct(F.expr(POST_URL).alias("url"), F.col("text").alias("markdown"), F.col("source").alias("posted_date")))
     value = (F.when(F.col("doc_id") % 4 < 2, record).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("["), record, F.lit("]")))
              .otherwise(F.concat(F.lit("{\"url\": "), F.col("source"))))
-    # one folder a record: the key is taken from it
-    (table(spark, sf, "documents").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), value.alias("value"))
-     .write.partitionBy("key").text(path))
-    return incremental.read_post_cache(spark, path + "/*/*", "json", "/key=([^/]*)/")
+    standins.write_files(table(spark, sf, "documents").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), value.alias("text")), path, ".json")
+    return incremental.read_post_cache(spark, path, "json")
 
 
 @register("j3_attach_content", f"""

@@ -1,5 +1,6 @@
 import os
 
+from folio.operators import incremental
 from folio.plans import standins
 from folio.sources.pages import read_markdown
 
@@ -17,3 +18,12 @@ def test_one_file_a_key_in_few_folders_reads_back_whole(spark, tmp_path):
     assert all(n.count("/") == 1 and n.endswith(".md") for n in names)
     found = {r.path.rsplit("/", 1)[1]: r.text for r in read_markdown(spark, out).collect()}
     assert len(found) == 600 and found["12.md"] == "# 12\né\n" and found["7.md"] == "# 7\né\n" * 2
+
+
+def test_json_cache_of_a_folder_with_folders(spark, tmp_path):
+    path = f"file://{tmp_path}/json"
+    rows = spark.range(40).selectExpr("concat('k', id) AS key", """CASE id % 4 WHEN 0 THEN concat('{"url": "u', id, '"}') WHEN 1 THEN '[{}]'
+                                      WHEN 2 THEN '{"url": ' ELSE '{}' END AS text""")
+    standins.write_files(rows, path, ".json")
+    found = {r.url_key: r.url for r in incremental.read_post_cache(spark, path, "json").collect()}
+    assert found == {f"k{i}": (f"u{i}" if i % 4 == 0 else None) for i in range(40) if i % 4 in (0, 3)}
