@@ -46,9 +46,10 @@ _ARROW_NODES = pa.schema([
 ])
 
 
-# output batches are flushed at this many node rows, so one task never holds
-# the nodes of a whole input batch of large pages at once
-_MAX_NODES_PER_BATCH = 200_000
+# output batches are flushed at this many node rows or characters of HTML, and
+# pages leave an input batch one at a time: beside that batch a task's Python
+# holds a few pages, however many rows it has
+_MAX_NODES_PER_BATCH, _MAX_CHARS_PER_BATCH = 20_000, 4_000_000
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,10 +59,9 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return {f.name: [] for f in _ARROW_NODES}
 
     for batch in batches:
-        ids = batch.column("page_id").to_pylist()
-        docs = batch.column("html").to_pylist()
-        cols = empty()
-        for pid, doc in zip(ids, docs):
+        cols, chars = empty(), 0
+        for pid, doc in zip(batch.column("page_id"), batch.column("html")):
+            pid, doc = pid.as_py(), doc.as_py()
             b = parse_document(doc)
             n = len(b.kind)
             cols["page_id"].extend([pid] * n)
@@ -74,9 +74,10 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             cols["classes"].extend(b.classes)
             cols["attrs"].extend(b.attrs)
             cols["text"].extend(b.text)
-            if len(cols["page_id"]) >= _MAX_NODES_PER_BATCH:
+            chars += len(doc or "")
+            if len(cols["page_id"]) >= _MAX_NODES_PER_BATCH or chars >= _MAX_CHARS_PER_BATCH:
                 yield pa.RecordBatch.from_pydict(cols, schema=_ARROW_NODES)
-                cols = empty()
+                cols, chars = empty(), 0
         if cols["page_id"]:
             yield pa.RecordBatch.from_pydict(cols, schema=_ARROW_NODES)
 
@@ -257,11 +258,13 @@ def node_text(nodes: DataFrame, scopes: DataFrame, strip: bool = True,
 
 # Python str.strip() removes Unicode whitespace, including the ASCII
 # separators \x1c-\x1f and \x85; Spark's trim() removes only spaces.
-_PY_WS = "[\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_PY_WS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, "^" + _PY_WS + "+|" + _PY_WS + "+$", "")
+    """Looks at the ends of the text only; a regular expression would try each
+    of its spaces."""
+    return F.btrim(c, F.lit(_PY_WS))
 
 
 def page_links(nodes: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
