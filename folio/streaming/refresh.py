@@ -13,7 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,6 +41,15 @@ def _least(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame |
     return best
 
 
+def first_of_keys(batch: pa.RecordBatch, key: str, order: str) -> pa.RecordBatch:
+    """The row with the least ``order`` (null first) of each key of a batch;
+    a null key is a key. Only those two columns are looked at, other values
+    (whole pages) stay in Arrow and are copied for the chosen rows alone."""
+    at = pc.sort_indices(batch.column(order), sort_keys=[("", "ascending")], null_placement="at_start")
+    keys = batch.column(key).take(at).dictionary_encode(null_encoding="encode").indices
+    return batch.take(at.take(pa.array(np.unique(keys.to_numpy(), return_index=True)[1])))
+
+
 def dedup_stream(stream: DataFrame, key: str = "url", order: str = "page_id", time: str | None = None, within_ms: int | None = None) -> DataFrame:
     """ST2 across batches: a stream of the first record of each key. The batch
     that has a key first decides, inside of it the least ``order``; ties keep any
@@ -49,9 +61,9 @@ def dedup_stream(stream: DataFrame, key: str = "url", order: str = "page_id", ti
     reaches its task as a row for each batch of its input."""
     schema = stream.schema
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield rows.sort_values(order, kind="stable", na_position="first").drop_duplicates(key)
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield first_of_keys(batch, key, order)
 
     def first(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -66,7 +78,7 @@ def dedup_stream(stream: DataFrame, key: str = "url", order: str = "page_id", ti
             state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + within_ms)
         yield best
 
-    rows = stream.mapInPandas(reduce, schema)
+    rows = stream.mapInArrow(reduce, schema)
     if time:
         rows = rows.withWatermark(time, f"{within_ms} milliseconds")
     ends = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
