@@ -138,10 +138,23 @@ def _remove_dots(path: Column) -> Column:
     return F.when(trailing & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
 
 
+# an absolute path without dot or empty segments, a URL's scheme and authority
+# without user or port, and a URL of both: what most links are made of
+_PLAIN_PATH, _PLAIN_ORIGIN = "^/[A-Za-z0-9_/-]*[A-Za-z0-9_-]\\z", "^(https?://[a-z0-9.-]+)(?:[/?#]|\\z)"
+_PLAIN_URL = "^https?://([a-z0-9.-]+)/[A-Za-z0-9_/.~-]*\\z"
+
+
 def resolve_url(href, base) -> Column:
     """RFC 3986 reference resolution of ``href`` against ``base``
     (``//h/x`` takes the base scheme, ``..`` above the root is dropped,
-    query and trailing slash kept)."""
+    query and trailing slash kept). A plain URL stays as it is, a plain path
+    follows the base's origin; only other references are taken apart."""
+    h, origin = _c(href), F.regexp_extract(_c(base), _PLAIN_ORIGIN, 1)
+    plain = h.rlike(_PLAIN_PATH) & ~h.contains("//") & (origin != "")
+    return F.when(h.rlike(_PLAIN_URL), h).when(plain, F.concat(origin, h)).otherwise(_resolve_parts(href, base))
+
+
+def _resolve_parts(href, base) -> Column:
     def build(x):
         r, b, ref, whole = x["r"], x["b"], x["ref"], x["base"]
         pre = F.when(b["scheme"] != "", F.concat(b["scheme"], F.lit(":"))).otherwise(F.lit(""))
@@ -163,7 +176,14 @@ def resolve_url(href, base) -> Column:
 def validate_url(url, profile: SiteProfile = DEFAULT_PROFILE) -> Column:
     """struct<url, error>. Scheme http/https; host equal to the domain
     or a sub-domain; port none/80/443; the URL is rebuilt from host and
-    port only (credentials dropped)."""
+    port only (credentials dropped). Of a plain URL only the host is tested."""
+    u, dom = _c(url), profile.domain_suffix
+    host = F.regexp_extract(u, _PLAIN_URL, 1)
+    error = F.when(~((host == dom) | host.endswith("." + dom)), F.concat(F.lit("Unsafe URL domain: "), host))
+    return F.when(host != "", F.struct(F.when(error.isNull(), u).alias("url"), error.alias("error"))).otherwise(_validate_parts(url, profile))
+
+
+def _validate_parts(url, profile: SiteProfile) -> Column:
     dom, allowed = profile.domain_suffix, [int(x) for x in profile.allowed_ports]
 
     def check(p):
