@@ -7,8 +7,8 @@ fragment of a set, and all fragments of a pair can be counted in parallel.
 
 Steps
 1. One scan hashes every text into its set: size, a 64-bit class id (equal for
-   equal sets), and shingles seen in several documents at a time. Documents of
-   equal sets are one class; only classes are joined.
+   equal sets), a sketch, and shingles seen in several documents at a time.
+   Documents of equal sets are one class; only classes are joined.
 2. Global order: shingles known to be frequent (at most ``HOT`` of them, which
    bounds the broadcast) come last, the others are ordered by hash. Which ones
    are known changes the work, never the result.
@@ -19,12 +19,16 @@ Steps
 4. Each class is compared with its keys' pivot (the key's first class), which
    is linear in the postings and joins groups of near copies at once. Then
    keys whose classes are all in one component are done. While the others have
-   many pairs for their rows, they get further pivots; at last every untested
+   many pairs for their rows, and far fewer than a pivot before, they get further
+   pivots; at last every untested
    pair of classes that share a key and a size band and are in different
    components is compared. A pair leaves a join only if what follows the key in
    both sets can make it a link, which holds for the first key that a link
    shares. Links inside a component can't change it, so none that matters is lost.
-5. A pair's partial overlaps come from the fragments of both sets; the sums
+5. A set's sketch holds the parity of its shingles in each of some bits. Bits
+   in which two sketches differ are no more than the shingles that one set alone
+   has, so pairs with too many of them are no links, and their sets aren't made.
+   The others' partial overlaps come from the fragments of both sets; the sums
    are tested exactly (100 * intersection >= 75 * union).
 
 Definitions
@@ -59,19 +63,42 @@ HOT_DOCS = 16
 WINDOW = 1_500_000
 #: Fragments of the global order: so many ranges of the hash, and the hot rest.
 FRAGMENTS = 16
-#: Fragments that are counted first.
-FIRST = 3
+#: Bits of a sketch: at least twice the set's size, and no more than the second.
+#: Larger sets' sketches rule out less, which costs work only.
+SKETCH_BITS = 64, 1 << 17
 #: Parts that the rows of a frequent key are dealt to.
 SALTS = 64
-#: Pivot rounds go on while all pairs would be so many times the rows, and end
-#: after the last one in any case.
-WORTH, PIVOT_ROUNDS = 10, 6
+#: Pivot rounds go on while all pairs would be so many times the rows and no more
+#: than this part of those before the last pivot; they end after the last round in any case.
+WORTH, LEFT, PIVOT_ROUNDS = 10, 0.75, 6
 #: Size of the bitmap that tells tasks which documents to make sets of again.
 BITS = 1 << 24
 
 
+def _sketches(r: np.ndarray, s: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The parities of each row's shingles by their low bits, as binaries whose
+    sizes are powers of two."""
+    n = np.diff(first)
+    least, most = SKETCH_BITS
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), least, most)
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(bits)])
+    at = ends[r] + (s & (bits[r] - 1).view(np.uint64)).astype(np.int64)
+    parity = (np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends // 8), pa.py_buffer(np.packbits(parity, bitorder="little"))])
+
+
+def _differences(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two sketches differ, the larger one folded to the other's
+    size; the shingles that only one of the sets has are no fewer."""
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: one for each document (doc_id, n, cid), and
+    """Rows of two kinds: one for each document (doc_id, n, cid, sketch), and
     (shingle, n) for shingles that several documents of a window have."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -84,7 +111,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 s, n = s[n > 1], n[n > 1]
                 window.clear()
                 none = pa.nulls(len(s))
-                yield _batch([none.cast(id_type), n, none.cast(pa.int64()), s.view(np.int64)])
+                yield _batch([none.cast(id_type), n, none.cast(pa.int64()), none.cast(pa.large_binary()), s.view(np.int64)])
 
         id_type = None
         for batch in sliced(batches, "text"):
@@ -93,7 +120,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             n = np.diff(first)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textvec.mix(s ^ np.uint64(0x5851F42D4C957F2D)))])
             cid = textvec.mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)).view(np.int64)
-            yield _batch([batch.column("doc_id"), n, cid, pa.nulls(len(n), pa.int64())])
+            yield _batch([batch.column("doc_id"), n, cid, _sketches(r, s, first), pa.nulls(len(n), pa.int64())])
             distinct = np.unique(cid, return_index=True)[1]  # copies of one set count once
             own = np.zeros(len(n), bool)
             own[distinct] = True
@@ -103,9 +130,9 @@ def _sets(docs: DataFrame) -> DataFrame:
         yield from often()
 
     def _batch(columns: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "n", "cid", "shingle"])
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "n", "cid", "sketch", "shingle"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cid long, shingle long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cid long, sketch binary, shingle long")
 
 
 def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +221,8 @@ def _may_link(a: str, b: str):
 
 
 def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
-    """(node, root) of the classes that have links. ``first``: (cid, doc_id, n),
-    one document of each class."""
+    """(node, root) of the classes that have links. ``first``: (cid, doc_id, n,
+    sketch), one document of each class."""
     group = Window.partitionBy("key", "salt")
     field = lambda c, shift: F.shiftright(c, shift).bitwiseAND(F.lit((1 << 28) - 1))
     unpacked = lambda cid, rest: F.struct(cid.alias("cid"), field(rest, 28).alias("n"), field(rest, 0).alias("at"))
@@ -205,23 +232,24 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
                    .select("key", "salt", unpacked(F.col("cid"), F.col("rest")).alias("x"), unpacked(F.col("low"), F.col("low_rest")).alias("low")))
     forget(shared, keep=True)
     tested = links = roots = None
-    rows, round_ = shared, 0
+    rows, round_, before, now = shared, 0, math.inf, 0.0
     while True:
+        if round_ and round_ <= PIVOT_ROUNDS:
+            before, now = now if round_ > 1 else math.inf, _all_pairs(rows)
         if round_ == 0:
             heads = rows.where("salt > 0").select("key", "low").distinct()  # a frequent key's pivots meet each other
             top = heads.groupBy("key").agg(F.min("low").alias("y"))
             pairs = (rows.where("x.cid != low.cid").selectExpr("x", "low AS y")
                      .unionByName(heads.join(top, "key").where("low.cid != y.cid").selectExpr("low AS x", "y"))).where(_may_link("x", "y"))
-        elif round_ <= PIVOT_ROUNDS and _all_pairs(rows) > WORTH * rows.count():
+        elif round_ <= PIVOT_ROUNDS and WORTH * rows.count() < now <= LEFT * before:
             pivot = rows.groupBy("key").agg(F.min_by(F.struct("x", "root"), F.xxhash64("x.cid", F.lit(round_))).alias("p"))
             pairs = rows.join(pivot, "key").where("root != p.root").select("x", F.col("p.x").alias("y")).where(_may_link("x", "y"))
         else:
-            # sizes of a link differ by one band at most, so a band meets itself and the next one
-            band = F.floor(F.log(F.col("x.n").cast("double")) / math.log(DEN / NUM)).cast("int")
-            left = rows.withColumn("band", F.explode(F.array(band, band + 1)))
-            right = rows.select("key", F.col("x").alias("y"), F.col("root").alias("root2"), F.explode(F.array(band, band + 1)).alias("band"))
-            first_band = F.greatest(band, F.floor(F.log(F.col("y.n").cast("double")) / math.log(DEN / NUM)).cast("int"))
-            meets = (F.col("band") == first_band) & (F.col("x.cid") < F.col("y.cid")) & (F.col("root") != F.col("root2")) & _may_link("x", "y")
+            # sizes of a link differ by one band at most, so a band meets itself and the one below it
+            band = lambda c: F.floor(F.log(F.col(c).cast("double")) / math.log(DEN / NUM)).cast("int")
+            left = rows.withColumn("band", F.explode(F.array(band("x.n"), band("x.n") + 1)))
+            right = rows.select("key", F.col("x").alias("y"), F.col("root").alias("root2"), band("x.n").alias("band"))
+            meets = ((band("x.n") < F.col("band")) | (F.col("x.cid") < F.col("y.cid"))) & (F.col("root") != F.col("root2")) & _may_link("x", "y")
             pairs = left.join(right, ["key", "band"]).where(meets).select("x", "y")
             round_ = None
         small, large = F.least("x", "y"), F.greatest("x", "y")
@@ -240,8 +268,8 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
         if roots is not None:
             rows = rows.join(roots, F.col("x.cid") == F.col("node"), "left").drop("node")
         rows = rows.withColumn("root", F.coalesce("root", "x.cid") if roots is not None else F.col("x.cid"))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-        rows = saved(rows.join(mixed, "key"))
+        key = Window.partitionBy("key")
+        rows = saved(rows.withColumns({"r0": F.min("root").over(key), "r1": F.max("root").over(key)}).where("r0 != r1").drop("r0", "r1"))
         if not rows.limit(1).count():
             return roots
         round_ += 1
@@ -254,29 +282,36 @@ def _all_pairs(rows: DataFrame) -> float:
     return per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
 
 
+def _likely(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) that may be links by their sketches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            # o shared shingles with o * DEN >= (na + nb - o) * NUM leave na + nb - 2 * o for one set alone
+            spare = na + nb - 2 * -(-(na + nb) * NUM // (NUM + DEN))
+            sides = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("sa", "sb"))
+            differ = np.array([_differences(x, y) for x, y in zip(*sides)], np.int64)
+            yield batch.filter(pa.array(differ <= spare)).select(["a", "b", "na", "nb"])
+
+    sketch = first.select("cid", "sketch")
+    return (pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+            .mapInArrow(run, "a long, b long, na long, nb long"))
+
+
 def _verified(docs: DataFrame, first: DataFrame, hot, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) whose partial overlaps sum to a link. The sets
-    of the classes in question are made once more from their texts."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    """The pairs (a, b, na, nb) whose partial overlaps sum to a link. The sets of
+    the classes that may be links by their sketches are made once more from
+    their texts."""
+    some = saved(_likely(pairs, first))
+    wanted = some.select(F.col("a").alias("cid")).union(some.select("b")).distinct()
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(first.join(wanted, "cid").select(_id().alias("id"))))
     whole = saved(_ordered(docs, hot, bitmap))
-    short = whole.where(F.col("frag") < FIRST).withColumn("part", F.transform("part", lambda h: F.shiftright(h, 32).cast("int")))
-
-    def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Sums of the partial overlaps, and of the fragments' sizes."""
-        x = parts.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa"))
-        y = parts.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
-        each = (pairs.join(x, "a").join(y, ["b", "frag"])
-                .select(*pairs.columns, "frag", (F.size(F.array_intersect("pa", "pb")) + F.size("pa") - F.size(F.array_distinct("pa"))).alias("o"), F.size("pa").alias("sa"), F.size("pb").alias("sb")))
-        each = each.groupBy(*pairs.columns, "frag").agg(*[F.max(c).cast("long").alias(c) for c in ("o", "sa", "sb")])  # a set may be there twice
-        return each.groupBy(*pairs.columns).agg(*[F.sum(c).alias(c) for c in ("o", "sa", "sb")])
-
-    enough = lambda o: o * DEN >= (F.col("na") + F.col("nb") - o) * NUM
-    # the first fragments rule out most pairs: shortened hashes (twins counted in
-    # full) give no less than the overlap, and the rest has its smaller size at most
-    slack = F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
-    some = saved(overlaps(pairs, short).where(enough(F.col("o") + slack)).select("a", "b", "na", "nb"))
-    links = saved(overlaps(some, whole).where(enough(F.col("o"))).select("a", "b"))
+    x = whole.select(F.col("cid").alias("a"), "frag", F.col("part").alias("pa"))
+    y = whole.select(F.col("cid").alias("b"), "frag", F.col("part").alias("pb"))
+    each = some.join(x, "a").join(y, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("pa", "pb")).alias("o"))
+    each = each.groupBy("a", "b", "na", "nb", "frag").agg(F.max("o").cast("long").alias("o"))  # a set may be there twice
+    sums = each.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+    links = saved(sums.where(F.col("o") * DEN >= (F.col("na") + F.col("nb") - F.col("o")) * NUM).select("a", "b"))
     forget(whole, some)
     return links
 
@@ -288,13 +323,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = (scanned.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "shingle").limit(HOT))
     hot = spark.sparkContext.broadcast(np.sort(often.select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)))
-    rows = scanned.where("shingle IS NULL").select("doc_id", "n", "cid")
-    first = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    rows = scanned.where("shingle IS NULL").select("doc_id", "n", "cid", "sketch")
+    first = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     roots = link_classes(docs, first, hot)
     if roots is None:
         named = first.select("cid", F.col("doc_id").alias("component_id"))
     else:
-        own = first.drop("n").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        own = first.select("cid", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cid", "component_id")
     found = rows.where("n > 0").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
