@@ -4,9 +4,10 @@ A phrase is a path of word ids (8-byte hashes). Tasks count paths in a HAT-trie:
 a shallow trie over the first ids whose leaves are hash containers of the
 remaining bytes. A container that grows beyond ``BURST`` paths bursts into a
 trie node with a container for each next id. When a trie holds ``LIMIT`` paths,
-its largest subtrees leave as sorted runs until half of it is free. Spark deals
-the runs by prefix (language and first id, and a byte of the second id below a hot
-word, of which there are ``HOT`` at most) and merges their counts.
+its largest subtrees leave as sorted runs until half of it is free. Runs are
+gathered into blocks of ``OUT`` paths and cut by language, length and first two
+ids into ``DEALT`` parts, so that rows grow with the paths and not with the words
+that they begin with. Spark deals the parts and merges their counts.
 
 Steps, each of them over all documents
 1. Words are counted per language; those found ``LEAST`` times or more go into a
@@ -52,8 +53,8 @@ BURST, LIMIT = 8192, 600_000
 SHALLOW = 2
 #: Paths in a batch of runs that leave.
 OUT = 100_000
-#: Words that are one HOT-th of all words or more are hot: their subtrees are dealt to up to 256 tasks.
-HOT = 1000
+#: Parts that a language's paths are dealt to by their first two ids, and parts of one first word.
+DEALT, SPREAD = 512, 64
 #: Words whose counts a task gathers before they leave.
 GATHER = 1_500_000
 ID = 8
@@ -130,32 +131,40 @@ def _run(below: HatTrie | dict[bytes, int]) -> tuple[list[bytes], list[int]]:
 
 
 class _Blocks:
-    """Sorted runs as rows (lang, prefix, k, rests, counts): the rests of the
-    paths of ``k`` words below one prefix, end to end."""
+    """Sorted runs as rows (lang, part, k, paths, counts): the paths of ``k``
+    words of one part, end to end."""
 
-    def __init__(self, hot: set[bytes]) -> None:
-        self.hot, self.rows, self.counts, self.ends = hot, [], [], [0]
+    def __init__(self) -> None:
+        self.runs, self.size = {}, 0
 
     def add(self, lang: str, first: bytes, rests: list[bytes], counts: list[int]) -> None:
         for size in {len(r) for r in rests}:
             own = [x for x in zip(rests, counts) if len(x[0]) == size]
-            parts = {first: own}
-            if first in self.hot:  # a hot word's subtree is dealt by a byte of the second id
-                parts = {}
-                for x in own:
-                    parts.setdefault(first + x[0][ID - 1:ID], []).append(x)
-            for prefix, part in parts.items():
-                self.rows.append((lang, prefix, size // ID + 1, b"".join([r for r, _ in part])))
-                self.counts += [n for _, n in part]
-                self.ends.append(len(self.counts))
+            firsts, below, lens, ns = self.runs.setdefault((lang, size // ID), ([], [], [], []))
+            firsts.append(first)
+            below.append(b"".join([r for r, _ in own]))
+            lens.append(len(own))
+            ns += [n for _, n in own]
+            self.size += len(own)
 
     def take(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        if len(self.counts) > least:
-            lang, prefix, k, rests = zip(*self.rows)
-            counts = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.counts, pa.int64()))
-            self.rows, self.counts, self.ends = [], [], [0]
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(prefix, pa.binary()), pa.array(k, pa.int32()), pa.array(rests, pa.binary()), counts],
-                                             ["lang", "prefix", "k", "rests", "counts"])
+        if self.size <= least:
+            return
+        for (lang, more), (firsts, below, lens, ns) in self.runs.items():
+            first = np.repeat(np.frombuffer(b"".join(firsts), np.uint64), lens)
+            path = np.column_stack([first, np.frombuffer(b"".join(below), np.uint64).reshape(-1, more)])
+            # a word's paths go to SPREAD parts at most; sorted, their first ids compress
+            part = (textvec.mix(path[:, 0] + path[:, 1] % np.uint64(SPREAD)) % np.uint64(DEALT)).astype(np.int32)
+            order = np.lexsort((path[:, 1], path[:, 0], part))
+            part, path = part[order], path[order].tobytes()
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            ends, width = np.append(cut, len(part)), (more + 1) * ID
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(cut), pa.string()), pa.array(part[cut]), pa.array(np.full(len(cut), more + 1, np.int32)),
+                 pa.array([path[i * width:j * width] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.array(ns, np.int64)[order]))],
+                ["lang", "part", "k", "paths", "counts"])
+        self.runs, self.size = {}, 0
 
 
 def _with_lang(docs: DataFrame) -> DataFrame:
@@ -225,14 +234,13 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                  .groupBy("lang", "id", "salted", "word").agg(F.sum("n").alias("n")))
 
 
-def _path_counts(docs: DataFrame, words, hot: set[bytes], pairs=None) -> DataFrame:
+def _path_counts(docs: DataFrame, words, pairs=None) -> DataFrame:
     """(lang, path, n) of the paths found ``LEAST`` times or more: two words
     that ``words`` knows, or with ``pairs`` three to ``LONGEST`` words whose pairs
-    it knows. ``hot``: ids of words whose subtrees are dealt to many tasks."""
+    it knows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, HatTrie] = {}
-
-        blocks = _Blocks(hot)
+        blocks = _Blocks()
         for batch in sliced(batches, "text"):
             langs = pc.dictionary_encode(batch.column("lang"))
             names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
@@ -288,11 +296,10 @@ def _path_counts(docs: DataFrame, words, hot: set[bytes], pairs=None) -> DataFra
                 yield from blocks.take(OUT)
         yield from blocks.take()
 
-    runs = _with_lang(docs).mapInArrow(run, "lang string, prefix binary, k int, rests binary, counts array<long>").repartition("lang", "prefix")
-    width = (F.col("k") - 1) * ID
-    entry = F.explode(F.transform("counts", lambda n, i: F.struct(
-        F.concat(F.expr(f"substring(prefix, 1, {ID})"), F.substring(F.col("rests"), i * width + 1, width)).alias("path"), n.alias("n"))))
-    return saved(runs.select("lang", "prefix", entry.alias("entry")).groupBy("lang", "prefix", F.col("entry.path").alias("path"))
+    runs = _with_lang(docs).mapInArrow(run, "lang string, part int, k int, paths binary, counts array<long>").repartition("lang", "part")
+    width = F.col("k") * ID
+    entry = F.explode(F.transform("counts", lambda n, i: F.struct(F.substring(F.col("paths"), i * width + 1, width).alias("path"), n.alias("n"))))
+    return saved(runs.select("lang", "part", entry.alias("entry")).groupBy("lang", "part", F.col("entry.path").alias("path"))
                  .agg(F.sum("entry.n").alias("n")).where(F.col("n") >= LEAST).select("lang", "path", "n"))
 
 
@@ -313,15 +320,13 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     total = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     words = counted.where("id IS NOT NULL")
     known = spark.sparkContext.broadcast(bitmap(words.select("salted")))
-    every_word = total.agg(F.sum("n")).first()[0] or 0
-    hot = {r["id"].to_bytes(ID, signed=True) for r in words.where(F.col("n") * HOT >= every_word).select("id").collect()}  # HOT ids at most
-    two = _path_counts(docs, known, hot)
+    two = _path_counts(docs, known)
     pair = words.select("lang", _id_bytes(F.col("id")).alias("one"), "salted")
     first, second = pair.toDF("lang", "one", "s1"), pair.toDF("lang", "other", "s2")
     ends = (two.select("lang", _part("path", F.lit(0), F.lit(1)).alias("one"), _part("path", F.lit(1), F.lit(1)).alias("other"))
             .join(first, ["lang", "one"]).join(second, ["lang", "other"]).select("s1", "s2"))
     known_pairs = spark.sparkContext.broadcast(bitmap(_hashed_pairs(ends)))
-    more = _path_counts(docs, known, hot, known_pairs)
+    more = _path_counts(docs, known, known_pairs)
     found = two.unionByName(more)
     every = saved(found.unionByName(words.select("lang", _id_bytes(F.col("id")).alias("path"), "n")).withColumnRenamed("n", "f"))
 
