@@ -20,7 +20,8 @@ Steps
    is linear in the postings and joins groups of near copies at once. Then
    keys whose classes are all in one component are done. While the others have
    many pairs for their rows, and far fewer than a pivot before, they get further
-   pivots; at last every untested
+   pivots, one and then more, drawn for each key by itself, so that a class which
+   links with few of its group still meets one of them; at last every untested
    pair of classes that share a key and a size band and are in different
    components is compared. A pair leaves a join only if what follows the key in
    both sets can make it a link, which holds for the first key that a link
@@ -70,7 +71,9 @@ SKETCH_BITS = 64, 1 << 17
 SALTS = 64
 #: Pivot rounds go on while all pairs would be so many times the rows and no more
 #: than this part of those before the last pivot; they end after the last round in any case.
-WORTH, LEFT, PIVOT_ROUNDS = 10, 0.75, 6
+WORTH, LEFT, PIVOT_ROUNDS = 10, 0.9, 6
+#: Pivots of a key in the first further round are one, in the n-th this to the n-th power.
+MORE = 4
 #: Size of the bitmap that tells tasks which documents to make sets of again.
 BITS = 1 << 24
 
@@ -231,7 +234,7 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
                    .where("salt > 0 OR low != high")
                    .select("key", "salt", unpacked(F.col("cid"), F.col("rest")).alias("x"), unpacked(F.col("low"), F.col("low_rest")).alias("low")))
     forget(shared, keep=True)
-    tested = links = roots = None
+    tested = roots = None
     rows, round_, before, now = shared, 0, math.inf, 0.0
     while True:
         if round_ and round_ <= PIVOT_ROUNDS:
@@ -242,7 +245,10 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
             pairs = (rows.where("x.cid != low.cid").selectExpr("x", "low AS y")
                      .unionByName(heads.join(top, "key").where("low.cid != y.cid").selectExpr("low AS x", "y"))).where(_may_link("x", "y"))
         elif round_ <= PIVOT_ROUNDS and WORTH * rows.count() < now <= LEFT * before:
-            pivot = rows.groupBy("key").agg(F.min_by(F.struct("x", "root"), F.xxhash64("x.cid", F.lit(round_))).alias("p"))
+            # each key draws its own, so that a class meets many of its group, not one by all of their keys
+            drawn = Window.partitionBy("key").orderBy(F.xxhash64("x.cid", "key", F.lit(round_)), "x.cid")
+            pivot = (rows.select("key", F.struct("x", "root").alias("p"), F.row_number().over(drawn).alias("_rank"))
+                     .where(F.col("_rank") <= (1 if round_ == 1 else MORE ** round_)).drop("_rank"))
             pairs = rows.join(pivot, "key").where("root != p.root").select("x", F.col("p.x").alias("y")).where(_may_link("x", "y"))
         else:
             # sizes of a link differ by one band at most, so a band meets itself and the one below it
@@ -260,8 +266,7 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if pairs.limit(1).count():
             new = _verified(docs, first, hot, pairs)
-            links = new if links is None else links.unionByName(new)
-            roots = components(links)
+            roots = components(new) if roots is None else _joined(roots, new)
         if round_ is None:
             return roots
         rows = shared.select("key", "x")
@@ -275,6 +280,16 @@ def link_classes(docs: DataFrame, first: DataFrame, hot) -> DataFrame | None:
         round_ += 1
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more ``links`` (a, b): those between
+    components are followed over the components, not over all nodes again."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    every = saved(roots.unionByName(ends.join(roots, "node", "left_anti").withColumn("root", F.col("node"))))
+    over = links.join(every.toDF("a", "x"), "a").join(every.toDF("b", "y"), "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    moved = components(over).toDF("root", "least")
+    return saved(every.join(moved, "root", "left").select("node", F.coalesce("least", "root").alias("root")))
+
+
 def _all_pairs(rows: DataFrame) -> float:
     """Pairs of rows that share a key and differ in their root."""
     each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
