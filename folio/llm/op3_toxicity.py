@@ -322,6 +322,17 @@ class Scorer:
         return scores, used
 
 
+_KEPT: list = []
+
+
+def _scorer(model: tuple[np.ndarray, dict[str, float], float | None]) -> Scorer:
+    """The Python worker's scorer for ``model``: what it remembers of restored
+    tokens (as bounded as ever) serves all of the worker's tasks."""
+    if not _KEPT or _KEPT[0] is not model:
+        _KEPT[:] = model, Scorer(model)
+    return _KEPT[1]
+
+
 def _model(docs: DataFrame, labels: DataFrame):
     counts, weights, prior = fit(docs, labels)
     return docs.sparkSession.sparkContext.broadcast((counts.astype(np.float32), weights, prior))
@@ -334,7 +345,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = _model(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         for batch in sliced(batches, "text"):
             scores, used = scorer(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(used, pa.int32())],
@@ -350,7 +361,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = _model(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         for batch in sliced(batches, "text"):
             scores, _ = scorer(batch.column("text").to_pylist())
             yield batch.filter(pa.array([x < THRESHOLD for x in scores]))
