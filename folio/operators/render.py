@@ -12,6 +12,8 @@ nodes and nothing loops on the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,20 +121,21 @@ def rewrite_nodes(scoped: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) ->
 def sanitize_links(rows: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -> DataFrame:
     """P10: ``href`` and ``src`` of the rewritten tags, by the rules on the
     distinct values; a dangerous one becomes NULL. Only rows that have a link
-    take part in the joins, and they come back by node."""
+    take part in the joins; the others, texts among them, are not dealt anew."""
     rows = materialize(rows)  # read for the links, their join, the licence test and the rendering
     subject = (F.col("kind") == "element") & F.col("tag").isin(list(profile.rewrite_tags))
-    links = (rows.where(subject & (F.col("href").isNotNull() | F.col("src").isNotNull()))
+    linked = F.coalesce(subject & (F.col("href").isNotNull() | F.col("src").isNotNull()), F.lit(False))
+    links = (rows.where(linked)
              .select(*KEY, "node_id", F.explode(F.map_from_arrays(F.array(F.lit("h"), F.lit("s")), F.array("href", "src"))).alias("_k", "_v"))
              .where("_v IS NOT NULL"))
     clean = urls.sanitize_df(materialize(links.select("_v").distinct()), "_v", "_c", profile)
     done = (links.join(clean, "_v").groupBy(*KEY, "node_id")
             .agg(F.max(F.when(F.col("_k") == "h", F.col("_c"))).alias("_h"), F.max(F.when(F.col("_k") == "s", F.col("_c"))).alias("_s"),
                  F.lit(True).alias("_linked")))
-    return (rows.join(done, KEY + ["node_id"], "left")
-            .withColumns({"href": F.when(F.col("_linked"), F.col("_h")).otherwise(F.col("href")),
-                          "src": F.when(F.col("_linked"), F.col("_s")).otherwise(F.col("src"))})
-            .drop("_h", "_s", "_linked"))
+    own = (rows.where(linked).join(done, KEY + ["node_id"], "left")
+           .withColumns({"href": F.when(F.col("_linked"), F.col("_h")).otherwise(F.col("href")),
+                         "src": F.when(F.col("_linked"), F.col("_s")).otherwise(F.col("src"))}))
+    return rows.where(~linked).unionByName(own.select(*rows.columns))
 
 
 # ---------------------------------------------------------------- D18
@@ -147,7 +150,8 @@ def drop_license_blocks(rw: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -
     phrases = [p.lower() for p in profile.license_phrases]
 
     def mentions(c: Column) -> Column:
-        return F.lower(c).rlike("|".join(p.replace(" ", "[ ]") for p in phrases))
+        low = F.lower(c)
+        return reduce(Column.__or__, [low.contains(p) for p in phrases])
 
     shown = F.when(F.col("kind") == "text", F.col("text")).otherwise(
         _filled(F.concat(F.coalesce("lit_open", F.lit("")), F.coalesce("label", F.lit("")))))
