@@ -17,7 +17,8 @@ Steps
    bound of its log odds over the texts that no better feature explains. The
    prior is the log odds of all usable labels, whatever the sample's bounds.
 3. Every whole text: the weights of its distinct restored words are summed with
-   the prior's log odds, and a sigmoid gives the score.
+   the prior's log odds, and a sigmoid gives the score. Tokens that can't be
+   restored to a word with a weight aren't restored.
 
 Definitions
 - A null or empty text has the score of a text without evidence. Rows may repeat; equal texts
@@ -32,6 +33,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import weakref
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -49,6 +51,8 @@ TOXIC, CLEAN = 4000, 40_000
 COUNTED = 200_000
 #: Least weight (nats) of a feature.
 LEAST = 2.0
+#: Letters by which words are told that have no feature.
+HEAD = 5
 #: Taken off the prior log odds: one weak word alone convicts no text.
 CAUTION = 1.0
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
@@ -68,10 +72,13 @@ _LUT = np.zeros(0x250, np.int32)
 for _c in range(0x250):
     _LUT[_c] = _CODE.get(chr(_c).lower(), _OTHER if chr(_c).isalpha() else 0)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_OTHER_SPACE = re.compile(r"[\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")  # splits for str.split only
 _SPACED = re.compile(r"(?<![^\x20\x09-\x0D])[^\W_](?:[\s.\-_*]+[^\W_]){2,}(?![^\x20\x09-\x0D])")
 _EDGE_L, _EDGE_R = re.compile(r"^[^\w@$€£§¡(<+|!]+|^[!|(<+]+(?=[^\W\d_]{3})"), re.compile(r"[^\w@$]+$|[$@]{2,}$")
 _GAP = re.compile(r"[\s.\-_*]+")
-_TWICE = re.compile(r"([^\W\d_])\1")
+_TWICE = re.compile(r"([^\W\d_])\1+")
+_AFTER = ".,;:?!%&#)"
+_LOOSE = re.compile(r"(?:[^\W_](?![^\W_])|[\s.\-_*])+")  # no two letters or digits together
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -288,34 +295,79 @@ def explain(of: dict[str, list[str]], at: dict[str, list[int]], wanted: dict[str
 
 
 class Scorer:
-    """Scores whole texts; one for each task."""
+    """Scores whole texts. A feature of a word and the word begin alike, so a
+    token is restored only if some restoration of it can begin like a feature of
+    the model; the others weigh nothing."""
 
     def __init__(self, model: tuple[np.ndarray, dict[str, float], float | None]) -> None:
         counts, self.weight, self.prior = model
         self.channel = Channel(counts)
+        self.starts = {f.removeprefix("=")[:HEAD] for f in self.weight}
+        self.bare = {_TWICE.sub(r"\1", x) for x in self.starts}  # a dropped repeat leaves this as it is
         self.memory: dict[str, tuple[tuple[str, float], ...]] = {}
+        self.loose: dict[str, int] = {}  # tokens of ``memory`` that may be part of spaced letters, and their letters
 
     def evidence(self, words: list[str]) -> tuple[tuple[str, float], ...]:
-        each = [(w, max([self.weight.get(f, 0.0) for f in features(w)])) for w in words]
+        each = [(w, max([self.weight.get(f, 0.0) for f in features(w)])) for w in words if self.begins(w)]
         return tuple([(w, x) for w, x in each if x])
 
+    def begins(self, word: str) -> bool:
+        """Whether the word may have a feature."""
+        return word[:HEAD] in self.starts or word[:3] in self.starts or word[:4] in self.starts
+
+    def possible(self, token: str) -> bool:
+        """Whether a restored word of the token may have a feature."""
+        core = token.rstrip(_AFTER)
+        if not core.isalpha():
+            core = _EDGE_R.sub("", _EDGE_L.sub("", token))
+            if not core.isalpha():
+                return True
+        head = core[:HEAD]
+        if not head.isascii() and any(c not in _CODE for c in head):
+            return True
+        if not _TWICE.search(head):  # later repeats leave the beginning as it is
+            return self.begins(core)
+        if any(c not in _CODE for c in core):
+            return True
+        bare = _TWICE.sub(r"\1", core)
+        return any(bare[:k] in self.bare for k in range(1, HEAD + 1))
+
+    def remember(self, token: str) -> tuple[tuple[str, float], ...]:
+        if not (len(token) > 1 and token[:2].isalnum()) and _LOOSE.fullmatch(token):
+            self.loose[token] = sum(map(str.isalnum, token))
+        got = self.memory[token] = self.evidence(self.channel.words(token)) if self.possible(token) else ()
+        return got
+
+    def spaced(self, parts: list[str]) -> bool:
+        """Whether three letters in a row may be spaced."""
+        run = 0
+        for n in map(self.loose.get, parts):
+            run = 0 if n is None else run + n
+            if run > 2:
+                return True
+        return False
+
     def __call__(self, texts: list[str | None]) -> tuple[list[float], list[int]]:
         """The texts' scores, and how many restored words weighed in."""
-        memory, channel = self.memory, self.channel
+        memory, loose = self.memory, self.loose
         if len(memory) > 150_000:
             memory.clear()
+            loose.clear()
         scores, used = [], []
         for text in texts:
             low = (text or "").lower()
             found: dict[str, float] = {}
-            for token in set(_WORD.findall(low)):
+            parts = _WORD.findall(low) if _OTHER_SPACE.search(low) else low.split()
+            tokens = set(parts)
+            for token in tokens:
                 got = memory.get(token)
                 if got is None:
-                    got = memory[token] = self.evidence(channel.words(token))
+                    got = self.remember(token)
                 if got:
                     found.update(got)
-            for spaced in _SPACED.findall(low):
-                found.update(self.evidence(channel.restore(_GAP.sub(" ", spaced)).split()))
+            if not tokens.isdisjoint(loose) and self.spaced(parts):
+                for spaced in _SPACED.findall(low):
+                    found.update(self.evidence(self.channel.restore(_GAP.sub(" ", spaced)).split()))
             total = (self.prior or 0.0) - CAUTION + sum(sorted(found.values()))
             scores.append(0.0 if self.prior is None else round(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), 6))
             used.append(len(found))
@@ -327,9 +379,10 @@ _KEPT: list = []
 
 def _scorer(model: tuple[np.ndarray, dict[str, float], float | None]) -> Scorer:
     """The Python worker's scorer for ``model``: what it remembers of restored
-    tokens (as bounded as ever) serves all of the worker's tasks."""
-    if not _KEPT or _KEPT[0] is not model:
-        _KEPT[:] = model, Scorer(model)
+    tokens (as bounded as ever) serves all of the worker's tasks, and goes with
+    the broadcast's counts, which a worker drops at its first task without them."""
+    if not _KEPT or _KEPT[0]() is not model[0] or _KEPT[1].weight is not model[1]:
+        _KEPT[:] = weakref.ref(model[0], lambda _: _KEPT.clear()), Scorer(model)
     return _KEPT[1]
 
 
