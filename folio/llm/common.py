@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -35,10 +37,15 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame, keep: bool = False) -> None:
+#: Seconds after which the JVM has let go of what Python dropped.
+DETACH_S = 0.6
+
+
+def forget(*tables: DataFrame, keep: bool = False, settle: bool = False) -> None:
     """Delete tables that ``saved`` has written, once nothing reads them any
     more (not with ``keep``). The driver's garbage collection then lets Spark
-    remove the shuffle files of the finished steps too."""
+    remove the shuffle files of the finished steps too: of all of them with
+    ``settle``, which waits until the JVM has let go of them."""
     for df in () if keep else tables:
         path = getattr(df, "_saved_path", None)
         if path:
@@ -46,6 +53,9 @@ def forget(*tables: DataFrame, keep: bool = False) -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
             del df._saved_path
+    if settle:  # what Python drops is let go in the JVM by a thread of its own, a little later
+        gc.collect()
+        time.sleep(DETACH_S)
     tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 

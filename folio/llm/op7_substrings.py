@@ -178,8 +178,11 @@ def shared_windows(texts: DataFrame) -> DataFrame:
     first (8 bytes and 32 bits of a text each); those of one text alone are never
     written with their windows, but for the few that the bitmap of the others
     lets through. A larger corpus lets more through: that costs work only."""
-    often = windows(texts).groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low != high").select("key")
-    known = texts.sparkSession.sparkContext.broadcast(bitmap(often))
+    def often() -> np.ndarray:
+        return bitmap(windows(texts).groupBy("key").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low != high").select("key"))
+
+    known = texts.sparkSession.sparkContext.broadcast(often())
+    forget(texts, keep=True, settle=True)  # the counts' shuffle goes before the windows are written
     return saved(windows(texts, known))
 
 
@@ -357,13 +360,14 @@ def _among_rest(shared: DataFrame, spans: DataFrame, kept: DataFrame, tested: Da
     place = F.struct("l", "r")
     own = shared.groupBy("tid").agg(F.collect_set(place).alias("ws"), F.collect_set(F.when(F.col("tid") != F.col("ptid"), place)).alias("open"))  # of one text
     cut = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
+    forget(spans, keep=True, settle=True)
     texts = saved(own.join(cut, "tid", "left").join(kept, "tid"))
     counts = saved(_prefixes(texts).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN[0]))
     classes = spark.sparkContext.broadcast([bitmap(counts.where(F.col("n") >= n).select("key")) for n in OFTEN])
     need = saved(_prefixes(texts, classes))
     known = spark.sparkContext.broadcast(bitmap(need.select("key")))
     source = rows = saved(need.withColumn("open", F.lit(True)).unionByName(_prefixes(texts, classes, known).withColumn("open", F.lit(False))))
-    forget(counts, need, texts)
+    forget(counts, need, texts, settle=True)
     for level in range(ROUNDS + 1):
         if level:  # what a verified span holds has its source
             c = spans.select(F.col("tid").alias("ctid"), "start", "end")
@@ -402,13 +406,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     one of a text before it; ``tid`` is the hash of the text."""
     texts = docs.where("text IS NOT NULL").select(text_id().alias("tid"), "text")
     rows = shared_windows(texts)  # read by the aggregate and by the join
-    pivots = rows.groupBy("key").agg(F.min("tid").alias("ptid"), F.max("tid").alias("high")).where("ptid != high").select("key", "ptid")
-    shared = saved(rows.join(pivots, "key").select("tid", "l", "r", "ptid").distinct())
-    forget(rows)
+
+    def with_pivots() -> DataFrame:
+        pivots = rows.groupBy("key").agg(F.min("tid").alias("ptid"), F.max("tid").alias("high")).where("ptid != high").select("key", "ptid")
+        return saved(rows.join(pivots, "key").select("tid", "l", "r", "ptid").distinct())
+
+    shared = with_pivots()
+    forget(rows, settle=True)
     wanted = shared.select("tid").distinct()
     kept = saved(texts.join(wanted, "tid", "left_semi").dropDuplicates(["tid"]))
     second = kept.select(F.col("tid").alias("ptid"), F.col("text").alias("ptext"))
     pairs = saved(shared.where("tid != ptid").select("tid", "ptid").distinct())
+    forget(shared, keep=True, settle=True)
 
     def verify(some: DataFrame) -> DataFrame:
         return _verify(some.join(kept, "tid").join(second, "ptid"))
