@@ -25,22 +25,21 @@ def locate_index_content(nodes: DataFrame, profile: SiteProfile = DEFAULT_PROFIL
     ``main`` -> first ``article`` -> ``body``; the ``body`` whenever a
     grouped-item div exists anywhere. Pages with no candidate are absent.
     Returns ``page_id, node_id, end_id``."""
-    el = elements(nodes)
     tag = F.col("tag")
-    grouped_pages = (el.where((tag == "div") & has_class_token(profile.group_item_class, "contains"))
-                     .select("page_id").distinct().withColumn("_grouped", F.lit(True)))
-    rank = (F.when(F.col("_grouped") & (tag == "body"), F.lit(0))
-            .when(F.col("_grouped"), F.lit(None))
-            .when((tag == "div") & is_main_content(), F.lit(1))
-            .when(tag == "main", F.lit(2))
-            .when(tag == "article", F.lit(3))
-            .when(tag == "body", F.lit(4)))
-    cand = (el.join(grouped_pages, "page_id", "left")
-            .withColumn("_grouped", F.coalesce(F.col("_grouped"), F.lit(False)))
-            .select("page_id", "node_id", "end_id", rank.alias("_rank"))
-            .where(F.col("_rank").isNotNull()))
-    w = Window.partitionBy("page_id").orderBy("_rank", "node_id")
-    return cand.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("page_id", "node_id", "end_id")
+    rank = (F.when((tag == "div") & is_main_content(), F.lit(1)).when(tag == "main", F.lit(2))
+            .when(tag == "article", F.lit(3)).when(tag == "body", F.lit(4)))
+    group = (tag == "div") & has_class_token(profile.group_item_class, "contains") & F.col("page_id").isNotNull()
+    # an element's rank and place in one number, so that a page is a row of a few numbers before any shuffle
+    own = (nodes.where((F.col("kind") == "element") & tag.isin("div", "main", "article", "body"))
+           .select("page_id", "end_id", (rank.cast("long") * (1 << 32) + F.col("node_id")).alias("_at"), (rank == 4).alias("_body"), group.alias("_group"))
+           .where("_at IS NOT NULL OR _group"))
+    body = F.when(F.col("_body"), F.col("_at"))
+    page = own.groupBy("page_id").agg(
+        F.max("_group").alias("_grouped"), F.min("_at").alias("_at"), F.min_by("end_id", "_at").alias("_end"),
+        F.min(body).alias("_at_body"), F.min_by("end_id", body).alias("_end_body"))
+    pick = lambda grouped, other: F.when(F.col("_grouped"), F.col(grouped)).otherwise(F.col(other))
+    return (page.select("page_id", pick("_at_body", "_at").alias("_at"), pick("_end_body", "_end").alias("end_id")).where("_at IS NOT NULL")
+            .select("page_id", F.col("_at").bitwiseAND((1 << 32) - 1).cast("int").alias("node_id"), "end_id"))
 
 
 def _links_in(nodes: DataFrame, containers: DataFrame, profile: SiteProfile) -> DataFrame:

@@ -485,7 +485,8 @@ def d14_locate_index_content(spark, sf_dir):
     article / body; the body whenever grouped items exist."""
     nodes = _nodes_of(_index_pages(spark, sf_dir))
     c = index.locate_index_content(nodes)
-    return c.join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "tag")
+    tags = dom.elements(nodes).where(F.col("tag").isin("div", "main", "article", "body")).select("page_id", "node_id", "tag")
+    return c.join(tags, ["page_id", "node_id"]).select("page_id", "tag")
 
 
 @register("i4_dedup_keep_first", "SELECT source, min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source")
