@@ -26,7 +26,8 @@ Steps
    rows, with the key's first open text (which then is done), at last in pairs,
    keys salted. Only pairs without an open passage are left out. The step loses
    none of those passages; near copies with three to six words put in at one
-   place may share such a key or not.
+   place may share such a key or not. Of passages of n < ``RUN`` distinct shingles
+   at most n / 4 aren't in a similar one, so that n / 4 + 1 are enough there.
 
 Definitions
 - Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; spans count words from 0,
@@ -201,6 +202,19 @@ def _segments(hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _by_run(b: np.ndarray) -> np.ndarray:
+    """Places of the shingles ``b`` in order of their hashes; of equal ones the
+    place that begins the longest row of them comes first, then the first one."""
+    order = np.argsort(b, kind="stable")
+    same = b[1:] == b[:-1]
+    if not same.any():
+        return order
+    head = np.flatnonzero(np.concatenate([[True], ~same]))
+    size = np.ones(len(b), np.int64)
+    size[head] = np.diff(np.append(head, len(b)))
+    return np.lexsort((-size, b))
+
+
 def _near(a: np.ndarray, b: np.ndarray, hit: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Near copies (x, y, p, q) among the shingles ``a`` and ``b``; a range that
     isn't one as a whole is cut where the places jump, or else into halves."""
@@ -221,7 +235,10 @@ def _near(a: np.ndarray, b: np.ndarray, hit: np.ndarray, place: np.ndarray) -> l
         shift = place[near] - near
         least = int(np.median(shift))
         one = np.unique(a[u:v])
-        for p, q in ((u + least, v + least), (u + int(shift[0]), v + int(shift[-1]))):
+        held = place[near]
+        low = int(held.min())
+        # (the last one is for passages that say the same again and again: their places stand still)
+        for p, q in ((u + least, v + least), (u + int(shift[0]), v + int(shift[-1])), (low, max(int(held.max()) + 1, low + RUN))):
             p, q = max(0, min(p, len(b) - RUN)), min(len(b), max(q, RUN))
             if q - p < RUN:
                 continue
@@ -262,7 +279,7 @@ def _verify(pairs: DataFrame) -> DataFrame:
                 out = []
                 for i, (tid, ptid) in enumerate(zip(batch.column("tid").to_pylist(), batch.column("ptid").to_pylist())):
                     a, b = sa[fa[i]:fa[i + 1]], sb[fb[i]:fb[i + 1]]
-                    order = np.argsort(b, kind="stable")
+                    order = _by_run(b)
                     place = np.minimum(np.searchsorted(b[order], a), max(len(b) - 1, 0))
                     hit = b[order][place] == a if len(b) else np.zeros(len(a), bool)
                     for x, y, p, q in _near(a, b, hit, order[place] if len(b) else place):
@@ -287,21 +304,23 @@ def _starts(batch: pa.RecordBatch, first: np.ndarray, column: str, l: str, r: st
     return np.cumsum(edges)[:n] > 0
 
 
-def _heads(order: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _heads(order: np.ndarray, x: np.ndarray, similar: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(start, position) of the ``PREFIX`` first distinct hashes, by ``order``,
-    of the ``RUN`` positions from each start in ``x`` on."""
+    of the ``RUN`` positions from each start in ``x`` on. With ``similar`` fewer
+    where few are distinct: of n, those that a similarity of ``NUM`` / ``DEN``
+    lets go and one more."""
     v = order[x[:, None] + np.arange(RUN)]
     low = np.sort(v, axis=1)
     rank = np.ones(low.shape, np.int64)
     rank[:, 1:] = low[:, 1:] != low[:, :-1]
     rank = np.cumsum(rank, axis=1)
-    rank[:, -1] = PREFIX  # of fewer distinct ones all
-    last = low[np.arange(len(x)), np.argmax(rank >= PREFIX, axis=1)]
+    most = np.minimum(PREFIX, rank[:, -1] * (DEN - NUM) // DEN + 1 if similar else rank[:, -1])  # of fewer distinct ones all
+    last = low[np.arange(len(x)), np.argmax(rank >= most[:, None], axis=1)]
     i, j = np.nonzero(v <= last[:, None])
     return x[i], x[i] + j
 
 
-def _prefixes(texts: DataFrame, classes=None, known=None) -> DataFrame:
+def _prefixes(texts: DataFrame, classes=None, known=None, similar: bool = False) -> DataFrame:
     """``texts`` (tid, text, ws, open, cut): ``ws`` are ranges of starts of
     passages, ``open`` those that need a source, ``cut`` the verified spans.
 
@@ -309,7 +328,9 @@ def _prefixes(texts: DataFrame, classes=None, known=None) -> DataFrame:
     ``classes`` (bitmaps of ever more frequent shingles) (key, tid, l, r), the
     shingles among the ``PREFIX`` first of passages that start in [l, r]: of open
     ones, or with ``known`` (a bitmap) those of the others that it knows. A shingle
-    that one text alone has is no key."""
+    that one text alone has is no key. With ``similar`` passages of few distinct
+    shingles (one word again and again) have fewer keys, as in ``_heads``: their
+    most frequent shingle is the last of them, not one that all of them share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             row, _, _, h = textvec.words(batch.column("text"))
@@ -335,7 +356,7 @@ def _prefixes(texts: DataFrame, classes=None, known=None) -> DataFrame:
             own = np.concatenate([[0], np.cumsum((level == 0) & ~twin)])
             x = np.flatnonzero(need if known is None else every & ~need)
             x = x[own[x + RUN] - own[x] < PREFIX]
-            parts = [_heads(order, part) for part in np.array_split(x, 1 + len(x) // 50_000)] if len(x) else []
+            parts = [_heads(order, part, similar) for part in np.array_split(x, 1 + len(x) // 50_000)] if len(x) else []
             start, place = (np.concatenate(c) for c in zip(*parts)) if parts else (x, x)
             key = level[place] > 0
             if known is not None:
@@ -364,9 +385,9 @@ def _among_rest(shared: DataFrame, spans: DataFrame, kept: DataFrame, tested: Da
     texts = saved(own.join(cut, "tid", "left").join(kept, "tid"))
     counts = saved(_prefixes(texts).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN[0]))
     classes = spark.sparkContext.broadcast([bitmap(counts.where(F.col("n") >= n).select("key")) for n in OFTEN])
-    need = saved(_prefixes(texts, classes))
+    need = saved(_prefixes(texts, classes, similar=True))
     known = spark.sparkContext.broadcast(bitmap(need.select("key")))
-    source = rows = saved(need.withColumn("open", F.lit(True)).unionByName(_prefixes(texts, classes, known).withColumn("open", F.lit(False))))
+    source = rows = saved(need.withColumn("open", F.lit(True)).unionByName(_prefixes(texts, classes, known, True).withColumn("open", F.lit(False))))
     forget(counts, need, texts, settle=True)
     for level in range(ROUNDS + 1):
         if level:  # what a verified span holds has its source
