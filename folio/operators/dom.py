@@ -120,7 +120,9 @@ def parse_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     parsed = materialize(packed.mapInArrow(run, T.StructType([*schemas.NODES.fields, T.StructField("_row", row_type)])))
     rows = parsed.where("kind = 'page'").select(F.col("page_id").alias("page_key"), *[F.col("_row")[c].alias(c) for c in own])
-    return rows, parsed.where("kind != 'page'").drop("_row")
+    nodes = parsed.where("kind != 'page'").drop("_row")
+    nodes._table_path = parsed._table_path  # for drop_table
+    return rows, nodes
 
 
 def elements(nodes: DataFrame) -> DataFrame:
@@ -165,10 +167,11 @@ def with_text_offsets(nodes: DataFrame) -> DataFrame:
     node (a reverse running min). One window pass per page."""
     w = Window.partitionBy("page_id").orderBy("node_id")
     tlen = F.when(F.col("kind") == "text", F.length("text")).otherwise(F.lit(0))
-    tid = F.when((F.col("kind") == "text") & (F.length("text") > 0), F.col("node_id"))
-    return (nodes
-            .withColumn("text_before", F.sum(tlen.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("next_text", F.min(tid).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    # (lengths are taken before the windows, so that readers without the text don't shuffle it)
+    return (nodes.withColumn("_len", tlen.cast("long"))
+            .withColumn("text_before", F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("next_text", F.min(F.when(F.col("_len") > 0, F.col("node_id"))).over(w.rowsBetween(0, Window.unboundedFollowing)))
+            .drop("_len"))
 
 
 def subtree_text_length(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -223,7 +226,8 @@ def descendants_of(nodes: DataFrame, ancestors: DataFrame, how: str = "inner",
     subtrees a page has. Rows without a page are in no subtree.
     """
     swept = open_levels(nodes.where("page_id IS NOT NULL") if how != "left_anti" else nodes, ancestors.where("page_id IS NOT NULL"), include_self)
-    own = [F.col("_node")[c].alias(c) for c in nodes.columns]
+    # (the sweep's own page_id: what follows by page needs no other exchange)
+    own = [F.col(c) if c == "page_id" else F.col("_node")[c].alias(c) for c in nodes.columns]
     if how in ("left_semi", "left_anti"):
         return swept.where((F.col("_k") == 1) & ((F.col("_level") > 0) if how == "left_semi" else (F.col("_level") == 0))).select(*own)
     opened = F.col("_anc").isNotNull()

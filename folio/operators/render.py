@@ -12,6 +12,7 @@ nodes and nothing loops on the driver.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -159,7 +160,8 @@ def drop_license_blocks(rw: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -
     cands = F.reverse(F.array_sort(F.collect_list(F.when(
         (F.col("kind") == "element") & F.col("rtag").isin(_CANDIDATES) & (F.col("node_id") > F.col("scope_id")),
         F.struct(F.col("node_id").alias("s"), F.col("end_id").alias("e"))))))
-    hit = (rw.groupBy(*KEY).agg(pieces.alias("_p"), cands.alias("_c"))
+    some = _may_mention(rw.select(*KEY, shown.alias("_t")), phrases)
+    hit = (rw.join(some, KEY, "left_semi").groupBy(*KEY).agg(pieces.alias("_p"), cands.alias("_c"))
            .where(mentions(F.array_join(F.transform("_p", lambda x: x["t"]), ""))))
 
     def within(p: Column, r: Column) -> Column:
@@ -175,16 +177,34 @@ def drop_license_blocks(rw: DataFrame, profile: SiteProfile = DEFAULT_PROFILE) -
             .where(~F.coalesce(F.exists("_gone", lambda r: within(F.col("node_id"), r)), F.lit(False))).drop("_gone"))
 
 
+def _may_mention(shown: DataFrame, phrases: list[str]) -> DataFrame:
+    """The scopes of ``shown(page_id, scope_id, _t)`` whose pieces may hold a
+    phrase: in one of them, or begun at the end of one and ended at the start of
+    one. Written, as it is small: the texts of the other scopes aren't dealt for
+    their phrases. (Lower case depends on the letters around for Greek only.)"""
+    if not all(p.isascii() and p for p in phrases):
+        return materialize(shown.select(*KEY).distinct())
+    cuts, most = [(p[:i], p[i:]) for p in phrases for i in range(1, len(p))], max(map(len, phrases))
+    one_of = lambda parts: "(?:" + "|".join(sorted({re.escape(x) for x in parts})) + ")"
+    low, text = F.lower("_t"), F.col("_t")
+    marks = {"_in": reduce(Column.__or__, [low.contains(p) for p in phrases]),
+             "_end": F.lower(F.right(text, F.lit(most))).rlike(one_of([x for x, _ in cuts]) + "\\z") if cuts else F.lit(False),
+             "_start": F.lower(F.left(text, F.lit(most))).rlike("\\A" + one_of([y for _, y in cuts])) if cuts else F.lit(False)}
+    rows = shown.where("_t IS NOT NULL").select(*KEY, *[c.alias(n) for n, c in marks.items()]).where("_in OR _end OR _start")
+    return materialize(rows.groupBy(*KEY).agg(*[F.max(n).alias(n) for n in marks]).where("_in OR _end AND _start").select(*KEY))
+
+
 # ---------------------------------------------------------------- D19
 def render_markdown(rw: DataFrame) -> DataFrame:
-    """D19 rendering of rewritten scopes: ``page_id, scope_id, markdown``.
+    """D19 rendering of rewritten scopes: ``page_id, scope_id, markdown``, a row
+    for each scope that has a node (``''`` if it shows nothing).
 
     ATX headings, ``*``/``+``/``-`` bullets by depth, ``**``/``*``, ``>``
     quotes, fenced ``pre`` (its text is kept as it is), hard break = two
     spaces + newline, no escaping. White space collapses outside ``pre``."""
     lines = _lines(_events(_with_context(rw)))
     return (lines.groupBy(*KEY).agg(F.expr("listagg(t, '') WITHIN GROUP (ORDER BY grp)").alias("_md"))
-            .select(*KEY, py_strip(F.col("_md")).alias("markdown")))
+            .select(*KEY, F.coalesce(py_strip(F.col("_md")), F.lit("")).alias("markdown")))
 
 
 def _with_context(rw: DataFrame) -> DataFrame:
@@ -255,8 +275,10 @@ def _events(x: DataFrame) -> DataFrame:
     events = (F.when(shown & (node > F.col("scope_id")), element)
               .when(F.col("kind") == "text", F.array(ev(node, 1, zero, 0, t=text))))
     pre = F.coalesce(F.col("in_pre"), F.lit(False)) & (F.col("kind") == "text") | F.col("in_pre")
-    out = x.select(*KEY, pre.alias("pre"), F.explode(events).alias("e")).select(*KEY, "pre", "e.*")
-    return out.where((F.col("b") > 0) | (F.coalesce(F.col("t"), F.lit("")) != "") | (F.col("dl") != 0) | (F.col("dq") != 0))
+    # (a scope's root is an event without text, which keeps the scope if there is no other)
+    root = F.when((F.col("kind") == "element") & (node == F.col("scope_id")), F.array(ev(node, 0, zero, 0)))
+    out = x.select(*KEY, pre.alias("pre"), F.explode(F.coalesce(events, root)).alias("e")).select(*KEY, "pre", "e.*")
+    return out.where((F.col("b") > 0) | (F.coalesce(F.col("t"), F.lit("")) != "") | (F.col("dl") != 0) | (F.col("dq") != 0) | (F.col("p") == F.col("scope_id")))
 
 
 def _lines(ev: DataFrame) -> DataFrame:
@@ -285,7 +307,7 @@ def _lines(ev: DataFrame) -> DataFrame:
     full = raw.groupBy(*KEY, "grp").agg(
         F.max("b").alias("b"), F.max("hard").alias("hard"), by_line(F.col("pre")).alias("pre"), by_line(F.col("ld")).alias("ld"),
         by_line(F.col("qd")).alias("qd"), by_line(F.col("t")).alias("t"),
-        F.expr("listagg(marker, '') WITHIN GROUP (ORDER BY line)").alias("marker")).where("t IS NOT NULL")
+        F.expr("listagg(marker, '') WITHIN GROUP (ORDER BY line)").alias("marker"))
     quote = F.repeat(F.lit("> "), F.col("qd"))
     # an item's text is indented by its list, what follows in the item by one more
     indent = F.repeat(F.lit("  "), F.greatest(F.col("ld") - F.when(F.col("marker").isNotNull(), 1).otherwise(0), F.lit(0)).cast("int"))
@@ -304,6 +326,4 @@ def html_to_markdown(scoped: DataFrame, profile: SiteProfile = DEFAULT_PROFILE)
     and link sanitising (D7-D13, P10), licence-block removal (D18), then
     rendering. Returns ``page_id, scope_id, markdown``; scopes whose
     content is empty get ``''``."""
-    md = render_markdown(drop_license_blocks(rewrite_nodes(scoped, profile), profile))
-    return (scoped.where(F.col("node_id") == F.col("scope_id")).select(*KEY).join(md, KEY, "left")
-            .withColumn("markdown", F.coalesce(F.col("markdown"), F.lit(""))))
+    return render_markdown(drop_license_blocks(rewrite_nodes(scoped, profile), profile))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,25 +57,52 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-_written: list[str] = []
+_written: dict[str, int] = {}  # the tables' paths and the threads that wrote them
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the session's shared checkpoint
     folder (it survives executor loss, and later scans read only the columns
-    they need). ``drop_materialized`` removes what a session has written."""
+    they need). ``drop_materialized`` removes what a session has written. The
+    shuffles that made the table aren't read any more: the driver's garbage
+    collection lets Spark delete their files before the next step writes."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = threading.get_ident()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete one table that ``materialize`` has returned, once nothing reads it."""
+    path = df._table_path
+    _delete(df.sparkSession, path)
+    del _written[path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_materialized(spark: SparkSession) -> None:
     """Delete the tables that ``materialize`` has written in this process; to
     be called once the results that read them are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.popitem()[0])
+
+
+@contextmanager
+def dropping_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that this thread has written inside:
+    for work whose result is stored before it ends (a batch of a stream)."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p, who in _written.items() if who == threading.get_ident() and p not in before]:
+            del _written[path]
+            _delete(spark, path)

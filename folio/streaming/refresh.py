@@ -25,7 +25,7 @@ from folio.functions import urls
 from folio.operators import incremental
 from folio.operators.index import dedup_keep_first
 from folio.profile import DEFAULT_PROFILE, SiteProfile
-from folio.session import materialize
+from folio.session import dropping_tables, materialize
 
 
 def stream_dedup(batch: DataFrame, key: str = "url", order: str = "page_id") -> DataFrame:
@@ -92,12 +92,13 @@ def stream_new_pages(spark: SparkSession, in_dir: str, cache_dir: str, checkpoin
     src = spark.readStream.schema(schemas.PAGES).parquet(in_dir)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
-        pages = materialize(stream_dedup(batch))  # read by the extraction and by its joins
-        if incremental.has_cache(spark, cache_dir):
-            keyed = pages.withColumn("url_key", urls.url_key("url"))
-            cache = incremental.read_post_cache(spark, cache_dir, keys=keyed)
-            pages = keyed.join(cache.select("url_key"), "url_key", "left_anti").drop("url_key")
-        incremental.append_post_cache(extract(pages), cache_dir)
+        with dropping_tables(spark):  # the batch's tables go when its records are in the cache
+            pages = materialize(stream_dedup(batch))  # read by the extraction and by its joins
+            if incremental.has_cache(spark, cache_dir):
+                keyed = pages.withColumn("url_key", urls.url_key("url"))
+                cache = incremental.read_post_cache(spark, cache_dir, keys=keyed)
+                pages = keyed.join(cache.select("url_key"), "url_key", "left_anti").drop("url_key")
+            incremental.append_post_cache(extract(pages), cache_dir)
 
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
