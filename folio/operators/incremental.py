@@ -18,6 +18,7 @@ from folio import schemas
 from folio.functions import urls
 from folio.profile import DEFAULT_PROFILE, SiteProfile
 from folio.session import materialize
+from folio.sources import files
 
 # ---- fixed values: names of the charsets that built-in functions decode ----
 UTF8 = ("utf-8", "utf8")
@@ -167,14 +168,14 @@ def read_post_cache(spark: SparkSession, path: str, fmt: str = "parquet", key_pa
     names, 256 at most, go to the scan as a partition filter).
 
     ``fmt='json'`` imports one-record-per-file JSON, of a folder with all below
-    it or of a pattern (a folder is listed in parallel): the key is taken from the
+    it or of a pattern (a folder is listed and read in tasks): the key is taken from the
     file's path by ``key_pattern`` (by default its name); a corrupt record, a list
     or another non-object is a miss (dropped), an empty object a record without
     fields. Of several files of a key the greatest record counts."""
     if fmt == "json":
-        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("_file", F.input_file_name())
+        found = files.read_whole(spark, path).withColumnRenamed("path", "_file")
         rec = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-        df = (files.where(F.ltrim("value").startswith("{")).withColumn("_r", rec).where("_r IS NOT NULL")
+        df = (found.where(F.ltrim("value").startswith("{")).withColumn("_r", rec).where("_r IS NOT NULL")
               .where((F.size("_r") > 0) | F.col("value").rlike("^\\s*\\{\\s*\\}\\s*$"))
               .select(F.regexp_extract("_file", key_pattern, 1).alias("url_key"), F.col("_r")["url"].alias("url"),
                       *[F.coalesce(F.col("_r")[c], F.lit("")).alias(c) for c in ("markdown", "author", "posted_date")]))

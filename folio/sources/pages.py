@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio import schemas
+from folio.sources import files
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -17,9 +18,8 @@ def scan_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Existing Markdown files as ``doc_id, path, text`` (one row per
     whole file). ``path`` is a folder, read with all below it, or a pattern; a
-    folder is listed in parallel. ``doc_id`` is a stable hash of the path."""
-    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("path", F.input_file_name())
-    return df.select(F.xxhash64("path").alias("doc_id"), "path", F.col("value").alias("text"))
+    folder is listed and read in tasks. ``doc_id`` is a stable hash of the path."""
+    return files.read_whole(spark, path).select(F.xxhash64("path").alias("doc_id"), "path", F.col("value").alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
