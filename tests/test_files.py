@@ -45,3 +45,10 @@ def test_folders_are_read_in_tasks_as_spark_reads_them(spark, tmp_path):
     rows = lambda df: sorted((r.doc_id, r.path, bytes(r.text)) for r in df.selectExpr("doc_id", "path", "cast(text AS binary) AS text").collect())
     assert rows(new) == rows(old) and len(rows(new)) == 6
     assert rows(read_markdown(spark, path + "/*.md")) == [r for r in rows(old) if r[1].endswith("/in/1.md")]
+
+
+def test_driver_holds_no_json_files(spark, tmp_path):
+    path = f"file://{tmp_path}/json"
+    standins.write_files(spark.range(30).selectExpr("concat('k', id) AS key", """concat('{"url": "u', id, '"}') AS text"""), path, ".json")
+    cache = incremental.read_post_cache(spark, path, "json")
+    assert cache.count() == 30 and not [f for f in cache.inputFiles() if f.endswith(".json")]
